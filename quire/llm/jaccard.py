@@ -4,6 +4,7 @@ A text's set holds its distinct word n-grams. Texts of equal sets are one class.
 classes and counted in Spark fall into frequency classes: unique, rare (at most RARE sets) and frequent. Prefixes put
 rare tokens first:
 
+* a text with fewer tokens that are not unique than a link needs cannot link and is not indexed;
 * single rare tokens of the standard prefix are indexed; unique ones cannot match and are left out;
 * a pair that shares no rare token differs in all its rare ones, so only texts with few of them need more: their
   prefix is extended to the whole set and split by hash into more parts than a linked pair can differ in tokens. At
@@ -156,6 +157,8 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, num: int, den: int) -> np
     """Index keys of one set (ascending tokens): rare single tokens, and combinations where those are few."""
     n = len(tokens)
     least = -(-num * n // den)
+    if (kinds > 0).sum() < least:  # a linked text shares this many, and nobody shares unique ones
+        return np.zeros(0, _U)
     rare = tokens[kinds < 2]
     single = mix(tokens[kinds == 1][: n - least + 1]) if len(rare) == n else mix(rare[: n - least + 1][kinds[kinds < 2][: n - least + 1] == 1])
     # the most tokens that a linked text of any size can differ in: n * (1 - t) / t
