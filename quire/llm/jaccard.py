@@ -14,7 +14,8 @@ rare tokens first:
 Candidates of a key are not all pairs of its texts: each is tested against the key's hub, links are joined to
 components, and only keys that still hold several components are tried again: their texts outside the key's largest
 component against those of other components, a growing number at a time. A pair that is never tested is in one
-component already, so no component misses a link. Tests compare whole sets.
+component already or ruled out, so no component misses a link. Before a test, parity sketches of the two sets (512 bits, each token flips one) rule out pairs
+that differ in more bits than linked sets can differ in tokens. Tests compare whole sets.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing.
 """
@@ -153,6 +154,12 @@ def token_classes(df: DataFrame, text: str, words: int) -> Classes:
     return Classes(arrays, bits)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """512 bits as 8 longs; a token flips one. Two sets differ in at least as many tokens as their sketches in bits."""
+    flips = np.bincount((mix(tokens ^ _U(0x77777777)) >> _U(55)).astype(np.int64), minlength=512)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, num: int, den: int) -> np.ndarray:
     """Index keys of one set (ascending tokens): rare single tokens, and combinations where those are few."""
     n = len(tokens)
@@ -182,21 +189,22 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, num: int, den: int) -> np
 
 
 def index(df: DataFrame, classes: Classes, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """Per row: id, n, set hashes s1 and s2; of one row of each set and task also its keys and (6-byte) tokens."""
+    """Per row: id, n, set hashes s1 and s2; of one row of each set and task also keys, parity and (6-byte) tokens."""
 
     def run(batches):
         for (ids,), tokens, bounds, a, b, new in _distinct_sets(batches, text, words, [key]):
             kinds = classes.of(tokens) if len(tokens) else np.zeros(0, np.int8)
             keys: list = [None] * len(a)
             sets: list = [None] * len(a)
+            bits: list = [None] * len(a)
             for i in np.flatnonzero(new & (np.diff(bounds) > 0)).tolist():
                 own = slice(bounds[i], bounds[i + 1])
                 found = prefix_keys(tokens[own], kinds[own], num, den)
                 if len(found):
-                    keys[i], sets[i] = np.unique(found).view(np.int64), _bytes6(tokens[own] >> _U(16))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "n", "s1", "s2", "keys", "tokens"])
+                    keys[i], sets[i], bits[i] = np.unique(found).view(np.int64), _bytes6(tokens[own] >> _U(16)), parity(tokens[own])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "n", "s1", "s2", "keys", "bits", "tokens"])
 
-    return df.select(key, text).mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, tokens binary")
+    return df.select(key, text).mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>, tokens binary")
 
 
 def tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -242,23 +250,26 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     # classes of equal sets; `id` is the row that holds the class's keys and tokens
     held = F.when(F.col("keys").isNotNull(), F.col("id"))
     classes = stored(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(held).alias("id")), "sets")
-    sets = rows.where("keys is not null").select("id", "keys", "tokens")
+    sets = rows.where("keys is not null").select("id", "keys", "bits", "tokens")
     members = classes.where("id is not null").select("id", "n", "copies")
-    entries = sets.select("id", "keys").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies")
+    entries = sets.select("id", "keys", "bits").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies", "bits")
 
-    def alike(n: str, m: str):
-        return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
+    def alike(n: str, m: str, x: str, y: str):
+        """Sizes and parity sketches allow a link."""
+        differ = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(8))
+        sizes = (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
+        return sizes & (differ * (den + num) <= (F.col(n) + F.col(m)) * (den - num))
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "id", "n")).alias("h")).where("c > 1").select("key", "c", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"))
-    work = stored(entries.select("key", "id", "n").join(hubs, "key"), "work")
-    pairs = work.where(F.col("id") != F.col("hub")).where(alike("n", "hub_n")).select(*ordered("hub", "id")).distinct()
+    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "id", "n", "bits")).alias("h")).where("c > 1").select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits"))
+    work = stored(entries.select("key", "id", "n", "bits").join(hubs, "key"), "work")
+    pairs = work.where(F.col("id") != F.col("hub")).where(alike("n", "hub_n", "bits", "hub_bits")).select(*ordered("hub", "id")).distinct()
     tests = stored(tested(pairs, sets, num, den), "tests")
     done = [tests]
     comp = components(tests.where("linked").select("a", "b"))
-    left = work.where(F.col("id") != F.col("hub")).select("key", "id", "n")
+    left = work.where(F.col("id") != F.col("hub")).select("key", "id", "n", "bits")
     most = RARE
     while True:
         # a key is open while its texts are in several components; its texts outside the largest are tried against all
@@ -270,8 +281,8 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         work = stored(work.withColumn("tries", (F.col("comp") != F.col("big")) & tried), "work")
         if work.isEmpty():
             break
-        hubs = work.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))
-        both = work.join(hubs, "key").where(F.col("comp") != F.col("hub_comp")).where(alike("n", "hub_n"))
+        hubs = work.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"), F.col("comp").alias("hub_comp"))
+        both = work.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & alike("n", "hub_n", "bits", "hub_bits"))
         pairs = both.select(*ordered("hub", "id")).distinct()
         for x in done:
             pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
@@ -282,7 +293,7 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             for x in done[1:]:
                 every = every.unionByName(x)
             comp = components(every.where("linked").select("a", "b"))
-        left = work.where(~F.col("tries") & (F.col("rest") > most)).select("key", "id", "n")
+        left = work.where(~F.col("tries") & (F.col("rest") > most)).select("key", "id", "n", "bits")
         most *= 8
     # a component's id is the smallest id of all rows of its classes
     named = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id", "rep"))
