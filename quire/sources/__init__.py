@@ -1 +1,35 @@
+"""Readers of the test tables and of raw files."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, line_no (from 1), line. A leading byte-order mark goes, CRLF and CR end lines; empty text has no lines."""
+    plain = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")
+    rows = df.where(F.length(text) > 0).select(key, F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+    return rows.select(key, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def binary_files(spark: SparkSession, path: str) -> DataFrame:
+    """Whole files with path, modification time, length and content."""
+    return spark.read.format("binaryFile").load(path)
+
+
+#: First bytes (hex) of image formats.
+IMAGES = {"89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg", "474946383761": "image/gif", "474946383961": "image/gif", "424D": "image/bmp"}
+
+
+def image_type(content: Column) -> Column:
+    """MIME type by the first bytes; null for anything else."""
+    head = F.hex(F.substring(content, 1, 16))
+    out = F.when(head.startswith("52494646") & (F.substring(head, 17, 8) == "57454250"), "image/webp")
+    for magic, kind in IMAGES.items():
+        out = out.when(head.startswith(magic), kind)
+    return out
