@@ -140,15 +140,21 @@ class Vocabulary:
             return [ranks[piece]]
         if len(piece) > 48:
             return self._merge_long(piece)
+        return [ranks[p] for p in self._joined(piece)]
+
+    def _joined(self, piece: bytes) -> list[bytes]:
+        get, never = self.ranks.get, 1 << 40
         parts = [piece[i : i + 1] for i in range(len(piece))]
-        while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:], strict=False)]
-            best = min(found)
-            if best == 1 << 40:
-                break
+        found = [get(piece[i : i + 2], never) for i in range(len(piece) - 1)]
+        while found and (best := min(found)) < never:
             i = found.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[p] for p in parts]
+            parts[i] += parts.pop(i + 1)
+            del found[i]
+            if i < len(found):
+                found[i] = get(parts[i] + parts[i + 1], never)
+            if i:
+                found[i - 1] = get(parts[i - 1] + parts[i], never)
+        return parts
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap and links, for pieces of any length."""
@@ -179,7 +185,7 @@ class Vocabulary:
 class Cache(dict):
     """A value for each piece, made when it is first asked for; emptied when it grows beyond `most` entries."""
 
-    def __init__(self, make: Callable, most: int = 200_000):
+    def __init__(self, make: Callable, most: int = 600_000):
         super().__init__()
         self.make, self.most = make, most
 
@@ -268,7 +274,8 @@ class PrefixCounter:
     """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.longest = vocab, max(map(len, vocab.ranks))
+        self.vocab, self.ends = vocab, {t[k:] for t in vocab.ranks for k in range(len(t))}
+        self.nodes: dict[bytes, tuple[bytes, int]] = {}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
 
     def can_follow(self, a: bytes, b: bytes) -> bool:
@@ -281,33 +288,40 @@ class PrefixCounter:
         return known
 
     def counts(self, piece: bytes) -> list[int]:
-        """Tokens of piece[:i] for i from 0 to its length."""
-        ranks, last, out = self.vocab.ranks, [b""], [0]
+        """Tokens of piece[:i] for i from 0 to its length. Pieces share what is known of their common prefixes."""
+        nodes, out = self.nodes, [0]
+        if len(nodes) > 1_000_000:
+            nodes.clear()
+        own = {} if len(piece) > 256 else nodes  # prefixes of very long pieces are not kept
         for i in range(1, len(piece) + 1):
-            for k in range(max(0, i - self.longest), i):
-                token = piece[k:i]
-                if token in ranks and (k == 0 or self.can_follow(last[k], token)) and self._itself(token):
-                    last.append(token)
-                    out.append(out[k] + 1)
-                    break
-            else:
-                raise ValueError("no token ends here: the vocabulary lacks single bytes")
+            prefix = piece[:i] if own is nodes else i
+            known = own.get(prefix)
+            if known is None:
+                known = own[prefix] = self._last(piece, i, own)
+            out.append(known[1])
         return out
 
+    def _last(self, piece: bytes, i: int, own: dict) -> tuple[bytes, int]:
+        """Last token of piece[:i], and the tokens of it."""
+        ranks, ends = self.vocab.ranks, self.ends
+        for k in range(i - 1, -1, -1):
+            token = piece[k:i]
+            if token not in ends:
+                break
+            if token in ranks:
+                if k == 0:
+                    if self._itself(token):
+                        return token, 1
+                else:
+                    last, n = own[piece[:k] if own is self.nodes else k]
+                    if self.can_follow(last, token) and self._itself(token):
+                        return token, n + 1
+        raise ValueError("no token ends here: the vocabulary lacks single bytes")
+
     @lru_cache(100_000)  # noqa: B019
     def _itself(self, token: bytes) -> bool:
         """Whether BPE makes this token of its own bytes; else it never stands in an encoding."""
-        return len(token) == 1 or self._rebuilt(token)
-
-    def _rebuilt(self, token: bytes) -> bool:
-        ranks, parts = self.vocab.ranks, [token[i : i + 1] for i in range(len(token))]
-        while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 40) for a, b in zip(parts, parts[1:], strict=False)]
-            if (best := min(found)) == 1 << 40:
-                return False
-            i = found.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return True
+        return len(token) == 1 or self.vocab._joined(token) == [token]
 
 
 @lru_cache(2)
@@ -319,7 +333,7 @@ def _prefixes(path: str) -> Cache:
         whole = counter.counts(piece.encode("utf-8", "surrogatepass"))
         return whole if len(at) == len(whole) else [whole[i] for i in at]
 
-    return Cache(make, 150_000)
+    return Cache(make, 500_000)
 
 
 def _sections(text: str, special: str) -> list[str]:
