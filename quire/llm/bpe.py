@@ -304,10 +304,11 @@ class PrefixCounter:
     def _last(self, piece: bytes, i: int, own: dict) -> tuple[bytes, int]:
         """Last token of piece[:i], and the tokens of it."""
         ranks, ends = self.vocab.ranks, self.ends
-        for k in range(i - 1, -1, -1):
+        first = i - 1
+        while first and piece[first - 1 : i] in ends:
+            first -= 1
+        for k in range(first, i):
             token = piece[k:i]
-            if token not in ends:
-                break
             if token in ranks:
                 if k == 0:
                     if self._itself(token):
@@ -349,17 +350,22 @@ class PrefixTable:
     cut in two), so those prefixes are counted from the last place at which every split agrees.
     """
 
-    def __init__(self, text: str, path: str, special: str = "<|endoftext|>"):
+    def __init__(self, text: str, path: str, special: str = "<|endoftext|>", split: list | None = None, upto: int | None = None):
+        """split: what split_pieces makes of the sections, where it is known; upto: leave out what begins after so many tokens."""
         self.text, self.cache, self.special = text, _prefixes(path), special
         self.starts, self.before, self.inner = [], [], []
         at = tokens = 0
         sections = _sections(text, special)
-        for k, (pieces, bounds) in enumerate(split_pieces(sections)):
+        for k, (pieces, bounds) in enumerate(split_pieces(sections) if split is None else split):
+            if upto is not None and tokens > upto:
+                break
             for p, b in zip(pieces, bounds.tolist(), strict=False):
                 self.starts.append(at + b)
                 self.before.append(tokens)
                 self.inner.append(self.cache[p])
                 tokens += self.inner[-1][-1]
+                if upto is not None and self.before[-1] > upto:
+                    break
             at += len(sections[k])
             if k + 1 < len(sections):
                 self.starts.append(at)
@@ -419,12 +425,12 @@ def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int =
                 parts = [_sections(t, special) for t in texts]
                 split = iter(split_pieces([s for p in parts for s in p]))
                 for t, p in zip(texts, parts, strict=True):
-                    n = len(p) - 1 + sum(sum([cache[x][-1] for x in next(split)[0]]) for _ in p)
+                    own = [next(split) for _ in p]
+                    n = len(p) - 1 + sum(sum([cache[x][-1] for x in pieces]) for pieces, _ in own)
                     sizes.append(len(t.encode("utf-8", "surrogatepass")))
                     counts.append(n)
-                    table = PrefixTable(t, path, special) if prefixes or n > limit else None
-                    fits.append(table.within(limit) if table else len(t))
-                    tables.append(table.counts() if prefixes else None)
+                    fits.append(PrefixTable(t, path, special, own, limit).within(limit) if n > limit else len(t))
+                    tables.append(PrefixTable(t, path, special, own).counts() if prefixes else None)
             n = np.array(counts, np.int64)
             made = [pa.array(sizes, pa.int64()), pa.array(n), pa.array(n > limit), pa.array(fits, pa.int64())] + [pa.array(tables, pa.list_(pa.int32()))] * prefixes
             yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "n_bytes", "n_tokens", "over_limit", "fit_chars", *["prefix_counts"] * prefixes])
