@@ -167,21 +167,26 @@ def search(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "e
     packed = packed.select("part", "block", "id", "x").groupBy("part", "block").applyInArrow(_packed("block"), "part int, block int, ids binary, xs binary")
     asking = asked.withColumn("ask", F.pmod(F.xxhash64("id"), F.greatest(blocks(many, BLOCK_QUERIES), F.lit(1))).cast("int"))
     asking = asking.select("part", "ask", "id", "x").groupBy("part", "ask").applyInArrow(_packed("ask"), "part int, ask int, ids binary, xs binary")
-    asking = asking.select("part", F.col("ids").alias("qids"), F.col("xs").alias("qs"), F.explode(F.sequence(F.lit(0), blocks(count, BLOCK_ROWS) - 1)).alias("block")).where("block >= 0")
-    pairs = asking.join(packed, ["part", "block"])
+    asking = asking.select("part", "ask", F.col("ids").alias("qids"), F.col("xs").alias("qs"), F.explode(F.sequence(F.lit(0), blocks(count, BLOCK_ROWS) - 1)).alias("block")).where("block >= 0")
+    # all blocks that a block of queries meets pass one task, which keeps the best k of each query
+    pairs = asking.join(packed, ["part", "block"]).repartition("part", "ask")
 
     def rank(batches):
+        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            for qids, qs, ids, xs in zip(*(batch.column(c).to_pylist() for c in ("qids", "qs", "ids", "xs")), strict=True):
+            for part, ask, qids, qs, ids, xs in zip(*(batch.column(c).to_pylist() for c in ("part", "ask", "qids", "qs", "ids", "xs")), strict=True):
                 qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
                 s = np.frombuffer(qs, np.float64).reshape(len(qids), -1) @ np.frombuffer(xs, np.float64).reshape(len(ids), -1).T
                 s[qids[:, None] == ids[None]] = -np.inf
-                order = np.argsort(ids, kind="stable")
-                top = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                score = np.take_along_axis(s, top, 1)
-                ok = score.ravel() > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])[ok]), pa.array(ids[top].ravel()[ok]), pa.array(score.ravel()[ok])], ["query_id", "vec_id", "score"])
-
-    found = pairs.select("qids", "qs", "ids", "xs").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
+                ids = np.broadcast_to(ids, s.shape)
+                if (part, ask) in best:
+                    s, ids = np.concatenate([best[part, ask][1], s], 1), np.concatenate([best[part, ask][2], ids], 1)
+                top = np.lexsort((ids, -s), axis=1)[:, :k]
+                best[part, ask] = qids, np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+        for qids, s, ids in best.values():
+            ok = s.ravel() > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, s.shape[1])[ok]), pa.array(ids.ravel()[ok]), pa.array(s.ravel()[ok])], ["query_id", "vec_id", "score"])
+
+    found = pairs.select("part", "ask", "qids", "qs", "ids", "xs").mapInArrow(rank, "query_id bigint, vec_id bigint, score double")
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
