@@ -30,6 +30,10 @@ class Arrays:
             out.write(memoryview(np.ascontiguousarray(values)).cast("B") if values.size else b"")
         system.move(part, f"{path}/{name}")
 
+    def names(self) -> set[str]:
+        system, path = fs.FileSystem.from_uri(self.uri)
+        return {x.base_name for x in system.get_file_info(fs.FileSelector(path, allow_not_found=True))}
+
     def read(self, name: str, dtype) -> np.ndarray:
         if name not in self._open:
             system, path = fs.FileSystem.from_uri(self.uri)

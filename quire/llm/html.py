@@ -172,7 +172,7 @@ def blocks(node: Node, threshold: float) -> list[str]:
             out[-1].append(x)
         elif x.tag == "br":
             out[-1].append(" ")
-        elif not x.drop and not (x.density < threshold and x.link_chars * 2 > x.chars):
+        elif not x.drop and not (x.tag in BLOCK and x.density < threshold and x.link_chars * 2 > x.chars):
             inner = x.children[::-1]
             if x.tag in BLOCK:
                 out.append([])

@@ -196,6 +196,8 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     parts = df.mapInArrow(count_words, "shard int, c0 binary, c1 binary")
     got = {r[0]: r for r in parts.groupBy("shard").applyInArrow(add_words, "shard int, types bigint, tokens bigint").collect()}
     types = [got[s][1] if s in got else 0 for s in range(1 << bits)]
+    for s in set(range(1 << bits)) - set(got):  # shards that no word falls into
+        arrays.write(f"w{s}.key", np.zeros(0, np.uint64))
     model = Model(arrays, bits, [0, *np.cumsum(types).tolist()], sum(r[2] for r in got.values()), 0, (0, 0, 0), (0, 0, 0), (texts, 0, 0, 0))
     if model.types >= int(_START):
         raise ValueError("more than 2**32 - 1 distinct words")
@@ -254,6 +256,9 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     parts = df.mapInArrow(count_pairs, "shard int, c0 binary, c1 binary")
     stats = parts.groupBy("shard").applyInArrow(add_pairs, "shard int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, tally binary")
     sums = np.sum([r[0] for r in stats.groupBy("shard").applyInArrow(add_stats, "v array<bigint>").collect()] or [[0] * 13], axis=0).tolist()
+    there = arrays.names()
+    for name in {f"p{s}.key" for s in range(1 << bits)} - there:  # shards that no pair falls into
+        arrays.write(name, np.zeros(0, np.uint64))
     model.pair_types, model.discounts = sums[4], _discounts(sums[:4])
     model.word_discounts, model.start = _discounts(sums[5:9]), (texts, *sums[10:13])
     model.word_left = float(np.dot(model.word_discounts, [sums[5], sums[6], sums[9]]))
