@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: ASCII punctuation that normal forms of titles replace by a space.
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
@@ -29,7 +30,7 @@ def fold_marks(c: Column) -> Column:
     return F.translate(c, MARKED, PLAIN)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_marks(c: pd.Series) -> pd.Series:
     """Canonical decomposition without combining marks, any script."""
     return c.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFD", s) if not unicodedata.combining(x)))
@@ -59,7 +60,7 @@ def canonical_tag(c: Column) -> Column:
     return F.lower(F.trim(normalize_space(fold_quotes(c))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compose(c: pd.Series) -> pd.Series:
     return c.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 

@@ -1 +1,180 @@
-"""Queries."""
+"""Queries of state: job queue, sessions, folded runs, sync batches, table-like upserts and caches.
+
+Test tables stand for streams: events are job submissions (key = user and type, priority = props.k) and activity,
+conversations are part events of runs (run = conversation, message = turn), orders are synced rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import text as T
+from ..operators import entities as E
+from ..sources import table
+from .catalog import query
+
+#: Retries of a job, seconds of the first wait and of the longest, the highest priority.
+ATTEMPTS, WAIT, LONGEST_WAIT, CEILING = 3, 60, 1800, 100
+
+_JOBS_SQL = "j AS (SELECT user_id, event_type AS kind, max(least(coalesce((props->>'$.k')::BIGINT, 0), 100)) AS priority, min(ts) AS queued, count(*)::BIGINT AS asked, (max(event_id) % 4)::BIGINT AS attempts FROM events GROUP BY 1, 2)"
+
+
+def _jobs(spark, d):
+    """One job for each key: the highest priority asked for, the first time it was queued, attempts so far."""
+    e = table(spark, d, "events").withColumn("p", F.least(F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)), F.lit(CEILING)))
+    return e.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max("p").cast("bigint").alias("priority"), F.min("ts").alias("queued"), F.count(F.lit(1)).alias("asked"), (F.max("event_id") % 4).alias("attempts"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, queued, asked FROM j")
+def queue_enqueue(spark, d):
+    return _jobs(spark, d).drop("attempts")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority FROM j WHERE attempts < 3 ORDER BY priority DESC, queued, user_id, kind LIMIT 1")
+def queue_peek(spark, d):
+    return _claimable(spark, d).limit(1).select("user_id", "kind", "priority")
+
+
+def _claimable(spark, d):
+    return _jobs(spark, d).where(F.col("attempts") < ATTEMPTS).orderBy(F.desc("priority"), "queued", "user_id", "kind")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, attempts + 1 AS attempts, queued + INTERVAL 6 MINUTE AS lease FROM j WHERE attempts < 3 ORDER BY priority DESC, queued, user_id, kind LIMIT 8")
+def queue_claim(spark, d):
+    """The next eight jobs, each with one more attempt and a lease of six minutes."""
+    return _claimable(spark, d).limit(8).select("user_id", "kind", "priority", (F.col("attempts") + 1).alias("attempts"), (F.col("queued") + F.expr("interval 6 minutes")).alias("lease"))
+
+
+def backoff(attempts):
+    """Seconds to wait: doubled with each attempt, with a ceiling."""
+    return F.least(F.lit(WAIT) * F.pow(F.lit(2), attempts - 1), F.lit(LONGEST_WAIT)).cast("bigint")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, CASE WHEN attempts >= 3 THEN 'dead' ELSE 'waiting' END AS state, CASE WHEN attempts < 3 THEN least(60 * pow(2, attempts - 1), 1800)::BIGINT END AS wait_s FROM j WHERE attempts > 0")
+def queue_fail(spark, d):
+    n = F.col("attempts")
+    return _jobs(spark, d).where("attempts > 0").select("user_id", "kind", F.when(n >= ATTEMPTS, "dead").otherwise("waiting").alias("state"), F.when(n < ATTEMPTS, backoff(n)).alias("wait_s"))
+
+
+@query("SELECT n, least(60 * pow(2, n - 1), 1800)::BIGINT AS wait_s FROM range(1, 9) t(n)", name="backoff")
+def backoff_table(spark, d):
+    return spark.range(1, 9).select(F.col("id").alias("n"), backoff(F.col("id")).alias("wait_s"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind FROM j WHERE attempts BETWEEN 1 AND 2 AND queued + to_seconds((60 * pow(2, attempts - 1))::BIGINT) <= (SELECT max(ts) FROM events)")
+def retry_ready(spark, d):
+    now = table(spark, d, "events").agg(F.max("ts").alias("now"))
+    due = F.col("queued") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff(F.col("attempts")).cast("decimal(18,6)"))
+    return _jobs(spark, d).where("attempts BETWEEN 1 AND 2").join(F.broadcast(now), due <= F.col("now")).select("user_id", "kind")
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, 0::BIGINT AS attempts FROM j WHERE attempts >= 3")
+def retry_dead(spark, d):
+    return _jobs(spark, d).where(F.col("attempts") >= ATTEMPTS).select("user_id", "kind", F.lit(0).cast("bigint").alias("attempts"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT kind, count(*)::BIGINT AS jobs, count(*) FILTER (attempts = 0)::BIGINT AS fresh, count(*) FILTER (attempts >= 3)::BIGINT AS dead, max(priority)::BIGINT AS top FROM j GROUP BY kind")
+def queue_stats(spark, d):
+    return _jobs(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("attempts") == 0).alias("fresh"), F.count_if(F.col("attempts") >= ATTEMPTS).alias("dead"), F.max("priority").alias("top"))
+
+
+@query(f"WITH {_JOBS_SQL} SELECT CASE WHEN attempts >= 3 THEN 'failed' WHEN attempts = 0 THEN 'done' ELSE 'retried' END AS outcome, count(*)::BIGINT AS n FROM j GROUP BY 1")
+def job_outcome(spark, d):
+    n = F.col("attempts")
+    return _jobs(spark, d).groupBy(F.when(n >= ATTEMPTS, "failed").when(n == 0, "done").otherwise("retried").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
+def session_gap(spark, d):
+    """Sessions of a user end after 30 quiet minutes."""
+    e = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"), "ts")
+    s = e.groupBy("user_id", F.session_window("t", "30 minutes")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+    return s.select("user_id", "first_ts", "last_ts", "n")
+
+
+@query("SELECT conv_id, turn, arg_max(role, (len(text), text)) AS role, max(len(text))::BIGINT AS size FROM conversations GROUP BY 1, 2")
+def fold_parts(spark, d):
+    """Parts of one message: the last value wins, whatever order or how often they arrive."""
+    c = table(spark, d, "conversations")
+    return c.groupBy("conv_id", "turn").agg(F.max_by("role", F.struct(F.length("text"), "text")).alias("role"), F.max(F.length("text")).cast("bigint").alias("size"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles FROM (SELECT DISTINCT conv_id, turn, role FROM conversations) GROUP BY 1")
+def fold_returns(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role").distinct()
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["role"]), ",").alias("roles"))
+
+
+@query("SELECT conv_id, max(turn)::BIGINT AS last_turn, arg_max(role, turn) = 'assistant' AS complete FROM conversations GROUP BY 1")
+def run_complete(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), (F.max_by("role", "turn") == "assistant").alias("complete"))
+
+
+@query("WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-02-01'), b AS (SELECT o_orderdate, min((n - 1) // 50) AS batch FROM r GROUP BY 1) SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM r JOIN b USING (o_orderdate) GROUP BY 1")
+def date_batches(spark, d):
+    """Batches of about 50 rows by date that never split equal dates: counts by date first, then a running sum of few rows."""
+    days = table(spark, d, "orders").where("o_orderdate < timestamp_ntz '1996-02-01 00:00:00'").groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(W.orderBy("o_orderdate").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return days.withColumn("batch", F.floor(before / 50).cast("bigint")).groupBy("batch").agg(F.sum("k").alias("n"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
+def upsert_replace(spark, d):
+    """Old and new rows of each key by version: the newest stays."""
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate").withColumn("v", F.struct("o_orderdate", "o_orderkey"))
+    return E.upsert(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), ["o_custkey"], "v").drop("v")
+
+
+@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS failures, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 5 THEN 'permanent' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'retry' ELSE 'ok' END AS state FROM orders GROUP BY 1")
+def upsert_state(spark, d):
+    """Failures counted by key; the fifth is permanent."""
+    n = F.col("failures")
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("failures")).withColumn("state", F.when(n >= 5, "permanent").when(n > 0, "retry").otherwise("ok"))
+
+
+@query("SELECT o_custkey, n AS failures, (3600 * pow(2, n - 1))::BIGINT AS wait_s FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) WHERE n < 5")
+def backoff_filter(spark, d):
+    n = table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("failures")).where("failures < 5")
+    return n.select("o_custkey", "failures", (F.lit(3600) * F.pow(F.lit(2), F.col("failures") - 1)).cast("bigint").alias("wait_s"))
+
+
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE ts >= (SELECT date_trunc('day', max(ts)) FROM events) GROUP BY 1")
+def added_today(spark, d):
+    e = table(spark, d, "events")
+    since = e.agg(F.date_trunc("day", F.max("ts")).cast("timestamp_ntz").alias("since"))
+    return e.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars > 5000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def cache_gc(spark, d):
+    """Entries that nothing refers to."""
+    return table(spark, d, "documents").where("n_chars > 5000").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+
+
+@query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'orders' WHEN 'view' THEN 'activity' ELSE 'other' END AS route, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def route_events(spark, d):
+    t = F.col("event_type")
+    return table(spark, d, "events").groupBy("event_type", F.when(t == "purchase", "orders").when(t == "view", "activity").otherwise("other").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, (epoch_us(ts) // 1000)::BIGINT AS ms FROM events")
+def ts_to_ms(spark, d):
+    return table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+
+
+@query("SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def date_group(spark, d):
+    return table(spark, d, "events").groupBy("user_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k, props IS NOT NULL AND json_valid(props) AS valid FROM events")
+def json_parse(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"), F.coalesce(F.get_json_object("props", "$").isNotNull(), F.lit(False)).alias("valid"))
+
+
+@query()
+def sanitize_error(spark, d):
+    """Messages of failed pages without paths."""
+    return table(spark, d, "pages").select("page_id", T.sanitize_error(F.concat(F.lit("cannot open /var/data/"), "url")).alias("message"))
