@@ -101,23 +101,27 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth:
         rows = np.sort(rng.choice(len(y), max(1, int(len(y) * 0.7)), replace=False))
         _grow(x, cuts, bins, q - y, q * (1 - q) + 1e-9, rows, depth, (), paths, f, 0.2)
     paths = list(dict.fromkeys(tuple(sorted(set(p))) for p in paths))
-    holds = np.ones((len(y), len(paths)), np.float32)
+    holds = np.ones((len(paths), len(y)), bool)
     for i, path in enumerate(paths):
         for j, at_most, bound in path:
-            holds[:, i] *= (x[:, j] <= bound) == at_most
+            holds[i] &= (x[:, j] <= bound) == at_most
     # the same rows hold for rules that differ in words only: keep the shortest
     kept: dict[bytes, int] = {}
     for i in sorted(range(len(paths)), key=lambda i: (len(paths[i]), i)):
-        kept.setdefault(np.packbits(holds[:, i] > 0).tobytes(), i)
-    paths, holds = [paths[i] for i in sorted(kept.values())], holds[:, sorted(kept.values())]
-    mean, spread = holds.mean(0), holds.std(0) + 1e-6
-    z = (holds - mean) / spread
-    w, bias = np.zeros(z.shape[1]), math.log(p / (1 - p))
+        kept.setdefault(np.packbits(holds[i]).tobytes(), i)
+    paths, holds = [paths[i] for i in sorted(kept.values())], holds[sorted(kept.values())].astype(np.float32)
+    # rules are standardized without a second matrix: z = (holds - mean) / spread
+    mean = holds.mean(1, dtype=float)
+    spread = np.sqrt(mean * (1 - mean)) + 1e-6
+    w, bias = np.zeros(len(paths)), math.log(p / (1 - p))
     v, vb, t = w.copy(), bias, 1.0
-    pace = 4 / (np.linalg.norm(z, 2) ** 2 / len(y) + 1)
+    both = (holds @ holds.T / len(y) - np.outer(mean, mean)) / np.outer(spread, spread)
+    pace = 4 / (np.linalg.eigvalsh(both)[-1] + 1)
     for _ in range(steps):  # accelerated proximal gradient
-        r = 1 / (1 + np.exp(-(z @ v + vb))) - y
-        new = v - pace * (z.T @ r) / len(y)
+        u = v / spread
+        r = 1 / (1 + np.exp(-((u.astype(np.float32) @ holds).astype(float) - u @ mean + vb))) - y
+        grad = ((holds @ r.astype(np.float32)).astype(float) - mean * r.sum()) / spread
+        new = v - pace * grad / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - pace * penalty, 0)
         new_b = vb - pace * r.mean()
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
