@@ -1 +1,236 @@
-"""Queries."""
+"""Queries of documents: lines, sentences, repeated lines, in-document search, matching, duplicates, HTML, scalars.
+
+Test tables stand for entities: documents are items whose title is the first line, benchmark is a list of references,
+pages are HTML snapshots, parts carry tags.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import entities as E
+from ..sources import table
+from .catalog import query
+
+_ASCII = "lower(trim(regexp_replace({c}, '[^a-zA-Z0-9]+', ' ', 'g')))"
+_FIRST = "split_part(text, chr(10), 1)"
+
+
+def _key(c):
+    """A text key for matching: letters A-Z and digits, one space between, lower case."""
+    return F.lower(F.trim(F.regexp_replace(c, "[^a-zA-Z0-9]+", " ")))
+
+
+def _lines(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("parts"))
+    return docs.select("doc_id", "source", F.posexplode("parts").alias("pos", "line"))
+
+
+# ---- lines and sentences -------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
+def text_lines(spark, d):
+    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+@query("SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE pos BETWEEN 3 AND 6")
+def line_window(spark, d):
+    return text_lines(spark, d).where("pos BETWEEN 2 AND 5")
+
+
+@query("WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(*)::BIGINT AS docs FROM l WHERE length(trim(line)) >= 3 GROUP BY 1 HAVING count(*) >= 3")
+def repeated_lines(spark, d):
+    """Lines in three documents or more, each counted once for a document."""
+    seen = _lines(spark, d).where(F.length(F.trim("line")) >= 3).select("doc_id", "line").distinct()
+    return seen.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 3")
+
+
+@query("SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]+[ \\n]+'), lambda x: trim(x) <> ''))::BIGINT AS sentences FROM documents")
+def sentences_simple(spark, d):
+    parts = F.filter(F.split("text", r"[.!?]+[ \n]+"), lambda x: F.trim(x) != "")
+    return table(spark, d, "documents").select("doc_id", F.size(parts).cast("bigint").alias("sentences"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g') AS text FROM documents")
+def dehyphenate(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([a-z])-\n([a-z])", "$1$2").alias("text"))
+
+
+@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+-[a-z]+')) AS w FROM documents) GROUP BY 1")
+def compound_vocab(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+-[a-z]+)"))
+    return table(spark, d, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x))), 0)::BIGINT AS size FROM documents")
+def longest_word(spark, d):
+    sizes = F.transform(F.regexp_extract_all("text", F.lit("([A-Za-z]+)")), F.length)
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.array_max(sizes), F.lit(0)).cast("bigint").alias("size"))
+
+
+@query("SELECT doc_id, ((length(text) + 1799) // 1800)::BIGINT AS pages FROM documents")
+def synthetic_pages(spark, d):
+    """Pages of 1800 characters."""
+    return table(spark, d, "documents").select("doc_id", F.floor((F.length("text") + 1799) / 1800).alias("pages"))
+
+
+@query("SELECT doc_id, length(text) > 0 AND length(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g')) < 0.3 * length(text) AS needed FROM documents")
+def ocr_needed(spark, d):
+    kept = F.length(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))
+    return table(spark, d, "documents").select("doc_id", ((F.length("text") > 0) & (kept < F.length("text") * 0.3)).alias("needed"))
+
+
+# ---- search --------------------------------------------------------------------------------------------------------
+
+#: Weights of roles in a search.
+WEIGHTS = {"heading": 3.0, "body": 1.0, "caption": 0.7, "footnote": 0.3, "unknown": 0.5}
+_ROLE_SQL = "CASE WHEN pos = 1 THEN 'heading' WHEN length(line) >= 80 THEN 'body' WHEN length(line) >= 40 THEN 'caption' WHEN length(line) > 0 THEN 'footnote' ELSE 'unknown' END"
+_HITS_SQL = f"h AS (SELECT doc_id, line, {_ROLE_SQL} AS role, (length(lower(line)) - length(replace(lower(line), 'the', ''))) / 3 AS hits FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)), s AS (SELECT doc_id, sum(hits)::BIGINT AS hits, round(100 * sum(hits * CASE role WHEN 'heading' THEN 3 WHEN 'body' THEN 1 WHEN 'caption' THEN 0.7 WHEN 'footnote' THEN 0.3 ELSE 0.5 END) / sqrt(greatest(sum(length(line)), 200)), 4)::DOUBLE AS score FROM h GROUP BY 1 HAVING sum(hits) > 0)"
+
+
+def _scores(spark, d, term="the"):
+    n = F.length("line")
+    role = F.when(F.col("pos") == 0, "heading").when(n >= 80, "body").when(n >= 40, "caption").when(n > 0, "footnote").otherwise("unknown")
+    low = F.lower("line")
+    hits = (F.length(low) - F.length(F.replace(low, F.lit(term), F.lit("")))) / len(term)
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("role"))
+    rows = _lines(spark, d).select("doc_id", "line", role.alias("role"), hits.alias("hits"))
+    score = F.round(F.sum(F.col("hits") * weight) * 100 / F.sqrt(F.greatest(F.sum(n), F.lit(200))), 4)
+    return rows.groupBy("doc_id").agg(F.sum("hits").cast("bigint").alias("hits"), score.alias("score")).where("hits > 0")
+
+
+@query(f"WITH {_HITS_SQL} SELECT doc_id, hits, score FROM s")
+def page_score(spark, d):
+    return _scores(spark, d)
+
+
+@query(f"WITH {_HITS_SQL} SELECT doc_id, hits, score FROM s ORDER BY score DESC, doc_id LIMIT 20")
+def doc_search(spark, d):
+    return _scores(spark, d).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+@query("SELECT doc_id, ((length(lower(text)) - length(replace(lower(text), 'ing', ''))) // 3)::BIGINT AS n FROM documents")
+def occurrences(spark, d):
+    low = F.lower("text")
+    return table(spark, d, "documents").select("doc_id", F.floor((F.length(low) - F.length(F.replace(low, F.lit("ing"), F.lit("")))) / 3).alias("n"))
+
+
+# ---- matching and duplicates ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_ASCII.format(c=_FIRST)} AS k FROM benchmark) b JOIN (SELECT doc_id, {_ASCII.format(c=_FIRST)} AS k FROM documents) d USING (k) WHERE k <> ''")
+def match_title_norm(spark, d):
+    refs = table(spark, d, "benchmark").select("item_id", _key(F.substring_index("text", "\n", 1)).alias("k")).where("k <> ''")
+    return refs.join(table(spark, d, "documents").select("doc_id", _key(F.substring_index("text", "\n", 1)).alias("k")), "k").select("item_id", "doc_id")
+
+
+@query(f"SELECT item_id, min(doc_id) AS doc_id, count(doc_id)::BIGINT AS matches FROM (SELECT item_id, {_ASCII.format(c=_FIRST)} AS k FROM benchmark) b LEFT JOIN (SELECT doc_id, {_ASCII.format(c=_FIRST)} AS k FROM documents WHERE text <> '') d USING (k) GROUP BY 1")
+def match_references(spark, d):
+    """Every reference with its best match (lowest id), also without one."""
+    refs = table(spark, d, "benchmark").select("item_id", _key(F.substring_index("text", "\n", 1)).alias("k"))
+    docs = table(spark, d, "documents").where("text <> ''").select("doc_id", _key(F.substring_index("text", "\n", 1)).alias("k"))
+    return refs.join(docs, "k", "left").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("matches"))
+
+
+_SIGN_SQL = f"g AS (SELECT doc_id AS id, lang AS type, {_ASCII.format(c=_FIRST)} AS title, doc_id % 5 + 2000 AS year FROM documents)"
+
+
+def _signatures(spark, d):
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), _key(F.substring_index("text", "\n", 1)).alias("title"), (F.col("doc_id") % 5 + 2000).alias("year"), F.lit(None).cast("string").alias("doi"), (F.col("doc_id") % 3 == 0).alias("preferred"))
+
+
+@query(f"WITH {_SIGN_SQL} SELECT id, type, title, year FROM g")
+def dup_signature(spark, d):
+    return _signatures(spark, d).select("id", "type", "title", "year")
+
+
+@query(f"WITH {_SIGN_SQL} SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.title = b.title AND a.type = b.type AND a.id < b.id AND abs(a.year - b.year) <= 1 WHERE a.title <> ''")
+def dup_pairs(spark, d):
+    return E.duplicate_pairs(_signatures(spark, d).where("title <> ''"))
+
+
+@query()
+def dedup_greedy(spark, d):
+    """Items of a block in order of id join the first anchor they match; the survivor is preferred over the anchor."""
+    return E.greedy_duplicates(_signatures(spark, d).where("title <> ''").select("id", F.col("title").alias("block"), "type", "year", "preferred"))
+
+
+@query("SELECT DISTINCT p_brand AS tag, levenshtein(p_brand, 'Brand#11')::INT AS distance FROM part")
+def edit_distance(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("tag")).distinct().select("tag", F.levenshtein("tag", F.lit("Brand#11")).alias("distance"))
+
+
+@query("SELECT tag, distance FROM (SELECT DISTINCT p_type AS tag, levenshtein(lower(p_type), 'standard stel')::INT AS distance FROM part) ORDER BY distance, tag LIMIT 3")
+def tag_suggest(spark, d):
+    tags = table(spark, d, "part").select(F.col("p_type").alias("tag")).distinct()
+    return tags.select("tag", F.levenshtein(F.lower("tag"), F.lit("standard stel")).alias("distance")).orderBy("distance", "tag").limit(3)
+
+
+_SHINGLE_SQL = "list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)])"
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SHINGLE_SQL} AS s FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 3000)) SELECT a.doc_id, round(len(list_intersect(a.s, b.s)) / len(a.s), 6)::DOUBLE AS retained FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 WHERE len(a.s) > 0")
+def shingle_retained(spark, d):
+    """Share of a text's three-word shingles that the next text holds too."""
+    w = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.split("text", " ").alias("w"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: i <= F.size("w") - 2)
+    s = w.select("doc_id", F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).alias("s"))
+    after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
+    return s.join(after, "doc_id").where(F.size("s") > 0).select("doc_id", F.round(F.size(F.array_intersect("s", "t")) / F.size("s"), 6).alias("retained"))
+
+
+# ---- HTML and scalars ----------------------------------------------------------------------------------------------
+
+
+@query("SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs, (length(html) - length(replace(html, '<a ', ''))) // 3 AS links FROM pages")
+def dom_items(spark, d):
+    h = F.col("html")
+    return table(spark, d, "pages").select("page_id", *[F.floor((F.length(h) - F.length(F.replace(h, F.lit(t), F.lit("")))) / 3).alias(n) for t, n in (("<p>", "paragraphs"), ("<a ", "links"))])
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, 'charset=\"?([A-Za-z0-9_-]+)', 1), '') AS charset FROM pages")
+def html_charset(spark, d):
+    return table(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", 'charset="?([A-Za-z0-9_-]+)', 1), F.lit("")).alias("charset"))
+
+
+@query("SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS text FROM pages")
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_text(F.col("html")).alias("text"))
+
+
+@query("SELECT doc_id, nullif(regexp_extract(text, '([0-9]{4})', 1), '')::INT AS year FROM documents")
+def year(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.year(F.col("text")).alias("year"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[0-9]+', '§N', 'g') AS text FROM documents")
+def template_key(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.template_key(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+def content_hash(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+
+
+@query()
+def normalize_title(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_title(F.substring_index("text", "\n", 1)).alias("title"))
+
+
+@query()
+def normalize_search(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.normalize_search(F.substring_index("text", "\n", 1)).alias("title"))
+
+
+@query()
+def canonical_tag(spark, d):
+    return table(spark, d, "part").select(T.canonical_tag(T.compose(F.col("p_type"))).alias("tag")).distinct()
+
+
+@query()
+def fnv1a(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fnv1a(F.substring_index("text", "\n", 1)).alias("hash"))
