@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text as T
 from ..sources import table
 from .catalog import query
 
@@ -363,3 +364,52 @@ def tag_merge(spark, d):
     """A tag renamed to one that exists: rows that have both keep one."""
     tag = F.when(F.col("l_returnflag") == "A", "R").otherwise(F.col("l_returnflag"))
     return table(spark, d, "lineitem").select("l_orderkey", tag.alias("tag")).distinct()
+
+
+# ---- forms of text ------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, translate(text, '‘’‚‛“”„‟', '''''''''\"\"\"\"') AS text FROM documents")
+def fold_quotes(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.fold_quotes(F.col("text")).alias("text"))
+
+
+@query("SELECT c_custkey, 'a ' || c_name || ' b' AS s FROM customer")
+def normalize_ws(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.normalize_space(F.concat(F.lit("a&nbsp; \t"), "c_name", F.lit("\n\n b"))).alias("s"))
+
+
+@query("SELECT c_custkey, '漢' || c_custkey || '字 語' AS s FROM customer")
+def cjk_spacing(spark, d):
+    return table(spark, d, "customer").select("c_custkey", T.cjk_spacing(F.concat(F.lit("漢 "), "c_custkey", F.lit("  字 語"))).alias("s"))
+
+
+@query("SELECT o_orderkey, o_orderkey::VARCHAR AS s FROM orders")
+def digits(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", T.digits(F.translate(F.col("o_orderkey").cast("string"), "0123456789", "٠١२३৪৫６７۸۹")).alias("s"))
+
+
+@query("SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 14 WHEN 1 THEN 9 WHEN 2 THEN 50 END AS n FROM part")
+def roman(spark, d):
+    m = F.col("p_size") % 5
+    said = F.when(m == 0, "xiv").when(m == 1, "IX").when(m == 2, " l ").when(m == 3, "iiii").otherwise("li")
+    return table(spark, d, "part").select("p_partkey", T.roman(said).alias("n"))
+
+
+@query("SELECT p_partkey, p_size % 4 <> 1 AS found FROM part")
+def urlish(spark, d):
+    m = F.col("p_size") % 4
+    said = F.when(m == 0, "www.example").when(m == 1, "plain").when(m == 2, "10.1234/x").otherwise("a@b.org")
+    return table(spark, d, "part").select("p_partkey", T.urlish(said).alias("found"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y FROM orders")
+def year_bounded(spark, d):
+    """Longer runs of digits before the year are passed over."""
+    return table(spark, d, "orders").select("o_orderkey", T.year_bounded(F.concat(F.lit("20201, "), F.year("o_orderdate"))).alias("y"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN c_name WHEN 2 THEN c_name || ' & ' || c_mktsegment WHEN 3 THEN c_name || ' et al.' END AS names FROM customer")
+def creators_fmt(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.slice(F.array("c_name", "c_mktsegment", F.lit("Z")), F.lit(1), (F.col("c_custkey") % 4).cast("int")).alias("a"))
+    return rows.select("c_custkey", T.creators(F.col("a")).alias("names"))
