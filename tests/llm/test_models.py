@@ -85,6 +85,26 @@ def test_mixture_meets_targets(spark):
     assert mixing.mixed(df.limit(0))[0].count() == 0
 
 
+@pytest.mark.parametrize("whole", [False, True])
+def test_mixture_meets_targets_on_skewed_tables(spark, docs, whole):
+    """With the production defaults, where many cells have fewer tokens than they would need."""
+    rows = [(i, "a b c" if i % 7 else "a | b", "s1" if i % 10 else "s2", "de" if i % 9 else "fr") for i in range(2000)]
+    df = docs if whole else spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mixed(df)[0].select("_source", "_lang", "_topic", "_tokens", "probability").collect()
+    assert all(0 <= r.probability <= 1 for r in got)
+    total, taken, room = sum(r._tokens for r in got), sum(r._tokens * r.probability for r in got), []
+    for m in ("_source", "_lang", "_topic"):
+        have, kept = Counter(), Counter()
+        for r in got:
+            have[r[m]] += r._tokens / total
+            kept[r[m]] += r._tokens * r.probability / taken
+        want = {k: v**0.5 / sum(x**0.5 for x in have.values()) for k, v in have.items()}
+        assert all(math.isclose(kept[k], want[k], rel_tol=0.001) for k in want)
+        room += [have[k] / want[k] for k in want]
+    assert taken / total <= min(0.5, *room) * 1.0001
+    assert taken / total >= min(0.5, *room) * 0.5
+
+
 def test_forward_backward_as_all_paths_give_it():
     rng = np.random.default_rng(0)
     emit, moves, begin = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
