@@ -5,8 +5,8 @@ transitions join neighbours. Forward-backward gives each word's posterior, so co
 by word; a text's language is the one with the highest mean posterior over its words that have a letter.
 
 Training lines are runs of words from texts of one language each, joined to lines that switch, so transitions are
-learned and not only "never switch". Null texts and texts without a letter are `und` with score 0. Repeated rows
-give repeated results.
+learned and not only "never switch". Null texts and texts without a letter are `und` with score 0. A language whose
+sampled texts hold no word is not learned. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -116,14 +116,18 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
 
 
 def fit(texts: list[str], langs: list[str], rounds: int = 80, lines: int = 200, seed: int = 5) -> Crf:
-    labels = sorted(set(langs))
-    k = len(labels)
+    """Languages whose texts have no word are left out, unless none has one."""
     rng = np.random.default_rng(seed)
     buf, begins, ends, bounds = words_of(lowered(pa.array(texts, pa.string())))
-    pools = [[(a, b) for a, b, x in zip(bounds, bounds[1:], langs, strict=False) if x == name and b > a] for name in labels]
+    spans: dict[str, list[tuple[int, int]]] = {}
+    for a, b, name in zip(bounds, bounds[1:], langs, strict=False):
+        if b > a:
+            spans.setdefault(name, []).append((a, b))
+    labels = sorted(spans or set(langs))
+    pools, k = [spans.get(name, []) for name in labels], len(labels)
     model = Crf(labels, np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k))
     seen_w, seen_m, seen_b = np.full((TABLE, k), 1e-6), np.full((k, k), 1e-6), np.full(k, 1e-6)
-    if k < 2 or not all(pools):
+    if k < 2 or not spans:
         return model
     for _ in range(rounds):
         flat, gold, cuts, total = [], [], [0], 0

@@ -131,6 +131,17 @@ def test_language_of_held_out_texts(spark, docs):
     assert langid.with_language(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("empty", ["", "123 45"])
+def test_language_without_words_leaves_others_learned(spark, empty):
+    rows = [(i, "der hund und die katze" if i % 2 else "the dog and the cat", "de" if i % 2 else "en") for i in range(20)]
+    df = spark.createDataFrame([*rows, (20, empty, "aa")], "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    got = langid.with_language(df, model).collect()
+    assert model.labels == ["de", "en"]
+    assert all(r.lang_pred == (r.lang if r.doc_id < 20 else "und") and (r.score > 0.9 or r.doc_id == 20) for r in got)
+    assert langid.fit([""], ["x"]).labels == ["x"]
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Home</a> <a href=y>News</a></nav>
 <div id="cookie-notice">We use cookies.</div>
 <div class="layout"><article><h1>The&nbsp;title &amp; more</h1><p>First   paragraph of the article, long enough to count as
