@@ -96,30 +96,41 @@ def greedy_duplicates(items: DataFrame) -> DataFrame:
     """items: id, block, type, year, preferred. Within a block in order of id an item joins the first anchor it matches
     (same type, years at most one apart); matching is not transitive. Returns id, survivor.
 
-    The survivor is the anchor, or the first preferred member in its place. Only blocks with two items or more and a
-    year spread are replayed in Python; blocks are as large as one key has duplicates.
+    The survivor is the anchor, or the first preferred member in its place. Items of one block, type and year share
+    their anchor, so only such classes, with their smallest ids, are replayed in Python, and only where a block and
+    type has several years. Items without a block are left out; items without a year match none.
     """
-    schema = "id long, survivor long"
+    key = ["block", "type", "year"]
+    chosen = F.min(F.when(F.col("preferred"), F.col("id")))
+    classes = items.where("block is not null and year is not null").groupBy(*key).agg(F.min("id").alias("first"), chosen.alias("chosen"))
+    classes = classes.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("block", "type")))
 
     def replay(rows: pd.DataFrame) -> pd.DataFrame:
         anchors: list[list] = []
-        home: dict[int, int] = {}
-        for r in rows.sort_values("id").itertuples():
-            for k, (kind, when, _, kept) in enumerate(anchors):
-                if kind == r.type and abs(when - r.year) <= 1:
-                    if r.preferred and not kept:
-                        anchors[k][2:] = [r.id, True]
-                    home[r.id] = k
+        home: list[int] = []
+        rows = rows.sort_values("first")
+        for when, first, kept in zip(rows["year"], rows["first"], rows["chosen"], strict=True):
+            kept = None if pd.isna(kept) else int(kept)
+            for k, (year, _, other) in enumerate(anchors):
+                if abs(year - when) <= 1:
+                    if kept is not None and (other is None or kept < other):
+                        anchors[k][2] = kept
+                    home.append(k)
                     break
             else:
-                home[r.id] = len(anchors)
-                anchors.append([r.type, r.year, r.id, bool(r.preferred)])
-        return pd.DataFrame({"id": list(home), "survivor": [anchors[k][2] for k in home.values()]})
-
-    sizes = items.groupBy("block").agg(F.count(F.lit(1)).alias("_n"))
-    many = items.join(sizes.where("_n > 1").select("block"), "block", "left_semi")
-    alone = items.join(sizes.where("_n = 1").select("block"), "block", "left_semi").select("id", F.col("id").alias("survivor"))
-    return many.groupBy("block").applyInPandas(replay, schema).unionByName(alone)
+                home.append(len(anchors))
+                anchors.append([when, first, kept])
+        ends = [a[1] if a[2] is None else a[2] for a in anchors]
+        return rows[["block", "type", "year"]].assign(survivor=[ends[k] for k in home])
+
+    schema = ", ".join(f"{c} {items.schema[c].dataType.simpleString()}" for c in key) + ", survivor long"
+    # chosen as text: as a number with nulls it would become a float
+    spread = classes.where("_n > 1").select(*key, "first", F.col("chosen").cast("string").alias("chosen")).groupBy("block", "type").applyInPandas(replay, schema)
+    ends = classes.where("_n = 1").select(*key, F.coalesce("chosen", "first").alias("survivor")).unionByName(spread)
+    ends = ends.select(*[F.col(c).alias(f"_{c}") for c in key], "survivor")
+    same = (F.col("block") == F.col("_block")) & F.col("type").eqNullSafe(F.col("_type")) & (F.col("year") == F.col("_year"))
+    lone = items.where("block is not null and year is null").select("id", F.col("id").alias("survivor"))
+    return items.join(ends, same).select("id", "survivor").unionByName(lone)
 
 
 def even_positions(n: Column, cap: int) -> Column:
