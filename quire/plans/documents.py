@@ -182,6 +182,26 @@ def shingle_retained(spark, d):
     return s.join(after, "doc_id").where(F.size("s") > 0).select("doc_id", F.round(F.size(F.array_intersect("s", "t")) / F.size("s"), 6).alias("retained"))
 
 
+@query(
+    "WITH d AS (SELECT doc_id, lang, string_split(coalesce(text, ''), '') AS w FROM documents), p AS (SELECT a.doc_id FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang),"
+    " s AS (SELECT doc_id, x || y || z AS g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(w[2:]) AS y, unnest(w[3:]) AS z FROM d) WHERE z IS NOT NULL GROUP BY ALL),"
+    " o AS (SELECT a.doc_id, sum(least(a.n, coalesce(b.n, 0))) / sum(a.n) AS r FROM s a LEFT JOIN s b ON b.doc_id = a.doc_id + 1 AND b.g = a.g GROUP BY 1)"
+    " SELECT doc_id, round(coalesce(r, 1), 6)::DOUBLE AS retained FROM p LEFT JOIN o USING (doc_id)"
+)
+def shingle_retained_whole(spark, d):
+    """Share of a text's three-character shingles, each as often as it occurs, that the next text of equal language holds too."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang")
+    pairs = docs.select("doc_id", "lang").join(after, ["doc_id", "lang"]).select("doc_id")
+    # characters are split once: a substring at each place would walk the text again
+    w = docs.select("doc_id", F.split("text", "").alias("w")).where(F.size("w") > 2)
+    s = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("g"))
+    s = s.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
+    kept = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), "g", F.col("n").alias("m")), ["doc_id", "g"], "left")
+    share = kept.groupBy("doc_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("r"))
+    return pairs.join(share, "doc_id", "left").select("doc_id", F.round(F.coalesce("r", F.lit(1.0)), 6).alias("retained"))
+
+
 # ---- HTML and scalars ----------------------------------------------------------------------------------------------
 
 

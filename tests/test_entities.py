@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from quire.operators import entities as E
 
 
@@ -34,3 +36,12 @@ def test_greedy_duplicates_replays_classes_only(spark):
     assert len(got) == len(rows) and dict(got) == greedy(rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroupsInPandas")
     assert len(plan) == 2 and re.search(r"Aggregate \[block#\w+, type#\w+, year#\w+\]", plan[1])
+
+
+def test_whole_shingles_of_long_short_and_foreign_texts(spark, tmp_path):
+    from quire.plans import catalog
+
+    rows = [(1, "aaaa", "en"), (2, "aaab" + "c" * 5000, "en"), (3, "aaa", "en"), (4, "ab", "en"), (5, "xyz", "en"), (6, "xyz", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.retained for r in catalog.queries()["shingle_retained_whole"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.5, 2: round(1 / 5002, 6), 3: 0.0, 4: 1.0}
