@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import fresh
+
 #: Labelled rows that the rules are learned from, at most: those of lowest xxhash64(doc_id).
 SAMPLE_ROWS = 20_000
 
@@ -143,9 +145,14 @@ def learn(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def with_quality(df: DataFrame, rules: Rules, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Adds score double (0 to 1) and predicted int (1 if score >= threshold)."""
+    """Adds score double (0 to 1) and predicted int (1 if score >= threshold); columns of these names are replaced.
+
+    Statistics are made as one struct behind a generator, which no later filter is pushed through: a filter on the
+    score reads the struct and doesn't work out each statistic again for each rule.
+    """
     of = statistics(F.col(text))
     kept = [c for c in df.columns if c.lower() not in ("score", "predicted")]
-    out = df.select(*kept, *[c.alias(f"_stat_{n}") for n, c in of.items()])
-    out = out.select(*kept, rules.column({n: F.col(f"_stat_{n}") for n in of}).alias("score"))
+    own = fresh(df, "stats")
+    out = df.select(*[F.col(f"`{c}`") for c in kept], F.explode(F.array(F.struct(*[c.alias(n) for n, c in of.items()]))).alias(own))
+    out = out.withColumn("score", rules.column({n: F.col(own)[n] for n in of})).drop(own)
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))

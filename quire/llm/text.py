@@ -34,6 +34,14 @@ def fold(doc_id: Column | str, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 
 
+def fresh(df, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name += "_"
+    return f"_{name}"
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the shared place that spark.checkpoint.dir names (set here only where it is unset)."""
     import uuid
@@ -42,8 +50,11 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
+    """Only a local session may go without spark.checkpoint.dir; on a cluster tasks elsewhere see no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
