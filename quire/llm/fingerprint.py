@@ -1,12 +1,15 @@
 """Operator 9: document fingerprints, a homomorphic multiset hash in DataFrame functions only.
 
-A text's paragraphs (lines, cut again after sentence ends and after each eight words) are a multiset. Each is hashed into a wide vector, and
+A text's paragraphs (lines, cut again after sentence ends and after each eight words) are a multiset; white space
+around them does not count. In scripts without spaces a code point is a word, and longer words count as one for each
+24 code points, so texts without any space are cut too. Each is hashed into a wide vector, and
 vectors are summed lane by lane modulo a power of two: 8 wide lanes of 32 bits that tell multisets apart, and 128
 narrow lanes of 16 bits that count hash bits, packed four to a long. Sums do not depend on order, and adding or
 subtracting a paragraph's vector inserts or deletes it. Narrow lanes, read as signs, are a random projection of the
 multiset, so their cosine tells how alike two texts are; equal fingerprints have likeness 1.
 
-Null texts count as empty; an empty text has the zero fingerprint, which is like itself only.
+Null texts count as empty; an empty text has the zero fingerprint, which is like itself only. Equal texts, repeated
+rows too, have equal fingerprints. Other columns of the input are left alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,16 +18,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .text import fresh
+
 WIDE, PACKS = 4, 32
 #: One bit, and the 14 bits that are kept, in each of a long's four narrow lanes.
 _ONE, _KEPT = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
 _LOW = 0xFFFFFFFF
 
 
+#: A word: at most 24 code points of it at a time. From U+0E00 on, where the scripts without spaces are, each code
+#: point counts as one. No part of the pattern gives back what it has taken, so a scan is linear.
+_WORD = r"(?:[\x21-\u0DFF]{1,24}+|\S)"
+
+
 def paragraphs(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    cut = F.regexp_replace(t, r"(?<=[.!?])[ \t]+|((?:[^ \n]+ ){7}[^ \n]+) ", "$1\n")
-    return F.filter(F.split(cut, "\n"), lambda p: p != "")
+    """Runs of at most eight words of one line and sentence, in the text's order."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"{_WORD}(?:(?<![.!?。！？])[^\S\n]*+{_WORD}){{0,7}}+"), 0)
 
 
 def hashes(text: Column) -> Column:
@@ -88,26 +97,36 @@ def likeness(a: Column, b: Column, x: Column | None = None, y: Column | None = N
     return F.when(a == b, 1.0).otherwise(F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)))
 
 
-def with_next_text(df: DataFrame, key: str, text: str, carry: list[str], block_rows: int = 64) -> DataFrame:
+#: Rows without a key are dealt by their text into so many blocks.
+NULL_BLOCKS = 1 << 16
+
+
+def with_next_text(df: DataFrame, key: str, text: str, carry: list[str], block_bits: int = 6) -> DataFrame:
     """Adds next_<c> for text and each carried column, of the row that follows by key (after the last: the first).
 
-    Rows are dealt by blocks of key values; each block also gets a copy of the row that follows its last one, found
-    from keys alone. Rows of equal key follow one another, ordered by text. Null keys come last.
+    The table is shuffled once, by blocks of key values; a window finds what follows within a block. Only the last
+    row of each block meets the first row of the next one, in a join of one row for each block, read from the same
+    shuffle. Which block is next is found from keys alone. Rows of equal key follow one another, ordered by text and
+    in one block; rows of null key come last, in an order of their own by text.
     """
-    whole = F.coalesce(F.col(key), F.lit(2**62)).cast("bigint")
-    rows = df.withColumn("_at", whole).withColumn("_block", F.floor(F.col("_at") / block_rows).cast("bigint"))
-    # the first key of each block that has rows, and the block before it, by two levels of windows over keys only
-    firsts = df.select(whole.alias("_at")).groupBy(F.floor(F.col("_at") / block_rows).cast("bigint").alias("_own")).agg(F.min("_at").alias("_at"))
-    firsts = firsts.withColumn("_super", F.floor(F.col("_own") / 4096).cast("bigint"))
-    tops = firsts.groupBy("_super").agg(F.max("_own").alias("_last")).withColumn("_before_top", F.coalesce(F.lag("_last").over(W.orderBy("_super")), F.max("_last").over(W.orderBy("_super").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))))
-    before = F.lag("_own").over(W.partitionBy("_super").orderBy("_own"))
-    firsts = firsts.withColumn("_prev", before).join(tops.select("_super", "_before_top"), "_super").select("_at", F.coalesce("_prev", "_before_top").alias("_block"))
-    order = W.partitionBy("_at").orderBy(text)
-    copies = rows.drop("_block").join(firsts, "_at").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    both = rows.withColumn("_copy", F.lit(False)).unionByName(copies.withColumn("_copy", F.lit(True)))
-    w = W.partitionBy("_block").orderBy("_copy", "_at", text)
-    out = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in [text, *carry]])
-    return out.where(~F.col("_copy")).drop("_copy", "_at", "_block")
+    at, block = fresh(df, "at"), fresh(df, "block")
+    names = [text, *carry]
+    keyed = F.shiftright(F.col(key).cast("bigint"), block_bits)
+    rest = F.lit(1 << 60) + F.xxhash64(F.col(text)).bitwiseAND(F.lit(NULL_BLOCKS - 1))  # never null, so that no filter parts the readers of the shuffle
+    rows = df.withColumn(block, F.coalesce(keyed, rest)).repartition(block)
+    order = W.partitionBy(block).orderBy(F.col(key).asc_nulls_last(), text)
+    ahead = rows.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in names], F.lead(F.lit(True), 1, False).over(order).alias(at))
+    first = rows.select("*", F.row_number().over(order).alias(at)).where(F.col(at) == 1).select(F.col(block).alias(at), *[F.col(c).alias(f"next_{c}") for c in names])
+    # the block after each block, by two levels of windows over the numbers of blocks
+    known = df.where(F.col(key).isNotNull()).select(keyed.alias("own")).unionByName(df.where(F.col(key).isNull()).select(rest.alias("own")))
+    known = known.distinct().withColumn("high", F.shiftright("own", 12))
+    every = W.orderBy("high").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    tops = known.groupBy("high").agg(F.min("own").alias("least"))
+    tops = tops.select("high", F.coalesce(F.lead("least").over(W.orderBy("high")), F.first("least").over(every)).alias("beyond"))
+    after = known.withColumn("then", F.lead("own").over(W.partitionBy("high").orderBy("own"))).join(tops, "high").select(F.col("own").alias(block), F.coalesce("then", "beyond").alias(at))
+    inner = ahead.where(F.col(at)).drop(at, block)
+    last = ahead.where(~F.col(at)).drop(at, *[f"next_{c}" for c in names]).join(after, block).join(first, at)
+    return inner.unionByName(last.select(*inner.columns))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -115,12 +134,12 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next text.
     """
-    base = df.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    base = df.select(key, F.coalesce(F.col(text), F.lit("")).alias("text"))  # an alias here would part the readers of the shuffle
     base = base.withColumn("h", hashes(F.col("text"))).withColumn("v", lanes(F.col("h"))).drop("h")
-    rows = with_next_text(base, "doc_id", "text", ["v"])
+    rows = with_next_text(base, key, "text", ["v"])
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left(F.col("text"), F.length("text") - half), F.left(F.col("next_text"), half)))
-    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "v", "next_v", hashes(F.col("edited")).alias("h"))
+    rows = rows.select(F.col(key).alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "v", "next_v", hashes(F.col("edited")).alias("h"))
     rows = rows.withColumn("e", lanes(F.col("h"))).drop("h")
     rows = rows.select("*", signs(F.col("v")).alias("sv"), signs(F.col("next_v")).alias("sn"), signs(F.col("e")).alias("se"))
     v, e, n = F.col("v"), F.col("e"), F.col("next_v")
