@@ -1,13 +1,19 @@
 """Operator 10: main text of HTML pages by composite text density.
 
-The page becomes a DOM; for every node composite text density is its characters per tag, adjusted by how much of
-the text is linked, against the share of links in the whole body. A node's score is the sum of its children's
-densities, the best-scoring node is the page's core, and the threshold is the lowest density on the path from the
-body to it: within the core subtree, blocks below the threshold that are mostly links go. Elements that never hold
-main text (scripts, menus, forms, ...) and elements named as adverts, notices, sidebars or comments are not counted
-at all.
-
-Null and empty pages, and pages without text, give an empty string. Whole pages are read, nothing is cut.
+The page becomes a DOM. Composite text density of a node is its characters per tag, adjusted by how much of the text
+is linked, against the share of links in the whole body. A node's sum is the sum of its children's densities (a run of
+text counts as a child). The node of the largest sum is the core; the lowest density on the path from the body to it is
+the threshold. From the body down, in every subtree that reaches the threshold the node of the largest sum is kept
+whole, so siblings of the core stay too. An article element around a kept node is kept whole, and headings that lead to
+kept text stay.
+
+Scripts, styles and form controls never count. Elements that are menus, headers, footers, sidebars, notices, adverts,
+forms or comments by their tag or name are left out if they hold at most half of the page's text (comments: any share)
+and no main element or first-level heading; a header inside an article or main element stays.
+
+The scan is linear in the page: quotes that never close are found once, and open elements are found by their tag, not
+by walking up. Null and empty pages, and pages without text, give an empty string. Whole pages are read, nothing is
+cut. Repeated rows give repeated results; other columns are left alone, and columns named as a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,106 +31,186 @@ from .text import small_batches, text_chunks
 #: HTML element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas".split())
-NEVER = RAW | frozenset("head nav header footer aside form button select option dialog menu fieldset audio video map".split())
+TO_THE_END = frozenset("script style xmp iframe".split())  # without an end tag they take the rest of the page
+NEVER = RAW | frozenset("head button select option audio video map".split())
+ROLES = frozenset("nav header footer aside form dialog menu fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 ENDS_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "html", "body"}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CELLS = ("td", "th", "table", "caption")
+#: An element that begins: the open ones it ends, and the open ones beyond which it ends none.
+_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu", "dir", *_CELLS)),
+    "dt": (("dt", "dd"), ("dl", *_CELLS)),
+    "dd": (("dt", "dd"), ("dl", *_CELLS)),
+    "option": (("option",), ("select",)),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "tr": (("tr",), ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (("tbody", "thead", "tfoot"), ("table",))),
+}
+_STATE = r"(?!-(?:enabled|disabled|open|closed|on|off|visible|layout|page)(?:$|[^a-z]))(?:$|[^a-z])"
+_BEFORE = r"(?:^|(?<!has)(?<!no)(?<!is)(?<!with)[^a-z])"
 #: Words of class, id, role or label values that mark what isn't the article.
 ASIDE = re.compile(
-    r"(?:^|[^a-z])(?:ad|ads|adv|advert\w*|adbox|adslot|adsense|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|footer|header|masthead|sidebars?|aside|widgets?|comments?|commentlist|disqus|replies|respond|discussion|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|search|skip|hidden|complementary|contentinfo)(?:$|[^a-z])"
+    _BEFORE + r"(?:ad|ads|adv|advert\w*|adbox|adslot|adsense|banners?|sponsor\w*|promo\w*|nav|navbar|navigation|menus?|breadcrumbs?|footer|sidebars?|aside|widgets?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|toolbar|pagination|pager|search|skip|hidden|complementary|contentinfo)" + _STATE
 )
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|$)|</[^>]*>", re.S)
-_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
-_WHITE = re.compile(r"[ \t\n\r\f]+")
+HEADER = re.compile(_BEFORE + r"(?<!article-)(?<!entry-)(?<!post-)(?<!story-)(?<!content-)(?:header|masthead)" + _STATE)
+COMMENTS = re.compile(_BEFORE + r"(?:comments?|commentlist|disqus|replies|respond|discussion)" + _STATE)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTRS = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'=<>`]++)))?")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "chars", "tags", "link_chars", "link_tags", "density", "score")
+    __slots__ = ("tag", "children", "kind", "drop", "keep", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool = False):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, kind: str = ""):
+        self.tag, self.kind, self.drop, self.keep = tag, kind, tag in NEVER, False
         self.children: list[Node | str] = []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = self.score = 0.0
+        self.density = self.sum = 0.0
+        self.best, self.holds = self, False
 
 
-def _aside(tag: str, attrs: str) -> bool:
-    if not attrs or tag in ("html", "body", "main", "article"):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role", "aria-label") and ASIDE.search(re.sub(r"[_]", "-", value)):
-            return True
-    return False
+def kind_of(tag: str, attrs: str) -> str:
+    """What an element is by tag and names: aside, header, comments, or ''."""
+    if tag in ("html", "body", "main"):
+        return ""
+    if attrs:
+        for name, a, b, c in _ATTR.findall(attrs):
+            name, value = name.lower(), (a or b or c).lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+                return "aside"
+            if name in ("class", "id", "role", "aria-label"):
+                value = value.replace("_", "-")
+                if COMMENTS.search(value):
+                    return "comments"
+                if tag != "article" and ASIDE.search(value):
+                    return "aside"
+                if tag != "article" and HEADER.search(value):
+                    return "header"
+    return "header" if tag == "header" else "aside" if tag in ROLES else ""
 
 
 def parse(page: str) -> Node:
     """A forgiving DOM: unclosed elements end with their parent, paragraphs and list items end where the next begins."""
-    root = Node("html", None)
-    at, open_ = 0, root
-    find = _TOKEN.search
-    size = len(page)
+    root = Node("body")
+    stack, open_at = [root], {}  # open_at: places in the stack of open elements, by tag
+    at, size, quotes, unended = 0, len(page), True, set()
+
+    def nearest(tags) -> int:
+        return max([open_at[t][-1] for t in tags if open_at.get(t)], default=0)
+
+    def close(place: int) -> None:
+        while len(stack) > place:
+            open_at[stack.pop().tag].pop()
+
     while at < size:
-        m = find(page, at)
-        if m is None:
-            open_.children.append(page[at:])
-            break
-        if m.start() > at:
-            open_.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        lt = page.find("<", at)
+        if lt != at:
+            text = page[at : lt if lt >= 0 else size]
+            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+            if lt < 0:
+                break
+        after = page[lt + 1 : lt + 2]
+        if after in ("!", "?"):
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4 if page[lt + 4 : lt + 5] != ">" else lt + 2)
+                at = end + 3 if end >= 0 else size
+            else:
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else size
             continue
-        tag = m[2].lower()
-        if m[1]:
-            node = open_
-            while node is not root and node.tag != tag:
-                if node.tag in ("table", "article", "body", "td", "th") and tag not in BLOCK:
-                    node = root  # an end tag without its begin
-                    break
-                node = node.parent
-            if node is not root:
-                open_ = node.parent
+        ends = after == "/"
+        m = _NAME.match(page, lt + 1 + ends)
+        if m is None:  # no tag
+            if ends:
+                end = page.find(">", lt)
+                at = end + 1 if end >= 0 else size
+            else:
+                stack[-1].children.append("<")
+                at = lt + 1
             continue
+        tag = m[0].lower()
+        whole = _ATTRS.match(page, m.end()) if quotes else None
+        if whole is None:  # a quote never closes: from here on the first > ends a tag
+            quotes = False
+            end = page.find(">", m.end())
+            if end < 0:
+                break
+            attrs, at = page[m.end() : end], end + 1
+        else:
+            attrs, at = whole[0][:-1], whole.end()
         if tag in ("html", "body"):
             continue
+        if ends:
+            place = nearest((tag,))
+            if place and (tag in _CELLS or place > nearest(_CELLS if tag in BLOCK else (*_CELLS, "article", "main"))):
+                close(place)
+            continue
         if tag in ENDS_P:
-            node = open_
-            while node is not root and node.tag != "p" and node.tag not in BLOCK:
-                node = node.parent
-            if node.tag == "p":
-                open_ = node.parent
-        if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-            alike = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            node = open_
-            while node is not root and node.tag not in alike and node.tag not in ("ul", "ol", "dl", "table", "select", "div", "article", "section", *(("tr",) if tag in ("td", "th") else ())):
-                node = node.parent
-            if node.tag in alike and node is not root:
-                open_ = node.parent
-        made = Node(tag, open_, tag in NEVER or _aside(tag, m[3]))
-        open_.children.append(made)
+            place = nearest(("p",))
+            if place > nearest(_CELLS):
+                close(place)
+        if tag in _ENDS:
+            alike, beyond = _ENDS[tag]
+            place = nearest(alike)
+            if place > nearest(beyond):
+                close(place)
+        made = Node(tag, kind_of(tag, attrs))
+        stack[-1].children.append(made)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].endswith("/"):
-            open_ = made
+            if not attrs.endswith("/") and tag not in unended:
+                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in TO_THE_END:
+                    break
+                else:
+                    unended.add(tag)
+        elif tag not in VOID:
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append(made)
     return root
 
 
-def measure(root: Node) -> None:
-    """Characters, tags, linked characters, densities and sums of children's densities, bottom up."""
-    order, stack = [], [(root, False)]
+def _nodes(root: Node) -> list[tuple[Node, bool, bool]]:
+    """Nodes that count, parents first: whether they are in a link, and in an article or main element."""
+    out, stack = [], [(root, False, False)]
     while stack:
-        node, linked = stack.pop()
-        linked = linked or node.tag == "a"
-        order.append((node, linked))
-        stack += [(c, linked) for c in node.children if not isinstance(c, str) and not c.drop]
-    for node, linked in reversed(order):
+        node, linked, inside = stack.pop()
+        linked, inside = linked or node.tag == "a", inside or node.tag in ("article", "main")
+        out.append((node, linked, inside))
+        stack += [(c, linked, inside) for c in reversed(node.children) if not isinstance(c, str) and not c.drop]
+    return out
+
+
+def _size(text: str) -> int:
+    return len(text) - text.count(" ") - text.count("\n")
+
+
+def leave_out(root: Node) -> None:
+    """Mark menus, headers, sidebars and the like as dropped, by what they hold of the page."""
+    nodes = _nodes(root)
+    for node, _, _ in reversed(nodes):
+        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        node.chars = sum(_size(c) for c in node.children if isinstance(c, str)) + sum(c.chars for c in inner)
+        node.holds = any(c.holds or c.tag == "main" or c.tag == "h1" and node.kind != "header" for c in inner)
+    for node, _, inside in nodes:
+        if node.kind and not node.holds and not (node.kind == "header" and inside):
+            node.drop = node.kind == "comments" or 2 * node.chars <= root.chars
+
+
+def measure(root: Node) -> float:
+    """Densities and sums, bottom up; returns the threshold."""
+    nodes = _nodes(root)
+    for node, linked, _ in reversed(nodes):
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         for c in node.children:
             if isinstance(c, str):
-                n = len(c) - c.count(" ") - c.count("\n")
+                n = _size(c)
                 node.chars += n
                 node.link_chars += n * linked
             elif not c.drop:
@@ -133,66 +219,104 @@ def measure(root: Node) -> None:
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
     share = root.link_chars / root.chars if root.chars else 0.0
-    for node, _ in order:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if c:
-            plain = max(c - lc, 1)
-            base = math.log(c / plain * lc + share * c + math.e)
-            inner = max(c / max(lc, 1) * t / max(lt, 1), 1.0)
-            node.density = c / t * (math.log(inner, base) if base > 1 else math.log(inner))
-    for node, _ in order:
-        node.score = sum(x.density for x in node.children if not isinstance(x, str) and not x.drop)
-
-
-def core(root: Node) -> tuple[Node, float]:
-    """The node whose children's densities sum highest, or an article or main element above it, and the threshold."""
-    best, stack = root, [root]
+
+    def density(c: int, t: int, lc: int, lt: int) -> float:
+        """Characters per tag by the logarithm of characters and tags per linked ones, to a base that grows with links.
+
+        The base is multiplied by e, so that pages with next to no links have no base close to 1.
+        """
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / (1.0 + math.log(base))
+
+    above: dict[int, Node] = {}
+    for node, linked, _ in reversed(nodes):
+        node.density, node.sum, node.best = density(node.chars, node.tags, node.link_chars, node.link_tags), 0.0, node
+        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        for c in node.children:
+            if isinstance(c, str) and (n := _size(c)):
+                node.sum += density(n, 1, n * linked, int(linked))
+        for c in inner:
+            node.sum += c.density
+            above[id(c)] = node
+        for c in inner:
+            if c.best.sum > node.best.sum:
+                node.best = c.best
+    node, threshold = root.best, root.best.density
+    while node is not root:
+        node = above[id(node)]
+        threshold = min(threshold, node.density)
+    return threshold
+
+
+def mark(root: Node, threshold: float) -> None:
+    """Keep the node of the largest sum of every subtree that is reached from the body by the threshold."""
+    stack = [root] if root.chars else []
     while stack:
         node = stack.pop()
-        if node.score > best.score:
-            best = node
-        stack += [c for c in node.children if not isinstance(c, str) and not c.drop]
-    path, node = [], best
-    while node is not None:
-        path.append(node)
-        node = node.parent
-    threshold = min((x.density for x in path), default=0.0)
-    whole = [x for x in path if x.tag in ("article", "main")]
-    return (whole[0] if whole else best), threshold
-
-
-def blocks(node: Node, threshold: float) -> list[str]:
+        if node.chars and node.density >= threshold:
+            node.best.keep = True
+            stack += [c for c in node.children if not isinstance(c, str) and not c.drop]
+    inside: list[tuple[Node, Node | None]] = [(root, None)]
+    while inside:
+        node, article = inside.pop()
+        article = node if node.tag == "article" and article is None else article
+        if node.keep and article is not None:
+            article.keep = True
+        inside += [(c, article) for c in node.children if not isinstance(c, str) and not c.drop]
+
+
+def blocks(root: Node) -> list[str]:
+    """Texts of kept nodes, and headings that lead to them, in page order."""
     out: list[list[str]] = [[]]
-    stack: list = [node]
+    waiting: list[tuple[str, list[list[str]]]] = []  # headings outside what is kept, until kept text follows
+    stack: list = [(root, root.keep)]
     while stack:
-        x = stack.pop()
+        x, kept = stack.pop()
         if x is None:
             out.append([])
         elif isinstance(x, str):
-            out[-1].append(x)
+            if kept:
+                if waiting and x.strip():
+                    for _, texts in waiting:
+                        out[-1:-1] = [[], *texts]
+                    waiting.clear()
+                out[-1].append(x)
+            elif x.strip():
+                waiting[:] = [w for w in waiting if w[0] == "h1"]
         elif x.tag == "br":
             out[-1].append(" ")
-        elif not x.drop and not (x.tag in BLOCK and x.density < threshold and x.link_chars * 2 > x.chars):
-            inner = x.children[::-1]
+        elif not x.drop:
+            kept = kept or x.keep
+            if not kept and x.tag in HEADINGS:
+                x.keep = True
+                waiting.append((x.tag, blocks_of(x)))
+                continue
+            inner = [(c, kept) for c in reversed(x.children)]
             if x.tag in BLOCK:
                 out.append([])
-                inner = [None, *inner]
+                inner = [(None, kept), *inner]
             stack += inner
-    texts = [_WHITE.sub(" ", entities.unescape("".join(b))).strip() for b in out if b]
-    return [" ".join(t.split()) for t in texts if t]
+    texts = [" ".join("".join(b).split()) for b in out if b]
+    return [t for t in texts if t]
+
+
+def blocks_of(node: Node) -> list[list[str]]:
+    return [[t] for t in blocks(node)]
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    measure(root)
-    node, threshold = core(root)
-    return "\n\n".join(blocks(node, threshold))
+    leave_out(root)
+    mark(root, measure(root))
+    return "\n\n".join(blocks(root))
 
 
 def with_main_text(df: DataFrame, html: str = "html") -> DataFrame:
-    """Adds text (the main text) and n_chars (its code points)."""
+    """Adds text (the main text) and n_chars (its code points); the html column goes."""
     small_batches(df.sparkSession)
     kept, schema = _with(df, "text string, n_chars bigint")
 
