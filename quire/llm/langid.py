@@ -6,27 +6,36 @@ by word; a text's language is the one with the highest mean posterior over its w
 
 Training lines are runs of words from texts of one language each, joined to lines that switch, so transitions are
 learned and not only "never switch". Null texts and texts without a letter are `und` with score 0. A language whose
-sampled texts hold no word is not learned. Repeated rows give repeated results.
+sampled texts hold no word is not learned. Repeated rows give repeated results; very long texts are labelled whole;
+columns of the input named as results are replaced; an empty table gives no rows.
+
+Posteriors only compare the learned languages. Whether a text is in one of them at all is told by `familiar`: the
+share of its words' longer n-grams that training has met. Bounds for both are set on sampled texts held back from training.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .bpe import _with
 from .text import mix, small_batches, spans_hash, text_chunks, utf8
 
 #: Texts of each language that the model is learned from, at most: those of lowest xxhash64(doc_id).
 SAMPLE_ROWS = 600
+#: Code points of each sampled text that the model is learned from, at most.
+SAMPLE_CHARS = 20_000
 TABLE = 1 << 18
 #: Bytes of text whose sequences run side by side.
-SPAN_BYTES = 6 << 20
+SPAN_BYTES = 2 << 20
 _OTHER = np.ones(256, bool)  # bytes between words: ASCII but letters
 _OTHER[97:123] = False
 _OTHER[128:] = False
@@ -51,8 +60,11 @@ def words_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 
-def features(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, place in the weight table) of every feature: byte n-grams of 2 to 5 with word edges, and the word."""
+def features(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(word, place in the weight table) of every feature: byte n-grams of 2 to 5 with word edges, and the word.
+
+    Also where those of 4 bytes and more, and whole words, begin.
+    """
     sizes = ends - begins + 2
     at = np.concatenate([[0], np.cumsum(sizes)])
     word = np.repeat(np.arange(len(begins)), sizes)
@@ -61,16 +73,17 @@ def features(buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.
     inner = (place > 0) & (place < sizes[word] - 1)
     spelled[at[1:] - 1] = 2
     spelled[inner] = buf[(begins[word] + place - 1)[inner]]
-    rows, index, gram = [], [], spelled.copy()
+    rows, index, gram, longer = [], [], spelled.copy(), 0
     for n in range(2, 6):
         gram = gram[:-1] * np.uint64(257) + spelled[n - 1 :]
         ok = (place + n <= sizes[word])[: len(gram)]
         rows.append(word[: len(gram)][ok])
         index.append(mix(gram[ok] * np.uint64(8) + np.uint64(n)) % np.uint64(TABLE))
+        longer += len(rows[-1]) * (n < 4)
     whole = np.zeros(len(begins), np.uint64)
     if len(begins):
         whole = mix(np.add.reduceat(mix(spelled + np.uint64(512) * place.astype(np.uint64)), at[:-1])) % np.uint64(TABLE)
-    return np.concatenate([*rows, np.arange(len(begins))]), np.concatenate([*index, whole]).astype(np.int64)
+    return np.concatenate([*rows, np.arange(len(begins))]), np.concatenate([*index, whole]).astype(np.int64), longer
 
 
 @dataclass
@@ -79,15 +92,40 @@ class Crf:
     weights: np.ndarray  # TABLE x labels
     moves: np.ndarray  # labels x labels
     begin: np.ndarray
+    least_score: float = 0.0  # of texts that are in a learned language
+    least_familiar: float = 0.0
+
+    @cached_property
+    def met(self) -> np.ndarray:
+        """Places of the table that training has touched."""
+        return self.weights.any(1)
 
     def emissions(self, rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(rows, self.weights[index, j], n) for j in range(len(self.labels))], 1)
 
+    def label(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: sums of its words' posteriors by label, words, and the familiar share of its words."""
+        part = lowered(part)
+        buf, begins, ends, bounds = words_of(part)
+        n, k = len(part), len(self.labels)
+        _, one, at = np.unique(spans_hash(buf, begins, ends), return_index=True, return_inverse=True)
+        rows, index, longer = features(buf, begins[one], ends[one])
+        p = posteriors(self.emissions(rows, index, len(one))[at], bounds, self.moves, self.begin)
+        met = np.bincount(rows[longer:], self.met[index[longer:]], len(one)) / np.maximum(np.bincount(rows[longer:], minlength=len(one)), 1)
+        doc, words = np.repeat(np.arange(n), np.diff(bounds)), np.diff(bounds)
+        sums = np.stack([np.bincount(doc, p[:, j], n) for j in range(k)], 1)
+        return sums, words, (np.bincount(doc, met[at], n) + PATIENCE) / (words + PATIENCE)
 
-def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Forward-backward over many sequences at once. emit: scores of all words in a row; bounds: of each sequence.
 
-    Sequences are ordered by length, so step t works on those that have a word t. Returns posteriors of all words.
+#: So many words are taken as familiar in each text besides its own, so that few unknown words don't decide.
+PATIENCE = 3
+
+
+def forward_backward(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over many sequences at once. emit: scores of all words in a row; bounds: of each sequence.
+
+    Sequences are ordered by length, so step t works on those that have a word t. Returns, for all words and up to a
+    factor for each word: the sums of paths up to it, of paths after it, and its own exponential score.
     """
     sizes = np.diff(bounds)
     order = np.argsort(-sizes, kind="stable")
@@ -111,18 +149,46 @@ def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: n
         bwd[at] = b
         after = (e[at] * b) @ m.T
         after /= after.sum(1, keepdims=True)
+    return fwd, bwd, e
+
+
+def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of every word, the probability of each label."""
+    fwd, bwd, _ = forward_backward(emit, bounds, moves, begin)
     p = fwd * bwd
     return p / p.sum(1, keepdims=True) if len(p) else p
 
 
+def gradients(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the negative log-likelihood of labels y, by emissions, transitions and first labels."""
+    fwd, bwd, e = forward_backward(emit, bounds, moves, begin)
+    wrong = fwd * bwd
+    wrong /= wrong.sum(1, keepdims=True)
+    wrong[np.arange(len(y)), y] -= 1
+    starts = bounds[:-1][np.diff(bounds) > 0]
+    inner = np.ones(len(y), bool)
+    inner[starts] = False
+    inner = np.flatnonzero(inner)
+    pair = fwd[inner - 1][:, :, None] * np.exp(moves)[None] * (e[inner] * bwd[inner])[:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    move = pair.sum(0)
+    np.subtract.at(move, (y[inner - 1], y[inner]), 1)
+    return wrong, move, wrong[starts].sum(0)
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = 80, lines: int = 200, seed: int = 5) -> Crf:
-    """Languages whose texts have no word are left out, unless none has one."""
+    """Languages whose texts have no word are left out, unless none has one. Every sixth text only sets the bounds."""
     rng = np.random.default_rng(seed)
     buf, begins, ends, bounds = words_of(lowered(pa.array(texts, pa.string())))
     spans: dict[str, list[tuple[int, int]]] = {}
-    for a, b, name in zip(bounds, bounds[1:], langs, strict=False):
+    held, met = [], Counter()
+    for text, a, b, name in zip(texts, bounds, bounds[1:], langs, strict=False):
         if b > a:
-            spans.setdefault(name, []).append((a, b))
+            met[name] += 1
+            if met[name] % 6:
+                spans.setdefault(name, []).append((a, b))
+            else:
+                held.append(text)
     labels = sorted(spans or set(langs))
     pools, k = [spans.get(name, []) for name in labels], len(labels)
     model = Crf(labels, np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k))
@@ -142,69 +208,64 @@ def fit(texts: list[str], langs: list[str], rounds: int = 80, lines: int = 200,
                 total += len(run)
             cuts.append(total)
         flat, y = np.concatenate(flat), np.concatenate(gold)
-        rows, index = features(buf, begins[flat], ends[flat])
-        emit = model.emissions(rows, index, len(flat))
-        b = np.asarray(cuts)
-        p = posteriors(emit, b, model.moves, model.begin)
-        wrong = p.copy()
-        wrong[np.arange(len(y)), y] -= 1
-        starts = b[:-1][np.diff(b) > 0]
-        inner = np.setdiff1d(np.arange(len(y)), starts)
-        # expected moves: from neighbours' posteriors under the current moves
-        pair = p[inner - 1][:, :, None] * np.exp(model.moves)[None] * p[inner][:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
-        move = pair.sum(0)
-        np.subtract.at(move, (y[inner - 1], y[inner]), 1)
-        begin = wrong[starts].sum(0)
+        rows, index, _ = features(buf, begins[flat], ends[flat])
+        wrong, move, begin = gradients(model.emissions(rows, index, len(flat)), np.asarray(cuts), model.moves, model.begin, y)
         grad = np.stack([np.bincount(index, wrong[rows, j], TABLE) for j in range(k)], 1)
         for value, g, seen, rate in ((model.weights, grad, seen_w, 0.3), (model.moves, move, seen_m, 0.3), (model.begin, begin, seen_b, 0.1)):
             seen += g * g
             value -= rate * g / np.sqrt(seen)
+    if held:
+        sums, words, familiar = model.label(pa.array(held, pa.string()))
+        scores = sums.max(1) / np.maximum(words, 1)
+        model.least_score, model.least_familiar = (share * float(np.quantile(x, 0.01)) for share, x in zip(LENIENCY, (scores, familiar), strict=True))
     return model
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Crf:
-    """df: the rows to learn from. At most sample_rows texts of each language reach the driver."""
-    known = df.where(F.col(lang).isNotNull())
-    names = sorted(r[0] for r in known.select(lang).distinct().collect())  # as many rows as there are languages
-    chosen = None
-    for name in names:
-        part = known.where(F.col(lang) == name).select(F.col(key).alias("_key")).orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+#: Texts of a learned language have at least these shares of the score and of the familiar words that all but a
+#: hundredth of the texts held back have. Mixed texts of learned languages have low scores, so that share is low.
+LENIENCY = 0.5, 0.75
+
+
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Crf:
+    """df: the rows to learn from. At most sample_rows texts of each language reach the driver, sample_chars of each.
+
+    A language's texts are those of lowest hash of the key: first all rows below a bound that leaves about twice as
+    many as are wanted, in one pass, then the lowest of these.
+    """
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    sizes = known.groupBy(F.col(lang).alias("_lang")).count().collect()  # as many rows as there are languages
+    if not sizes:
         return Crf(["und"], np.zeros((TABLE, 1)), np.zeros((1, 1)), np.zeros(1))
-    got = known.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(lang).alias("_lang")).where(F.col("_text").isNotNull())
-    rows = got.join(F.broadcast(chosen.distinct()), "_key", "left_semi").limit(2 * sample_rows * len(names)).collect()
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1], r[2]))
+    bound = F.create_map(*[F.lit(v) for n, c in sizes for v in (n, min(1.0, (2 * sample_rows + 100) / c))])
+    hashed = F.xxhash64(F.col(key))
+    part = known.where(F.pmod(hashed, F.lit(1 << 30)) <= F.element_at(bound, F.col(lang)) * (1 << 30))
+    part = part.select(hashed.alias("_hash"), F.col(key).alias("_key"), F.left(F.col(text), F.lit(sample_chars)).alias("_text"), F.col(lang).alias("_lang"))
+    order = W.partitionBy("_lang").orderBy("_hash", "_key", F.xxhash64("_text"))
+    rows = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_n", "_text", "_lang").collect()
+    rows = sorted(rows, key=lambda r: (r[0], r[2]))
     return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
 def with_language(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score (mean posterior of that language over words with a letter)."""
+    """Adds lang_pred, score (mean posterior of that language over words with a letter) and familiar (0 to 1)."""
     spark = df.sparkSession
     small_batches(spark)
-    kept, schema = _with(df, "lang_pred string, score double")
+    kept, schema = _with(df, "lang_pred string, score double, familiar double")
     sent = spark.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.moves, model.begin))  # bounded: TABLE x labels
 
     def run(batches):
-        labels, weights, moves, begin = sent.value
-        model = Crf(labels, weights, moves, begin)
-        k = len(labels)
+        model = Crf(*sent.value)
         for batch in batches:
-            names, scores = [], []
+            names, scores, shares = [], [], []
             for _, part in text_chunks(batch.column(batch.schema.get_field_index(text)), SPAN_BYTES):
-                part = lowered(part)
-                buf, begins, ends, bounds = words_of(part)
-                n = len(part)
-                _, one, at = np.unique(spans_hash(buf, begins, ends), return_index=True, return_inverse=True)
-                p = posteriors(model.emissions(*features(buf, begins[one], ends[one]), len(one))[at], bounds, moves, begin)
-                doc = np.repeat(np.arange(n), np.diff(bounds))
-                sums = np.stack([np.bincount(doc, p[:, j], n) for j in range(k)], 1)
+                sums, words, familiar = model.label(part)
                 total, best = sums.sum(1), sums.argmax(1)
                 some = total > 0
-                some[some] = [any(map(str.isalpha, t)) for t in part.filter(pa.array(some)).to_pylist()]
-                names += [labels[j] if x else "und" for j, x in zip(best.tolist(), some.tolist(), strict=True)]
-                scores += np.where(some, sums[np.arange(n), best] / np.maximum(total, 1e-300), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+                some[some] = [any(map(str.isalpha, t)) for t in lowered(part.filter(pa.array(some))).to_pylist()]
+                names += [model.labels[j] if x else "und" for j, x in zip(best.tolist(), some.tolist(), strict=True)]
+                scores += np.where(some, sums[np.arange(len(part)), best] / np.maximum(total, 1e-300), 0.0).tolist()
+                shares += np.where(some, familiar, 0.0).tolist()
+            made = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "lang_pred", "score", "familiar"])
 
     return kept.mapInArrow(run, schema)
