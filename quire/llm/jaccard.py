@@ -6,18 +6,25 @@ rare tokens first:
 
 * a text with fewer tokens that are not unique than a link needs cannot link and is not indexed;
 * single rare tokens of the standard prefix are indexed; unique ones cannot match and are left out;
-* a pair that shares no rare token differs in all its rare ones, so only texts with few of them need more: their
-  prefix is extended to the whole set and split by hash into more parts than a linked pair can differ in tokens. At
-  least one part is then equal in both, so each part's combination of frequent tokens is indexed as one key. Parts
-  depend on size bands; a text is in two bands, so linked pairs share one.
+* a pair that shares no rare token differs in all its rare ones, so only texts with few of them need more. Their
+  prefix is extended by one token, after which a linked pair shares two tokens of it, and each pair of its frequent
+  tokens is indexed as one key;
+* pairs of tokens grow with the square of the prefix. Where it can be longer than COMBINED, it is extended to the whole
+  set instead and split by hash into more parts than a linked pair can differ in tokens. At least one part is then
+  equal in both, so each part's combination of frequent tokens is one key. Which form is used depends on size bands; a
+  text is in two bands, so linked pairs share one.
 
 Candidates of a key are not all pairs of its texts: each is tested against the key's hub, links are joined to
 components, and only keys that still hold several components are tried again: their texts outside the key's largest
 component against those of other components, a growing number at a time. A pair that is never tested is in one
-component already or ruled out, so no component misses a link. Before a test, parity sketches of the two sets (512 bits, each token flips one) rule out pairs
-that differ in more bits than linked sets can differ in tokens. Tests compare whole sets.
-
-Null and empty texts, and texts without words, have an empty set and link with nothing.
+component already or ruled out, so no component misses a link. Before a test, parity sketches of the two sets (512
+bits, each token flips one) rule out pairs that differ in more bits than linked sets can differ in tokens. Tests compare
+whole sets of 64-bit hashes. Joins on keys meet tables that are stored before, so that Spark can split a key that
+holds very many texts.
+
+Null and empty texts, and texts without words, have an empty set and link with nothing; so do rows of null id, whose
+component is null. Equal texts link; very long texts are taken whole; rows of equal id share what each of them links
+with. Other columns of the input are left alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,8 +38,13 @@ from .arrays import Arrays, find, summed
 from .text import mix, shared_dir, small_batches, stored, text_chunks, word_hashes
 
 RARE = 16
+#: Tokens of the longest extended prefix whose pairs are indexed.
+COMBINED = 8
+#: Distinct sets that a task remembers; a set met again later is counted again, which only makes its tokens look
+#: more frequent, and indexed again.
+MET = 200_000
 _FLUSH = 2_000_000
-_SHARD_BYTES = 32 << 20
+_SHARD_BYTES = 8 << 20  # text for each shard of the token classes
 _U = np.uint64
 
 
@@ -68,6 +80,11 @@ def set_hashes(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return _sums(mix(tokens), bounds).view(np.int64), _sums(mix(tokens ^ _U(0xA5A5A5A5A5A5A5A5)), bounds).view(np.int64)
 
 
+def _placed(tokens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and 48-bit key of ascending tokens; both ascend. From 16 bits of shards on they tell all tokens apart."""
+    return (tokens >> _U(64 - bits)).astype(np.int64), (tokens >> _U(max(16 - bits, 0))) & _U((1 << 48) - 1)
+
+
 class Classes:
     """Frequency classes of tokens: sorted arrays of those in two sets or more, and which of them are frequent."""
 
@@ -76,13 +93,13 @@ class Classes:
 
     def of(self, tokens: np.ndarray) -> np.ndarray:
         """0 unique, 1 rare, 2 frequent."""
-        u, at = np.unique(tokens >> _U(16 - self.bits), return_inverse=True)
+        u, at = np.unique(tokens, return_inverse=True)
         out = np.zeros(len(u), np.int8)
-        shard = (u >> _U(48)).astype(np.int64)
+        shard, keys = _placed(u, self.bits)
         cut = np.searchsorted(shard, np.arange((1 << self.bits) + 1))
         for s in np.flatnonzero(np.diff(cut)):
             a, b = cut[s], cut[s + 1]
-            where, there = find(self.arrays.read(f"t{s}.key", np.uint64), u[a:b] & _U((1 << 48) - 1))
+            where, there = find(self.arrays.read(f"t{s}.key", np.uint64), keys[a:b])
             if there.any():
                 out[a:b][there] = 1 + self.arrays.read(f"t{s}.frequent", np.int8)[where[there]]
         return out[at]
@@ -99,30 +116,36 @@ def _from6(x: bytes) -> np.ndarray:
 
 
 def _distinct_sets(batches, text: str, words: int, also: list[str] = ()):
-    """Of each chunk: values of `also`, tokens, bounds, set hashes, and which sets this task has not met before."""
+    """Of each chunk: values of `also`, tokens, bounds, set hashes, and which sets are new: those that the task has not
+    met among the last MET distinct ones, of rows whose first value of `also` isn't null."""
     met: set[tuple[int, int]] = set()
     for batch in batches:
         for first, part in text_chunks(batch.column(batch.schema.get_field_index(text))):
             tokens, bounds = shingle_sets(part, words)
             a, b = set_hashes(tokens, bounds)
             new = np.zeros(len(part), bool)
+            own = [batch.column(batch.schema.get_field_index(c)).slice(first, len(part)) for c in also]
+            valid = own[0].is_valid().to_pylist() if own else [True] * len(part)
             for i, key in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-                if key not in met:
+                if valid[i] and key not in met:
+                    if len(met) >= MET:
+                        met.clear()
                     met.add(key)
                     new[i] = True
-            yield [batch.column(batch.schema.get_field_index(c)).slice(first, len(part)) for c in also], tokens, bounds, a, b, new
+            yield own, tokens, bounds, a, b, new
 
 
 def token_classes(df: DataFrame, text: str, words: int) -> Classes:
     spark = df.sparkSession
     size = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
-    bits = int(np.clip(np.ceil(np.log2(size / _SHARD_BYTES + 1)), 3, 16))
+    bits = int(np.clip(np.ceil(np.log2(size / _SHARD_BYTES + 1)), 3, 20))
     arrays = Arrays(shared_dir(spark, "classes"))
 
     def send(tokens: list[np.ndarray]):
-        keys, counts = np.unique(np.concatenate(tokens) >> _U(16 - bits), return_counts=True)
+        keys, counts = np.unique(np.concatenate(tokens), return_counts=True)
         rows = []
-        cut = np.searchsorted(keys >> _U(48), np.arange((1 << bits) + 1))
+        shard, keys = _placed(keys, bits)
+        cut = np.searchsorted(shard, np.arange((1 << bits) + 1))
         for s in np.flatnonzero(np.diff(cut)).tolist():
             k, c = keys[cut[s] : cut[s + 1]], counts[cut[s] : cut[s + 1]]
             rows.append((s, _bytes6(k[c == 1]), _bytes6(k[c > 1]), np.minimum(c[c > 1], 1 << 30).astype(np.int32).tobytes()))
@@ -173,9 +196,15 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, num: int, den: int) -> np
         return single
     often, out = tokens[kinds == 2], [single]
     width = 1.02 * den / num  # of a size band: linked sizes are in one band or in neighbours
-    own = int(np.log(n) / np.log(width))
-    for band in (own, own + 1):
+    at = int(np.log(n) / np.log(width))
+    for band in (at, at + 1):
         largest = int(width ** (band + 1)) + 1
+        if largest + 2 - num * largest // den <= COMBINED:
+            own = tokens[np.argsort(kinds == 2, kind="stable")[: n - least + 2]]  # rare ones first, each by hash
+            own = np.sort(own[np.isin(own, often)])
+            a, b = np.triu_indices(len(own), 1)
+            out.append(mix(mix(own[a]) + _U(3) * mix(own[b]) + mix(_U(band) + _U(1 << 61))))
+            continue
         differ = 2 * largest * (den - num) // (den + num)
         parts = differ + 1 + differ // 6
         part = (mix(often ^ _U(0x1234567)) % _U(parts)).astype(np.int64)
@@ -189,7 +218,7 @@ def prefix_keys(tokens: np.ndarray, kinds: np.ndarray, num: int, den: int) -> np
 
 
 def index(df: DataFrame, classes: Classes, key: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """Per row: id, n, set hashes s1 and s2; of one row of each set and task also keys, parity and (6-byte) tokens."""
+    """Per row: id, n, set hashes s1 and s2; of one row of each set and task also keys, parity and tokens."""
 
     def run(batches):
         for (ids,), tokens, bounds, a, b, new in _distinct_sets(batches, text, words, [key]):
@@ -201,7 +230,7 @@ def index(df: DataFrame, classes: Classes, key: str, text: str, words: int, num:
                 own = slice(bounds[i], bounds[i + 1])
                 found = prefix_keys(tokens[own], kinds[own], num, den)
                 if len(found):
-                    keys[i], sets[i], bits[i] = np.unique(found).view(np.int64), _bytes6(tokens[own] >> _U(16)), parity(tokens[own])
+                    keys[i], sets[i], bits[i] = np.unique(found).view(np.int64), tokens[own].tobytes(), parity(tokens[own])
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(np.diff(bounds)), pa.array(a), pa.array(b), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["id", "n", "s1", "s2", "keys", "bits", "tokens"])
 
     return df.select(key, text).mapInArrow(run, "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, bits array<bigint>, tokens binary")
@@ -214,7 +243,7 @@ def tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                x, y = _from6(x), _from6(y)
+                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 linked.append(den * both >= num * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
@@ -249,7 +278,7 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows = stored(index(df, token_classes(df, text, words), key, text, words, num, den), "index")
     # classes of equal sets; `id` is the row that holds the class's keys and tokens
     held = F.when(F.col("keys").isNotNull(), F.col("id"))
-    classes = stored(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(held).alias("id")), "sets")
+    classes = stored(rows.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(held).alias("id")), "sets")
     sets = rows.where("keys is not null").select("id", "keys", "bits", "tokens")
     members = classes.where("id is not null").select("id", "n", "copies")
     entries = sets.select("id", "keys", "bits").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies", "bits")
@@ -263,7 +292,9 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct((-F.col("copies")).alias("few"), "id", "n", "bits")).alias("h")).where("c > 1").select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits"))
+    least = F.min(F.struct((-F.col("copies")).alias("few"), "id", "n", "bits")).alias("h")
+    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), least).where("c > 1")
+    hubs = stored(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits")), "hubs")
     work = stored(entries.select("key", "id", "n", "bits").join(hubs, "key"), "work")
     pairs = work.where(F.col("id") != F.col("hub")).where(alike("n", "hub_n", "bits", "hub_bits")).select(*ordered("hub", "id")).distinct()
     tests = stored(tested(pairs, sets, num, den), "tests")
@@ -276,6 +307,7 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         left = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("c")).where("big.m < c")
+        sizes = stored(sizes, "open")
         work = left.join(sizes.select("key", (F.col("c") - F.col("big.m")).alias("rest"), F.col("big.comp").alias("big")), "key")
         tried = F.pmod(F.xxhash64("id", F.lit(most)), F.ceil(F.col("rest") / most)) == 0
         work = stored(work.withColumn("tries", (F.col("comp") != F.col("big")) & tried), "work")
@@ -297,8 +329,8 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         most *= 8
     # a component's id is the smallest id of all rows of its classes
     named = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id", "rep"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("s1", "s2", F.col("n").alias("n_set"), "component_id")
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    named = named.join(smallest, "comp").select("s1", "s2", F.col("n").alias("n_set"), "component_id")
     out = rows.select("id", "n", "s1", "s2")
-    some = out.where("n > 0").join(named, ["s1", "s2"]).where("n = n_set").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(out.where("n = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+    some = out.where("n > 0 and id is not null").join(named, ["s1", "s2"]).where("n = n_set").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(out.where("n = 0 or id is null").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))

@@ -26,7 +26,7 @@ from .text import mix, shared_dir, small_batches, text_chunks, word_hashes
 _END = np.uint64(0x5851F42D4C957F2D)  # the end token's hash
 _START = np.uint64(0xFFFFFFFF)  # the number of what stands before the first word
 _FLUSH = 2_000_000  # tokens that a task counts before it sends counts on
-_SHARD_BYTES = 32 << 20  # text for each shard of the model
+_SHARD_BYTES = 8 << 20  # text for each shard of the model
 
 
 def _tokens(part: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def learn(df: DataFrame, text: str = "text") -> Model:
     small_batches(spark)
     df = df.select(text)
     size, texts = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0)), F.count(F.lit(1))).first()
-    bits = int(np.clip(np.ceil(np.log2(size / _SHARD_BYTES + 1)), 3, 16))
+    bits = int(np.clip(np.ceil(np.log2(size / _SHARD_BYTES + 1)), 3, 20))
     arrays = Arrays(shared_dir(spark, "lm"))
 
     def count_words(batches):
