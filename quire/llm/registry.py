@@ -40,19 +40,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_token_counts(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), limit=1024).drop("text")
 
 
-def _mixture(spark: SparkSession, sf_dir: str, cut: bool) -> DataFrame:
-    rows, _ = mixing.mixed(_documents(spark, sf_dir, "doc_id", "text", "source", "lang"), cut=cut)
-    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "kept")
-
-
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As its SQL says: probabilities above 1 are cut, and targets missed."""
-    return _mixture(spark, sf_dir, cut=True)
-
-
-def op6_mixing_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets are met; the pipeline mixes so."""
-    return _mixture(spark, sf_dir, cut=False)
+    rows = mixing.mixed(_documents(spark, sf_dir, "doc_id", "text", "source", "lang"))
+    return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "kept")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text]
+    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op7_language, op8_nearest, op9_fingerprint, op10_main_text]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 

@@ -79,10 +79,10 @@ def test_mixture_as_sql_gives_it(spark, duck):
 def test_mixture_meets_targets(spark):
     rows = [(i, "a b c", "s1" if i % 3 else "s2", "de" if i % 4 else None) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    out, _ = mixing.mixed(df, targets={"source": {"s1": 0.5, "s2": 0.5}}, keep=0.2)
+    out = mixing.mixed(df, targets={"source": {"s1": 0.5, "s2": 0.5}}, keep=0.2)
     shares = out.groupBy("_source").agg(F.sum(F.col("probability") * F.col("_tokens")).alias("t")).collect()
     assert math.isclose(shares[0].t, shares[1].t, rel_tol=0.01)
-    assert mixing.mixed(df.limit(0))[0].count() == 0
+    assert mixing.mixed(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("whole", [False, True])
@@ -90,7 +90,7 @@ def test_mixture_meets_targets_on_skewed_tables(spark, docs, whole):
     """With the production defaults, where many cells have fewer tokens than they would need."""
     rows = [(i, "a b c" if i % 7 else "a | b", "s1" if i % 10 else "s2", "de" if i % 9 else "fr") for i in range(2000)]
     df = docs if whole else spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = mixing.mixed(df)[0].select("_source", "_lang", "_topic", "_tokens", "probability").collect()
+    got = mixing.mixed(df).select("_source", "_lang", "_topic", "_tokens", "probability").collect()
     assert all(0 <= r.probability <= 1 for r in got)
     total, taken, room = sum(r._tokens for r in got), sum(r._tokens * r.probability for r in got), []
     for m in ("_source", "_lang", "_topic"):
