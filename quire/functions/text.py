@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 #: ASCII punctuation that normal forms of titles replace by a space.
 PUNCTUATION = r"[!-/:-@\[-`{-~]+"
@@ -138,3 +139,44 @@ def urlish(c: Column) -> Column:
 def parse_ref(c: Column) -> Column:
     """`u` or `g<id>`, else null."""
     return F.nullif(F.regexp_extract(c, r"^(u|g[1-9][0-9]*)$", 1), F.lit(""))
+
+
+def _shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of three characters, each as one number, with counts."""
+    c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < 3:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.unique(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:], return_counts=True)
+
+
+@F.pandas_udf(DoubleType())
+def retained(old: pd.Series, new: pd.Series) -> pd.Series:
+    """Share of the three-character shingles of `old`, each as often as it occurs, that `new` holds too; 1 without any."""
+
+    def share(a: str | None, b: str | None) -> float:
+        (x, n), (y, m) = _shingles(a), _shingles(b)
+        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        return float(np.minimum(n[i], m[j]).sum() / n.sum()) if len(x) else 1.0
+
+    return pd.Series([share(a, b) for a, b in zip(old, new, strict=True)], dtype=float)
+
+
+#: From when on a text is protected, and what of it a rewrite may remove and must keep.
+PROTECTED_CHARS, REMOVED, KEPT = 600, 0.25, 0.6
+
+
+def rewrite_reason(old: str, new: str) -> Column:
+    """Why a rewrite (names of two columns) destroys a text: `shrunk`, `replaced` or null."""
+    n = F.length(old)
+    gone = (n - F.length(new)) / n
+    return F.when(n < PROTECTED_CHARS, F.lit(None)).when(gone >= REMOVED, "shrunk").when(retained(old, new) < KEPT, "replaced")
+
+
+#: Kinds of documents that can be extracted.
+EXTRACTED = ["pdf", "epub", "text", "snapshot"]
+
+
+def document_metadata(kind: Column, json: Column) -> Column:
+    """struct<content_kind, pages>, or null if the JSON is broken, not of this kind, or of a kind that isn't extracted."""
+    read = F.from_json(json, "content_kind string, pages bigint", {"mode": "PERMISSIVE"})
+    return F.when(kind.isin(EXTRACTED) & (read["content_kind"] == kind) & F.try_parse_json(json).isNotNull(), read)

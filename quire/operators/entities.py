@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import fnv1a
+from ..sources import stored
+
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
@@ -56,13 +59,21 @@ def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFra
     return rows.withColumn("_n", n).withColumn("has_more", F.max("_n").over(W.partitionBy()) > limit).where(F.col("_n") <= limit).drop("_n")
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 8) -> DataFrame:
-    """edges: parent, child; roots: root. All (root, node, depth) within `depth` steps, roots included; cycle-safe."""
-    found = level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    for d in range(1, depth + 1):
-        level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(d).alias("depth"))
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """edges: parent, child; roots: root. All (root, node, depth), roots included, depth being the shortest.
+
+    Walks level by level until a level brings no node that its root has not met before, so cycles end. Levels are
+    written to the shared folder: one is read for the next, and none is walked again.
+    """
+    level = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
+    found, d = level, 0
+    while True:
+        d += 1
+        level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(d).alias("depth")).distinct()
+        level = stored(level.join(found.select("root", "node"), ["root", "node"], "left_anti"), "closure")
+        if level.isEmpty():
+            return found
         found = found.unionByName(level)
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"))
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -79,17 +90,23 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, digest: str) -> Data
 
 
 def duplicate_pairs(signatures: DataFrame) -> DataFrame:
-    """Pairs a < b of items that are duplicates. signatures: id, type, title, year, doi (nullable).
+    """Pairs a < b of items that are duplicates, by classes. signatures: id, type, title, year, doi (nullable).
 
-    Same type, and equal DOI if both have one, else equal title with years at most one apart. Blocks are equal DOIs
-    and equal titles; a pair found in both counts once.
+    Same type, and equal DOI if both have one, else equal title with years at most one apart. Items that agree in all
+    of these are a class; each is paired with the class's smallest id, and classes are paired by their smallest ids,
+    so a title that very many items share gives as many rows as it has items. Blocks are equal DOIs and equal titles.
     """
-    a, b = (signatures.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "type", "title", "year", "doi")]) for s in "ab")
+    key = ["type", "title", "year", "doi"]
+    classes = signatures.groupBy(*key).agg(F.min("id").alias("id"))
+    same = [signatures[c].eqNullSafe(classes[c]) for c in key]
+    members = signatures.join(classes, same[0] & same[1] & same[2] & same[3]).where(signatures["id"] > classes["id"])
+    a, b = (classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *key)]) for s in "ab")
     near = (F.col("id_a") < F.col("id_b")) & (F.col("type_a") == F.col("type_b"))
     by_doi = a.join(b, F.col("doi_a") == F.col("doi_b")).where(near)
     no_clash = F.col("doi_a").isNull() | F.col("doi_b").isNull() | (F.col("doi_a") == F.col("doi_b"))
     by_title = a.join(b, F.col("title_a") == F.col("title_b")).where(near & no_clash & (F.abs(F.col("year_a") - F.col("year_b")) <= 1))
-    return by_doi.select("id_a", "id_b").union(by_title.select("id_a", "id_b")).distinct()
+    pairs = by_doi.select("id_a", "id_b").union(by_title.select("id_a", "id_b")).distinct()
+    return pairs.union(members.select(classes["id"].alias("id_a"), signatures["id"].alias("id_b")))
 
 
 def greedy_duplicates(items: DataFrame) -> DataFrame:
@@ -144,3 +161,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     """Rows of both, the newest version of each key; new rows win ties."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     return latest(both, keys, [F.desc(version), F.desc("_new")]).drop("_new")
+
+
+def markers(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """A marker of each group: its number of rows and, in base 36, a 32-bit rolling hash over their texts in order.
+
+    The hash depends on order, so one task reads a whole group; groups are listings of a library, some hundred rows.
+    """
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda r: r[text]), "")
+    got = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), joined.alias("_all"))
+    return got.select(group, F.concat(F.col("_n").cast("string"), F.lit(":"), F.lower(F.conv(fnv1a(F.col("_all")).cast("string"), 10, 36))).alias("marker"))
+
+
+def chain_usage(runs: DataFrame, totals: list[str]) -> DataFrame:
+    """runs: chain, usage (struct of totals, null where a run has none), cost. Sums by chain; without any usage, null."""
+    each = [F.sum(F.when(F.col("usage").isNotNull(), F.coalesce(F.col("usage")[t], F.lit(0)))).alias(t) for t in totals]
+    return runs.groupBy("chain").agg(*each, F.sum("cost").alias("cost"))
+
+
+def sync_batches(rows: DataFrame, marks: DataFrame, size: int) -> DataFrame:
+    """rows: library, at; marks: library, since. Rows after their library's watermark, in batches of about `size` that
+    never split rows of equal time: library, batch, n, up_to. Rows are counted by time first, so a window reads counts."""
+    after = rows.join(marks, "library").where("at > since").groupBy("library", "at").agg(F.count(F.lit(1)).alias("k"))
+    before = F.sum("k").over(W.partitionBy("library").orderBy("at")) - F.col("k")
+    return after.withColumn("batch", F.floor(before / size).cast("bigint")).groupBy("library", "batch").agg(F.sum("k").alias("n"), F.max("at").alias("up_to"))

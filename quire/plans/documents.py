@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import entities as E
 from ..sources import table
+from ..sources import text_lines as plain_lines
 from .catalog import query
 
 _ASCII = "lower(trim(regexp_replace({c}, '[^a-zA-Z0-9]+', ' ', 'g')))"
@@ -30,14 +31,17 @@ def _lines(spark, d):
 # ---- lines and sentences -------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
+@query("WITH t AS (SELECT doc_id, string_split(regexp_replace(CASE WHEN doc_id % 3 = 0 THEN chr(65279) || replace(text, chr(10), chr(13) || chr(10)) ELSE text END, '^\ufeff', '').replace(chr(13) || chr(10), chr(10)).replace(chr(13), chr(10)), chr(10)) AS lines FROM documents WHERE length(text) > 0) SELECT doc_id, pos AS line_no, line FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM t)")
 def text_lines(spark, d):
-    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line")
+    """Lines of plain files; each third one begins with a byte-order mark and ends lines as DOS does."""
+    dos = F.concat(F.lit("\ufeff"), F.replace("text", F.lit("\n"), F.lit("\r\n")))
+    files = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, dos).otherwise(F.col("text")).alias("text"))
+    return plain_lines(files, "doc_id", "text")
 
 
 @query("SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE pos BETWEEN 3 AND 6")
 def line_window(spark, d):
-    return text_lines(spark, d).where("pos BETWEEN 2 AND 5")
+    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line").where("pos BETWEEN 2 AND 5")
 
 
 @query("WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(*)::BIGINT AS docs FROM l WHERE length(trim(line)) >= 3 GROUP BY 1 HAVING count(*) >= 3")
@@ -120,10 +124,15 @@ def occurrences(spark, d):
 # ---- matching and duplicates ---------------------------------------------------------------------------------------
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_ASCII.format(c=_FIRST)} AS k FROM benchmark) b JOIN (SELECT doc_id, {_ASCII.format(c=_FIRST)} AS k FROM documents) d USING (k) WHERE k <> ''")
+@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_FIRST} AS k FROM benchmark) b JOIN documents d ON contains(lower(d.text), lower(k)) WHERE length(k) >= 20")
 def match_title_norm(spark, d):
-    refs = table(spark, d, "benchmark").select("item_id", _key(F.substring_index("text", "\n", 1)).alias("k")).where("k <> ''")
-    return refs.join(table(spark, d, "documents").select("doc_id", _key(F.substring_index("text", "\n", 1)).alias("k")), "k").select("item_id", "doc_id")
+    """References whose title (first line, 20 characters or more) a document holds, in any case of letters.
+
+    Containment has no key to shuffle by: Spark sends the references to all documents if their size allows.
+    """
+    refs = table(spark, d, "benchmark").select("item_id", F.lower(F.substring_index("text", "\n", 1)).alias("k")).where("length(k) >= 20")
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    return docs.join(refs, F.contains("low", "k")).select("item_id", "doc_id")
 
 
 @query(f"SELECT item_id, min(doc_id) AS doc_id, count(doc_id)::BIGINT AS matches FROM (SELECT item_id, {_ASCII.format(c=_FIRST)} AS k FROM benchmark) b LEFT JOIN (SELECT doc_id, {_ASCII.format(c=_FIRST)} AS k FROM documents WHERE text <> '') d USING (k) GROUP BY 1")
@@ -147,7 +156,10 @@ def dup_signature(spark, d):
     return _signatures(spark, d).select("id", "type", "title", "year")
 
 
-@query(f"WITH {_SIGN_SQL} SELECT a.id AS id_a, b.id AS id_b FROM g a JOIN g b ON a.title = b.title AND a.type = b.type AND a.id < b.id AND abs(a.year - b.year) <= 1 WHERE a.title <> ''")
+@query(
+    f"WITH {_SIGN_SQL}, c AS (SELECT type, title, year, min(id) AS id FROM g WHERE title <> '' GROUP BY ALL) SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.title = b.title AND a.type = b.type AND a.id < b.id AND abs(a.year - b.year) <= 1"
+    " UNION ALL SELECT c.id, g.id FROM g JOIN c USING (type, title, year) WHERE g.id > c.id"
+)
 def dup_pairs(spark, d):
     return E.duplicate_pairs(_signatures(spark, d).where("title <> ''"))
 
@@ -169,37 +181,33 @@ def tag_suggest(spark, d):
     return tags.select("tag", F.levenshtein(F.lower("tag"), F.lit("standard stel")).alias("distance")).orderBy("distance", "tag").limit(3)
 
 
-_SHINGLE_SQL = "list_distinct([w[i] || ' ' || w[i+1] || ' ' || w[i+2] for i in range(1, len(w) - 1)])"
+_RETAINED_SQL = (
+    "d AS (SELECT doc_id, lang, string_split(coalesce(text, ''), '') AS w FROM documents), p AS (SELECT a.doc_id FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang),"
+    " s AS (SELECT doc_id, x || y || z AS g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(w[2:]) AS y, unnest(w[3:]) AS z FROM d) WHERE z IS NOT NULL GROUP BY ALL),"
+    " o AS (SELECT a.doc_id, sum(least(a.n, coalesce(b.n, 0))) / sum(a.n) AS r FROM s a LEFT JOIN s b ON b.doc_id = a.doc_id + 1 AND b.g = a.g GROUP BY 1)"
+)
+
+
+def _rewrites(spark, d):
+    """doc_id, old and new text: each document beside the next one of equal language."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang", F.col("text").alias("new"))
+    return docs.withColumnRenamed("text", "old").join(after, ["doc_id", "lang"]).select("doc_id", "old", "new")
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SHINGLE_SQL} AS s FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 3000)) SELECT a.doc_id, round(len(list_intersect(a.s, b.s)) / len(a.s), 6)::DOUBLE AS retained FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 WHERE len(a.s) > 0")
+@query(f"WITH {_RETAINED_SQL} SELECT doc_id, round(coalesce(r, 1), 6)::DOUBLE AS retained FROM p LEFT JOIN o USING (doc_id)")
 def shingle_retained(spark, d):
-    """Share of a text's three-word shingles that the next text holds too."""
-    w = table(spark, d, "documents").where("n_chars < 3000").select("doc_id", F.split("text", " ").alias("w"))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: i <= F.size("w") - 2)
-    s = w.select("doc_id", F.array_distinct(F.transform(at, lambda i: F.concat_ws(" ", F.slice("w", i, 3)))).alias("s"))
-    after = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("t"))
-    return s.join(after, "doc_id").where(F.size("s") > 0).select("doc_id", F.round(F.size(F.array_intersect("s", "t")) / F.size("s"), 6).alias("retained"))
+    """Share of a text's three-character shingles, each as often as it occurs, that the next text of equal language holds too."""
+    return _rewrites(spark, d).select("doc_id", F.round(T.retained("old", "new"), 6).alias("retained"))
 
 
 @query(
-    "WITH d AS (SELECT doc_id, lang, string_split(coalesce(text, ''), '') AS w FROM documents), p AS (SELECT a.doc_id FROM d a JOIN d b ON b.doc_id = a.doc_id + 1 AND a.lang = b.lang),"
-    " s AS (SELECT doc_id, x || y || z AS g, count(*) AS n FROM (SELECT doc_id, unnest(w) AS x, unnest(w[2:]) AS y, unnest(w[3:]) AS z FROM d) WHERE z IS NOT NULL GROUP BY ALL),"
-    " o AS (SELECT a.doc_id, sum(least(a.n, coalesce(b.n, 0))) / sum(a.n) AS r FROM s a LEFT JOIN s b ON b.doc_id = a.doc_id + 1 AND b.g = a.g GROUP BY 1)"
-    " SELECT doc_id, round(coalesce(r, 1), 6)::DOUBLE AS retained FROM p LEFT JOIN o USING (doc_id)"
+    f"WITH {_RETAINED_SQL}, r AS (SELECT p.doc_id, length(coalesce(a.text, '')) AS n, length(coalesce(b.text, '')) AS m, coalesce(o.r, 1) AS kept FROM p JOIN documents a USING (doc_id) JOIN documents b ON b.doc_id = p.doc_id + 1 LEFT JOIN o ON o.doc_id = p.doc_id)"
+    " SELECT doc_id, CASE WHEN n < 600 THEN NULL WHEN (n - m) / n >= 0.25 THEN 'shrunk' WHEN kept < 0.6 THEN 'replaced' END AS reason FROM r"
 )
-def shingle_retained_whole(spark, d):
-    """Share of a text's three-character shingles, each as often as it occurs, that the next text of equal language holds too."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), "lang")
-    pairs = docs.select("doc_id", "lang").join(after, ["doc_id", "lang"]).select("doc_id")
-    # characters are split once: a substring at each place would walk the text again
-    w = docs.select("doc_id", F.split("text", "").alias("w")).where(F.size("w") > 2)
-    s = w.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))).alias("g"))
-    s = s.groupBy("doc_id", "g").agg(F.count(F.lit(1)).alias("n"))
-    kept = s.join(s.select((F.col("doc_id") - 1).alias("doc_id"), "g", F.col("n").alias("m")), ["doc_id", "g"], "left")
-    share = kept.groupBy("doc_id").agg((F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("r"))
-    return pairs.join(share, "doc_id", "left").select("doc_id", F.round(F.coalesce("r", F.lit(1.0)), 6).alias("retained"))
+def rewrite_risk(spark, d):
+    """Whether a rewrite destroys a text: it shrinks much, or keeps few of its shingles; short texts are not protected."""
+    return _rewrites(spark, d).select("doc_id", T.rewrite_reason("old", "new").alias("reason"))
 
 
 # ---- HTML and scalars ----------------------------------------------------------------------------------------------

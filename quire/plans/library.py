@@ -166,9 +166,9 @@ def find_annotations(spark, d):
     return e.where("value > 10").join(F.broadcast(kinds), "event_type", "left_semi").orderBy(F.desc("ts"), "event_id").limit(25).select("event_id", "user_id")
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) OVER ()::BIGINT AS total FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey < 400 ORDER BY l_orderkey, l_linenumber LIMIT 25 OFFSET 25")
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER ()::BIGINT AS total FROM lineitem WHERE l_returnflag = 'R' ORDER BY l_orderkey, l_linenumber LIMIT 25 OFFSET 25")
 def annotation_page(spark, d):
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_orderkey < 400").select("l_orderkey", "l_linenumber")
+    rows = table(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber")
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return rows.orderBy("l_orderkey", "l_linenumber").offset(25).limit(25).join(F.broadcast(total))
 
@@ -222,10 +222,10 @@ def nearest_color(spark, d):
     return rows.select("event_id", F.array_min(F.array(*options))["name"].alias("color"))
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id < 500")
+@query("SELECT doc_id, lang, n_chars FROM documents")
 def project_fields(spark, d):
     """Fields that cannot be read are left out."""
-    rows = table(spark, d, "documents").where("doc_id < 500")
+    rows = table(spark, d, "documents")
     return rows.select(*[c for c in ("doc_id", "lang", "n_chars", "unreadable") if c in rows.columns])
 
 
@@ -243,10 +243,10 @@ def resolve_tags(spark, d):
     return tags.join(F.broadcast(asked), F.lower("tag") == F.col("ask"), "left_semi")
 
 
-@query("SELECT 'item' AS kind, c_custkey AS id, NULL::BIGINT AS parent FROM customer WHERE c_custkey < 20 UNION ALL SELECT 'attachment', o_orderkey, o_custkey FROM orders WHERE o_custkey < 20")
+@query("SELECT 'item' AS kind, c_custkey AS id, NULL::BIGINT AS parent FROM customer UNION ALL SELECT 'attachment', o_orderkey, o_custkey FROM orders")
 def get_metadata(spark, d):
-    items = table(spark, d, "customer").where("c_custkey < 20").select(F.lit("item").alias("kind"), F.col("c_custkey").alias("id"), F.lit(None).cast("bigint").alias("parent"))
-    return items.unionByName(table(spark, d, "orders").where("o_custkey < 20").select(F.lit("attachment").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")))
+    items = table(spark, d, "customer").select(F.lit("item").alias("kind"), F.col("c_custkey").alias("id"), F.lit(None).cast("bigint").alias("parent"))
+    return items.unionByName(table(spark, d, "orders").select(F.lit("attachment").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("parent")))
 
 
 @query("SELECT ref, c_name, c_custkey IS NOT NULL AS found FROM (SELECT DISTINCT unnest([1, 5, 5, 999999999]) AS ref) LEFT JOIN customer ON c_custkey = ref")
@@ -268,9 +268,9 @@ def anti_join(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("toxic = 1"), "doc_id", "left_anti")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P') AND c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000)")
 def anti_join_three(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
+    rows = table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")
     return rows.join(table(spark, d, "supplier").where("s_acctbal > 9000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_anti").select("c_custkey")
 
 
@@ -292,17 +292,17 @@ _TREE_SQL = "edges AS (SELECT 'r' || n_regionkey AS parent, 'n' || n_nationkey A
 @query(f"WITH RECURSIVE {_TREE_SQL}, walk AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT root, child, depth + 1 FROM walk JOIN edges ON node = parent) SELECT root, node, depth FROM walk")
 def closure(spark, d):
     roots = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("root"))
-    return E.closure(_tree(spark, d), roots, 3)
+    return E.closure(_tree(spark, d), roots)
 
 
 @query(f"WITH RECURSIVE {_TREE_SQL}, walk AS (SELECT 'r1' AS node, 0 AS depth UNION ALL SELECT child, depth + 1 FROM walk JOIN edges ON node = parent) SELECT node, depth FROM walk")
 def hierarchy_bfs(spark, d):
-    return E.closure(_tree(spark, d), spark.createDataFrame([("r1",)], "root string"), 3).select("node", "depth")
+    return E.closure(_tree(spark, d), spark.createDataFrame([("r1",)], "root string")).select("node", "depth")
 
 
 @query("SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND o_orderstatus <> 'F'")
 def collection_scope(spark, d):
-    scope = E.closure(_tree(spark, d), spark.createDataFrame([("r1",)], "root string"), 3).where("depth = 2").select(F.substring("node", 2, 20).cast("bigint").alias("o_custkey"))
+    scope = E.closure(_tree(spark, d), spark.createDataFrame([("r1",)], "root string")).where("depth = 2").select(F.substring("node", 2, 20).cast("bigint").alias("o_custkey"))
     return table(spark, d, "orders").where("o_orderstatus <> 'F'").join(scope, "o_custkey", "left_semi").select("o_orderkey")
 
 
@@ -319,9 +319,9 @@ def collection_counts_parent(spark, d):
     return rows.select(F.col("n_name").alias("name"), F.col("r_name").alias("parent"), F.coalesce("members", F.lit(0)).alias("members"))
 
 
-@query("SELECT l_orderkey, l_linenumber, o_custkey, c_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey WHERE l_orderkey < 200")
+@query("SELECT l_orderkey, l_linenumber, o_custkey, c_name FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey")
 def parent_attach(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 200").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"), "left").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return rows.select("l_orderkey", "l_linenumber", "o_custkey", "c_name")
 
 
@@ -336,12 +336,12 @@ def expand_children(spark, d):
     return table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").join(table(spark, d, "orders").where("o_orderstatus = 'O'"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey")
 
 
-@query("SELECT event_id, (SELECT count(*) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND m.event_id <= e.event_id)::BIGINT AS page FROM events e WHERE event_id < 2000")
+@query("SELECT event_id, (SELECT count(*) FROM events m WHERE m.user_id = e.user_id AND m.event_type = 'purchase' AND m.event_id <= e.event_id)::BIGINT AS page FROM events e")
 def asof_page(spark, d):
     """The number of markers at or before a position; Spark orders markers and positions in one window."""
     w = W.partitionBy("user_id").orderBy("event_id")
     rows = table(spark, d, "events").withColumn("page", F.count_if(F.col("event_type") == "purchase").over(w))
-    return rows.where("event_id < 2000").select("event_id", "page")
+    return rows.select("event_id", "page")
 
 
 @query("SELECT event_id, max(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS label FROM events")
@@ -350,9 +350,9 @@ def asof_label(spark, d):
     return table(spark, d, "events").select("event_id", F.last(marker, ignorenulls=True).over(W.partitionBy("user_id").orderBy("event_id")).alias("label"))
 
 
-@query("WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey % 100 AS x0, l_partkey % 100 + 10 AS x1 FROM lineitem WHERE l_orderkey < 1000) SELECT a.k, a.i, min(b.i) AS hit FROM b a JOIN b ON a.k = b.k AND a.i <> b.i AND a.x0 <= b.x1 + 2 AND b.x0 <= a.x1 + 2 GROUP BY ALL")
+@query("WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey % 100 AS x0, l_partkey % 100 + 10 AS x1 FROM lineitem) SELECT a.k, a.i, min(b.i) AS hit FROM b a JOIN b ON a.k = b.k AND a.i <> b.i AND a.x0 <= b.x1 + 2 AND b.x0 <= a.x1 + 2 GROUP BY ALL")
 def bbox_join(spark, d):
-    b = table(spark, d, "lineitem").where("l_orderkey < 1000").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 100).alias("x0"), (F.col("l_partkey") % 100 + 10).alias("x1"))
+    b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 100).alias("x0"), (F.col("l_partkey") % 100 + 10).alias("x1"))
     o = b.select("k", F.col("i").alias("j"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
     return b.join(o, "k").where("i <> j AND x0 <= y1 + 2 AND y0 <= x1 + 2").groupBy("k", "i").agg(F.min("j").alias("hit"))
 
@@ -423,10 +423,10 @@ def active_items(spark, d):
     return rows.orderBy(F.desc("last"), "user_id").limit(15)
 
 
-@query("SELECT event_type AS kind, event_id FROM events WHERE event_id < 50 UNION ALL SELECT 'big', event_id FROM events WHERE value > 90 UNION ALL SELECT 'small', event_id FROM events WHERE value < 1")
+@query("SELECT event_type AS kind, event_id FROM events UNION ALL SELECT 'big', event_id FROM events WHERE value > 90 UNION ALL SELECT 'small', event_id FROM events WHERE value < 1")
 def union_all(spark, d):
     e = table(spark, d, "events")
-    return e.where("event_id < 50").select(F.col("event_type").alias("kind"), "event_id").unionByName(e.where("value > 90").select(F.lit("big").alias("kind"), "event_id")).unionByName(e.where("value < 1").select(F.lit("small").alias("kind"), "event_id"))
+    return e.select(F.col("event_type").alias("kind"), "event_id").unionByName(e.where("value > 90").select(F.lit("big").alias("kind"), "event_id")).unionByName(e.where("value < 1").select(F.lit("small").alias("kind"), "event_id"))
 
 
 _TOP_SQL = "c AS (SELECT n_name, count(*)::BIGINT AS n FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1), t AS (SELECT n_name, n FROM c ORDER BY n DESC, n_name LIMIT 5)"
@@ -620,11 +620,11 @@ def spread_sample(spark, d):
 # ---- sets -------------------------------------------------------------------------------------------------------
 
 
-@query("WITH t AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM t)) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM o) AND l_orderkey < 2000")
+@query("WITH t AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM t)) SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM o)")
 def cascade_trash(spark, d):
     trash = table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("o_custkey"))
     gone = table(spark, d, "orders").join(trash, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, d, "lineitem").where("l_orderkey < 2000").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").join(gone, "l_orderkey", "left_anti").select("l_orderkey", "l_linenumber")
 
 
 def _snapshots(spark, d):
@@ -648,9 +648,10 @@ def changed_only(spark, d):
     return new.join(old.select("doc_id", F.col("h").alias("was")), "doc_id", "left").where("was IS NULL OR was <> h").select("doc_id")
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
+@query("SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)")
 def orphans(spark, d):
-    return table(spark, d, "embeddings").select("vec_id").join(table(spark, d, "documents"), F.col("vec_id") == F.col("doc_id"), "left_anti")
+    """Vectors of documents that are not labelled."""
+    return table(spark, d, "embeddings").select("vec_id").join(table(spark, d, "labels").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_anti")
 
 
 @query("SELECT DISTINCT label FROM embeddings WHERE label NOT IN (0, 1, 2)")
@@ -685,8 +686,10 @@ def stale_keys(spark, d):
     return rows.where("there IS NULL OR toxic = 1").select("vec_id")
 
 
-@query("WITH RECURSIVE links AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), walk AS (SELECT max(event_id) AS id, 0 AS depth FROM events UNION ALL SELECT before, depth + 1 FROM walk JOIN links ON event_id = id WHERE before IS NOT NULL AND depth < 6) SELECT id, depth FROM walk")
+@query("WITH RECURSIVE links AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), walk AS (SELECT max(event_id) AS id, 0 AS depth FROM events UNION ALL SELECT before, depth + 1 FROM walk JOIN links ON event_id = id WHERE before IS NOT NULL) SELECT id, depth FROM walk")
 def chain_walk(spark, d):
-    links = table(spark, d, "events").select("event_id", F.lag("event_id").over(W.partitionBy("user_id").orderBy("event_id")).alias("before"))
-    start = table(spark, d, "events").agg(F.max("event_id").alias("root"))
-    return E.closure(links.where("before IS NOT NULL").select(F.col("event_id").alias("parent"), F.col("before").alias("child")), start, 6).select(F.col("node").alias("id"), "depth")
+    """Each event links to the user's one before; the walk from the last event to its chain's begin is a numbering."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+    last = e.agg(F.max_by("user_id", "event_id").alias("user_id"))
+    chain = e.join(F.broadcast(last), "user_id")
+    return chain.select(F.col("event_id").alias("id"), (F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id"))) - 1).alias("depth"))

@@ -112,10 +112,10 @@ def run_complete(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("last_turn"), (F.max_by("role", "turn") == "assistant").alias("complete"))
 
 
-@query("WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders WHERE o_orderdate < TIMESTAMP '1996-02-01'), b AS (SELECT o_orderdate, min((n - 1) // 50) AS batch FROM r GROUP BY 1) SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM r JOIN b USING (o_orderdate) GROUP BY 1")
+@query("WITH r AS (SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS n FROM orders), b AS (SELECT o_orderdate, min((n - 1) // 50) AS batch FROM r GROUP BY 1) SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, min(o_orderdate) AS first_date, max(o_orderdate) AS last_date FROM r JOIN b USING (o_orderdate) GROUP BY 1")
 def date_batches(spark, d):
     """Batches of about 50 rows by date that never split equal dates: counts by date first, then a running sum of few rows."""
-    days = table(spark, d, "orders").where("o_orderdate < timestamp_ntz '1996-02-01 00:00:00'").groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("k"))
+    days = table(spark, d, "orders").groupBy("o_orderdate").agg(F.count(F.lit(1)).alias("k"))
     before = F.coalesce(F.sum("k").over(W.orderBy("o_orderdate").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return days.withColumn("batch", F.floor(before / 50).cast("bigint")).groupBy("batch").agg(F.sum("k").alias("n"), F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"))
 
