@@ -35,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def _load() -> _Catalog:
-    from . import documents, library, pages, rules, state  # noqa: F401  they register their queries
+    from . import documents, library, pages, pdf, rules, state  # noqa: F401  they register their queries
 
     return _ALL
 

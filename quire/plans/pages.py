@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import citations as C
 from ..functions import dom
 from ..functions import sentences as S
 from ..functions import text as T
@@ -214,3 +215,20 @@ def sync_run(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("library"), F.col("o_orderdate").alias("at"))
     marks = orders.groupBy("library").agg((F.min("at") + (F.max("at") - F.min("at")) / 2).alias("since"))
     return E.sync_batches(orders, marks, 500).select("library", "batch", "n", F.col("up_to"))
+
+
+@query(
+    "WITH c AS (SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'u-K' || event_id WHEN 1 THEN 'user-content-' || (user_id + 1) || '-K' || event_id WHEN 2 THEN 'ext-' || upper(substr(md5(event_id::VARCHAR), 1, 8)) WHEN 3 THEN 'g0-K' WHEN 4 THEN 'u-K' END AS own,"
+    " CASE event_id % 8 WHEN 4 THEN 'doi' WHEN 5 THEN 'x' || event_id WHEN 6 THEN ' ' END AS other FROM events)"
+    " SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'item' WHEN 1 THEN 'item' WHEN 2 THEN 'file' WHEN 5 THEN 'external' END AS kind, CASE event_id % 8 WHEN 0 THEN own WHEN 1 THEN replace(own, 'user-content-', '') WHEN 2 THEN substr(own, 5) WHEN 5 THEN other END AS id,"
+    " CASE WHEN event_id % 8 IN (0, 1, 2, 5) THEN 's' || event_id END AS place, CASE event_id % 8 WHEN 3 THEN 'invalid_item_id' WHEN 4 THEN 'conflicting_identity' WHEN 6 THEN 'invalid_external_id' WHEN 7 THEN 'missing_identity' END AS reason FROM c"
+)
+def citation_ref(spark, d):
+    """Citation tags of every form, with attributes made from events."""
+    k, e = F.col("event_id") % 8, F.col("event_id").cast("string")
+    own = F.when(k == 0, F.concat(F.lit("u-K"), e)).when(k == 1, F.concat(F.lit("user-content-"), (F.col("user_id") + 1).cast("string"), F.lit("-K"), e))
+    own = own.when(k == 2, F.concat(F.lit("ext-"), F.substring(F.md5(e), 1, 8))).when(k == 3, "g0-K").when(k == 4, "u-K")
+    other = F.when(k == 4, "doi").when(k == 5, F.concat(F.lit("x"), e)).when(k == 6, " ")
+    attrs = F.create_map(F.lit("att_id"), own, F.lit("external_id"), other, F.lit("loc"), F.concat(F.lit("s"), e))
+    rows = table(spark, d, "events").select("event_id", C.reference(attrs).alias("r"))
+    return rows.select("event_id", "r.*")
