@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .. import streaming
 from ..functions import text as T
 from ..operators import entities as E
 from ..sources import table
@@ -178,3 +179,23 @@ def json_parse(spark, d):
 def sanitize_error(spark, d):
     """Messages of failed pages without paths."""
     return table(spark, d, "pages").select("page_id", T.sanitize_error(F.concat(F.lit("cannot open /var/data/"), "url")).alias("message"))
+
+
+# ---- streams -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, queued, asked FROM j")
+def queue_stream(spark, d):
+    """queue_enqueue as a stream over the events that are there."""
+    jobs = streaming.caught_up(streaming.queued(streaming.events(spark, d), CEILING), "queue")
+    return jobs.withColumn("queued", F.col("queued").cast("timestamp_ntz"))
+
+
+@query(
+    "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events),"
+    " s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS begin, count(*)::BIGINT AS n FROM s GROUP BY user_id, k"
+)
+def session_stream(spark, d):
+    """Sessions by session windows over the stream of events."""
+    rows = streaming.caught_up(streaming.sessions(streaming.events(spark, d)), "sessions")
+    return rows.withColumn("begin", F.col("begin").cast("timestamp_ntz"))

@@ -13,21 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the folder of spark.checkpoint.dir and read it back: cuts lineage, survives lost executors.
-
-    Only a local session may go without that setting; it then gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local session may go without that setting; it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}.parquet"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:

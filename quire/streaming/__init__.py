@@ -1 +1,74 @@
+"""Structured Streaming forms of the queue, of sessions and of syncing, over the same functions as their batch forms."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources import shared_root, stored
+
+
+def events(spark: SparkSession, sf_dir: str, files: str = "events.parquet", late: str = "1 hour") -> DataFrame:
+    """The events of a folder as a stream with a watermark; a file that comes later is read when it comes."""
+    schema = spark.read.option("pathGlobFilter", files).parquet(sf_dir).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", files).option("maxFilesPerTrigger", 16).parquet(sf_dir)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
+def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of each user, which end when nothing comes for `gap`: user_id, begin, n. State is one row for each open
+    session; the watermark closes it."""
+    return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("begin"), "n")
+
+
+def queued(rows: DataFrame, ceiling: int = 100) -> DataFrame:
+    """Jobs by user and kind, coalesced: the highest priority asked for, the first time queued, how often asked."""
+    priority = F.least(F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)), F.lit(ceiling))
+    return rows.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max(priority).cast("bigint").alias("priority"), F.min("ts").alias("queued"), F.count(F.lit(1)).alias("asked"))
+
+
+def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys did not come before within the watermark, so that replayed files count once."""
+    return rows.dropDuplicatesWithinWatermark(keys)
+
+
+def caught_up(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and give its result as a table in the shared folder.
+
+    complete: the last state of an aggregation; append: all rows. A batch that runs again overwrites its own rows.
+    """
+    spark = rows.sparkSession
+    root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        last[:] = [*last, number]
+
+    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    schema = rows.schema
+    if not last:
+        return spark.createDataFrame([], schema)
+    paths = [f"{root}/rows/batch={n}" for n in (last[-1:] if mode == "complete" else dict.fromkeys(last))]
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def upserted(rows: DataFrame, table: str, keys: list[str], version: str):
+    """A writer that merges each batch into a table of Parquet snapshots: the newest version of each key stays."""
+    from ..operators.entities import upsert
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state = f"{table}/_now"
+        try:
+            old = spark.read.schema(batch.schema).parquet(state)
+        except Exception as e:  # the first batch finds no table
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            old = batch.limit(0)
+        stored(upsert(old, batch, keys, version), "merge").write.mode("overwrite").parquet(state)
+
+    return rows.writeStream.option("checkpointLocation", f"{table}/_checkpoint").foreachBatch(merge)
