@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -12,7 +14,8 @@ class Arrays:
     """Numpy arrays by name under a folder that the driver and all executors see.
 
     A write goes to a file of its own and is then renamed, so a task that runs twice leaves one whole file.
-    Local paths are memory-mapped; from other file systems an array is read into memory when it is first used.
+    Arrays are memory-mapped: from a local path as they are, from other file systems through an unnamed local file that
+    the task keeps as its cache, so a worker's memory holds what it looks up and not whole shards.
     """
 
     def __init__(self, uri: str):
@@ -43,8 +46,11 @@ class Arrays:
             elif isinstance(system, fs.LocalFileSystem):
                 self._open[name] = np.memmap(path, dtype, "r")
             else:
-                with system.open_input_file(path) as f:
-                    self._open[name] = np.frombuffer(f.read(), dtype)
+                with tempfile.TemporaryFile() as own:
+                    with system.open_input_stream(path) as f:
+                        shutil.copyfileobj(f, own, 4 << 20)
+                    own.flush()
+                    self._open[name] = np.memmap(own, dtype, "r")
         return self._open[name]
 
 
