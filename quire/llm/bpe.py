@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import json
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -56,11 +57,10 @@ _TO, _BEGINS = _automaton()
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """Class by code point: letter, number, mark or white space (SPACE_MID); 0x110000 ends a text."""
+    kinds = np.array([ord(k[0]) for k in map(unicodedata.category, map(chr, range(0x110000)))], np.uint8)
     table = np.full(0x110001, MARK, np.uint8)
-    for i in range(0x110000):
-        kind = unicodedata.category(chr(i))[0]
-        if kind in "LN":
-            table[i] = LETTER if kind == "L" else NUMBER
+    table[:-1][kinds == ord("L")] = LETTER
+    table[:-1][kinds == ord("N")] = NUMBER
     table[_WHITE] = SPACE_MID
     table[0x110000] = END
     return table
@@ -125,14 +125,44 @@ def split_pieces(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
     return out
 
 
+def _byte_letters() -> dict[str, int]:
+    """The letters that stand for bytes in vocabulary files: visible Latin-1 characters for themselves, the other bytes
+    in order for the code points from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Vocabulary:
-    """Ranks of a byte-level BPE. path: a .tiktoken file of lines "base64 rank"."""
+    """Ranks of a byte-level BPE. path: a .tiktoken file of lines "base64 rank", or a .json file of vocabulary, merges,
+    added tokens and the steps before the model, which must be those that this module takes."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.special = ""  # the string that is one token wherever it stands
+        if path.endswith(".json"):
+            self._read_json(path)
+        else:
+            with open(path, "rb") as f:
+                self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
 
+    def _read_json(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        model, before, letters = said["model"], said["pre_tokenizer"] or {}, _byte_letters()
+        if said["normalizer"] or model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError(f"{path}: only byte-level BPE without a normalizer or prefix space")
+        plain = lambda word: bytes(letters[c] for c in word)
+        self.ranks = {plain(w): i for w, i in model["vocab"].items()}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [self.ranks[plain(a) + plain(b)] for a, b in merges]
+        if order != sorted(order) or model.get("ignore_merges"):
+            raise ValueError(f"{path}: merges must be in the order of their ids")
+        special = [t["content"] for t in said["added_tokens"]]
+        if len(special) > 1 or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
+            raise ValueError(f"{path}: at most one added token, which takes nothing beside it")
+        self.special = "".join(special)
+
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the pair of lowest rank is joined first, the leftmost of equal ones."""
         ranks = self.ranks
@@ -409,11 +439,13 @@ class PrefixTable:
         return best
 
 
-def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024, special: str = "<|endoftext|>", prefixes: bool = False) -> DataFrame:
+def with_token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 1024, special: str | None = None, prefixes: bool = False) -> DataFrame:
     """Operator 5: adds n_bytes, n_tokens, over_limit (n_tokens > limit) and fit_chars, the code points of the
     longest prefix within the limit, all read from prefix counts; prefixes=True adds prefix_counts array<int>,
-    the tokens of text[:i] for each i. `special` inside a text is one token; "" treats it as ordinary text.
+    the tokens of text[:i] for each i. `special` inside a text is one token (None: as the
+    vocabulary file says; "": nothing is).
     """
+    special = vocabulary(path).special if special is None else special
     small_batches(df.sparkSession)
     kept, schema = _with(df, "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint" + ", prefix_counts array<int>" * prefixes)
 

@@ -37,7 +37,7 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.with_token_counts(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), limit=1024).drop("text")
+    return bpe.with_token_counts(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=1024).drop("text")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ def test_counts_as_the_library(spark):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = [*HARD, *(r[0] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect())]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.with_token_counts(df, PATH).collect():
+    for r in bpe.with_token_counts(df, P.path("byte_bpe_50k.json")).collect():
         t = texts[r.doc_id] or ""
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(t.encode()), n, n > 1024)
