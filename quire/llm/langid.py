@@ -32,7 +32,7 @@ from .text import mix, small_batches, spans_hash, text_chunks, utf8
 #: Texts of each language that the model is learned from, at most: those of lowest xxhash64(doc_id).
 SAMPLE_ROWS = 600
 #: Code points of each sampled text that the model is learned from, at most.
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 4_000
 TABLE = 1 << 18
 #: Bytes of text whose sequences run side by side.
 SPAN_BYTES = 2 << 20
@@ -241,9 +241,9 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     part = known.where(F.pmod(hashed, F.lit(1 << 30)) <= F.element_at(bound, F.col(lang)) * (1 << 30))
     part = part.select(hashed.alias("_hash"), F.col(key).alias("_key"), F.left(F.col(text), F.lit(sample_chars)).alias("_text"), F.col(lang).alias("_lang"))
     order = W.partitionBy("_lang").orderBy("_hash", "_key", F.xxhash64("_text"))
-    rows = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_n", "_text", "_lang").collect()
-    rows = sorted(rows, key=lambda r: (r[0], r[2]))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    rows = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_n", "_text", "_lang").toArrow()
+    rows = rows.sort_by([("_n", "ascending"), ("_lang", "ascending")])
+    return fit(rows["_text"].to_pylist(), rows["_lang"].to_pylist())
 
 
 def with_language(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
