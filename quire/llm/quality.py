@@ -4,8 +4,10 @@ Boosted small trees over text statistics give root-to-node paths; each path is a
 regression keeps few of them with weights, and the kept rules are compiled into one Spark column expression. The
 statistics are column expressions too, so scoring runs in the JVM in one pass, without a shuffle.
 
-Null and empty texts have all statistics 0 and get a score like any other row. Labels that are null or not 0/1 do
-not teach; of repeated labels for one id the highest counts. Without both classes every score is the share of 1.
+Null and empty texts have all statistics 0 and get a score like any other row; very long texts are read whole; equal
+texts get equal scores. Labels that are null or not 0/1 do not teach; of repeated labels for one id the highest counts.
+Without both classes, or where no statistic tells them apart, every score is the share of 1. Columns of the input named
+score or predicted are replaced, others left alone. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -91,8 +93,9 @@ def _grow(x: np.ndarray, cuts: list[np.ndarray], bins: np.ndarray, g: np.ndarray
 
 def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth: int = 3, penalty: float = 1e-3, steps: int = 400) -> Rules:
     p = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    bias_of_all = math.log(p / (1 - p))
     if not len(y) or y.min() == y.max():
-        return Rules(math.log(p / (1 - p)), [])
+        return Rules(bias_of_all, [])
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, 64))) for j in range(x.shape[1])]
     cuts = [c[c < x[:, j].max()] for j, c in enumerate(cuts)]
     bins = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
@@ -103,6 +106,8 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 40, depth:
         rows = np.sort(rng.choice(len(y), max(1, int(len(y) * 0.7)), replace=False))
         _grow(x, cuts, bins, q - y, q * (1 - q) + 1e-9, rows, depth, (), paths, f, 0.2)
     paths = list(dict.fromkeys(tuple(sorted(set(p))) for p in paths))
+    if not paths:  # too few labels, or statistics that tell nothing apart
+        return Rules(bias_of_all, [])
     holds = np.ones((len(paths), len(y)), bool)
     for i, path in enumerate(paths):
         for j, at_most, bound in path:
