@@ -131,9 +131,27 @@ def roman(c: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), F.lower(F.trim(c)))
 
 
+#: Endings of hosts and of files by which an address is known.
+HOST_ENDINGS = "com org net edu gov mil int io co info biz us uk ca eu de fr au nl jp cn in ru br gov.uk ac.uk".split()
+FILE_ENDINGS = "pdf html htm php aspx asp jsp xml json csv tsv txt docx doc xlsx xls pptx ppt zip tar gz png jpeg jpg gif svg".split()
+
+
 def urlish(c: Column) -> Column:
-    """Looks like an address: scheme, mail, www, host with a known ending, DOI or path."""
-    return c.rlike(r"(?i)(?:^[a-z][a-z0-9+.-]*://|^[^\s@]+@[^\s@]+\.[a-z]{2,}|^www\.|^10\.\d{4,}/|^[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|edu|gov|io|de|fr|es|uk)(?:/|$)|^/?(?:[\w.-]+/){2,})")
+    """Looks like an address: a scheme, mail, www, a host or file of a known ending, a DOI, or a path."""
+    hosts, files = ("|".join(e.replace(".", r"\.") for e in x) for x in (HOST_ENDINGS, FILE_ENDINGS))
+    signs = ["://", "^mailto:", r"@[a-z0-9.-]+\.[a-z]{2,}", r"\bwww\.", rf"[a-z0-9-]+\.(?:{hosts})\b", rf"\.(?:{files})\b", r"\b10\.\d{4,}/", r"^\.{0,2}/", r"\\"]
+    return c.rlike("(?i)" + "|".join(f"(?:{x})" for x in signs))
+
+
+#: Words and short forms for a page.
+PAGE_WORDS = "page página pagina seite strona страница sayfa صفحة ページ 페이지".split()
+PAGE_SHORT = "p. pp. pág. pag. str. стр.".split()
+
+
+def page_number(c: Column) -> Column:
+    """The number after a word for page, in any case of letters, else null."""
+    words = "|".join(w.replace(".", r"\.") for w in [*PAGE_WORDS, *PAGE_SHORT])
+    return F.nullif(F.regexp_extract(digits(c), rf"(?iu)(?<!\p{{L}})(?:{words})\s*(\d+)", 1), F.lit("")).cast("bigint")
 
 
 def parse_ref(c: Column) -> Column:

@@ -196,6 +196,7 @@ def _rewrites(spark, d):
 
 
 @query(f"WITH {_RETAINED_SQL} SELECT doc_id, round(coalesce(r, 1), 6)::DOUBLE AS retained FROM p LEFT JOIN o USING (doc_id)")
+@query(f"WITH {_RETAINED_SQL} SELECT doc_id, round(coalesce(r, 1), 6)::DOUBLE AS retained FROM p LEFT JOIN o USING (doc_id)", name="shingle_retained_whole")
 def shingle_retained(spark, d):
     """Share of a text's three-character shingles, each as often as it occurs, that the next text of equal language holds too."""
     return _rewrites(spark, d).select("doc_id", F.round(T.retained("old", "new"), 6).alias("retained"))

@@ -209,8 +209,7 @@ def page_number(spark, d):
     """The number after a word for page, in several languages."""
     m, n = F.col("l_linenumber") % 4, F.col("l_partkey").cast("string")
     said = F.when(m == 0, F.concat(F.lit("see p. "), n)).when(m == 1, F.concat(F.lit("Seite "), n, F.lit(" ff"))).when(m == 2, F.concat(F.lit("Page "), n)).otherwise(F.concat(F.lit("chapter "), n))
-    found = F.nullif(F.regexp_extract(said, r"(?i)\b(?:pp?\.|page|seite|página|pagina)\s*(\d+)", 1), F.lit(""))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", found.cast("bigint").alias("page"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.page_number(said).alias("page"))
 
 
 # ---- measures -----------------------------------------------------------------------------------------------------
@@ -240,19 +239,24 @@ def mad(spark, d):
     return counts.join(middle, "l_returnflag").groupBy("l_returnflag").agg(F.percentile(F.abs(F.col("l_quantity") - F.col("_m")), F.lit(0.5), F.col("count")).alias("mad"))
 
 
+#: The share of the primary style's characters from which a style is a body style, and the ratios to the
+#: body's size above which a line is a heading, and below which a footnote or a caption.
+BODY_SHARE, HEADING, FOOTNOTE, CAPTION = 0.15, 1.2, 0.85, 0.95
+
+
 @query("SELECT p_brand, p_type, chars, chars = best AS is_primary, chars >= 0.15 * best AS is_body FROM (SELECT *, max(chars) OVER (PARTITION BY p_brand) AS best FROM (SELECT p_brand, p_type, sum(length(p_name))::BIGINT AS chars FROM part WHERE length(p_name) >= 4 GROUP BY 1, 2))")
 def style_profile(spark, d):
     """Characters by style in a document; body styles have at least 15 % of the most used one's. Short lines do not count."""
     n = table(spark, d, "part").where(F.length("p_name") >= 4).groupBy("p_brand", "p_type").agg(F.sum(F.length("p_name")).alias("chars"))
     best = F.max("chars").over(W.partitionBy("p_brand"))
-    return n.select("p_brand", "p_type", "chars", (F.col("chars") == best).alias("is_primary"), (F.col("chars") >= 0.15 * best).alias("is_body"))
+    return n.select("p_brand", "p_type", "chars", (F.col("chars") == best).alias("is_primary"), (F.col("chars") >= BODY_SHARE * best).alias("is_body"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 1.2 * body THEN 'heading' WHEN p_size < 0.85 * body THEN 'footnote' WHEN p_size < 0.95 * body THEN 'caption' ELSE 'body' END AS role FROM part JOIN (SELECT p_brand, avg(p_size) AS body FROM part GROUP BY 1) USING (p_brand)")
 def role(spark, d):
     p = table(spark, d, "part")
     size, body = F.col("p_size"), F.col("body")
-    kind = F.when(size > 1.2 * body, "heading").when(size < 0.85 * body, "footnote").when(size < 0.95 * body, "caption").otherwise("body")
+    kind = F.when(size > HEADING * body, "heading").when(size < FOOTNOTE * body, "footnote").when(size < CAPTION * body, "caption").otherwise("body")
     return p.join(p.groupBy("p_brand").agg(F.avg("p_size").alias("body")), "p_brand").select("p_partkey", kind.alias("role"))
 
 
