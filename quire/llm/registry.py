@@ -45,6 +45,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.round("probability", 6).alias("probability"), "kept")
 
 
+def op6_mixing_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name under which op6_mixing met its targets first."""
+    return op6_mixing(spark, sf_dir)
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     model = langid.learn(docs.where(fold("doc_id", 3) != 1))
@@ -70,10 +75,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op7_language, op8_nearest, op9_fingerprint, op10_main_text]
+    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can say it; the others are tested against brute force, a round trip or held-out rows."""
-    return {"op6_mixing": mixing.oracle()}
+    return dict.fromkeys(["op6_mixing", "op6_mixing_bounded"], mixing.oracle())
