@@ -35,7 +35,7 @@ SAMPLE_ROWS = 600
 SAMPLE_CHARS = 4_000
 TABLE = 1 << 18
 #: Bytes of text whose sequences run side by side.
-SPAN_BYTES = 2 << 20
+SPAN_BYTES = 1 << 20
 _OTHER = np.ones(256, bool)  # bytes between words: ASCII but letters
 _OTHER[97:123] = False
 _OTHER[128:] = False
