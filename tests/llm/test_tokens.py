@@ -63,11 +63,11 @@ def test_prefix_counts_are_those_of_each_prefix(spark):
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     texts = ["don't  stop\n\n now's it", "x<|endoftext|>y  <|endo", "naïve 🙂 café  ", "internationalisation 2024"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.with_token_counts(df, PATH, limit=5, prefixes=True).collect():
+    for r in bpe.with_token_counts(df, P.path("byte_bpe_50k.json"), limit=5, prefixes=True).collect():
         t = texts[r.doc_id]
         assert r.prefix_counts == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
 
 
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
-    assert bpe.with_bpe(none, PATH).count() == 0 and bpe.with_token_counts(none, PATH).count() == 0
+    assert bpe.with_bpe(none, PATH).count() == 0 and bpe.with_token_counts(none, P.path("byte_bpe_50k.json")).count() == 0
