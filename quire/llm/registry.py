@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, fingerprint, html, jaccard, langid, lm, mixing, quality
+from . import ann, audit, bpe, fingerprint, html, jaccard, langid, lm, mixing, quality
 from .text import fold
 
 
@@ -68,6 +68,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_documents(spark, sf_dir, "doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,10 +79,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text]
+    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text, op12_filter_audit]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can say it; the others are tested against brute force, a round trip or held-out rows."""
-    return dict.fromkeys(["op6_mixing", "op6_mixing_bounded"], mixing.oracle())
+    return {"op6_mixing": mixing.oracle(), "op6_mixing_bounded": mixing.oracle(), "op12_filter_audit": audit.oracle()}
