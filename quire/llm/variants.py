@@ -13,7 +13,8 @@ pair that differs right in the middle is counted by its first half only.
 A word's form is the most frequent of the words near it, if that is at least `ratio` times as frequent. Frequencies grow
 along forms, so following them ends; roots are found by doubling, and each round joins only words that have a form.
 
-Null and empty texts have no words; very long texts are read in stretches and very long words are sent by two hashes.
+Null and empty texts have no words; very long texts are read in stretches; very long words are indexed without
+their letters.
 Each row counts, repeated ones too. A null id reads as ''. Other columns are not read. An empty table gives no rows.
 """
 
@@ -36,6 +37,8 @@ LEAST_LENGTH, LEAST_COUNT = 7, 2
 RATIO = 10
 #: Words that a worker counts before it hands them on, and code points of text that it looks through at once.
 TALLY, STRETCH = 100_000, 1 << 20
+#: What has fewer letters sends its unequal half with each row of the index; the other words are looked up for each pair.
+LONG = 64
 _LETTER = "a-zÀ-ÿ"
 _GAP = re.compile(f"[^{_LETTER}]")
 #: Keys are sums modulo a prime, so that they stay longs for words of any length.
@@ -92,37 +95,55 @@ def _value(letter: Column) -> Column:
     return code * code * code * code * code
 
 
-def _entries(words: DataFrame) -> DataFrame:
-    """words: word, a, b (hashes that name it). Rows of the index: g (the hash of key, length and equal half), side,
-    letter (code of the one taken away, 0 for none), a, b."""
+def ranked(words: DataFrame) -> DataFrame:
+    """words: word, n, each once. Adds r, which grows with n and, where that is equal, against the order of words: of any
+    words the most frequent one, ties to the first in code-point order, is the one of largest r."""
+    return stored(words.orderBy("n", F.desc("word")).select("word", "n", F.monotonically_increasing_id().alias("r")), "words")
+
+
+#: What marks letters taken from the first half, where the second one is equal.
+_BACK = 512
+
+
+def _index(words: DataFrame, sent: bool) -> DataFrame:
+    """words: word, r. g: the hash of key, length and equal half; letter: code of the one taken away (0: none), above
+    _BACK where the second half is equal; r; half: the one that need not be equal, if it is to be sent."""
     w, n = F.col("word"), F.length("word")
     key = F.aggregate(F.split(w, ""), F.lit(0).cast("bigint"), lambda acc, c: F.pmod(acc + _value(c), F.lit(_PRIME)))
+    at, own = F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")
 
-    def under(side: str, key: Column, length: Column, half: Column, letter: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(side), key, length, half).alias("g"), F.lit(side).alias("side"), letter.cast("int").alias("letter"))
+    def under(back: int, key: Column, length: Column, equal: Column, other: Column, letter: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(back), key, length, equal).alias("g"), length.alias("size"), (letter + back).cast("int").alias("letter"), (other if sent else F.lit(None).cast("string")).alias("half"))
 
-    def without(side: str, half: Column, letters: str) -> Column:
-        return F.transform(F.array_distinct(F.split(F.col(letters), "")), lambda c: under(side, F.pmod(F.col("key") - _value(c), F.lit(_PRIME)), F.col("n") - 1, half, F.ascii(c)))
+    def without(back: int, equal: Column, other: Column, letters: Column) -> Column:
+        return F.transform(letters, lambda c: under(back, F.pmod(F.col("key") - _value(c), F.lit(_PRIME)), F.col("n") - 1, equal, other, F.ascii(c)))
 
-    at, own = F.floor((F.col("n") - 1) / 2).cast("int"), F.floor(F.col("n") / 2).cast("int")
-    rows = words.select("word", "a", "b", n.alias("n"), key.alias("key")).withColumns({"h": at, "front": F.left(w, at), "back": F.substr(w, at + 1)})
-    whole = F.array(under("front", F.col("key"), F.col("n"), F.left(w, own), F.lit(0)), under("back", F.col("key"), F.col("n"), F.substr(w, own + 1), F.lit(0)))
-    each = F.concat(whole, without("front", F.col("front"), "back"), without("back", F.substr(w, F.col("h") + 2), "front"))
-    return rows.select("a", "b", F.explode(each).alias("e")).select("e.*", "a", "b")
+    rows = words.select("word", "r", n.alias("n"), key.alias("key")).withColumn("h", at)
+    first, second = F.left(w, F.col("h")), F.substr(w, F.col("h") + 1)
+    whole = F.array(under(0, F.col("key"), F.col("n"), F.left(w, own), F.substr(w, own + 1), F.lit(0)), under(_BACK, F.col("key"), F.col("n"), F.substr(w, own + 1), F.left(w, own), F.lit(0)))
+    less = [without(0, first, second, F.array_distinct(F.split(second, ""))), without(_BACK, F.substr(w, F.col("h") + 2), F.left(w, F.col("h") + 1), F.array_distinct(F.split(first, "")))]
+    made = rows.select("r", F.explode(F.concat(whole, *less)).alias("e"))
+    return made.where(F.col("e.size") < LONG if sent else F.col("e.size") >= LONG).select("e.g", "e.letter", "r", "e.half")
+
+
+def _met(words: DataFrame, sent: bool) -> DataFrame:
+    index = _index(words, sent)  # both sides of the join have the same columns and read one shuffle
+    x, y = (index.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("letter", "r", "half")]) for s in "xy")
+    return x.join(y, "g").where("letter_x <> letter_y")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
-    """words: word, n, each once. word, other, other_n: both ways, all that differ by exactly one code point."""
-    named = stored(words.select("word", "n", F.xxhash64("word").alias("a"), F.xxhash64(F.lit("b"), "word").alias("b")), "words")
-    index = _entries(named)
-    x, y = (index.select("g", "side", *[F.col(c).alias(f"{c}_{s}") for c in ("letter", "a", "b")]) for s in "xy")
-    pairs = x.join(y.drop("side"), "g").where("letter_x <> letter_y").select("side", "a_x", "b_x", "a_y", "b_y")
-    one = named.select(F.col("word"), F.col("a").alias("a_x"), F.col("b").alias("b_x"))
-    two = named.select(F.col("word").alias("other"), F.col("n").alias("other_n"), F.col("a").alias("a_y"), F.col("b").alias("b_y"))
-    both = pairs.join(one, ["a_x", "b_x"]).join(two, ["a_y", "b_y"])
-    half = F.floor((F.greatest(F.length("word"), F.length("other")) - 1) / 2).cast("int")
-    once = (F.col("side") == "front") | (F.left(F.col("word"), half) != F.left(F.col("other"), half))
-    return both.where((F.levenshtein("word", "other", 1) == 1) & once).select("word", "other", "other_n")
+    """words: word, r. r_x, r_y: both ways, all pairs that differ by exactly one code point, each once."""
+    short = _met(words.where(F.length("word") <= LONG), True)
+    ahead = lambda s: F.left(F.col(f"half_{s}"), F.length(f"half_{s}") - (F.col(f"letter_{s}") > _BACK).cast("int"))
+    alike = (F.levenshtein("half_x", "half_y", 1) == 1) & ((F.col("letter_x") < _BACK) | (ahead("x") != ahead("y")))
+    pairs = short.where(alike).select("r_x", "r_y")
+    more = words.where(F.length("word") >= LONG)
+    one, two = more.select(F.col("word").alias("x"), F.col("r").alias("r_x")), more.select(F.col("word").alias("y"), F.col("r").alias("r_y"))
+    half = F.floor((F.greatest(F.length("x"), F.length("y")) - 1) / 2).cast("int")
+    both = _met(more, False).select("letter_x", "r_x", "r_y").join(one, "r_x").join(two, "r_y")
+    once = (F.col("letter_x") < _BACK) | (F.left("x", half) != F.left("y", half))
+    return pairs.unionByName(both.where((F.levenshtein("x", "y", 1) == 1) & once).select("r_x", "r_y"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -140,10 +161,10 @@ def variants(df: DataFrame, key: str = "doc_id", text: str = "text", damage: int
     """word, n, n_near, form, form_n, root: one row for each word of at least `least` code points and `count`
     occurrences. form: its near word of largest n, ties to the first in code-point order, if that n is at least ratio
     times the word's; root: the last word when forms are followed."""
-    words = stored(word_counts(df, key, text, damage, least).where((F.length("word") >= least) & (F.col("n") >= count)), "counts")
-    best = F.min(F.struct((-F.col("other_n")).alias("less"), F.col("other").alias("form")))
-    near = near_pairs(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    rows = words.join(near, "word", "left").withColumn("held", -F.col("best.less") >= ratio * F.col("n"))
-    rows = stored(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("held"), F.col("best.form")).alias("form"), F.when(F.col("held"), -F.col("best.less")).alias("form_n")), "variants")
+    words = ranked(stored(word_counts(df, key, text, damage, least).where((F.length("word") >= least) & (F.col("n") >= count)), "counts"))
+    near = near_pairs(words.select("word", "r")).groupBy(F.col("r_x").alias("r")).agg(F.count(F.lit(1)).alias("n_near"), F.max("r_y").alias("best"))
+    top = words.select(F.col("r").alias("best"), F.col("word").alias("form"), F.col("n").alias("form_n"))
+    rows = words.join(near, "r", "left").join(top, "best", "left").withColumn("held", F.col("form_n") >= ratio * F.col("n"))
+    rows = stored(rows.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("held"), F.col("form")).alias("form"), F.when(F.col("held"), F.col("form_n")).alias("form_n")), "variants")
     last = roots(rows.where("form IS NOT NULL"))
     return rows.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
