@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, fingerprint, html, jaccard, langid, lm, mixing, quality, variants
+from . import ann, audit, bpe, fingerprint, html, jaccard, langid, lm, mixing, outliers, quality, variants
 from .text import fold
 
 
@@ -68,6 +68,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.with_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
 
+def op11_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.verdicts(_documents(spark, sf_dir, "doc_id", "text", "lang", "source"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_documents(spark, sf_dir, "doc_id", "text", "source"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -83,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text, op12_filter_audit, op13_spelling_variants]
+    own = [op1_byte_bpe, op2_quality, op3_lm_score, op4_jaccard_join, op5_token_counts, op6_mixing, op6_mixing_bounded, op7_language, op8_nearest, op9_fingerprint, op10_main_text, op11_outliers, op12_filter_audit, op13_spelling_variants]
     return {f.__name__: f for f in own} | {"pipeline": pipeline}
 
 
