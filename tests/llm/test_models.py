@@ -69,9 +69,10 @@ def test_lm_without_training_rows(spark):
     assert lm.with_lm_score(df, lm.learn(df.limit(0))).count() == 1
 
 
-def test_mixture_as_sql_gives_it(spark, duck):
-    df = registry.op6_mixing(spark, str(DATA))
-    asked = duck.execute(mixing.oracle())
+@pytest.mark.parametrize("capped", [False, True])
+def test_mixture_as_sql_gives_it(spark, duck, capped):
+    df = (registry.op6_mixing_bounded if capped else registry.op6_mixing)(spark, str(DATA))
+    asked = duck.execute(mixing.oracle(capped=capped))
     names = [x[0] for x in asked.description]
     assert sorted_rows(df.columns, df.collect()) == sorted_rows(names, asked.fetchall())
 
@@ -105,6 +106,25 @@ def test_mixture_meets_targets_on_skewed_tables(spark, docs, whole):
     assert taken / total >= min(0.5, *room) * 0.5
 
 
+def test_capped_targets_by_filling(spark):
+    """Shares to the power 0.5 are filled up together, each to its cap at most, until they sum to 1."""
+    rows = [(i, "a b c d", "s1" if i % 20 else "s2", "de" if i % 30 else "fr") for i in range(1800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = mixing.mixed(df, topic_of=F.lit("t"), capped=True).collect()
+    total, taken = sum(r._tokens for r in got), sum(r._tokens * r.probability for r in got)
+    for m in ("_source", "_lang"):
+        have, kept = Counter(), Counter()
+        for r in got:
+            have[r[m]] += r._tokens / total
+            kept[r[m]] += r._tokens * r.probability / taken
+        low, high = 0.0, 100.0
+        for _ in range(100):
+            by = (low + high) / 2
+            low, high = (by, high) if sum(min(by * v**0.5, v / 0.5) for v in have.values()) < 1 else (low, by)
+        assert all(math.isclose(kept[k], min(low * v**0.5, v / 0.5), rel_tol=0.002) for k, v in have.items())
+    assert math.isclose(taken / total, 0.5, rel_tol=0.01)
+
+
 def test_forward_backward_as_all_paths_give_it():
     rng = np.random.default_rng(0)
     emit, moves, begin = rng.normal(size=(7, 3)), rng.normal(size=(3, 3)), rng.normal(size=3)
