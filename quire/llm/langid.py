@@ -22,7 +22,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -31,8 +31,9 @@ from .text import mix, small_batches, spans_hash, text_chunks, utf8
 
 #: Texts of each language that the model is learned from, at most: those of lowest xxhash64(doc_id).
 SAMPLE_ROWS = 600
-#: Code points of each sampled text that the model is learned from, at most.
-SAMPLE_CHARS = 4_000
+#: Code points of each sampled text that the model is learned from, at most: of longer texts so many stretches, evenly
+#: spaced from the beginning to the end.
+SAMPLE_CHARS, STRETCHES = 4_000, 8
 TABLE = 1 << 18
 #: Bytes of text whose sequences run side by side.
 SPAN_BYTES = 1 << 20
@@ -226,8 +227,17 @@ def fit(texts: list[str], langs: list[str], rounds: int = 80, lines: int = 200,
 LENIENCY = 0.5, 0.75
 
 
+def _spread(text: Column, chars: int) -> Column:
+    """text, or stretches of it that together have at most `chars` code points."""
+    size = (chars - STRETCHES) // STRETCHES
+    begin = lambda i: F.floor(i * (F.length(text) - size) / (STRETCHES - 1)).cast("int") + 1
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substr(text, begin(i), F.lit(size)))
+    return F.when(F.length(text) > chars, F.array_join(parts, "\n")).otherwise(text)
+
+
 def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """df: the rows to learn from. At most sample_rows texts of each language reach the driver, sample_chars of each.
+    """df: the rows to learn from. At most sample_rows texts of each language reach the driver, of each
+    sample_chars code points from all of the text.
 
     A language's texts are those of lowest hash of the key: first all rows below a bound that leaves about twice as
     many as are wanted, in one pass, then the lowest of these.
@@ -239,7 +249,7 @@ def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     bound = F.create_map(*[F.lit(v) for n, c in sizes for v in (n, min(1.0, (2 * sample_rows + 100) / c))])
     hashed = F.xxhash64(F.col(key))
     part = known.where(F.pmod(hashed, F.lit(1 << 30)) <= F.element_at(bound, F.col(lang)) * (1 << 30))
-    part = part.select(hashed.alias("_hash"), F.col(key).alias("_key"), F.left(F.col(text), F.lit(sample_chars)).alias("_text"), F.col(lang).alias("_lang"))
+    part = part.select(hashed.alias("_hash"), F.col(key).alias("_key"), _spread(F.col(text), sample_chars).alias("_text"), F.col(lang).alias("_lang"))
     order = W.partitionBy("_lang").orderBy("_hash", "_key", F.xxhash64("_text"))
     rows = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_n", "_text", "_lang").toArrow()
     rows = rows.sort_by([("_n", "ascending"), ("_lang", "ascending")])
