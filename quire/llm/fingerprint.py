@@ -4,7 +4,7 @@ A text's paragraphs (lines, cut again after sentence ends and after each eight w
 around them does not count. In scripts without spaces a code point is a word, and longer words count as one for each
 24 code points, so texts without any space are cut too. Each is hashed into a wide vector, and
 vectors are summed lane by lane modulo a power of two: 8 wide lanes of 32 bits that tell multisets apart, and 128
-narrow lanes of 16 bits that count hash bits, packed four to a long. Sums do not depend on order, and adding or
+narrow lanes of 32 bits that count hash bits, packed two to a long. Sums do not depend on order, and adding or
 subtracting a paragraph's vector inserts or deletes it. Narrow lanes, read as signs, are a random projection of the
 multiset, so their cosine tells how alike two texts are; equal fingerprints have likeness 1.
 
@@ -20,9 +20,10 @@ from pyspark.sql import Window as W
 
 from .text import fresh
 
-WIDE, PACKS = 4, 32
-#: One bit, and the 14 bits that are kept, in each of a long's four narrow lanes.
-_ONE, _KEPT = 0x0001000100010001, 0x3FFF3FFF3FFF3FFF
+WIDE, PACKS = 4, 64
+#: One bit in each of a long's two narrow lanes. A lane counts paragraphs of one text, which are fewer than 2**30: a text
+#: has less than 2**31 bytes, and a paragraph and what parts it from the next two at least. So no lane runs over.
+_ONE, _LANE = 0x0000000100000001, 32
 _LOW = 0xFFFFFFFF
 
 
@@ -44,20 +45,20 @@ def hashes(text: Column) -> Column:
 def lanes(hashed: Column) -> Column:
     """The fingerprint as array<bigint>: wide lanes, number of paragraphs, packs of narrow lanes."""
 
-    def total(f, kept: int) -> Column:
-        return F.aggregate(hashed, F.lit(0).cast("bigint"), lambda acc, h: acc.bitwiseAND(F.lit(kept)) + f(h)).bitwiseAND(F.lit(kept))
+    def total(f) -> Column:
+        return F.aggregate(hashed, F.lit(0).cast("bigint"), lambda acc, h: acc + f(h))
 
     def wide(k: int):
         return lambda h: h["a"] if k == 0 else h["b"] if k == 1 else F.xxhash64(F.lit(k), h["a"], h["b"])
 
-    low = [total(lambda h, k=k: wide(k)(h).bitwiseAND(F.lit(_LOW)), _LOW) for k in range(WIDE)]
-    high = [total(lambda h, k=k: F.shiftrightunsigned(wide(k)(h), 32), _LOW) for k in range(WIDE)]
-    packs = [total(lambda h, j=j: F.shiftrightunsigned(h["a"] if j < 16 else h["b"], j % 16).bitwiseAND(F.lit(_ONE)), _KEPT) for j in range(PACKS)]
+    low = [total(lambda h, k=k: wide(k)(h).bitwiseAND(F.lit(_LOW))).bitwiseAND(F.lit(_LOW)) for k in range(WIDE)]
+    high = [total(lambda h, k=k: F.shiftrightunsigned(wide(k)(h), 32)).bitwiseAND(F.lit(_LOW)) for k in range(WIDE)]
+    packs = [total(lambda h, j=j: F.shiftrightunsigned(h["a"] if j < _LANE else h["b"], j % _LANE).bitwiseAND(F.lit(_ONE))) for j in range(PACKS)]
     return F.array(*low, *high, F.size(hashed).cast("bigint"), *packs)
 
 
 def _lane(pack: Column, k: int) -> Column:
-    return F.shiftrightunsigned(pack, 16 * k).bitwiseAND(F.lit(0x3FFF))
+    return F.shiftrightunsigned(pack, _LANE * k).bitwiseAND(F.lit(_LOW))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
@@ -66,8 +67,8 @@ def combine(a: Column, b: Column, sign: int = 1) -> Column:
     packs = []
     for j in range(PACKS):
         x, y = F.get(a, 2 * WIDE + 1 + j), F.get(b, 2 * WIDE + 1 + j)
-        parts = [F.shiftleft(F.pmod(_lane(x, k) + sign * _lane(y, k), F.lit(1 << 14)), 16 * k) for k in range(4)]
-        packs.append(parts[0].bitwiseOR(parts[1]).bitwiseOR(parts[2]).bitwiseOR(parts[3]))
+        parts = [F.shiftleft(F.pmod(_lane(x, k) + sign * _lane(y, k), F.lit(1 << _LANE)), _LANE * k) for k in range(2)]
+        packs.append(parts[0].bitwiseOR(parts[1]))
     return F.array(*wide, F.get(a, 2 * WIDE) + sign * F.get(b, 2 * WIDE), *packs)
 
 
@@ -76,13 +77,13 @@ def hexed(v: Column) -> Column:
 
 
 def signs(v: Column) -> Column:
-    """Narrow lanes as sums of signs: twice the count less the number of paragraphs, the residue nearest 0."""
+    """Narrow lanes as sums of signs: twice the count less the number of paragraphs."""
     n = F.get(v, 2 * WIDE)
 
     def sign(pack: Column, k: int) -> Column:
-        return (F.pmod(2 * _lane(pack, k) - n + (1 << 14), F.lit(1 << 15)) - (1 << 14)).cast("double")
+        return (2 * _lane(pack, k) - n).cast("double")
 
-    return F.flatten(F.transform(F.slice(v, 2 * WIDE + 2, PACKS), lambda p: F.array(*[sign(p, k) for k in range(4)])))
+    return F.flatten(F.transform(F.slice(v, 2 * WIDE + 2, PACKS), lambda p: F.array(*[sign(p, k) for k in range(2)])))
 
 
 def likeness(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:

@@ -194,9 +194,27 @@ def test_recall_on_vectors_that_were_not_fitted(spark):
     assert np.mean(hits) >= 0.9 and share < 0.3
 
 
+def test_samples_come_from_the_whole_text(spark):
+    text = "".join(f"{i:06d}" for i in range(5000))
+    got = spark.createDataFrame([(text,), ("short",), (None,), ("x" * 4000,)], "t string").select(langid._spread(F.col("t"), langid.SAMPLE_CHARS).alias("s")).collect()
+    parts = got[0].s.split("\n")
+    assert len(parts) == langid.STRETCHES and len(got[0].s) <= langid.SAMPLE_CHARS and got[1].s == "short" and got[2].s is None and got[3].s == "x" * 4000
+    assert text.startswith(parts[0]) and text.endswith(parts[-1]) and all(p in text for p in parts)
+    gaps = np.diff([text.index(p) for p in parts])
+    assert gaps.max() - gaps.min() <= 1
+
+
 # ---- 9 fingerprints ------------------------------------------------------------------------------------------------
 
 
+def test_likeness_of_very_long_repetitive_texts(spark):
+    rows = [(1, "one line of it.\n" * 20_000), (2, "one line of it.\n" * 5_000), (3, ("one line of it.\n" + "quite another one.\n") * 40_000), (4, "quite another one.\n" * 10)]
+    by = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[1].near_next > 0.999 and by[1].near_edited > 0.999
+    assert 0.5 < by[3].near_next < 0.95 and by[2].fingerprint != by[1].fingerprint
+
+
+
 def test_texts_without_spaces_and_rows_without_id(spark):
     han = [chr(0x4E00 + k) for k in np.random.default_rng(1).permutation(4000)[:600]]
     a, b = "".join(han[:400]), "".join(han[:200] + han[400:])
