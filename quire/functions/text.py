@@ -112,6 +112,14 @@ def fnv1a(c: Column) -> Column:
     return F.aggregate(points, F.lit(0x811C9DC5).cast("bigint"), lambda acc, x: F.pmod(acc.bitwiseXOR(x) * 0x01000193, F.lit(1 << 32)))
 
 
+def date_group(at: Column, now: Column) -> Column:
+    """Today, Yesterday, This Week (from Sunday on), This Month or Older; both in the session's time."""
+    day, today = at.cast("date"), now.cast("date")
+    sunday = lambda d: F.date_sub(d, F.dayofweek(d) - 1)
+    out = F.when(day == today, "Today").when(day == F.date_sub(today, 1), "Yesterday").when(sunday(day) == sunday(today), "This Week")
+    return out.when(F.trunc(day, "month") == F.trunc(today, "month"), "This Month").otherwise("Older")
+
+
 def digits(c: Column) -> Column:
     """Digits of five other scripts as ASCII digits."""
     rows = ["٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९", "০১২৩৪৫৬৭৮৯", "０１２３４５６７８９"]

@@ -163,6 +163,51 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return latest(both, keys, [F.desc(version), F.desc("_new")]).drop("_new")
 
 
+def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `new`, and those of `old` whose keys it doesn't have. Keys of `new` are unique."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def delete_unchanged(now: DataFrame, read: DataFrame, keys: list[str]) -> DataFrame:
+    """now without the rows that are as they were read; what has changed since stays. `read` has the columns of `now`."""
+    same = [F.col(f"n.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in now.columns]
+    met = all_of([F.col(f"n.`{c}`") == F.col(f"r.`{c}`") for c in keys])
+    return now.alias("n").join(read.alias("r"), met & all_of(same), "left_anti")
+
+
+def managed(tree: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """tree: id, parent, name, deleted. actions: id, action (rename, move or delete), name, parent; one for each id.
+
+    The tree afterwards, and of each action its `error` (null where it is done). A collection is not moved into itself,
+    below itself, to where it is, or to one that isn't there; not deleted while it has others in it; not renamed to
+    nothing or to its own name. Actions are judged by the tree as it is; of moves that would make a circle together all
+    are refused.
+    """
+    live = tree.where("NOT deleted").select("id", F.col("parent").alias("at"), F.col("name").alias("own"))
+    asked = actions.join(live, "id", "left").withColumn("_there", F.col("own").isNotNull() | F.col("at").isNotNull())
+    goal = live.select(F.col("id").alias("parent"), F.lit(True).alias("_goal"))
+    children = live.where("at IS NOT NULL").groupBy(F.col("at").alias("id")).agg(F.count(F.lit(1)).alias("_inner"))
+    asked = asked.join(goal, "parent", "left").join(children, "id", "left")
+    error = (
+        F.when(~F.col("_there"), "not found").when(~F.col("action").isin("rename", "move", "delete"), "unsupported action")
+        .when((F.col("action") == "rename") & (F.coalesce(F.trim("name"), F.lit("")) == ""), "empty name").when((F.col("action") == "rename") & (F.trim("name") == F.col("own")), "same name")
+        .when((F.col("action") == "move") & F.col("parent").eqNullSafe(F.col("id")), "into itself").when((F.col("action") == "move") & F.col("parent").isNotNull() & F.col("_goal").isNull(), "parent not found")
+        .when((F.col("action") == "move") & F.col("parent").eqNullSafe(F.col("at")), "already there").when((F.col("action") == "delete") & F.col("_inner").isNotNull(), "has collections in it")
+    )
+    judged = stored(asked.select("id", "action", F.trim("name").alias("name"), "parent", error.alias("error")), "actions")
+    moves = judged.where("action = 'move' AND error IS NULL").select("id", F.col("parent").alias("to"), F.lit(True).alias("_moved"))
+    # circles of the tree as it would be and of the tree as it is: what is above a moved one, until nothing new is met
+    after = live.join(moves, "id", "left").select(F.col("id").alias("child"), F.when(F.col("_moved"), F.col("to")).otherwise(F.col("at")).alias("parent")).where("parent IS NOT NULL")
+    above = closure(after.select(F.col("child").alias("parent"), F.col("parent").alias("child")), moves.select(F.col("id").alias("root")))
+    met = above.join(after, above["node"] == after["child"]).where(F.col("parent") == F.col("root")).select(F.col("root").alias("id"), F.lit(True).alias("_circle")).distinct()
+    below = closure(live.where("at IS NOT NULL").select(F.col("at").alias("parent"), F.col("id").alias("child")), moves.select(F.col("id").alias("root")))
+    inside = moves.join(below, (below["root"] == moves["id"]) & (below["node"] == moves["to"])).select("id", F.lit(True).alias("_inside")).distinct()
+    said = judged.join(met, "id", "left").join(inside, "id", "left").withColumn("error", F.coalesce("error", F.when(F.col("_inside") | F.col("_circle"), "below itself"))).drop("_circle", "_inside")
+    done = said.where("error IS NULL").select("id", F.col("action").alias("_action"), F.col("name").alias("_name"), F.col("parent").alias("_parent"))
+    new = tree.join(done, "id", "left").select("id", F.when(F.col("_action") == "move", F.col("_parent")).otherwise(F.col("parent")).alias("parent"), F.when(F.col("_action") == "rename", F.col("_name")).otherwise(F.col("name")).alias("name"), (F.col("deleted") | F.coalesce(F.col("_action") == "delete", F.lit(False))).alias("deleted"))
+    return new, said.select("id", "action", "error")
+
+
 def markers(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """A marker of each group: its number of rows and, in base 36, a 32-bit rolling hash over their texts in order.
 

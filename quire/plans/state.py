@@ -12,78 +12,136 @@ from pyspark.sql import Window as W
 from .. import streaming
 from ..functions import text as T
 from ..operators import entities as E
-from ..sources import table
+from ..operators import queue as Q
+from ..sources import stored_once, table
+from ..sources.snapshots import Snapshots
+from ..streaming import folds
 from .catalog import query
 
-#: Retries of a job, seconds of the first wait and of the longest, the highest priority.
-ATTEMPTS, WAIT, LONGEST_WAIT, CEILING = 3, 60, 1800, 100
+#: Events that are no errors ask for jobs; errors are failed attempts of the job of their key.
+_KEY = ["user_id", "kind"]
+_EVENTS_SQL = "e AS (SELECT user_id, ['extract', 'embed', 'upload'][(event_id % 3 + 1)::INT] AS kind, event_id, ts, event_type, (props->>'k')::BIGINT AS p, CASE WHEN value > 20 THEN 'pdf' ELSE 'epub' END AS content, props FROM events), now AS (SELECT max(ts) AS now FROM events)"
+#: The requests of each key replayed one by one, as the statement that inserts or updates a job says.
+_JOBS_SQL = (
+    _EVENTS_SQL + ", q AS (SELECT user_id, kind, list_reduce(list({'priority': coalesce(p, 100), 'enqueued': ts, 'available': ts, 'content': content, 'payload': props, 'since': event_id, 'asked': 1::BIGINT} ORDER BY event_id),"
+    " lambda j, r: {'priority': least(j.priority, r.priority), 'enqueued': j.enqueued, 'available': least(j.available, r.available), 'content': r.content, 'payload': CASE WHEN j.content <> r.content OR r.priority < j.priority THEN r.payload ELSE j.payload END,"
+    " 'since': CASE WHEN j.content <> r.content OR r.priority < j.priority THEN r.since ELSE j.since END, 'asked': j.asked + 1}) AS j FROM e WHERE event_type <> 'error' GROUP BY 1, 2),"
+    " f AS (SELECT e.user_id, e.kind, least(count(*), 2)::BIGINT AS attempts, max(e.ts) AS tried FROM e JOIN q ON e.user_id = q.user_id AND e.kind = q.kind AND e.event_id > q.j.since WHERE event_type = 'error' GROUP BY 1, 2),"
+    " j AS (SELECT user_id, kind, j.priority AS priority, j.enqueued AS enqueued, CASE WHEN attempts IS NULL THEN j.available ELSE tried + to_seconds(least(60 * 2 ** (attempts - 1), 1800)::BIGINT) END AS available, j.content AS content, j.payload AS payload, j.asked AS asked, coalesce(attempts, 0)::BIGINT AS attempts FROM q LEFT JOIN f USING (user_id, kind))"
+)
+
 
-_JOBS_SQL = "j AS (SELECT user_id, event_type AS kind, max(least(coalesce((props->>'$.k')::BIGINT, 0), 100)) AS priority, min(ts) AS queued, count(*)::BIGINT AS asked, (max(event_id) % 4)::BIGINT AS attempts FROM events GROUP BY 1, 2)"
+def _events(spark, d):
+    kind = F.get(F.array(*map(F.lit, ("extract", "embed", "upload"))), (F.col("event_id") % 3).cast("int"))
+    content = F.when(F.col("value") > 20, "pdf").otherwise("epub")
+    return table(spark, d, "events").select("user_id", kind.alias("kind"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("priority"), content.alias("content"), F.col("props").alias("payload"))
 
 
 def _jobs(spark, d):
-    """One job for each key: the highest priority asked for, the first time it was queued, attempts so far."""
-    e = table(spark, d, "events").withColumn("p", F.least(F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)), F.lit(CEILING)))
-    return e.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max("p").cast("bigint").alias("priority"), F.min("ts").alias("queued"), F.count(F.lit(1)).alias("asked"), (F.max("event_id") % 4).alias("attempts"))
+    """The queue after all requests, with the failed attempts since each job last began."""
+    e = _events(spark, d)
+    jobs = Q.enqueued(e.where("event_type <> 'error'").drop("event_type"), _KEY)
+    errors = e.where("event_type = 'error'").select(*_KEY, F.col("seq").alias("failed"), "at").join(jobs.select(*_KEY, "since"), _KEY).where("failed > since")
+    tried = errors.groupBy(*_KEY).agg(F.least(F.count(F.lit(1)), F.lit(Q.ATTEMPTS - 1)).alias("attempts"), F.max("at").alias("_last"))
+    jobs = jobs.join(tried, _KEY, "left").withColumn("available", F.when(F.col("attempts").isNull(), F.col("available")).otherwise(Q.after(F.col("_last"), Q.wait(F.col("attempts")))))
+    return jobs.select(*_KEY, "priority", "enqueued", "available", "content", "payload", "asked", F.coalesce("attempts", F.lit(0)).cast("bigint").alias("attempts"))
+
 
+def _now(spark, d):
+    """The time of the last event, one row."""
+    return F.lit(table(spark, d, "events").agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, queued, asked FROM j")
+
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, enqueued, content, payload, asked FROM j")
 def queue_enqueue(spark, d):
-    return _jobs(spark, d).drop("attempts")
+    return _jobs(spark, d).drop("available", "attempts")
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority FROM j WHERE attempts < 3 ORDER BY priority DESC, queued, user_id, kind LIMIT 1")
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, available FROM j ORDER BY priority, available, user_id, kind LIMIT 100")
 def queue_peek(spark, d):
-    return _claimable(spark, d).limit(1).select("user_id", "kind", "priority")
+    """The head of the queue: most urgent first, then what has been available longest."""
+    return Q.head(_jobs(spark, d), _KEY, 100).select(*_KEY, "priority", "available")
 
 
-def _claimable(spark, d):
-    return _jobs(spark, d).where(F.col("attempts") < ATTEMPTS).orderBy(F.desc("priority"), "queued", "user_id", "kind")
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, attempts, now + INTERVAL 6 MINUTE AS available FROM j, now WHERE available <= now ORDER BY priority, j.available, user_id, kind LIMIT 1")
+def queue_claim(spark, d):
+    """The next job, with a lease of six minutes."""
+    return Q.claimed(_jobs(spark, d), _KEY, _now(spark, d)).select(*_KEY, "priority", "attempts", "available")
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, attempts + 1 AS attempts, queued + INTERVAL 6 MINUTE AS lease FROM j WHERE attempts < 3 ORDER BY priority DESC, queued, user_id, kind LIMIT 8")
-def queue_claim(spark, d):
-    """The next eight jobs, each with one more attempt and a lease of six minutes."""
-    return _claimable(spark, d).limit(8).select("user_id", "kind", "priority", (F.col("attempts") + 1).alias("attempts"), (F.col("queued") + F.expr("interval 6 minutes")).alias("lease"))
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, attempts + 1 AS attempts, now + to_seconds(least(60 * 2 ** attempts, 1800)::BIGINT) AS available, content FROM j, now WHERE attempts + 1 < 3")
+def queue_fail(spark, d):
+    """Jobs that fail once more and will be tried again, with the time from which on."""
+    again, _ = Q.failed(_jobs(spark, d), _now(spark, d), F.lit("timeout:extract"))
+    return again.select(*_KEY, "attempts", "available", "content")
 
 
-def backoff(attempts):
-    """Seconds to wait: doubled with each attempt, with a ceiling."""
-    return F.least(F.lit(WAIT) * F.pow(F.lit(2), attempts - 1), F.lit(LONGEST_WAIT)).cast("bigint")
+@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, content, payload, enqueued, now AS died, attempts + 1 AS attempts, 'timeout:extract' AS error FROM j, now WHERE attempts + 1 >= 3")
+def queue_dead(spark, d):
+    """Jobs that fail for the last time, as rows of the table of dead ones."""
+    _, dead = Q.failed(_jobs(spark, d), _now(spark, d), F.lit("timeout:extract"))
+    return dead.select(*_KEY, "content", "payload", "enqueued", "died", "attempts", "error")
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, CASE WHEN attempts >= 3 THEN 'dead' ELSE 'waiting' END AS state, CASE WHEN attempts < 3 THEN least(60 * pow(2, attempts - 1), 1800)::BIGINT END AS wait_s FROM j WHERE attempts > 0")
-def queue_fail(spark, d):
-    n = F.col("attempts")
-    return _jobs(spark, d).where("attempts > 0").select("user_id", "kind", F.when(n >= ATTEMPTS, "dead").otherwise("waiting").alias("state"), F.when(n < ATTEMPTS, backoff(n)).alias("wait_s"))
+@query(f"WITH {_JOBS_SQL} SELECT kind, count(*)::BIGINT AS jobs, count(*) FILTER (attempts = 0)::BIGINT AS fresh, count(*) FILTER (available <= now)::BIGINT AS visible, min(priority)::BIGINT AS top FROM j, now GROUP BY kind")
+def queue_stats(spark, d):
+    now = _now(spark, d)
+    return _jobs(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("attempts") == 0).alias("fresh"), F.count_if(F.col("available") <= now).alias("visible"), F.min("priority").alias("top"))
 
 
-@query("SELECT n, least(60 * pow(2, n - 1), 1800)::BIGINT AS wait_s FROM range(1, 9) t(n)", name="backoff")
-def backoff_table(spark, d):
-    return spark.range(1, 9).select(F.col("id").alias("n"), backoff(F.col("id")).alias("wait_s"))
+@query(
+    "WITH r AS (SELECT event_id, ['ok', 'external_abort', 'cached_error', 'timeout', 'response_error', 'response_error'][(event_id % 6 + 1)::INT] AS result, CASE WHEN event_id % 4 = 0 THEN 'download_failed' WHEN event_id % 4 = 1 THEN 'worker_unavailable' ELSE event_type END AS code FROM events)"
+    " SELECT event_id, CASE result WHEN 'external_abort' THEN 'release' WHEN 'timeout' THEN 'fail' WHEN 'response_error' THEN CASE WHEN code IN ('download_failed', 'worker_unavailable') THEN 'fail' ELSE 'complete' END ELSE 'complete' END AS action,"
+    " CASE result WHEN 'cached_error' THEN 'cached_error:' || code WHEN 'timeout' THEN 'timeout:fetch' WHEN 'response_error' THEN CASE WHEN code IN ('download_failed', 'worker_unavailable') THEN code || ': no reply' ELSE 'terminal:' || code END ELSE result END AS reason FROM r"
+)
+def job_outcome(spark, d):
+    """What becomes of a job by the result that came back: events as results of every kind."""
+    kinds = F.array(*map(F.lit, ("ok", "external_abort", "cached_error", "timeout", "response_error", "response_error")))
+    k = F.col("event_id") % 4
+    code = F.when(k == 0, "download_failed").when(k == 1, "worker_unavailable").otherwise(F.col("event_type"))
+    rows = table(spark, d, "events").select("event_id", F.get(kinds, (F.col("event_id") % 6).cast("int")).alias("result"), code.alias("code"))
+    return rows.select("event_id", Q.outcome(F.col("result"), F.col("code"), F.lit("fetch"), F.lit("no reply")).alias("o")).select("event_id", "o.*")
+
+
+#: Errors as failures of items: eight items of each user.
+_FAILED_SQL = (
+    "x AS (SELECT user_id, event_id % 8 AS item, count(*) AS failures, max(ts) AS last_attempt, arg_max('k' || (props->>'k'), ts) AS last_error FROM events WHERE event_type = 'error' GROUP BY 1, 2),"
+    " r AS (SELECT *, last_attempt + to_seconds((3600 * 2 ** (failures - 1))::BIGINT) AS next_retry FROM x), now AS (SELECT max(ts) AS now FROM events)"
+)
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind FROM j WHERE attempts BETWEEN 1 AND 2 AND queued + to_seconds((60 * pow(2, attempts - 1))::BIGINT) <= (SELECT max(ts) FROM events)")
-def retry_ready(spark, d):
-    now = table(spark, d, "events").agg(F.max("ts").alias("now"))
-    due = F.col("queued") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), backoff(F.col("attempts")).cast("decimal(18,6)"))
-    return _jobs(spark, d).where("attempts BETWEEN 1 AND 2").join(F.broadcast(now), due <= F.col("now")).select("user_id", "kind")
+def _failures(spark, d):
+    e = table(spark, d, "events").where("event_type = 'error'")
+    return Q.failures(e.select("user_id", (F.col("event_id") % 8).alias("item"), F.col("ts").alias("at"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("error")), ["user_id", "item"])
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, 0::BIGINT AS attempts FROM j WHERE attempts >= 3")
-def retry_dead(spark, d):
-    return _jobs(spark, d).where(F.col("attempts") >= ATTEMPTS).select("user_id", "kind", F.lit(0).cast("bigint").alias("attempts"))
+@query(f"WITH {_FAILED_SQL} SELECT user_id, item, failures, last_attempt, last_error, next_retry FROM r", name="backoff")
+def backoff(spark, d):
+    """Failures of each item and when it may be tried again: an hour after the first one, doubled by each more."""
+    return _failures(spark, d)
 
 
-@query(f"WITH {_JOBS_SQL} SELECT kind, count(*)::BIGINT AS jobs, count(*) FILTER (attempts = 0)::BIGINT AS fresh, count(*) FILTER (attempts >= 3)::BIGINT AS dead, max(priority)::BIGINT AS top FROM j GROUP BY kind")
-def queue_stats(spark, d):
-    return _jobs(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("jobs"), F.count_if(F.col("attempts") == 0).alias("fresh"), F.count_if(F.col("attempts") >= ATTEMPTS).alias("dead"), F.max("priority").alias("top"))
+@query(f"WITH {_FAILED_SQL} SELECT user_id, item, failures FROM r, now WHERE next_retry <= now AND failures < 5")
+def retry_ready(spark, d):
+    return _failures(spark, d).where((F.col("next_retry") <= _now(spark, d)) & (F.col("failures") < Q.FAILURES)).select("user_id", "item", "failures")
 
 
-@query(f"WITH {_JOBS_SQL} SELECT CASE WHEN attempts >= 3 THEN 'failed' WHEN attempts = 0 THEN 'done' ELSE 'retried' END AS outcome, count(*)::BIGINT AS n FROM j GROUP BY 1")
-def job_outcome(spark, d):
-    n = F.col("attempts")
-    return _jobs(spark, d).groupBy(F.when(n >= ATTEMPTS, "failed").when(n == 0, "done").otherwise("retried").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+@query(f"WITH {_FAILED_SQL} SELECT user_id, item, failures, last_error FROM r WHERE failures >= 5")
+def retry_dead(spark, d):
+    return _failures(spark, d).where(F.col("failures") >= Q.FAILURES).select("user_id", "item", "failures", "last_error")
+
+
+@query(
+    f"WITH {_FAILED_SQL}, b AS (SELECT user_id, item, last_attempt + INTERVAL 1 DAY AS happened, 'again' AS error FROM r WHERE (user_id + item) % 3 = 0 UNION ALL SELECT user_id, 8 + user_id % 2, max(ts), 'new' FROM events GROUP BY user_id)"
+    " SELECT user_id, item, coalesce(failures, 0) + (b.error IS NOT NULL)::BIGINT AS failures, coalesce(b.happened, last_attempt) AS last_attempt, coalesce(b.error, last_error) AS last_error,"
+    " CASE WHEN b.error IS NULL THEN next_retry ELSE b.happened + to_seconds((3600 * 2 ** coalesce(failures, 0))::BIGINT) END AS next_retry FROM r FULL JOIN b USING (user_id, item)"
+)
+def failure_batch(spark, d):
+    """A batch of failures taken into what is known: some of known items, some of new ones."""
+    known = _failures(spark, d)
+    again = known.where("(user_id + item) % 3 = 0").select("user_id", "item", (F.col("last_attempt") + F.expr("interval 1 day")).alias("at"), F.lit("again").alias("error"))
+    new = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("at")).select("user_id", (8 + F.col("user_id") % 2).alias("item"), "at", F.lit("new").alias("error"))
+    return Q.refreshed(known, again.unionByName(new), ["user_id", "item"])
 
 
 @query("WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh, event_id FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM g) SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*)::BIGINT AS n FROM s GROUP BY user_id, k")
@@ -128,11 +186,23 @@ def upsert_replace(spark, d):
     return E.upsert(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 = 1"), ["o_custkey"], "v").drop("v")
 
 
-@query("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS failures, CASE WHEN count(*) FILTER (o_orderstatus = 'F') >= 5 THEN 'permanent' WHEN count(*) FILTER (o_orderstatus = 'F') > 0 THEN 'retry' ELSE 'ok' END AS state FROM orders GROUP BY 1")
+@query(
+    "WITH n AS (SELECT o_custkey, max(o_orderdate) AS last_scan, count(*)::BIGINT AS items FROM orders GROUP BY 1), o AS (SELECT o_custkey, max(o_orderdate) AS last_scan, count(*)::BIGINT AS items FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)"
+    " SELECT o_custkey, last_scan, items FROM n WHERE o_custkey % 3 <> 0 UNION ALL SELECT o_custkey, last_scan, items FROM o WHERE o_custkey % 3 = 0"
+)
 def upsert_state(spark, d):
-    """Failures counted by key; the fifth is permanent."""
-    n = F.col("failures")
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("failures")).withColumn("state", F.when(n >= 5, "permanent").when(n > 0, "retry").otherwise("ok"))
+    """The state of each index, where a new scan of two thirds of them replaces or adds rows."""
+    orders = table(spark, d, "orders")
+    state = lambda rows: rows.groupBy("o_custkey").agg(F.max("o_orderdate").alias("last_scan"), F.count(F.lit(1)).alias("items"))
+    return E.replaced(state(orders.where("o_orderkey % 2 = 0")), state(orders).where("o_custkey % 3 <> 0"), ["o_custkey"])
+
+
+@query("SELECT doc_id, length(text) AS size, lang FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 6 <> 0) OR doc_id IS NULL")
+def delete_unchanged(spark, d):
+    """Cache entries of even ids were read to be deleted; each third of these has changed since, and stays."""
+    now = table(spark, d, "documents").select("doc_id", F.length("text").cast("bigint").alias("size"), "lang")
+    read = now.where("doc_id % 2 = 0").withColumn("size", F.when(F.col("doc_id") % 6 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return E.delete_unchanged(now, read, ["doc_id"])
 
 
 @query("SELECT o_custkey, n AS failures, (3600 * pow(2, n - 1))::BIGINT AS wait_s FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) WHERE n < 5")
@@ -148,10 +218,10 @@ def added_today(spark, d):
     return e.join(F.broadcast(since), F.col("ts") >= F.col("since")).groupBy("user_id").agg(F.min("event_id").alias("event_id"))
 
 
-@query("SELECT doc_id FROM documents WHERE n_chars > 5000 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def cache_gc(spark, d):
     """Entries that nothing refers to."""
-    return table(spark, d, "documents").where("n_chars > 5000").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
 
 
 @query("SELECT event_type, CASE event_type WHEN 'purchase' THEN 'orders' WHEN 'view' THEN 'activity' ELSE 'other' END AS route, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
@@ -165,9 +235,13 @@ def ts_to_ms(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
-@query("SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS month, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+@query(
+    "WITH n AS (SELECT max(ts)::DATE AS today FROM events) SELECT event_id, CASE WHEN ts::DATE = today THEN 'Today' WHEN ts::DATE = today - 1 THEN 'Yesterday' WHEN ts::DATE - dayofweek(ts::DATE)::INT = today - dayofweek(today)::INT THEN 'This Week'"
+    " WHEN date_trunc('month', ts) = date_trunc('month', today) THEN 'This Month' ELSE 'Older' END AS date_group FROM events, n"
+)
 def date_group(spark, d):
-    return table(spark, d, "events").groupBy("user_id", F.date_trunc("month", "ts").cast("timestamp_ntz").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    """Events by how long ago they were, seen from the last one."""
+    return table(spark, d, "events").select("event_id", T.date_group(F.col("ts"), _now(spark, d)).alias("date_group"))
 
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k, props IS NOT NULL AND json_valid(props) AS valid FROM events")
@@ -184,10 +258,10 @@ def sanitize_error(spark, d):
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_JOBS_SQL} SELECT user_id, kind, priority, queued, asked FROM j")
+@query("SELECT user_id, event_type AS kind, min(coalesce((props->>'k')::BIGINT, 100)) AS priority, min(ts) AS queued, count(*)::BIGINT AS asked FROM events GROUP BY 1, 2")
 def queue_stream(spark, d):
-    """queue_enqueue as a stream over the events that are there."""
-    jobs = streaming.caught_up(streaming.queued(streaming.events(spark, d), CEILING), "queue")
+    """Requests coalesced as a stream over the events that are there."""
+    jobs = streaming.caught_up(streaming.queued(streaming.events(spark, d), Q.PRIORITY), streaming.own_folder(spark, "queue", d))
     return jobs.withColumn("queued", F.col("queued").cast("timestamp_ntz"))
 
 
@@ -197,5 +271,53 @@ def queue_stream(spark, d):
 )
 def session_stream(spark, d):
     """Sessions by session windows over the stream of events."""
-    rows = streaming.caught_up(streaming.sessions(streaming.events(spark, d)), "sessions")
+    rows = streaming.caught_up(streaming.sessions(streaming.events(spark, d)), streaming.own_folder(spark, "sessions", d))
     return rows.withColumn("begin", F.col("begin").cast("timestamp_ntz"))
+
+
+#: What the events of _run_events come to. Parts of assistants: the text, and a call whose second sending is longer, with
+#: progress of after it and arguments of before it; all others are returns.
+_RUN_SQL = (
+    "WITH c AS (SELECT conv_id AS run, turn AS message, role, text FROM conversations), s AS (SELECT run, unnest(range(0, max(message) + 1)) AS message FROM c GROUP BY run)"
+    " SELECT run, message::INT AS message, CASE WHEN role <> 'assistant' THEN 'request' ELSE 'response' END AS kind, CASE WHEN role = 'assistant' THEN 'text:' || text || '||;;tool-call:' || substr(text, 1, 20) || '|done|' || substr(text, 1, 5) WHEN role IS NOT NULL THEN 'tool-return:' || text || '||' ELSE '' END AS parts FROM s LEFT JOIN c USING (run, message)"
+)
+
+
+def _run_events(spark, d):
+    """Turns as the events of a run: an assistant sends its text in two parts, a tool call, arguments, the call again,
+    progress twice, and progress of a call that is not there."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("run"), F.col("turn").cast("int").alias("message"), "role", F.col("text").alias("t"))
+    call, seq, t = F.concat(F.lit("c"), F.col("message").cast("string")), F.col("message") * 10, F.col("t")
+
+    def one(k: int, event: str, part: int | None, kind: str | None, payload, of=None):
+        return F.struct((seq + k).cast("bigint").alias("seq"), F.lit(event).alias("event"), F.lit(part).cast("int").alias("part"), F.lit(kind).cast("string").alias("kind"), (F.lit(None).cast("string") if of is None else of).alias("call"), payload.alias("payload"))
+
+    tool = F.substr(t, F.lit(1), F.lit(10)), F.substr(t, F.lit(1), F.lit(20))
+    own = F.array(
+        one(0, "part", 0, "text", F.left(t, F.lit(7))), one(1, "part", 0, "text", t), one(2, "part", 2, "tool-call", tool[0], call), one(3, "args", None, None, F.left(t, F.lit(5)), call),
+        one(4, "part", 2, "tool-call", tool[1], call), one(5, "progress", None, None, F.lit("half"), call), one(6, "progress", None, None, F.lit("done"), call), one(7, "progress", None, None, F.lit("lost"), F.lit("none")),
+    )
+    said = F.when(F.col("role") == "assistant", own).otherwise(F.array(one(0, "return", None, None, t)))
+    return c.select("run", "message", F.explode(said).alias("e")).select("run", "message", "e.*")
+
+
+def _told(messages):
+    part = lambda p: F.concat(F.coalesce(p["kind"], F.lit("")), F.when(p.isNotNull(), F.lit(":")).otherwise(""), F.concat_ws("|", *[F.coalesce(p[x], F.lit("")) for x in ("payload", "progress", "args")]))
+    parts = F.transform("parts", lambda p: F.when(p.isNull(), F.lit("")).otherwise(part(p)))
+    return messages.select(F.col("run").cast("bigint").alias("run"), "message", "kind", F.array_join(parts, ";").alias("parts"))
+
+
+@query(_RUN_SQL)
+def fold_run(spark, d):
+    """Messages of each run from all of its events, with empty ones where nothing came."""
+    return _told(folds.messages(folds.slots(_run_events(spark, d))))
+
+
+@query(_RUN_SQL)
+def fold_stream(spark, d):
+    """fold_run from a stream of the conversations' files, by keyed state of one slot each."""
+    at = streaming.own_folder(spark, "folds", d)
+    files = stored_once(_run_events(spark, d), f"{at}/events")
+    rows = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/events")
+    streaming.upserted(folds.slot_stream(rows), f"{at}/table", ["run", "slot"], "seq").trigger(availableNow=True).start().awaitTermination()
+    return _told(folds.messages(Snapshots(spark, f"{at}/table").read()))

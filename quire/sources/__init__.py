@@ -31,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_once(df: DataFrame, path: str) -> DataFrame:
+    """df as Parquet in a folder, written unless it is there."""
+    df.write.mode("ignore").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no (from 1), line. A leading byte-order mark goes, CRLF and CR end lines; empty text has no lines."""
     plain = F.regexp_replace(F.regexp_replace(F.col(text), "^﻿", ""), "\r\n?", "\n")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import shared_root, stored
+from ..sources import shared_root
+from ..sources.snapshots import Snapshots
 
 
 def events(spark: SparkSession, sf_dir: str, files: str = "events.parquet", late: str = "1 hour") -> DataFrame:
@@ -23,10 +26,11 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("begin"), "n")
 
 
-def queued(rows: DataFrame, ceiling: int = 100) -> DataFrame:
-    """Jobs by user and kind, coalesced: the highest priority asked for, the first time queued, how often asked."""
-    priority = F.least(F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(0)), F.lit(ceiling))
-    return rows.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.max(priority).cast("bigint").alias("priority"), F.min("ts").alias("queued"), F.count(F.lit(1)).alias("asked"))
+def queued(rows: DataFrame, default: int = 100) -> DataFrame:
+    """Jobs by user and kind, coalesced: the lowest (most urgent) priority asked for, the first time queued, how often
+    asked. A request without a priority has the default one."""
+    priority = F.coalesce(F.get_json_object("props", "$.k").cast("bigint"), F.lit(default))
+    return rows.groupBy("user_id", F.col("event_type").alias("kind")).agg(F.min(priority).cast("bigint").alias("priority"), F.min("ts").alias("queued"), F.count(F.lit(1)).alias("asked"))
 
 
 def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,41 +38,52 @@ def deduplicated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(keys)
 
 
-def caught_up(rows: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there now and give its result as a table in the shared folder.
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the query that a checkpoint belongs to; a new checkpoint has a new one."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first().value)["id"]
 
-    complete: the last state of an aggregation; append: all rows. A batch that runs again overwrites its own rows.
-    """
-    spark = rows.sparkSession
-    root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    last: list[int] = []
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
-        last[:] = [*last, number]
+def _published(table: str, checkpoint: str, change) -> Callable[[DataFrame, int], None]:
+    """A writer of batches that publishes change(old rows or None, batch) with the number of the batch, so that a batch
+    that runs again is in the table once. Only the first batch of a checkpoint may find no table."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        held, source = Snapshots(spark, table), _stream_id(spark, checkpoint)
+        done = held.manifest()["notes"].get(source, -1)
+        if number <= done:
+            return
+        if done < 0 and number > 0:
+            raise ValueError(f"{table} has lost what batches before {number} brought")
+        held.change(lambda old: change(old, batch), {source: number})
+
+    return write
+
 
-    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").foreachBatch(keep).trigger(availableNow=True).start()
+def caught_up(rows: DataFrame, at: str, mode: str = "complete") -> DataFrame:
+    """Run a stream over all that is there now and give its result as a table in the folder `at`.
+
+    complete: the last state of an aggregation; append: all rows. Called again with the same folder, also by another
+    session, it goes on from its checkpoint and reads what has come since only.
+    """
+    spark, checkpoint = rows.sparkSession, f"{at}/checkpoint"
+    together = lambda old, batch: batch if mode == "complete" or old is None else old.unionByName(batch)
+    stream = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(_published(f"{at}/table", checkpoint, together)).trigger(availableNow=True).start()
     stream.awaitTermination()
-    schema = rows.schema
-    if not last:
-        return spark.createDataFrame([], schema)
-    paths = [f"{root}/rows/batch={n}" for n in (last[-1:] if mode == "complete" else dict.fromkeys(last))]
-    return spark.read.schema(schema).parquet(*paths)
+    got = Snapshots(spark, f"{at}/table").read()
+    return spark.createDataFrame([], rows.schema) if got is None else got
 
 
 def upserted(rows: DataFrame, table: str, keys: list[str], version: str):
-    """A writer that merges each batch into a table of Parquet snapshots: the newest version of each key stays."""
+    """A writer that merges each batch into a table of snapshots: the newest version of each key stays. Read it with
+    Snapshots(spark, table).read()."""
     from ..operators.entities import upsert
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = f"{table}/_now"
-        try:
-            old = spark.read.schema(batch.schema).parquet(state)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            old = batch.limit(0)
-        stored(upsert(old, batch, keys, version), "merge").write.mode("overwrite").parquet(state)
-
-    return rows.writeStream.option("checkpointLocation", f"{table}/_checkpoint").foreachBatch(merge)
+    checkpoint = f"{table}/_checkpoint"
+    merge = lambda old, batch: upsert(batch.limit(0) if old is None else old, batch, keys, version)
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(_published(table, checkpoint, merge))
+
+
+def own_folder(spark: SparkSession, name: str, of: str) -> str:
+    """A folder in the shared place for a stream over `of`, the same whenever this application asks."""
+    return f"{shared_root(spark)}/{name}-{hashlib.sha256(of.encode()).hexdigest()[:16]}-{spark.sparkContext.applicationId}"
