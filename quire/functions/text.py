@@ -162,6 +162,36 @@ def page_number(c: Column) -> Column:
     return F.nullif(F.regexp_extract(digits(c), rf"(?iu)(?<!\p{{L}})(?:{words})\s*(\d+)", 1), F.lit("")).cast("bigint")
 
 
+#: Words between a page's number and the number of pages, and signs that stand for them after a page word.
+PAGE_OF = "of / von de di van z из から".split()
+PAGE_DASH = ["-", "—", "–"]
+
+
+def page_label(c: Column) -> Column:
+    """struct<value, roman, set> of a whole text that is a page number: 12, `page 3`, `3 of 9`, `p. 3 - 9`, `第3页`, `3쪽`,
+    `·12·` or a roman numeral, in any digits. set: its form has more than a number. Else value is null."""
+    t = F.lower(F.trim(digits(c)))
+    words = "|".join(w.replace(".", r"\.") for w in [*PAGE_WORDS, *PAGE_SHORT])
+    of, dashed = "|".join(PAGE_OF), "|".join([*PAGE_OF, *PAGE_DASH])
+    plain, ranged = r"^(\d+)$", rf"^(\d+)\s*(?:{of})\s*\d+$"
+    forms = [rf"^(?:{words})\s*(\d+)(?:\s*(?:{dashed})\s*\d+)?$", r"^第\s*(\d+)\s*[页頁]$", r"^(\d+)\s*(?:页|頁|쪽|ページ)$", r"^[·・‧]\s*(\d+)\s*[·・‧]$"]
+    found = [F.nullif(F.regexp_extract(t, f"(?iu){p}", 1), F.lit("")) for p in (plain, ranged, *forms)]
+    value = F.coalesce(*[x.try_cast("bigint") for x in found], roman(t).cast("bigint"))
+    is_roman = F.coalesce(*found).isNull() & roman(t).isNotNull()
+    return F.struct(value.alias("value"), is_roman.alias("roman"), F.coalesce(*found[2:]).isNotNull().alias("set"))
+
+
+#: Endings of hosts that stand alone in margins.
+LONE_ENDINGS = "edu gov org com net io ac uk".split()
+
+
+def lone_address(c: Column) -> Column:
+    """A web address, DOI or arXiv number that is the whole text."""
+    ends = "|".join(LONE_ENDINGS)
+    signs = [r"(?:https?://|www\.)\S+", rf"\S+\.(?:{ends})(?:/\S*)?", r"(?:doi:?\s*)?(?:https?://(?:dx\.)?doi\.org/)?10\.\d{4,9}/\S+", r"arxiv:\s*\d{4}\.\d{4,5}(?:v\d+)?(?:\s.*)?"]
+    return F.trim(c).rlike("(?i)^(?:" + "|".join(signs) + ")$")
+
+
 def parse_ref(c: Column) -> Column:
     """`u` or `g<id>`, else null."""
     return F.nullif(F.regexp_extract(c, r"^(u|g[1-9][0-9]*)$", 1), F.lit(""))

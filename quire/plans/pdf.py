@@ -18,15 +18,15 @@ _SPANS_SQL = (
     "b AS (SELECT doc_id AS doc, text, unnest(range(0, (length(text) + 39) // 40)) AS k FROM documents WHERE length(text) > 0),"
     " s AS (SELECT doc, k // 60 AS page, k % 60 AS i, 72 + 260 * (k % 2) AS x0, 90 + 14 * ((k % 60) // 2) + 10 * (((k % 60) // 2) // 7) + k % 3 AS y0, substr(text, k * 40 + 1, 40) AS text FROM b"
     " UNION ALL SELECT doc, page, -1, 72, 50, 'Page ' || (page + 1) FROM (SELECT DISTINCT doc, k // 60 AS page FROM b)),"
-    " p AS (SELECT doc, page, i, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + 5 * length(text))::DOUBLE AS x1, (y0 + 10)::DOUBLE AS y1, text FROM s)"
+    " p AS (SELECT doc, page, i, doc % 7 = 0 AND i = 0 AS large, x0::DOUBLE AS x0, y0::DOUBLE AS y0, (x0 + 5 * length(text))::DOUBLE AS x1, (y0 + 10)::DOUBLE AS y1, text FROM s)"
 )
 _LINES_SQL = (
     _SPANS_SQL + ", l1 AS (SELECT *, CASE WHEN y0 - lag(y0) OVER (PARTITION BY doc, page ORDER BY y0, x0, i) > 3 THEN 1 ELSE 0 END AS nb FROM p),"
     " l2 AS (SELECT *, sum(nb) OVER (PARTITION BY doc, page ORDER BY y0, x0, i) AS band FROM l1),"
     " l3 AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY doc, page, band ORDER BY x0, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 5 * (y1 - y0) THEN 1 ELSE 0 END AS np FROM l2),"
     " l4 AS (SELECT *, sum(np) OVER (PARTITION BY doc, page, band ORDER BY x0, i) AS part FROM l3),"
-    " l5 AS (SELECT doc, page, band, part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, string_agg(text, ' ' ORDER BY x0, i) AS text FROM l4 GROUP BY 1, 2, 3, 4),"
-    " l AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY band, part) - 1 AS line, x0, y0, x1, y1, text FROM l5)"
+    " l5 AS (SELECT doc, page, band, part, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, bool_or(large) AS large, string_agg(text, ' ' ORDER BY x0, i) AS text FROM l4 GROUP BY 1, 2, 3, 4),"
+    " l AS (SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY band, part) - 1 AS line, x0, y0, x1, y1, large, text FROM l5)"
 )
 _FLOW_SQL = (
     _LINES_SQL + ", f1 AS (SELECT *, CASE WHEN x0 - max(x1) OVER (PARTITION BY doc, page ORDER BY x0, line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 8 THEN 1 ELSE 0 END AS nc FROM l),"
@@ -36,19 +36,26 @@ _FLOW_SQL = (
 
 def _spans(spark, d):
     docs = table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("doc"), "text")
-    last = F.floor((F.length("text") + 39) / 40).cast("int") - 1
-    rows = docs.select("doc", "text", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    # one pass over each text; cutting by places would read it again for each span
+    rows = docs.select("doc", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,40}"), F.lit(0))).alias("k", "text"))
     i, page = F.col("k") % 60, F.floor(F.col("k") / 60).cast("bigint").alias("page")
     row = F.floor(i / 2)
-    body = rows.select("doc", page, i.alias("i"), (72 + 260 * (F.col("k") % 2)).cast("double").alias("x0"), (90 + 14 * row + 10 * F.floor(row / 7) + F.col("k") % 3).cast("double").alias("y0"), F.substr("text", F.col("k") * 40 + 1, F.lit(40)).alias("text"))
+    body = rows.select("doc", page, i.alias("i"), (72 + 260 * (F.col("k") % 2)).cast("double").alias("x0"), (90 + 14 * row + 10 * F.floor(row / 7) + F.col("k") % 3).cast("double").alias("y0"), "text")
+    last = F.floor((F.length("text") + 39) / 40).cast("int") - 1
     head = docs.select("doc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / 60).cast("bigint"))).alias("page"))
     head = head.select("doc", "page", F.lit(-1).alias("i"), F.lit(72.0).alias("x0"), F.lit(50.0).alias("y0"), F.concat(F.lit("Page "), (F.col("page") + 1).cast("string")).alias("text"))
     both = body.unionByName(head)
-    return both.select("doc", "page", "i", "x0", "y0", (F.col("x0") + 5 * F.length("text")).alias("x1"), (F.col("y0") + 10).alias("y1"), "text")
+    # the first span of each seventh document's page is larger, in bold
+    large = (F.col("doc") % 7 == 0) & (F.col("i") == 0)
+    return both.select("doc", "page", "i", "x0", "y0", (F.col("x0") + 5 * F.length("text")).alias("x1"), (F.col("y0") + 10).alias("y1"), "text", F.when(large, 14.0).otherwise(10.0).alias("size"), F.when(large, "B").otherwise("A").alias("font"), large.alias("bold"), F.lit(False).alias("italic"))
 
 
 @query(f"WITH {_LINES_SQL} SELECT doc, page, line, x0, y0, x1, y1, text FROM l")
 def lines(spark, d):
+    return _lines(spark, d).drop("size", "font", "bold", "italic", "dominance")
+
+
+def _lines(spark, d):
     return L.lines(_spans(spark, d))
 
 
@@ -63,25 +70,29 @@ def xy_cut(spark, d):
     return L.xy_cut(lines(spark, d))
 
 
-@query(
-    f"WITH {_LINES_SQL}, k AS (SELECT *, CASE WHEN x1 < 60 OR y1 < 80 OR x0 > {_WIDTH - 60} OR y0 > {_HEIGHT - 80} THEN regexp_replace(trim(text), '[0-9]+', '#', 'g') END AS key FROM l WHERE NOT (x1 < 25 OR y1 < 40 OR x0 > {_WIDTH - 25} OR y0 > {_HEIGHT - 40})),"
-    " o AS (SELECT doc, key FROM k WHERE key IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT page) >= 3)"
-    " SELECT doc, page, line, text FROM k WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.doc = k.doc AND o.key = k.key)"
-)
+@query(f"WITH {_LINES_SQL}, n AS (SELECT doc, count(DISTINCT page) AS pages FROM l GROUP BY 1) SELECT doc, page, line, text FROM l JOIN n USING (doc) WHERE NOT (y1 <= 80 AND pages >= CASE WHEN pages <= 6 THEN 2 ELSE 3 END)")
 def margin_filter(spark, d):
-    return L.margin_filter(lines(spark, d), _WIDTH, _HEIGHT).select("doc", "page", "line", "text")
+    """Running heads with page numbers go from documents of more than one page."""
+    return L.margin_filter(_lines(spark, d), _WIDTH, _HEIGHT).select("doc", "page", "line", "text")
 
 
 @query(
     f"WITH {_FLOW_SQL}, g1 AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc, page, col ORDER BY y0, line) AS gap, y1 - y0 AS tall FROM f),"
     " z AS (SELECT doc, page, quantile_cont(CASE WHEN gap > -5 AND gap < 50 THEN gap END, 0.5) AS g, quantile_cont(tall, 0.5) AS h FROM g1 GROUP BY 1, 2),"
-    " g2 AS (SELECT g1.*, CASE WHEN gap > CASE WHEN g IS NULL THEN greatest(5, 0.6 * h) ELSE greatest(5, g + greatest(1, 0.08 * h), 1.25 * g, 0.4 * h) END THEN 1 ELSE 0 END AS np FROM g1 JOIN z USING (doc, page)),"
+    " bs AS (SELECT doc, sum(CASE WHEN large THEN length(text) ELSE 0 END) >= sum(CASE WHEN large THEN 0 ELSE length(text) END) AS body_large FROM f GROUP BY 1),"
+    " k0 AS (SELECT g1.*, body_large, g IS NULL AS none, trim(text) AS t, gap > CASE WHEN g IS NULL THEN greatest(5, 0.6 * h) ELSE greatest(5, g + greatest(1, 0.08 * h), 1.25 * g, 0.4 * h) END AS wide FROM g1 JOIN z USING (doc, page) JOIN bs USING (doc)),"
+    r" k1 AS (SELECT *, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS capitals, length(regexp_replace(t, '[^\p{N}]', '', 'g')) AS numbers, len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '[\p{L}\p{N}]'))) AS words FROM k0),"
+    r" k2 AS (SELECT *, regexp_matches(t, '(?i)^\s*(fig(ure)?|tab(le)?|eq(uation)?)\s*\.?\s+[A-Z]?\d{1,3}') OR length(t) < 3 OR (starts_with(t, '(') AND ends_with(t, ')') AND regexp_matches(t, '\d')) OR numbers * 2 > length(regexp_replace(t, '\s', '', 'g')) AS never,"
+    " NOT coalesce(sum(CASE WHEN large = body_large THEN capitals ELSE 0 END) OVER (PARTITION BY doc) * 2 > sum(CASE WHEN large = body_large THEN letters ELSE 0 END) OVER (PARTITION BY doc), false) AND coalesce(wide, true) AND letters >= 4 AND capitals = letters AND words >= 2 AND (NOT large OR body_large) AS caps FROM k1),"
+    r" k AS (SELECT *, CASE WHEN NOT never AND (caps OR (large AND NOT body_large)) THEN 'heading' WHEN regexp_matches(t, '^([•◦▪‣●○■□–—*·-]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s+\S') THEN 'list' ELSE 'text' END AS kind FROM k2),"
+    " k4 AS (SELECT *, lag(kind) OVER d AS kind_before, lag(large) OVER d AS large_before FROM k WINDOW d AS (PARTITION BY doc, page, col ORDER BY y0, line)),"
+    " g2 AS (SELECT *, CASE WHEN coalesce(wide, false) OR kind = 'list' OR coalesce(kind <> kind_before AND 'heading' IN (kind, kind_before), false) OR (kind = 'heading' AND coalesce(large <> large_before, false)) THEN 1 ELSE 0 END AS np FROM k4),"
     " g3 AS (SELECT *, sum(np) OVER (PARTITION BY doc, page, col ORDER BY y0, line) AS part FROM g2),"
-    " g4 AS (SELECT doc, page, col, part, count(*)::BIGINT AS lines, string_agg(text, ' ' ORDER BY y0, line) AS text FROM g3 GROUP BY 1, 2, 3, 4)"
-    " SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY col, part) - 1 AS paragraph, lines, text FROM g4"
+    " g4 AS (SELECT doc, page, col, part, arg_min(kind, (y0, line)) AS kind, count(*)::BIGINT AS lines, string_agg(text, ' ' ORDER BY y0, line) AS text FROM g3 GROUP BY 1, 2, 3, 4)"
+    " SELECT doc, page, row_number() OVER (PARTITION BY doc, page ORDER BY col, part) - 1 AS paragraph, kind, lines, text FROM g4"
 )
 def paragraphs(spark, d):
-    return L.paragraphs(lines(spark, d))
+    return L.paragraphs(_lines(spark, d))
 
 
 @query(
