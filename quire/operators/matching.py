@@ -2,28 +2,58 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
 
-def edited(text: Column, edits: Column) -> Column:
+@F.pandas_udf(StringType())
+def edited(text: pd.Series, edits: pd.Series) -> pd.Series:
     """text with edits: array<struct<start, end, new>>, by start and not overlapping; places are code points from 0.
 
-    The text is the parts between the edits and their new texts, so no edit moves another.
+    The text is the parts between the edits and their new texts, so no edit moves another, and each part is cut once.
+    A null text stays null; null edits are none.
     """
-    before = F.transform(edits, lambda e, i: F.coalesce(F.get(edits, i - 1)["end"], F.lit(0)))
-    parts = F.zip_with(edits, before, lambda e, b: F.concat(F.substr(text, b + 1, e["start"] - b), e["new"]))
-    rest = F.coalesce(F.get(edits, F.size(edits) - 1)["end"], F.lit(0))
-    return F.concat(F.array_join(parts, ""), F.substr(text, rest + 1))
+
+    def one(t: str | None, own) -> str | None:
+        if t is None:
+            return None
+        out, at = [], 0
+        for e in [] if own is None else own:
+            out += [t[at : e["start"]], e["new"] or ""]
+            at = e["end"]
+        return "".join([*out, t[at:]])
+
+    return pd.Series([one(t, e) for t, e in zip(text, edits, strict=True)], dtype=object)
 
 
-def moved(edits: Column) -> Column:
+@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])))
+def moved(edits: pd.Series) -> pd.Series:
     """Where each edit's new text begins and ends afterwards."""
-    gains = F.transform(edits, lambda e: F.length(e["new"]) - (e["end"] - e["start"]))
-    shifts = F.aggregate(gains, F.array(F.lit(0)), lambda acc, g: F.array_append(acc, F.element_at(acc, -1) + g))
-    return F.transform(edits, lambda e, i: F.struct((e["start"] + F.get(shifts, i)).alias("start"), (e["start"] + F.get(shifts, i) + F.length(e["new"])).alias("end")))
+
+    def one(own) -> list[dict] | None:
+        if own is None:
+            return None
+        out, shift = [], 0
+        for e in own:
+            begin, size = int(e["start"]) + shift, len(e["new"] or "")
+            out.append({"start": begin, "end": begin + size})
+            shift += size - int(e["end"] - e["start"])
+        return out
+
+    return edits.map(one)
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def line_starts(text: pd.Series) -> pd.Series:
+    """Where each line of a text begins, in code points."""
+    return text.map(lambda t: None if t is None else [0, *accumulate(len(x) + 1 for x in t.split("\n")[:-1])])
 
 
 def _decoded(c: Column) -> Column:
@@ -92,3 +122,88 @@ def first_match(items: DataFrame) -> DataFrame:
     named = classes.join(found, classes["id"] == found["id_a"]).select(*[F.col(c).alias(f"_{c}") for c in key], "found")
     same = (F.col("title") == F.col("_title")) & F.col("year").eqNullSafe(F.col("_year")) & F.col("doi").eqNullSafe(F.col("_doi")) & (F.col("creators") == F.col("_creators"))
     return rows.join(named, same).select("id", "found")
+
+
+#: Suggestions for a name, letters from which on names are compared by containment, the longest name that may
+#: be off by one letter only, and the most letters that any name may be off.
+SUGGESTIONS, CONTAINED, ONE_OFF, MOST_OFF = 3, 3, 4, 3
+
+
+def bounded_distance(a: Column, b: Column, most: int) -> Column:
+    """Edit distance, most + 1 where it is more; no more of it is worked out than that."""
+    d = F.levenshtein(a, b, most)
+    return F.when(d < 0, most + 1).otherwise(d)
+
+
+def _grams(c: Column, n: int) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))
+
+
+def _contained(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs where one holds the other. The shorter one's first letters (three, or all that it has) are among the runs of
+    as many letters of the longer one, which is the key they meet by."""
+    keys = lambda df, of: df.select("*", F.explode(F.concat(*[F.when(F.length(of) >= n, _grams(F.col(of), n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)])).alias("key"))
+    begin = lambda of: F.left(F.col(of), F.lit(3)).alias("key")
+    ask = asked.where(F.length("needle") >= CONTAINED)
+    inner = ask.select("needle", begin("needle")).join(keys(named, "tag"), "key").where(F.contains("tag", "needle"))
+    outer = named.where(F.length("tag") > 0).select("tag", begin("tag")).join(keys(ask, "needle"), "key").where(F.contains("needle", "tag"))
+    return inner.select("needle", "tag").unionByName(outer.select("needle", "tag")).where("needle <> tag").distinct()
+
+
+def _misspelt(asked: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs within the distance of the needle's length. A name in k + 1 parts keeps one of them whole under k edits, at
+    most k places away: names are indexed by their parts, needles by what could be one."""
+    most = F.when(F.length("needle") <= ONE_OFF, 1).otherwise(F.least(F.lit(MOST_OFF), F.floor(F.length("needle") / 3).cast("int")))
+    cut = lambda n, k, i: F.floor(i * n / (k + 1)).cast("int")
+    n, k = F.length("tag"), F.col("k")
+    parts = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(i.alias("i"), F.substr(F.col("tag"), cut(n, k, i) + 1, cut(n, k, i + 1) - cut(n, k, i)).alias("part")))
+    index = named.select("tag", n.alias("size"), F.explode(F.array(*map(F.lit, range(1, MOST_OFF + 1)))).alias("k")).select("tag", "size", "k", F.explode(parts).alias("p")).select("tag", "size", "k", "p.*")
+    size = F.col("size")
+    probe = asked.withColumn("k", most).withColumn("size", F.explode(F.sequence(F.greatest(F.length("needle") - k, F.lit(0)), F.length("needle") + k)))
+    probe = probe.withColumn("i", F.explode(F.sequence(F.lit(0), k))).withColumn("shift", F.explode(F.sequence(-k, k)))
+    at, own = cut(size, k, F.col("i")) + F.col("shift"), cut(size, k, F.col("i") + 1) - cut(size, k, F.col("i"))
+    probe = probe.withColumns({"at": at, "own": own}).where("at >= 0 AND at + own <= length(needle)").select("needle", "k", "size", "i", F.substr(F.col("needle"), F.col("at") + 1, F.col("own")).alias("part")).distinct()
+    met = probe.join(index, ["k", "size", "i", "part"]).select("needle", "tag", "k").distinct()
+    near = [F.when(F.col("k") == x, F.levenshtein("needle", "tag", x)) for x in range(1, MOST_OFF + 1)]
+    return met.withColumn("distance", F.coalesce(*near)).where("distance > 0").select("needle", "tag", "distance")
+
+
+def suggestions(asked: DataFrame, tags: DataFrame) -> DataFrame:
+    """asked: needle; tags: name. needle, rank (from 1), name, distance: the SUGGESTIONS names most like each needle in any
+    case of letters, first those of which one holds the other, then by edit distance, difference in length and name. A
+    name that is the needle but for case is none. Empty and null needles get nothing."""
+    names = tags.where("name IS NOT NULL").select("name", F.lower("name").alias("tag")).distinct()
+    ask = asked.select(F.lower("needle").alias("needle")).where("needle <> ''").distinct()
+    named = names.select("tag").distinct()
+    held = _contained(ask, named).withColumn("distance", F.lit(0))
+    # each pair once; a contained one counts as such
+    pairs = held.unionByName(_misspelt(ask, named)).groupBy("needle", "tag").agg(F.min("distance").alias("distance"))
+    order = W.partitionBy("needle").orderBy("distance", F.abs(F.length("tag") - F.length("needle")), "name")
+    ranked = pairs.join(names, "tag").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SUGGESTIONS)
+    return asked.select("needle").where("needle IS NOT NULL").distinct().select(F.col("needle").alias("_own"), F.lower("needle").alias("needle")).join(ranked, "needle").select(F.col("_own").alias("needle"), "rank", "name", "distance")
+
+
+def page_markers(markers: DataFrame, sections: DataFrame) -> DataFrame:
+    """markers: doc, matcher (its number), section, offset, label; sections: doc, total. doc, matcher, markers, score: of
+    the matchers that can be trusted the one with most markers, the first of equal ones.
+
+    A matcher must be found in half of the sections at least. Read in order, the first number below the one before it
+    quarters its score, or the first one more than 3 above halves it, whichever comes first. The first label that comes
+    again halves it too, or, if it is two signs or more without a digit, ends it.
+    """
+    key = ["doc", "matcher"]
+    order = W.partitionBy(*key).orderBy("section", "offset", "label")
+    number = F.nullif(F.regexp_extract("label", r"^\s*([+-]?\d+)", 1), F.lit("")).try_cast("bigint")
+    rows = markers.where("label <> ''").withColumns({"place": F.row_number().over(order), "number": number, "before": F.lag(number).over(order)})
+    again = F.row_number().over(W.partitionBy(*key, "label").orderBy("section", "offset")) > 1
+    rows = rows.withColumns({"again": again, "less": F.col("number") < F.col("before"), "skips": F.col("number") > F.col("before") + 3})
+    breaks = F.coalesce(F.col("less"), F.lit(False)) | F.coalesce(F.col("skips"), F.lit(False))
+    first = lambda value, when: F.min_by(value, F.when(when, F.col("place")))
+    made = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("markers"), F.count_distinct("section").alias("covered"), first(F.when(F.col("less"), 0.25).otherwise(0.5), breaks).alias("order"),
+        first(F.when(F.col("label").rlike(r"^\D{2,}$"), 0.0).otherwise(0.5), F.col("again")).alias("repeat"),
+    )
+    scored = made.join(sections, "doc").where(2 * F.col("covered") >= F.greatest("total", F.lit(1)))
+    scored = scored.withColumn("score", F.col("markers") * F.coalesce("order", F.lit(1.0)) * F.coalesce("repeat", F.lit(1.0))).where("score > 0")
+    best = scored.groupBy("doc").agg(F.min_by(F.struct("matcher", "markers", "score"), F.struct(-F.col("markers"), "matcher")).alias("best"))
+    return best.select("doc", "best.*")

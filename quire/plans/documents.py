@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import entities as E
+from ..operators import matching as M
 from ..sources import table
 from ..sources import text_lines as plain_lines
 from .catalog import query
@@ -51,10 +53,13 @@ def repeated_lines(spark, d):
     return seen.groupBy("line").agg(F.count(F.lit(1)).alias("docs")).where("docs >= 3")
 
 
-@query("SELECT doc_id, len(list_filter(string_split_regex(text, '[.!?]+[ \\n]+'), lambda x: trim(x) <> ''))::BIGINT AS sentences FROM documents")
+@query(
+    r"SELECT doc_id, pos - 1 AS pos, sentence FROM (SELECT doc_id, unnest(s) AS sentence, generate_subscripts(s, 1) AS pos FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+', '')), lambda x: x <> '') AS s FROM documents))"
+)
 def sentences_simple(spark, d):
-    parts = F.filter(F.split("text", r"[.!?]+[ \n]+"), lambda x: F.trim(x) != "")
-    return table(spark, d, "documents").select("doc_id", F.size(parts).cast("bigint").alias("sentences"))
+    """Sentences up to terminal punctuation before white space, or to a terminator of a script without spaces."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(S.sentences_simple(F.col("text"))).alias("pos", "sentence"))
+    return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
 @query("SELECT doc_id, regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g') AS text FROM documents")
@@ -170,15 +175,27 @@ def dedup_greedy(spark, d):
     return E.greedy_duplicates(_signatures(spark, d).where("title <> ''").select("id", F.col("title").alias("block"), "type", "year", "preferred"))
 
 
-@query("SELECT DISTINCT p_brand AS tag, levenshtein(p_brand, 'Brand#11')::INT AS distance FROM part")
+@query("SELECT DISTINCT p_brand AS tag, least(levenshtein(p_brand, 'Brand#11'), 2)::INT AS distance FROM part")
 def edit_distance(spark, d):
-    return table(spark, d, "part").select(F.col("p_brand").alias("tag")).distinct().select("tag", F.levenshtein("tag", F.lit("Brand#11")).alias("distance"))
+    """Distance of at most 1, else 2."""
+    return table(spark, d, "part").select(F.col("p_brand").alias("tag")).distinct().select("tag", M.bounded_distance(F.col("tag"), F.lit("Brand#11"), 1).alias("distance"))
+
 
+#: Names as they might be asked for: a letter missing, two letters wrong, the first word, and the name in small letters.
+_ASKED = ["overlay(p_type placing '' from 4 for 1)", "overlay(p_type placing 'qq' from 2 for 2)", "split_part(p_type, ' ', 1)", "lower(p_type)", "left(p_type, 2)"]
+_ASKED_SQL = "SELECT DISTINCT unnest([substr(p_type, 1, 3) || substr(p_type, 5), substr(p_type, 1, 1) || 'qq' || substr(p_type, 4), split_part(p_type, ' ', 1), lower(p_type), substr(p_type, 1, 2)]) AS needle FROM part"
 
-@query("SELECT tag, distance FROM (SELECT DISTINCT p_type AS tag, levenshtein(lower(p_type), 'standard stel')::INT AS distance FROM part) ORDER BY distance, tag LIMIT 3")
+
+@query(
+    f"WITH a AS ({_ASKED_SQL}), t AS (SELECT DISTINCT p_type AS name FROM part), p AS (SELECT needle, name, lower(needle) AS n, lower(name) AS t, CASE WHEN length(needle) <= 4 THEN 1 ELSE least(3, length(needle) // 3) END AS most FROM a, t WHERE lower(needle) <> lower(name)),"
+    " s AS (SELECT needle, name, CASE WHEN length(n) >= 3 AND (contains(t, n) OR contains(n, t)) THEN 0 ELSE levenshtein(n, t) END AS distance, abs(length(n) - length(t)) AS gap, most FROM p),"
+    " r AS (SELECT needle, name, distance, row_number() OVER (PARTITION BY needle ORDER BY distance, gap, name) AS rank FROM s WHERE distance <= most) SELECT needle, rank::INT AS rank, name, distance::INT AS distance FROM r WHERE rank <= 3"
+)
 def tag_suggest(spark, d):
-    tags = table(spark, d, "part").select(F.col("p_type").alias("tag")).distinct()
-    return tags.select("tag", F.levenshtein(F.lower("tag"), F.lit("standard stel")).alias("distance")).orderBy("distance", "tag").limit(3)
+    """Three names of types for each name that is asked for wrongly, all against all."""
+    types = table(spark, d, "part").select("p_type").distinct()
+    asked = types.select(F.explode(F.array(*map(F.expr, _ASKED))).alias("needle"))
+    return M.suggestions(asked, types.select(F.col("p_type").alias("name")))
 
 
 _RETAINED_SQL = (
@@ -214,12 +231,6 @@ def rewrite_risk(spark, d):
 # ---- HTML and scalars ----------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs, (length(html) - length(replace(html, '<a ', ''))) // 3 AS links FROM pages")
-def dom_items(spark, d):
-    h = F.col("html")
-    return table(spark, d, "pages").select("page_id", *[F.floor((F.length(h) - F.length(F.replace(h, F.lit(t), F.lit("")))) / 3).alias(n) for t, n in (("<p>", "paragraphs"), ("<a ", "links"))])
-
-
 @query("SELECT page_id, nullif(regexp_extract(html, 'charset=\"?([A-Za-z0-9_-]+)', 1), '') AS charset FROM pages")
 def html_charset(spark, d):
     return table(spark, d, "pages").select("page_id", F.nullif(F.regexp_extract("html", 'charset="?([A-Za-z0-9_-]+)', 1), F.lit("")).alias("charset"))
@@ -240,9 +251,13 @@ def template_key(spark, d):
     return table(spark, d, "documents").select("doc_id", T.template_key(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents")
+@query(
+    "WITH f AS (SELECT doc_id, list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(text, ''), lambda c: ord(c)::BIGINT)), lambda h, c: xor(h * 33, c) & 4294967295) AS h FROM documents)"
+    " SELECT doc_id, ltrim(array_to_string(list_transform(range(6, -1, -1), lambda i: substr('0123456789abcdefghijklmnopqrstuvwxyz', ((h // (36 ** i)::BIGINT) % 36 + 1)::INT, 1)), ''), '0') AS hash FROM f"
+)
 def content_hash(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    """The 32-bit hash by which an index knows that a text has changed."""
+    return table(spark, d, "documents").select("doc_id", T.quick_hash(F.col("text")).alias("hash"))
 
 
 @query()

@@ -686,10 +686,18 @@ def stale_keys(spark, d):
     return rows.where("there IS NULL OR toxic = 1").select("vec_id")
 
 
-@query("WITH RECURSIVE links AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events), walk AS (SELECT max(event_id) AS id, 0 AS depth FROM events UNION ALL SELECT before, depth + 1 FROM walk JOIN links ON event_id = id WHERE before IS NOT NULL) SELECT id, depth FROM walk")
+_LINKS_SQL = "l AS (SELECT event_id AS id, CASE WHEN event_id % 97 = 0 THEN event_id + 7 WHEN event_type IN ('click', 'view') OR event_id % 97 = 7 THEN event_id - 7 END AS before FROM events)"
+
+
+@query(
+    f"WITH RECURSIVE {_LINKS_SQL}, e AS (SELECT id FROM l WHERE id NOT IN (SELECT before FROM l WHERE before IS NOT NULL)),"
+    " w AS (SELECT e.id AS run, e.id AS id, 0 AS depth, [e.id] AS met FROM e UNION ALL SELECT run, n.id, depth + 1, list_append(met, n.id) FROM w JOIN l ON l.id = w.id JOIN l n ON n.id = l.before WHERE NOT list_contains(met, n.id)) SELECT run, id, depth::INT AS depth FROM w"
+)
 def chain_walk(spark, d):
-    """Each event links to the user's one before; the walk from the last event to its chain's begin is a numbering."""
-    e = table(spark, d, "events").select("event_id", "user_id")
-    last = e.agg(F.max_by("user_id", "event_id").alias("user_id"))
-    chain = e.join(F.broadcast(last), "user_id")
-    return chain.select(F.col("event_id").alias("id"), (F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("event_id"))) - 1).alias("depth"))
+    """The runs that each last run continues, by links to the one before; some links are circles, some lead nowhere."""
+    e, k = table(spark, d, "events"), F.col("event_id") % 97
+    before = F.when(k == 0, F.col("event_id") + 7).when(F.col("event_type").isin("click", "view") | (k == 7), F.col("event_id") - 7)
+    links = e.select(F.col("event_id").alias("parent"), before.alias("child"))
+    there = links.where("child IS NOT NULL").join(e.select(F.col("event_id").alias("child")), "child", "left_semi")
+    last = links.select(F.col("parent").alias("root")).join(there.select(F.col("child").alias("root")), "root", "left_anti")
+    return E.closure(there, last).select(F.col("root").alias("run"), F.col("node").alias("id"), "depth")

@@ -80,6 +80,27 @@ def _items(spark, d):
     return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.concat("prefix", n.cast("string")).alias("id"), "kind", "text")
 
 
+#: Pages of the test tables without what holds no text; what is left begins or ends a block, but links and bold type.
+_BLOCKS_SQL = (
+    r"regexp_replace(regexp_replace(regexp_replace(html, '(?s)<head>.*?</head>|<!--.*?-->|<(script|style|noscript)\b.*?</(script|style|noscript)>', '', 'g'), '</?(a|b|i|em|strong|span)( [^>]*)?>', '', 'g'), '<br[^>]*>', ' ', 'g')"
+)
+
+
+@query(
+    f"WITH b AS (SELECT page_id, string_split(regexp_replace({_BLOCKS_SQL}, '<', chr(1), 'g'), chr(1)) AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part FROM b), k AS (SELECT page_id, lower(regexp_extract(part, '^(/?[a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '\s+', ' ', 'g')) AS text FROM p)"
+    " SELECT page_id, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'figcaption' THEN 'caption' WHEN tag = 'blockquote' THEN 'quote' WHEN tag = 'pre' THEN 'code' ELSE 'p' END AS kind, count(*)::BIGINT AS n FROM k WHERE text <> '' GROUP BY 1, 2"
+)
+def dom_items(spark, d):
+    """Items of each page by kind."""
+    return _items(spark, d).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[ >]', 1)) AS tag FROM pages) SELECT page_id, 'heading' || generate_subscripts(list(tag), 1) AS id FROM i GROUP BY page_id")
+def dom_kind(spark, d):
+    """Ids of headings: elements that are one, numbered by kind."""
+    return _items(spark, d).where("kind = 'heading'").select("page_id", "id")
+
+
 @query()
 def dom_section(spark, d):
     """Items of each page with ids and their number of sentences."""
@@ -105,12 +126,10 @@ def html_extract(spark, d):
 def apply_edits(spark, d):
     """Edits of a text: in each line of ten characters or more the first four become `<ab>!`."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split("text", "\n")
-    sizes = F.transform(lines, lambda x: F.length(x) + 1)
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
-    every = F.transform(lines, lambda x, i: F.struct(F.get(ends, i).alias("start"), (F.get(ends, i) + 4).alias("end"), F.concat(F.lit("<"), F.left(x, F.lit(2)), F.lit(">!")).alias("new"), (F.length(x) >= 10).alias("goes")))
-    edits = F.filter(every, lambda e: e["goes"])
-    return docs.select("doc_id", "text", edits.alias("edits")).select("doc_id", M.edited(F.col("text"), F.col("edits")).alias("text"), F.size("edits").cast("bigint").alias("edits"))
+    docs = docs.select("doc_id", "text", F.split("text", "\n").alias("lines"), M.line_starts("text").alias("starts"))
+    every = F.zip_with("lines", "starts", lambda x, at: F.struct(at.alias("start"), (at + 4).alias("end"), F.concat(F.lit("<"), F.left(x, F.lit(2)), F.lit(">!")).alias("new"), (F.length(x) >= 10).alias("goes")))
+    edits = docs.select("doc_id", "text", F.filter(every, lambda e: e["goes"]).alias("edits"))
+    return edits.select("doc_id", M.edited("text", "edits").alias("text"), F.size("edits").cast("bigint").alias("edits"))
 
 
 _FORM_SQL = "CASE doc_id % 6 WHEN 0 THEN q WHEN 1 THEN replace(q, ' ', '  ') WHEN 2 THEN q || chr(10) WHEN 3 THEN replace(replace(q, '&', '&amp;'), 'e', '&#101;') WHEN 4 THEN replace(q, ' ', '\\n') ELSE q || 'zzz' END"

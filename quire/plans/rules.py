@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as T
+from ..operators import matching as M
 from ..sources import table
 from .catalog import query
 
@@ -283,14 +284,6 @@ def text_quality(spark, d):
 # ---- documents of sections ----------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, kind, count(*)::BIGINT AS n FROM (SELECT page_id, CASE WHEN tag IN ('p', 'blockquote') THEN 'text' WHEN tag LIKE 'h%' THEN 'heading' WHEN tag = 'li' THEN 'list' WHEN tag = 'figcaption' THEN 'caption' WHEN tag = 'table' THEN 'table' ELSE 'picture' END AS kind FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(p|blockquote|h[1-6]|li|figcaption|table|img|svg)[ >]', 1)) AS tag FROM pages)) GROUP BY 1, 2")
-def dom_kind(spark, d):
-    tag = F.col("tag")
-    kind = F.when(tag.isin("p", "blockquote"), "text").when(tag.startswith("h"), "heading").when(tag == "li", "list").when(tag == "figcaption", "caption").when(tag == "table", "table").otherwise("picture")
-    tags = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(p|blockquote|h[1-6]|li|figcaption|table|img|svg)[ >]"), F.lit(1))).alias("tag"))
-    return tags.groupBy("page_id", kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT o_orderkey, coalesce(head, o_orderpriority) AS label FROM orders LEFT JOIN (SELECT l_orderkey, 'Part ' || arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS head FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
 def section_label(spark, d):
     """The first heading of a section, else its title."""
@@ -306,12 +299,20 @@ def citation_index(spark, d):
     return sections.unionByName(items)
 
 
-@query("SELECT l_suppkey, max(n) AS markers, min(l_returnflag) FILTER (n = best) AS matcher FROM (SELECT *, max(n) OVER (PARTITION BY l_suppkey) AS best FROM (SELECT l_suppkey, l_returnflag, count(*)::BIGINT AS n, count(DISTINCT l_linenumber) AS covered FROM lineitem GROUP BY 1, 2) WHERE covered * 2 >= 7) GROUP BY 1")
+_LABELS_SQL = "m AS (SELECT l_suppkey AS doc, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS matcher, l_linenumber AS section, l_orderkey * 10 + l_linenumber AS place, CASE l_returnflag WHEN 'A' THEN (l_partkey % 40)::VARCHAR WHEN 'N' THEN 'page ' || l_orderkey ELSE (l_linenumber * 2 + (l_orderkey > 3000)::INT)::VARCHAR END AS label FROM lineitem)"
+
+
+@query(
+    f"WITH {_LABELS_SQL}, o AS (SELECT *, row_number() OVER w AS n, TRY_CAST(nullif(regexp_extract(label, '^[0-9]+'), '') AS BIGINT) AS v, lag(TRY_CAST(nullif(regexp_extract(label, '^[0-9]+'), '') AS BIGINT)) OVER w AS u, row_number() OVER (PARTITION BY doc, matcher, label ORDER BY section, place) > 1 AS again FROM m WINDOW w AS (PARTITION BY doc, matcher ORDER BY section, place, label)),"
+    " s AS (SELECT doc, matcher, count(*) AS markers, count(DISTINCT section) AS covered, arg_min(CASE WHEN v < u THEN 0.25 ELSE 0.5 END, n) FILTER (v < u OR v > u + 3) AS f, arg_min(CASE WHEN regexp_matches(label, '^[^0-9]{2,}$') THEN 0 ELSE 0.5 END, n) FILTER (again) AS g FROM o GROUP BY 1, 2),"
+    " r AS (SELECT *, markers * coalesce(f, 1) * coalesce(g, 1) AS score FROM s WHERE covered * 2 >= 7) SELECT doc, arg_min(matcher, (-markers, matcher))::INT AS matcher, max(markers)::BIGINT AS markers, arg_min(score, (-markers, matcher))::DOUBLE AS score FROM r WHERE score > 0 GROUP BY doc"
+)
 def marker_score(spark, d):
-    """Of the matchers that cover at least half the sections, the one with most markers; ties go to the first name."""
-    n = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("l_linenumber").alias("covered"))
-    best = n.where("covered * 2 >= 7").groupBy("l_suppkey").agg(F.min(F.struct((-F.col("n")).alias("less"), "l_returnflag")).alias("b"))
-    return best.select("l_suppkey", (-F.col("b.less")).alias("markers"), F.col("b.l_returnflag").alias("matcher"))
+    """Which of three kinds of page labels a supplier's lines are numbered by, lines standing for sections."""
+    flag, order = F.col("l_returnflag"), F.col("l_orderkey")
+    label = F.when(flag == "A", (F.col("l_partkey") % 40).cast("string")).when(flag == "N", F.concat(F.lit("page "), order.cast("string"))).otherwise((F.col("l_linenumber") * 2 + (order > 3000).cast("int")).cast("string"))
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).alias("matcher"), F.col("l_linenumber").alias("section"), (order * 10 + F.col("l_linenumber")).alias("offset"), label.alias("label"))
+    return M.page_markers(rows, rows.select("doc").distinct().withColumn("total", F.lit(7)))
 
 
 # ---- state and row edits ------------------------------------------------------------------------------------------
