@@ -144,11 +144,23 @@ HOST_ENDINGS = "com org net edu gov mil int io co info biz us uk ca eu de fr au
 FILE_ENDINGS = "pdf html htm php aspx asp jsp xml json csv tsv txt docx doc xlsx xls pptx ppt zip tar gz png jpeg jpg gif svg".split()
 
 
+def url_signs() -> list[str]:
+    """Patterns of what looks like an address."""
+    hosts, files = ("|".join(e.replace(".", r"\.") for e in x) for x in (HOST_ENDINGS, FILE_ENDINGS))
+    return ["://", "^mailto:", r"@[a-z0-9.-]+\.[a-z]{2,}", r"\bwww\.", rf"[a-z0-9-]+\.(?:{hosts})\b", rf"\.(?:{files})\b", r"\b10\.\d{4,}/", r"^\.{0,2}/", r"\\"]
+
+
 def urlish(c: Column) -> Column:
     """Looks like an address: a scheme, mail, www, a host or file of a known ending, a DOI, or a path."""
-    hosts, files = ("|".join(e.replace(".", r"\.") for e in x) for x in (HOST_ENDINGS, FILE_ENDINGS))
-    signs = ["://", "^mailto:", r"@[a-z0-9.-]+\.[a-z]{2,}", r"\bwww\.", rf"[a-z0-9-]+\.(?:{hosts})\b", rf"\.(?:{files})\b", r"\b10\.\d{4,}/", r"^\.{0,2}/", r"\\"]
-    return c.rlike("(?i)" + "|".join(f"(?:{x})" for x in signs))
+    return c.rlike("(?i)" + "|".join(f"(?:{x})" for x in url_signs()))
+
+
+def line_window(c: Column, offset: int, limit: int) -> Column:
+    """struct<text, total, has_more, next_offset>: `limit` lines from line `offset` (from 1) on."""
+    lines = F.split(c, "\n")
+    total, end = F.size(lines), offset - 1 + limit
+    shown = F.array_join(F.slice(lines, offset, limit), "\n")
+    return F.struct(shown.alias("text"), total.alias("total"), (total > end).alias("has_more"), F.when(total > end, end + 1).cast("int").alias("next_offset"))
 
 
 #: Words and short forms for a page.

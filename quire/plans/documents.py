@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sentences as S
 from ..functions import text as T
+from ..operators import analysis as A
 from ..operators import entities as E
 from ..operators import matching as M
 from ..sources import table
@@ -41,9 +42,14 @@ def text_lines(spark, d):
     return plain_lines(files, "doc_id", "text")
 
 
-@query("SELECT doc_id, pos - 1 AS pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE pos BETWEEN 3 AND 6")
+_WINDOW = 3, 4
+_WINDOW_SQL = "t AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)"
+
+
+@query(f"WITH {_WINDOW_SQL} SELECT doc_id, array_to_string(lines[3:6], chr(10)) AS text, len(lines)::INT AS total, len(lines) > 6 AS has_more, CASE WHEN len(lines) > 6 THEN 7 END::INT AS next_offset FROM t")
 def line_window(spark, d):
-    return _lines(spark, d).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "line").where("pos BETWEEN 2 AND 5")
+    """Lines 3 to 6 of each text, how many there are, whether some follow and where to go on."""
+    return table(spark, d, "documents").select("doc_id", T.line_window(F.col("text"), *_WINDOW).alias("w")).select("doc_id", "w.*")
 
 
 @query("WITH l AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT line, count(*)::BIGINT AS docs FROM l WHERE length(trim(line)) >= 3 GROUP BY 1 HAVING count(*) >= 3")
@@ -62,15 +68,33 @@ def sentences_simple(spark, d):
     return rows.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
-@query("SELECT doc_id, regexp_replace(text, '([a-z])-\\n([a-z])', '\\1\\2', 'g') AS text FROM documents")
+#: Texts as they would be set: some words cut at line ends, some of the same joined by a hyphen inside a line.
+_SET = "replace(replace(text, 'er ', 'er-' || chr(10)), ' the', '-the')"
+_SET_SQL = f"t AS (SELECT doc_id, string_split({_SET}, chr(10)) AS ls FROM documents), l AS (SELECT doc_id AS doc, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM t)"
+_COMPOUND_SQL = r"w AS (SELECT DISTINCT doc, unnest(regexp_extract_all(line, '\p{L}+(?:-\p{L}+)+')) AS w FROM l), k AS (SELECT doc, string_split(lower(w), '-') AS p FROM w), c AS (SELECT DISTINCT doc, compound FROM (SELECT doc, unnest(list_transform(range(1, len(p)), lambda i: p[i] || '-' || p[i + 1])) AS compound FROM k))"
+_URL_SQL = "(?i)" + "|".join(f"(?:{x})" for x in T.url_signs())
+
+
+def _set_lines(spark, d):
+    text = F.replace(F.replace("text", F.lit("er "), F.lit("er-\n")), F.lit(" the"), F.lit("-the"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    return rows.select("doc", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+@query(
+    f"WITH {_SET_SQL}, {_COMPOUND_SQL}, e AS (SELECT doc, pos, regexp_replace(line, '\\s+$', '') AS a, regexp_replace(lead(line) OVER (PARTITION BY doc ORDER BY pos), '^\\s+', '') AS b FROM l),"
+    " h AS (SELECT *, regexp_extract(a, '(\\p{L}+)-$', 1) AS x, regexp_extract(b, '^(\\p{L}+)', 1) AS y FROM e), j AS (SELECT *, lower(x || '-' || y) AS compound FROM h WHERE x <> '' AND y <> '')"
+    f" SELECT j.doc, j.pos, CASE WHEN regexp_matches(regexp_extract(a, '\\S+$'), '{_URL_SQL}') OR regexp_matches(regexp_extract(b, '^\\S+'), '{_URL_SQL}') OR c.doc IS NOT NULL THEN 'keep' ELSE 'join' END AS decision FROM j LEFT JOIN c ON c.doc = j.doc AND c.compound = j.compound"
+)
 def dehyphenate(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"([a-z])-\n([a-z])", "$1$2").alias("text"))
+    """What to do with each hyphen at a line's end, by the compounds that the document writes inside lines."""
+    return A.line_break_hyphens(_set_lines(spark, d))
 
 
-@query("SELECT w AS word, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+-[a-z]+')) AS w FROM documents) GROUP BY 1")
+@query(f"WITH {_SET_SQL}, {_COMPOUND_SQL} SELECT doc, compound FROM c")
 def compound_vocab(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+-[a-z]+)"))
-    return table(spark, d, "documents").select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """Compounds inside the lines of each document."""
+    return A.compounds(_set_lines(spark, d))
 
 
 @query("SELECT doc_id, coalesce(list_max(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: length(x))), 0)::BIGINT AS size FROM documents")
@@ -85,10 +109,36 @@ def synthetic_pages(spark, d):
     return table(spark, d, "documents").select("doc_id", F.floor((F.length("text") + 1799) / 1800).alias("pages"))
 
 
-@query("SELECT doc_id, length(text) > 0 AND length(regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g')) < 0.3 * length(text) AS needed FROM documents")
+#: Pages of 300 characters; in three documents of four some are as a scanner leaves them, without text.
+_OCR_SQL = (
+    "d AS (SELECT doc_id AS doc, text, ((length(text) + 299) // 300)::BIGINT AS pages FROM documents WHERE length(text) > 0), p AS (SELECT doc, pages, page, CASE WHEN doc % 4 > 0 AND (page * 7 + doc) % 4 < doc % 4 THEN '' ELSE substr(text, page * 300 + 1, 300) END AS t FROM d, range(0, pages) r(page)),"
+    r" q AS (SELECT doc, pages, page, length(t) AS n, regexp_replace(t, '\s', '', 'g') AS bare, t, length(t) - length(replace(t, chr(10), '')) AS nl FROM p),"
+    r" v AS (SELECT *, list_aggregate(list_transform(string_split(bare, ''), lambda c: regexp_matches(c, '[\p{L}\p{N}]')::INT), 'sum') AS alnum FROM q),"
+    " b AS (SELECT doc, pages, page, n, n < 100 OR (n - length(bare)) > 0.7 * n OR (nl > 0.6 * n AND nl < n) OR (length(bare) > 0 AND alnum < 0.3 * length(bare) AND alnum < 1000) AS bad FROM v),"
+    " g AS (SELECT doc, pages, (pages > 3)::BIGINT AS s, pages - (pages > 3)::BIGINT AS av FROM d), w AS (SELECT doc, list_transform(range(0, least(20, av)), lambda k: s + (k * av) // least(20, av)) AS grid FROM g),"
+    " i AS (SELECT doc, grid, list_transform(range(0, least(6, len(grid))), lambda k: grid[(k * len(grid)) // least(6, len(grid)) + 1]) AS few FROM w),"
+    " a AS (SELECT i.doc, grid, few, avg(bad::INT) AS share FROM i JOIN b ON b.doc = i.doc AND list_contains(few, page) GROUP BY ALL),"
+    " z AS (SELECT a.doc, any_value(pages) AS pages, count(*) AS sampled, count(*) FILTER (bad) AS issues, sum(n) AS n, sum(CASE WHEN NOT bad THEN n END) AS clean_n FROM a JOIN b ON b.doc = a.doc AND list_contains(CASE WHEN share >= 0.1 AND share < 0.8 THEN grid ELSE few END, page) GROUP BY 1)"
+)
+
+
+@query(f"WITH {_OCR_SQL} SELECT doc, sampled, issues, (pages >= 3 AND n < 24 * sampled) OR (issues >= 0.5 * sampled AND NOT (2 * (sampled - issues) >= sampled AND coalesce(clean_n / nullif(sampled - issues, 0), 0) >= 100)) AS needed FROM z")
 def ocr_needed(spark, d):
-    kept = F.length(F.regexp_replace("text", "[^a-zA-Z0-9]+", ""))
-    return table(spark, d, "documents").select("doc_id", ((F.length("text") > 0) & (kept < F.length("text") * 0.3)).alias("needed"))
+    """Whether documents need OCR, from a few of their pages, or more where these leave it open."""
+    docs = table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").alias("doc"), F.regexp_extract_all("text", F.lit("(?s).{1,300}"), F.lit(0)).alias("parts"))
+    pages = docs.select("doc", F.posexplode("parts").alias("page", "text")).withColumn("page", F.col("page").cast("bigint"))
+    scanned = (F.col("doc") % 4 > 0) & ((F.col("page") * 7 + F.col("doc")) % 4 < F.col("doc") % 4)
+    return A.ocr_decisions(pages.withColumn("text", F.when(scanned, "").otherwise(F.col("text"))), docs.select("doc", F.size("parts").alias("pages")))
+
+
+@query()
+def window_candidates(spark, d):
+    """The lines of each text where a quotation of its twelve words from the middle, some of them wrong, may stand."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    begin = F.floor(F.size(words) / 2).cast("int")
+    quote = F.array_join(F.transform(F.slice(words, F.greatest(begin, F.lit(1)), 12), lambda w, i: F.when(i % 4 == 3, F.concat(w, F.lit("zz"))).otherwise(w)), " ")
+    rows = table(spark, d, "documents").select("doc_id", A.best_window("text", quote).alias("w"))
+    return rows.select("doc_id", "w.*")
 
 
 # ---- search --------------------------------------------------------------------------------------------------------
@@ -129,15 +179,21 @@ def occurrences(spark, d):
 # ---- matching and duplicates ---------------------------------------------------------------------------------------
 
 
-@query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_FIRST} AS k FROM benchmark) b JOIN documents d ON contains(lower(d.text), lower(k)) WHERE length(k) >= 20")
-def match_title_norm(spark, d):
-    """References whose title (first line, 20 characters or more) a document holds, in any case of letters.
+_TITLE_SQL = r"lower(trim(regexp_replace(strip_accents({c}), '[!-/:-@\[-`{{-~]+', ' ', 'g')))"
 
-    Containment has no key to shuffle by: Spark sends the references to all documents if their size allows.
-    """
-    refs = table(spark, d, "benchmark").select("item_id", F.lower(F.substring_index("text", "\n", 1)).alias("k")).where("length(k) >= 20")
-    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    return docs.join(refs, F.contains("low", "k")).select("item_id", "doc_id")
+
+@query(
+    f"WITH r AS (SELECT doc_id AS ref, {_TITLE_SQL.format(c=f'lower({_FIRST})' + " || ' !'")} AS k FROM documents JOIN (SELECT DISTINCT doc_id FROM labels) USING (doc_id)), t AS (SELECT doc_id, {_TITLE_SQL.format(c=_FIRST)} AS k FROM documents), f AS (SELECT k, min(doc_id) AS doc_id, count(*) AS n FROM t WHERE k <> '' GROUP BY 1)"
+    " SELECT ref, f.doc_id, f.n::BIGINT AS n FROM r JOIN f USING (k)"
+)
+def match_title_norm(spark, d):
+    """References, written in small letters with a mark behind them, and the first of the documents that have their title in
+    normal form. Each title is one row before the join, however many documents have it."""
+    first = F.substring_index("text", "\n", 1)
+    docs = table(spark, d, "documents").select("doc_id", first.alias("title"))
+    refs = docs.join(table(spark, d, "labels").select("doc_id").distinct(), "doc_id").select(F.col("doc_id").alias("ref"), T.normalize_title(F.concat(F.lower("title"), F.lit(" !"))).alias("k"))
+    known = docs.select("doc_id", T.normalize_title(F.col("title")).alias("k")).where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
+    return refs.join(known, "k").select("ref", "doc_id", "n")
 
 
 @query(f"SELECT item_id, min(doc_id) AS doc_id, count(doc_id)::BIGINT AS matches FROM (SELECT item_id, {_ASCII.format(c=_FIRST)} AS k FROM benchmark) b LEFT JOIN (SELECT doc_id, {_ASCII.format(c=_FIRST)} AS k FROM documents WHERE text <> '') d USING (k) GROUP BY 1")
