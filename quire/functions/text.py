@@ -120,6 +120,16 @@ def date_group(at: Column, now: Column) -> Column:
     return out.when(F.trunc(day, "month") == F.trunc(today, "month"), "This Month").otherwise("Older")
 
 
+def clean_isbn(c: Column) -> Column:
+    """The first ISBN of ten or thirteen digits whose check digit is right, without hyphens and spaces; else null."""
+    bare = F.regexp_replace(F.upper(c), "[-‐‑–— ]", "")
+    value = lambda x: F.when(x == "X", 10).otherwise(x.try_cast("int"))
+    ten = lambda s: F.aggregate(F.transform(F.split(s, ""), lambda x, i: value(x) * (10 - i)), F.lit(0), lambda a, x: a + x) % 11 == 0
+    thirteen = lambda s: F.aggregate(F.transform(F.split(s, ""), lambda x, i: value(x) * (1 + 2 * (i % 2))), F.lit(0), lambda a, x: a + x) % 10 == 0
+    found = F.regexp_extract_all(bare, F.lit(r"(?<![0-9])(97[89][0-9]{10}|[0-9]{9}[0-9X])(?![0-9])"), F.lit(1))
+    return F.get(F.filter(found, lambda s: F.when(F.length(s) == 13, thirteen(s)).otherwise(ten(s))), F.lit(0))
+
+
 def digits(c: Column) -> Column:
     """Digits of five other scripts as ASCII digits."""
     rows = ["٠١٢٣٤٥٦٧٨٩", "۰۱۲۳۴۵۶۷۸۹", "०१२३४५६७८९", "০১২৩৪৫৬৭৮৯", "０１２３４５６７８９"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import analysis as A
-from ..operators import entities as E
+from ..operators import duplicates as D
 from ..operators import matching as M
 from ..sources import table
 from ..sources import text_lines as plain_lines
@@ -204,31 +204,49 @@ def match_references(spark, d):
     return refs.join(docs, "k", "left").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("doc_id").alias("matches"))
 
 
-_SIGN_SQL = f"g AS (SELECT doc_id AS id, lang AS type, {_ASCII.format(c=_FIRST)} AS title, doc_id % 5 + 2000 AS year FROM documents)"
+#: Documents as items: a third has a DOI (some blank, in either case of letters), a quarter an ISBN (some wrong), years
+#: are missing in a fifth, creators are two of seven.
+_SIGN_SQL = (
+    "d AS (SELECT doc_id AS id, lang AS type, split_part(text, chr(10), 1) AS raw, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 15 = 0 THEN '  ' ELSE ' 10.1/' || (CASE WHEN doc_id % 2 = 0 THEN 'AB' ELSE 'ab' END) || (doc_id % 41) END END AS doi,"
+    " CASE WHEN doc_id % 4 = 0 THEN CASE WHEN doc_id % 8 = 0 THEN '0-306-40615-2' ELSE '0-306-40615-3' END END AS isbn, CASE WHEN doc_id % 5 > 0 THEN 2000 + doc_id % 5 END AS y FROM documents),"
+    " g AS (SELECT id, type, doi IS NOT NULL AS has_doi, upper(trim(coalesce(doi, ''))) AS doi, isbn IS NOT NULL AS has_isbn, CASE isbn WHEN '0-306-40615-2' THEN '0306406152' ELSE '' END AS isbn,"
+    r" lower(trim(regexp_replace(strip_accents(coalesce(raw, '')), '[ !-/:-@\[-`{-~]+', ' ', 'g'))) AS title, y::INT AS year, list_sort(list_distinct(['muller|' || chr((97 + id % 7)::INT), 'li|' || chr((97 + id % 3)::INT)])) AS creators FROM d)"
+)
 
 
 def _signatures(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select(F.col("doc_id").alias("id"), F.col("lang").alias("type"), _key(F.substring_index("text", "\n", 1)).alias("title"), (F.col("doc_id") % 5 + 2000).alias("year"), F.lit(None).cast("string").alias("doi"), (F.col("doc_id") % 3 == 0).alias("preferred"))
+    k = F.col("doc_id")
+    doi = F.when(k % 3 == 0, F.when(k % 15 == 0, "  ").otherwise(F.concat(F.lit(" 10.1/"), F.when(k % 2 == 0, "AB").otherwise("ab"), (k % 41).cast("string"))))
+    isbn = F.when(k % 4 == 0, F.when(k % 8 == 0, "0-306-40615-2").otherwise("0-306-40615-3"))
+    first = lambda n: F.chr(97 + k % n)
+    people = F.array(F.struct(F.lit("Müller").alias("last"), first(7).alias("first")), F.struct(F.lit("Li").alias("last"), F.upper(first(3)).alias("first")))
+    items = table(spark, d, "documents").select(k.alias("id"), F.col("lang").alias("type"), doi.alias("doi"), isbn.alias("isbn"), F.substring_index("text", "\n", 1).alias("title"), F.when(k % 5 > 0, 2000 + k % 5).alias("year"), people.alias("creators"), (k % 3 == 1).alias("preferred"))
+    return D.signatures(items)
 
 
-@query(f"WITH {_SIGN_SQL} SELECT id, type, title, year FROM g")
+@query(f"WITH {_SIGN_SQL} SELECT id, type, has_doi, doi, has_isbn, isbn, title, year, array_to_string(creators, ',') AS creators FROM g")
 def dup_signature(spark, d):
-    return _signatures(spark, d).select("id", "type", "title", "year")
+    return _signatures(spark, d).drop("preferred").withColumn("creators", F.array_join("creators", ","))
 
 
-@query(
-    f"WITH {_SIGN_SQL}, c AS (SELECT type, title, year, min(id) AS id FROM g WHERE title <> '' GROUP BY ALL) SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.title = b.title AND a.type = b.type AND a.id < b.id AND abs(a.year - b.year) <= 1"
-    " UNION ALL SELECT c.id, g.id FROM g JOIN c USING (type, title, year) WHERE g.id > c.id"
+_DUP_SQL = (
+    _SIGN_SQL + ", c AS (SELECT type, has_doi, doi, has_isbn, isbn, title, year, creators, min(id) AS id FROM g WHERE doi <> '' OR isbn <> '' OR title <> '' GROUP BY ALL),"
+    " m AS (SELECT c.id AS id_a, g.id AS id_b FROM g JOIN c ON (g.type, g.has_doi, g.doi, g.has_isbn, g.isbn, g.title, g.creators) = (c.type, c.has_doi, c.doi, c.has_isbn, c.isbn, c.title, c.creators) AND g.year IS NOT DISTINCT FROM c.year WHERE g.id > c.id),"
+    " s AS (SELECT min(id) OVER (PARTITION BY type, doi) AS id_a, id AS id_b FROM c WHERE doi <> ''),"
+    " p AS (SELECT a.id AS id_a, b.id AS id_b FROM c a JOIN c b ON a.id < b.id AND a.type = b.type AND (a.doi = '' OR b.doi = '') AND CASE WHEN a.has_doi AND b.has_doi AND (a.doi <> '' OR b.doi <> '') THEN false WHEN a.has_isbn AND b.has_isbn AND (a.isbn <> '' OR b.isbn <> '') THEN a.isbn = b.isbn"
+    " ELSE a.title <> '' AND a.title = b.title AND (coalesce(abs(a.year - b.year) <= 1, false) OR list_has_any(a.creators, b.creators)) END)"
 )
+
+
+@query(f"WITH {_DUP_SQL} SELECT id_a, id_b FROM m UNION ALL SELECT id_a, id_b FROM s WHERE id_a < id_b UNION ALL SELECT id_a, id_b FROM p")
 def dup_pairs(spark, d):
-    return E.duplicate_pairs(_signatures(spark, d).where("title <> ''"))
+    return D.duplicate_pairs(_signatures(spark, d))
 
 
 @query()
 def dedup_greedy(spark, d):
-    """Items of a block in order of id join the first anchor they match; the survivor is preferred over the anchor."""
-    return E.greedy_duplicates(_signatures(spark, d).where("title <> ''").select("id", F.col("title").alias("block"), "type", "year", "preferred"))
+    """One of each group of duplicates by DOI, ISBN or title, preferred items first."""
+    return D.greedy_survivors(_signatures(spark, d))
 
 
 @query("SELECT DISTINCT p_brand AS tag, least(levenshtein(p_brand, 'Brand#11'), 2)::INT AS distance FROM part")
