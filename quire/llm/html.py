@@ -1,15 +1,18 @@
 """Operator 10: main text of HTML pages by composite text density.
 
 The page becomes a DOM. Composite text density of a node is its characters per tag, adjusted by how much of the text
-is linked, against the share of links in the whole body. A node's sum is the sum of its children's densities (a run of
-text counts as a child). The node of the largest sum is the core; the lowest density on the path from the body to it is
-the threshold. From the body down, in every subtree that reaches the threshold the node of the largest sum is kept
-whole, so siblings of the core stay too. An article element around a kept node is kept whole, and headings that lead to
-kept text stay.
-
-Scripts, styles and form controls never count. Elements that are menus, headers, footers, sidebars, notices, adverts,
-forms or comments by their tag or name are left out if they hold at most half of the page's text (comments: any share)
-and no main element or first-level heading; a header inside an article or main element stays.
+is linked, against the share of links in the whole body. A node's sum is the sum of the densities of its blocks; what
+stands between blocks (text, links, bold words) counts as one more. The node of the largest sum is the core, or what
+inside it has at least CORE of its sum and text: a page of few paragraphs has a larger sum than its article, since
+each notice beside it adds to it. Threshold is the lowest density on the path from the body, which itself counts only if
+it is the core, to the core, times REACH. From the body down, in every subtree that reaches the threshold the node of the
+largest sum is kept whole, so siblings of the core stay too, and paragraphs, lists and tables beside kept blocks stay
+however short they are. Headings that lead to kept text stay.
+
+Density selects; tags and names only leave things out of what it has selected: menus, headers, footers, sidebars,
+notices, adverts and forms that hold at most half of the kept text and no main element or first-level heading; a header
+inside an article or main element stays. Scripts, styles, form controls, hidden elements and reader comments never
+count: comments are as dense as an article, so they are known by name only.
 
 The scan is linear in the page: quotes that never close are found once, and open elements are found by their tag, not
 by walking up. Null and empty pages, and pages without text, give an empty string. Whole pages are read, nothing is
@@ -65,24 +68,24 @@ _ATTR = re.compile(r"([^\s\"'<>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 
 
 class Node:
-    __slots__ = ("tag", "children", "kind", "drop", "keep", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "holds")
+    __slots__ = ("tag", "children", "kind", "drop", "keep", "chars", "tags", "link_chars", "link_tags", "density", "sum", "best", "holds", "block")
 
     def __init__(self, tag: str, kind: str = ""):
         self.tag, self.kind, self.drop, self.keep = tag, kind, tag in NEVER, False
         self.children: list[Node | str] = []
         self.density = self.sum = 0.0
-        self.best, self.holds = self, False
+        self.best, self.holds, self.block = self, False, False
 
 
 def kind_of(tag: str, attrs: str) -> str:
-    """What an element is by tag and names: aside, header, comments, or ''."""
+    """What an element is by tag and names: aside, header, comments, hidden, or ''."""
     if tag in ("html", "body", "main"):
         return ""
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return "aside"
+                return "hidden"
             if name in ("class", "id", "role", "aria-label"):
                 value = value.replace("_", "-")
                 if COMMENTS.search(value):
@@ -191,20 +194,41 @@ def _size(text: str) -> int:
     return len(text) - text.count(" ") - text.count("\n")
 
 
+#: The share of the sum and text of the densest node that a node inside it needs to be the core instead, and the share of
+#: the threshold that others must reach.
+CORE, REACH = 0.5, 0.6
+#: Elements that stand beside kept ones as parts of the same text.
+PARTS = HEADINGS | frozenset("p ul ol dl blockquote pre table figure".split())
+
+
 def leave_out(root: Node) -> None:
-    """Mark menus, headers, sidebars and the like as dropped, by what they hold of the page."""
+    """Mark menus, headers, sidebars and the like inside kept nodes as dropped, by what they hold of the kept text."""
     nodes = _nodes(root)
+    kept = 0
     for node, _, _ in reversed(nodes):
         inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
-        node.chars = sum(_size(c) for c in node.children if isinstance(c, str)) + sum(c.chars for c in inner)
         node.holds = any(c.holds or c.tag == "main" or c.tag == "h1" and node.kind != "header" for c in inner)
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.keep:
+            kept += node.chars
+        else:
+            stack += [c for c in node.children if not isinstance(c, str) and not c.drop]
     for node, _, inside in nodes:
-        if node.kind and not node.holds and not (node.kind == "header" and inside):
-            node.drop = node.kind == "comments" or 2 * node.chars <= root.chars
+        if node.kind and not node.holds and not (node.kind == "header" and inside) and 2 * node.chars <= kept:
+            node.drop = True
+
+
+def hide(root: Node) -> None:
+    """Drop reader comments and what is not shown."""
+    for node, _, _ in _nodes(root):
+        if node.kind in ("comments", "hidden"):
+            node.drop = True
 
 
 def measure(root: Node) -> float:
-    """Densities and sums, bottom up; returns the threshold."""
+    """Densities and sums, bottom up; sets the core as root.best and returns the threshold."""
     nodes = _nodes(root)
     for node, linked, _ in reversed(nodes):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
@@ -233,38 +257,59 @@ def measure(root: Node) -> float:
     above: dict[int, Node] = {}
     for node, linked, _ in reversed(nodes):
         node.density, node.sum, node.best = density(node.chars, node.tags, node.link_chars, node.link_tags), 0.0, node
-        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        node.block = node.tag in BLOCK
+        run = [0, 0, 0, 0]  # characters, tags and linked ones between blocks
+        for c in [*node.children, None]:
+            if c is None or not isinstance(c, str) and not c.drop and c.block:
+                node.sum += density(*run)
+                run = [0, 0, 0, 0]
+                if c is not None:
+                    node.sum += c.density
+                    node.block = True
+            elif isinstance(c, str):
+                n = _size(c)
+                run = [run[0] + n, run[1], run[2] + n * linked, run[3] + (linked and n > 0 and not run[3])]
+            elif not c.drop:
+                run = [run[0] + c.chars, run[1] + c.tags + 1, run[2] + c.link_chars, run[3] + c.link_tags + (c.tag == "a")]
         for c in node.children:
-            if isinstance(c, str) and (n := _size(c)):
-                node.sum += density(n, 1, n * linked, int(linked))
-        for c in inner:
-            node.sum += c.density
-            above[id(c)] = node
-        for c in inner:
-            if c.best.sum > node.best.sum:
-                node.best = c.best
-    node, threshold = root.best, root.best.density
-    while node is not root:
-        node = above[id(node)]
+            if not isinstance(c, str) and not c.drop:
+                above[id(c)] = node
+                if c.block and c.best.sum > node.best.sum:  # words in bold are no core
+                    node.best = c.best
+    core = whole = root.best
+    node = core
+    while True:  # down the child of most text
+        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        node = max(inner, key=lambda c: c.chars, default=None)
+        if node is None or node.chars < CORE * whole.chars:
+            break
+        if node.sum >= CORE * whole.sum and any(not isinstance(c, str) and not c.drop and c.block for c in node.children):
+            core = node
+    root.best, threshold, node = core, core.density, core
+    while node is not root and (node := above[id(node)]) is not root:
         threshold = min(threshold, node.density)
-    return threshold
+    return threshold * REACH
 
 
 def mark(root: Node, threshold: float) -> None:
-    """Keep the node of the largest sum of every subtree that is reached from the body by the threshold."""
-    stack = [root] if root.chars else []
+    """Keep the core, the node of the largest sum of every subtree that is reached from the body by the threshold, and
+    parts of the same text beside them."""
+    if not root.chars:
+        return
+    root.best.keep = True
+    stack = [c for c in root.children if not isinstance(c, str) and not c.drop]
     while stack:
         node = stack.pop()
         if node.chars and node.density >= threshold:
-            node.best.keep = True
+            if node.block:
+                node.best.keep = True
             stack += [c for c in node.children if not isinstance(c, str) and not c.drop]
-    inside: list[tuple[Node, Node | None]] = [(root, None)]
-    while inside:
-        node, article = inside.pop()
-        article = node if node.tag == "article" and article is None else article
-        if node.keep and article is not None:
-            article.keep = True
-        inside += [(c, article) for c in node.children if not isinstance(c, str) and not c.drop]
+    for node, _, _ in _nodes(root):
+        inner = [c for c in node.children if not isinstance(c, str) and not c.drop]
+        if any(c.keep for c in inner):
+            for c in inner:
+                if c.tag in PARTS and 2 * c.link_chars < max(c.chars, 1):
+                    c.keep = True
 
 
 def blocks(root: Node) -> list[str]:
@@ -310,8 +355,9 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    leave_out(root)
+    hide(root)
     mark(root, measure(root))
+    leave_out(root)
     return "\n\n".join(blocks(root))
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quire.llm import ann, bpe, fingerprint, html, jaccard, langid, lm, mixing, quality
 
+from ..conftest import DATA
+
 # ---- 2 quality -----------------------------------------------------------------------------------------------------
 
 
@@ -268,7 +270,6 @@ def test_parsing_is_linear(piece):
 def test_densities_as_the_formula_gives_them():
     page = "<div><p>plain text of some length here</p><p>with <a href=x>a link</a> inside</p></div><ul><li><a>one</a></li><li><a>two</a></li></ul>"
     root = html.parse(page)
-    html.leave_out(root)
     threshold = html.measure(root)
 
     def walk(node, linked=False):
@@ -296,7 +297,51 @@ def test_densities_as_the_formula_gives_them():
         seen.append(node)
         stack += [(x, linked or node.tag == "a") for x in node.children if not isinstance(x, str)]
     best = max(seen, key=lambda n: n.sum)
-    assert best.tag == "div" and root.best is best and threshold == min(best.density, root.density)
+    assert best.tag == "div" and root.best is best and threshold == html.REACH * best.density
+
+
+def _f1(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    return 2 * (a & b).total() / max(a.total() + b.total(), 1)
+
+
+def _pages(spark, bare):
+    """(page, text of its article): bare pages have no names, and div elements for those that say what they are."""
+    out = []
+    for r in spark.read.parquet(f"{DATA.parent}/sf0.01/pages.parquet").collect():
+        root = html.parse("<body>" + re.search(r"(?s)<article>(.*?)</article>", r.html)[1])
+        root.keep, page = True, r.html
+        if bare:
+            page = re.sub(r"</?(?:article|nav|footer|header|main|aside|section)\b[^>]*>", lambda m: "</div>" if m[0][1] == "/" else "<div>", page)
+            page = re.sub(r'\s(?:class|id|role)="[^"]*"', "", page)
+        out.append((page, "\n\n".join(html.blocks(root))))
+    return out
+
+
+def test_main_text_without_names_and_roles(spark):
+    """Density alone finds the article: no class, id or role, and no element that says what it is."""
+    scores = [_f1(html.main_text(page), want) for page, want in _pages(spark, True)]
+    assert np.mean(scores) >= 0.95 and np.mean([s == 1 for s in scores]) > 0.7
+    assert np.mean([html.main_text(page) == want for page, want in _pages(spark, False)]) > 0.98
+
+
+def test_density_decides(spark, monkeypatch):
+    """Without the density step, or with names alone, far fewer bare pages are right; without names few change."""
+    bare, named = _pages(spark, True), _pages(spark, False)
+    own = np.mean([_f1(html.main_text(page), want) == 1 for page, want in bare])
+    with monkeypatch.context() as m:
+        m.setattr(html, "mark", lambda root, _: setattr(root, "keep", True))
+        assert np.mean([_f1(html.main_text(page), want) == 1 for page, want in bare]) < 0.1 < own
+    with monkeypatch.context() as m:
+        m.setattr(html, "leave_out", lambda _: None)
+        assert np.mean([html.main_text(page) == want for page, want in named]) > 0.7
+
+
+def test_repeated_pages_and_clashing_text(spark):
+    page = "<article><h1>Title</h1><p>Some words of the article that are kept.</p></article>"
+    df = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = sorted((r.page_id, r.text, r.n_chars) for r in html.with_main_text(df).collect())
+    assert got[0] == got[1] and got[0][1] == "Title\n\nSome words of the article that are kept." and got[2] == (2, "", 0)
 
 
 # ---- 1, 5, pipeline ------------------------------------------------------------------------------------------------
