@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import html
+import re
+import unicodedata
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -56,52 +59,98 @@ def line_starts(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else [0, *accumulate(len(x) + 1 for x in t.split("\n")[:-1])])
 
 
-def _decoded(c: Column) -> Column:
-    """Character references by number, and the five that markup needs."""
-    c = F.regexp_replace(c, F.lit(r"&#(?:39|x27);"), F.lit("'"))
-    for code in range(32, 127):  # a reference by number of each printable ASCII character
-        if chr(code) not in "&<>'\"":
-            c = F.replace(c, F.lit(f"&#{code};"), F.lit(chr(code)))
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
-def _encoded(c: Column) -> Column:
-    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        c = F.replace(c, F.lit(char), F.lit(name))
-    return c
-
-
-def _unescaped(c: Column) -> Column:
-    for name, char in (("\\n", "\n"), ("\\t", "\t"), ('\\"', '"'), ("\\\\", "\\")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
-
-
-def _spaced(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
-
-
-def strategy(text: Column, quote: Column) -> Column:
-    """The name of the first way in which text holds quote, or null: as it is, with character references decoded or
-    encoded, with plain quotation marks, without a trailing newline, with JSON escapes undone, with any white space."""
-    ways = {
-        "exact": (text, quote),
-        "entity_decoded": (text, _decoded(quote)),
-        "entity_encoded": (text, _encoded(quote)),
-        "quotes": (T.fold_quotes(text), T.fold_quotes(quote)),
-        "trailing_newline": (text, F.regexp_replace(quote, r"\n+$", "")),
-        "json_unescaped": (text, _unescaped(quote)),
-        "relaxed_space": (_spaced(text), _spaced(quote)),
-    }
-    out = None
-    for name, (whole, part) in ways.items():
-        held = F.contains(whole, part)
-        if name == "json_unescaped":  # escapes undone may stand for any white space
-            held = F.contains(_spaced(whole), _spaced(part)) & (part != quote)
-        out = F.when(held, name) if out is None else out.when(held, name)
-    return out
+class Form:
+    """A text as it is rewritten step by step, with the places that each of its characters came from, so that what is found
+    in the rewritten text is a range of the first one."""
+
+    def __init__(self, text: str):
+        self.text, self._from, self._to = text, range(len(text)), range(1, len(text) + 1)
+
+    def rewritten(self, pattern: str, by) -> Form:
+        """Every match replaced by a string, or by(match). All of a new string stands for all of its match."""
+        out, begin, end, at = [], [], [], 0
+        for m in re.finditer(pattern, self.text):
+            new = by(m) if callable(by) else by
+            out += [self.text[at : m.start()], new]
+            begin += [*self._from[at : m.start()], *[self._from[m.start()] if m.end() > m.start() else 0] * len(new)]
+            end += [*self._to[at : m.start()], *[self._to[m.end() - 1] if m.end() > m.start() else 0] * len(new)]
+            at = m.end()
+        made = Form("".join([*out, self.text[at:]]))
+        made._from, made._to = [*begin, *self._from[at:]], [*end, *self._to[at:]]
+        return made
+
+    def ranges(self, part: str) -> list[tuple[int, int]]:
+        """Where part stands in the first text, without overlaps."""
+        out, at = [], self.text.find(part) if part else -1
+        while at >= 0:
+            out.append((self._from[at], self._to[at + len(part) - 1]))
+            at = self.text.find(part, at + len(part))
+        return out
+
+
+_SPACE = r"(?:\s|&nbsp;)+"
+_ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
+_ESCAPES = {"\\n": "\n", "\\t": "\t", '\\"': '"', "\\\\": "\\"}
+_FOLDED = str.maketrans(T.QUOTES, T.ASCII_QUOTES)
+
+
+def _markdown(quote: str) -> str:
+    """Headings and strong words of lines, outside of tags."""
+
+    def plain(part: str) -> str:
+        part = re.sub(r"(?m)^ {0,3}(#{1,6})[ \t]+(.+?)(?:[ \t]+#+)?[ \t]*\r?$", lambda m: f"<h{len(m[1])}>{m[2]}</h{len(m[1])}>", part)
+        return re.sub(r"\*\*([^\n*]+?)\*\*|__([^\n_]+?)__", lambda m: f"<strong>{m[1] or m[2]}</strong>", part)
+
+    return "".join(x if k % 2 else plain(x) for k, x in enumerate(re.split(r"(<[^>]*>)", quote)))
+
+
+def _rendered(quote: str) -> str:
+    """Also emphasis, code, links and lines as paragraphs."""
+    quote = re.sub(r"`([^`\n]+)`", r"<code>\1</code>", _markdown(quote))
+    quote = re.sub(r"\[([^\]\n]+)\]\(([^)\s]+)\)", r'<a href="\2">\1</a>', quote)
+    quote = re.sub(r"(?<![*\w])\*([^*\n]+)\*(?![*\w])|(?<![_\w])_([^_\n]+)_(?![_\w])", lambda m: f"<em>{m[1] or m[2]}</em>", quote)
+    parts = [x for x in re.split(r"\n{2,}", quote.strip()) if x]
+    return "\n".join(x if re.match(r"<(?:h[1-6]|ul|ol|p|blockquote|pre)\b", x) else f"<p>{x}</p>" for x in parts)
+
+
+def _replaced(text: str, pairs: dict[str, str]) -> str:
+    return re.sub("|".join(map(re.escape, pairs)), lambda m: pairs[m[0]], text)
+
+
+def located(text: str, quote: str) -> tuple[str, list[tuple[int, int]]] | None:
+    """The first way in which text holds quote, and the ranges of text that hold it: as it is; with character references
+    decoded or encoded; in compatibility form; with plain quotation marks; without a trailing newline; with JSON escapes
+    undone; without a tag that is cut off at its ends; without a bare tag put around it; without attributes of block tags;
+    with Markdown headings and strong words as HTML; with any white space; with all of its Markdown as HTML."""
+    if not quote:
+        return None
+    whole = Form(text)
+    spaced = lambda f: f.rewritten(_SPACE, " ")
+    bare = lambda q: re.sub(_SPACE, " ", q).strip()
+    unescaped = _replaced(quote, _ESCAPES)
+    wrapped = re.fullmatch(r"(?s)\s*<([a-zA-Z][a-zA-Z0-9]*)>(.*)</\1>\s*", quote)
+    ways = [
+        ("exact", whole, quote), ("entity_decoded", whole, html.unescape(quote)), ("entity_encoded", whole, _replaced(quote, _ENTITIES)), ("nfkc", whole, unicodedata.normalize("NFKC", quote)),
+        ("quotes", lambda: whole.rewritten(f"[{T.QUOTES}]", lambda m: m[0].translate(_FOLDED)), quote.translate(_FOLDED)), ("trailing_newline", whole, quote.rstrip("\n")),
+        ("json_unescaped", (lambda: spaced(whole)) if unescaped != quote else None, bare(unescaped)), ("partial_element", whole, re.sub(r"^[^<>]*>|<[^<>]*$", "", quote)),
+        ("spurious_wrap", whole, wrapped[2] if wrapped else ""), ("tag_attributes", whole, re.sub(r"(?i)<(p|h[1-6]|blockquote)\s+[^>]*?(/?)>", lambda m: f"<{m[1].lower()}{m[2]}>", quote)),
+        ("markdown", whole, _markdown(quote)), ("relaxed_space", lambda: spaced(whole), bare(quote)), ("markdown_rendered", whole, _rendered(quote)),
+    ]
+    for name, form, part in ways:
+        if form is None or form is whole and part == quote and name != "exact":
+            continue
+        found = (form if form is whole else form()).ranges(part)
+        if found:
+            return name, found
+    return None
+
+
+@F.pandas_udf(StructType([StructField("way", StringType()), StructField("start", LongType()), StructField("end", LongType()), StructField("n", LongType())]))
+def match_range(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    """located() for each row: the way, the first range and how many there are; nulls where there is none."""
+    made = [None if t is None or q is None else located(t, q) for t, q in zip(text, quote, strict=True)]
+    rows = [(None, None, None, None) if x is None else (x[0], *x[1][0], len(x[1])) for x in made]
+    return pd.DataFrame(rows, columns=["way", "start", "end", "n"]).astype({"start": "Int64", "end": "Int64", "n": "Int64"})
 
 
 def first_match(items: DataFrame) -> DataFrame:

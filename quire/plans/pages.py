@@ -136,19 +136,21 @@ _FORM_SQL = "CASE doc_id % 6 WHEN 0 THEN q WHEN 1 THEN replace(q, ' ', '  ') WHE
 
 
 @query(
-    "SELECT doc_id, CASE WHEN length(q) = 0 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN contains(q, ' ') THEN 'relaxed_space' ELSE 'exact' END WHEN 2 THEN CASE WHEN contains(text, q || chr(10)) THEN 'exact' ELSE 'trailing_newline' END"
+    "WITH m AS (SELECT doc_id, text, q, CASE WHEN length(q) = 0 THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'exact' WHEN 1 THEN CASE WHEN contains(q, ' ') THEN 'relaxed_space' ELSE 'exact' END WHEN 2 THEN CASE WHEN contains(text, q || chr(10)) THEN 'exact' ELSE 'trailing_newline' END"
     " WHEN 3 THEN CASE WHEN contains(q, 'e') OR contains(q, '&') THEN 'entity_decoded' ELSE 'exact' END WHEN 4 THEN CASE WHEN contains(q, ' ') THEN 'json_unescaped' ELSE 'exact' END END END AS strategy"
-    " FROM (SELECT doc_id, coalesce(text, '') AS text, trim(substr(split_part(coalesce(text, ''), chr(10), 1), 1, 40)) AS q FROM documents)"
+    " FROM (SELECT doc_id, coalesce(text, '') AS text, trim(substr(split_part(coalesce(text, ''), chr(10), 1), 1, 40)) AS q FROM documents))"
+    " SELECT doc_id, strategy, CASE WHEN strategy IS NOT NULL THEN strpos(text, q || CASE WHEN doc_id % 6 = 2 AND strategy = 'exact' THEN chr(10) ELSE '' END) - 1 END AS start, CASE WHEN strategy IS NOT NULL THEN start + length(q) + (doc_id % 6 = 2 AND strategy = 'exact')::BIGINT END AS stop FROM m"
 )
 def match_cascade(spark, d):
-    """The first strategy that finds a quotation in its text. Quotations are the text's first words, changed by doc_id."""
+    """The first strategy that finds a quotation in its text, and where. Quotations are the text's first words, changed by doc_id."""
     docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumn("q", F.trim(F.left(F.substring_index("text", "\n", 1), F.lit(40))))
     k = F.col("doc_id") % 6
     entity = F.replace(F.replace("q", F.lit("&"), F.lit("&amp;")), F.lit("e"), F.lit("&#101;"))
     form = F.when(k == 0, F.col("q")).when(k == 1, F.replace("q", F.lit(" "), F.lit("  "))).when(k == 2, F.concat("q", F.lit("\n"))).when(k == 3, entity)
     form = form.when(k == 4, F.replace("q", F.lit(" "), F.lit("\\n"))).otherwise(F.concat("q", F.lit("zzz")))
-    return docs.select("doc_id", F.when(F.length("q") > 0, M.strategy(F.col("text"), form)).alias("strategy"))
+    found = docs.select("doc_id", M.match_range("text", F.when(F.length("q") > 0, form)).alias("m"))
+    return found.select("doc_id", F.col("m.way").alias("strategy"), F.col("m.start").alias("start"), F.col("m.end").alias("stop"))
 
 
 # ---- references ----------------------------------------------------------------------------------------------------

@@ -114,3 +114,50 @@ def test_best_matcher_has_most_markers(spark):
     assert scores(spark, [few, many], 6) == (1, 5, 1.25)
     assert scores(spark, [few, few], 6) == (0, 3, 3.0)
     assert scores(spark, [many, ["aa", "aa", "bb", "cc", "dd", "ee"]], 6) == (0, 5, 1.25)
+
+
+NOTE = 'He said: “Yes”, &amp; left.\nTwo  words&nbsp;here <p>plain</p> <h2>Head</h2> <strong>bold</strong> and <em>soft</em> (1) end, <p><em>x</em> y</p> &quot;q&quot; a < b'
+
+
+@pytest.mark.parametrize(
+    "quote, way, found",
+    [
+        ("said: “Yes”", "exact", "said: “Yes”"),
+        ("&lt; b", "entity_decoded", "< b"),
+        ("& left", "entity_encoded", "&amp; left"),
+        ("（1） end", "nfkc", "(1) end"),
+        ('said: "Yes"', "quotes", "said: “Yes”"),
+        ("left.\n\n", "trailing_newline", "left."),
+        ("left.\\nTwo", "json_unescaped", "left.\nTwo"),
+        ('span class="x">plain</p', "partial_element", "plain"),
+        ("<div>plain</div>", "spurious_wrap", "plain"),
+        ('<p class="x">plain</p>', "tag_attributes", "<p>plain</p>"),
+        ("## Head", "markdown", "<h2>Head</h2>"),
+        ("**bold** and", "markdown", "<strong>bold</strong> and"),
+        ("Two words here", "relaxed_space", "Two  words&nbsp;here"),
+        ("*x* y", "markdown_rendered", "<p><em>x</em> y</p>"),
+        ("not there", None, None),
+        ("", None, None),
+    ],
+)
+def test_every_way_gives_a_range_of_the_text(quote, way, found):
+    got = M.located(NOTE, quote)
+    assert (got and got[0]) == way
+    assert found is None or [NOTE[a:b] for a, b in got[1]][0] == found
+
+
+def test_rewritten_texts_know_where_they_came_from():
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join(rng.choices("ab \n&nbsp;“", k=rng.randint(0, 30)))
+        form = M.Form(text).rewritten(r"(?:\s|&nbsp;)+", " ").rewritten("[“]", '"').rewritten("aa", "A")
+        for k in range(len(form.text)):
+            (a, b), *_ = [r for r in form.ranges(form.text[k : k + 1])]
+            assert M.Form(text[a:b]).rewritten(r"(?:\s|&nbsp;)+", " ").rewritten("[“]", '"').rewritten("aa", "A").text == form.text[k]
+    assert M.Form("a a a").ranges("a") == [(0, 1), (2, 3), (4, 5)] and M.Form("aaa").ranges("aa") == [(0, 2)] and M.Form("a").ranges("") == []
+
+
+def test_ranges_of_rows(spark):
+    rows = [("x  y x y", "x y"), (None, "x"), ("x", None), ("a x\ny x y", "x  y")]
+    got = [tuple(r.m) for r in spark.createDataFrame(rows, "t string, q string").select(M.match_range("t", "q").alias("m")).collect()]
+    assert got == [("exact", 5, 8, 1), (None,) * 4, (None,) * 4, ("relaxed_space", 2, 5, 2)]

@@ -96,7 +96,7 @@ def test_edits(spark):
 )
 def test_ways_to_find_a_quotation(spark, text, quote, want):
     df = spark.createDataFrame([(text, quote)], "t string, q string")
-    assert df.select(M.strategy(F.col("t"), F.col("q"))).first()[0] == want
+    assert df.select(M.match_range("t", "q")["way"]).first()[0] == want
 
 
 def test_references(spark):
