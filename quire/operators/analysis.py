@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -9,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..functions import text as T
 from ..sources import stored
@@ -144,3 +146,31 @@ def best_window(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """window_of() for each row; nulls where no window has words enough."""
     made = [None if t is None or q is None else window_of(t, q) for t, q in zip(text, quote, strict=True)]
     return pd.DataFrame([x or (None, None, None) for x in made], columns=["first", "last", "score"]).astype({"first": "Int64", "last": "Int64", "score": "float64"})
+
+
+#: Snippets for a quotation, the least share of its words that a line has, and characters of a snippet.
+SNIPPETS, LEAST_LINE, SNIPPET = 3, 0.5, 200
+
+
+def snippets_of(text: str, quote: str) -> list[tuple[int, float, str]]:
+    """line (from 0), score, snippet: the lines that have most of the quote's words, tags aside, first the best and of
+    equal ones the first; of longer lines what stands around the first of these words, with an ellipsis where it is cut."""
+    wanted = {w for w in quote.lower().split() if len(w) > WORD}
+    scored = []
+    for k, line in enumerate(text.split("\n")):
+        words = set(re.sub(r"<[^>]+>", "", line).lower().split())
+        score = len(words & wanted) / len(wanted) if wanted else 0.0
+        if score >= LEAST_LINE:
+            scored.append((-score, k, line.strip(), min(line.strip().lower().find(w) for w in words & wanted)))
+    out = []
+    for score, k, line, at in heapq.nsmallest(SNIPPETS, scored):
+        begin = max(0, min(max(at, 0) - SNIPPET // 2, len(line) - SNIPPET))
+        cut = line[begin : begin + SNIPPET]
+        out.append((k, -score, ("…" if begin else "") + cut + ("…" if begin + SNIPPET < len(line) else "")))
+    return out
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("line", LongType()), StructField("score", DoubleType()), StructField("snippet", StringType())])))
+def snippets(text: pd.Series, quote: pd.Series) -> pd.Series:
+    """snippets_of() for each row; null without a text or quote."""
+    return pd.Series([None if t is None or q is None else [{"line": k, "score": s, "snippet": x} for k, s, x in snippets_of(t, q)] for t, q in zip(text, quote, strict=True)], dtype=object)

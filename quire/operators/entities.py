@@ -208,6 +208,21 @@ def managed(tree: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
     return new, said.select("id", "action", "error")
 
 
+def overlapping(rows: DataFrame, keys: list[str], name: str, begin: str, end: str, width: float, closed: bool = False) -> DataFrame:
+    """keys, <name>_x, <name>_y: both ways, pairs of rows of equal keys whose intervals overlap (closed: or touch).
+
+    An interval is cut into cells of `width`, and rows meet by key and cell, so a key that very many rows have is dealt out
+    by place; a pair counts in the cell where the later one begins. Empty intervals overlap what they lie in.
+    """
+    at = lambda c: F.floor(F.col(c) / F.lit(width))
+    cut = rows.where(F.col(begin) <= F.col(end)).select(*keys, name, begin, end, F.explode(F.sequence(at(begin), at(end))).alias("_cell"))
+    x, y = (cut.select(*keys, "_cell", *[F.col(c).alias(f"{c}_{s}") for c in (name, begin, end)]) for s in "xy")
+    a, b, c, d = (F.col(n) for n in (f"{begin}_x", f"{end}_x", f"{begin}_y", f"{end}_y"))
+    meets = ((a <= d) & (c <= b)) if closed else ((a < d) & (c < b))
+    first = F.floor(F.greatest(a, c) / F.lit(width)) == F.col("_cell")
+    return x.join(y, [*keys, "_cell"]).where((F.col(f"{name}_x") != F.col(f"{name}_y")) & meets & first).select(*keys, f"{name}_x", f"{name}_y")
+
+
 def markers(rows: DataFrame, group: str, order: str, text: str) -> DataFrame:
     """A marker of each group: its number of rows and, in base 36, a 32-bit rolling hash over their texts in order.
 

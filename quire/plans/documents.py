@@ -135,12 +135,24 @@ def ocr_needed(spark, d):
 def window_candidates(spark, d):
     """The lines of each text where a quotation of its twelve words from the middle, some of them wrong, may stand."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
-    begin = F.floor(F.size(words) / 2).cast("int")
-    quote = F.array_join(F.transform(F.slice(words, F.greatest(begin, F.lit(1)), 12), lambda w, i: F.when(i % 4 == 3, F.concat(w, F.lit("zz"))).otherwise(w)), " ")
-    rows = table(spark, d, "documents").select("doc_id", A.best_window("text", quote).alias("w"))
+    rows = table(spark, d, "documents").select("doc_id", A.best_window("text", _misquoted(words)).alias("w"))
     return rows.select("doc_id", "w.*")
 
 
+def _misquoted(words):
+    """Twelve words from the middle, each fourth of them wrong."""
+    begin = F.greatest(F.floor(F.size(words) / 2).cast("int"), F.lit(1))
+    return F.array_join(F.transform(F.slice(words, begin, 12), lambda w, i: F.when(i % 4 == 3, F.concat(w, F.lit("zz"))).otherwise(w)), " ")
+
+
+@query()
+def snippet_candidates(spark, d):
+    """The lines of each text that are most like such a quotation."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != "")
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(A.snippets("text", _misquoted(words))).alias("rank", "s"))
+    return rows.select("doc_id", F.col("rank").cast("bigint").alias("rank"), "s.*")
+
+
 # ---- search --------------------------------------------------------------------------------------------------------
 
 #: Weights of roles in a search.

@@ -353,15 +353,14 @@ def asof_label(spark, d):
 @query("WITH b AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey % 100 AS x0, l_partkey % 100 + 10 AS x1 FROM lineitem) SELECT a.k, a.i, min(b.i) AS hit FROM b a JOIN b ON a.k = b.k AND a.i <> b.i AND a.x0 <= b.x1 + 2 AND b.x0 <= a.x1 + 2 GROUP BY ALL")
 def bbox_join(spark, d):
     b = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 100).alias("x0"), (F.col("l_partkey") % 100 + 10).alias("x1"))
-    o = b.select("k", F.col("i").alias("j"), F.col("x0").alias("y0"), F.col("x1").alias("y1"))
-    return b.join(o, "k").where("i <> j AND x0 <= y1 + 2 AND y0 <= x1 + 2").groupBy("k", "i").agg(F.min("j").alias("hit"))
+    near = E.overlapping(b.withColumn("x1", F.col("x1") + 2), ["k"], "i", "x0", "x1", 16, closed=True)
+    return near.groupBy("k", F.col("i_x").alias("i")).agg(F.min("i_y").alias("hit"))
 
 
 @query("WITH e AS (SELECT l_orderkey AS doc, l_linenumber AS i, l_partkey % 60 AS a, l_partkey % 60 + l_quantity::INT AS b FROM lineitem) SELECT x.doc, x.i, y.i AS j FROM e x JOIN e y ON x.doc = y.doc AND x.i < y.i AND x.a < y.b AND y.a < x.b")
 def interval_overlap(spark, d):
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("i"), (F.col("l_partkey") % 60).alias("a"), (F.col("l_partkey") % 60 + F.col("l_quantity").cast("int")).alias("b"))
-    o = e.select("doc", F.col("i").alias("j"), F.col("a").alias("c"), F.col("b").alias("e"))
-    return e.join(o, "doc").where("i < j AND a < e AND c < b").select("doc", "i", "j")
+    return E.overlapping(e, ["doc"], "i", "a", "b", 16).where("i_x < i_y").select("doc", F.col("i_x").alias("i"), F.col("i_y").alias("j"))
 
 
 # ---- counts -----------------------------------------------------------------------------------------------------

@@ -116,3 +116,25 @@ def test_line_windows(spark):
 def test_page_labels(spark, text, want):
     r = spark.createDataFrame([(text,)], "t string").select(T.page_label(F.col("t")).alias("p")).first().p
     assert (None if r.value is None else (r.value, r.roman, r.set)) == want
+
+
+def test_snippets_are_the_lines_with_most_words(spark):
+    text = "nothing here\n<p>alpha beta</p> gamma delta\nalpha beta gamma\n" + "x " * 300 + "alpha beta gamma delta " + "y " * 300 + "\nalpha beta gamma"
+    got = A.snippets_of(text, "alpha beta gamma delta of")
+    assert [(k, s) for k, s, _ in got] == [(1, 1.0), (3, 1.0), (2, 0.75)]
+    assert got[1][2].startswith("…") and got[1][2].endswith("…") and "alpha beta gamma delta" in got[1][2] and len(got[1][2]) == A.SNIPPET + 2
+    assert A.snippets_of(text, "of to") == A.snippets_of("", "alpha beta") == []
+    rows = spark.createDataFrame([(text, "gamma"), (None, "x"), ("x", None)], "t string, q string").select(A.snippets("t", "q").alias("s")).collect()
+    assert [r.s and len(r.s) for r in rows] == [3, None, None]
+
+
+def test_overlaps_by_cells_as_all_pairs_give_them(spark):
+    from quire.operators import entities as E
+
+    rng = random.Random(3)
+    rows = [(rng.choice("aab"), i, float(a := rng.randint(-40, 200)), float(a + rng.choice([0, 1, 5, 60]))) for i, _ in enumerate(range(150))]
+    df = spark.createDataFrame(rows, "k string, i int, a double, b double")
+    for closed in (False, True):
+        over = lambda x, y: x[2] <= y[3] and y[2] <= x[3] if closed else x[2] < y[3] and y[2] < x[3]  # noqa: B023, E731
+        want = sorted((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and over(x, y))
+        assert sorted(tuple(r) for r in E.overlapping(df, ["k"], "i", "a", "b", 7.5, closed).collect()) == want
