@@ -143,3 +143,35 @@ def greedy_survivors(signed: DataFrame) -> DataFrame:
         same[0] = same[0] & c
     ends = classes.join(done, "id")
     return signed.alias("s").join(ends.alias("c"), same[0], "left").select(F.col("s.id").alias("id"), F.coalesce("c.survivor", F.col("s.id")).alias("survivor"))
+
+
+def match_identifiers(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """refs, items: signatures(). id, found, by (doi or isbn): of references that have one that an item has the first such
+    item, by DOI before ISBN. Items are one row for each identifier before they are joined."""
+    made = None
+    for k, name in enumerate(("doi", "isbn")):
+        known = items.where(F.col(name) != "").groupBy(name).agg(F.min("id").alias("found"))
+        met = refs.where(F.col(name) != "").select("id", name).join(known, name).select("id", "found", F.lit(name).alias("by"), F.lit(k).alias("_k"))
+        made = met if made is None else made.unionByName(met)
+    return made.groupBy("id").agg(F.min_by(F.struct("found", "by"), "_k").alias("m")).select("id", "m.*")
+
+
+def match_references(refs: DataFrame, items: DataFrame) -> DataFrame:
+    """refs, items: signatures(). id, found, by: one row for each reference, found null where no item is it.
+
+    Identifiers come first. References that these leave open are matched by title: it must be equal, DOIs and years (by
+    one at most) must not conflict, and both must have a creator in common or have none. Titles meet as classes.
+    """
+    refs = stored(refs, "refs")
+    first = stored(match_identifiers(refs, items), "found")
+    rest = refs.where("title <> ''").join(first.select("id"), "id", "left_anti")
+    key = ["title", "doi", "year", "creators"]
+    asked, known = rest.select(*key).distinct(), items.where("title <> ''").groupBy(*key).agg(F.min("id").alias("found"))
+    a, b = asked.select("title", F.struct(*key).alias("a")), known.select("title", F.struct(*key).alias("b"), "found")
+    clear = (F.col("a.doi") == "") | (F.col("b.doi") == "") | (F.col("a.doi") == F.col("b.doi"))
+    near = F.coalesce(F.abs(F.col("a.year") - F.col("b.year")) <= 1, F.lit(True))
+    people = ((F.size("a.creators") == 0) & (F.size("b.creators") == 0)) | F.arrays_overlap("a.creators", "b.creators")
+    met = a.join(b, "title").where(clear & near & people).groupBy("a").agg(F.min("found").alias("found")).select(*[F.col(f"a.{c}").alias(f"_{c}") for c in key], "found")
+    same = (F.col("title") == F.col("_title")) & (F.col("doi") == F.col("_doi")) & F.col("year").eqNullSafe(F.col("_year")) & (F.col("creators") == F.col("_creators"))
+    second = rest.join(met, same).select("id", "found", F.lit("title").alias("by"))
+    return refs.select("id").join(first.unionByName(second), "id", "left")

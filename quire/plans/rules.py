@@ -61,14 +61,6 @@ def match_title_exact(spark, d):
     return p.select("p_partkey", "p_name").join(p.where("p_size = 1").select("p_name"), "p_name", "left_semi")
 
 
-@query("SELECT c_custkey FROM customer WHERE lower(c_name) IN (SELECT lower(upper(c_name)) FROM customer WHERE c_custkey % 7 = 0) AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
-def match_identifier(spark, d):
-    """Identifiers are compared without case; what is in the trash (here: customers with a pending order) is left out."""
-    c, trash = table(spark, d, "customer"), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    asked = c.where("c_custkey % 7 = 0").select(F.lower(F.upper("c_name")).alias("_id"))
-    return c.withColumn("_id", F.lower("c_name")).join(asked, "_id", "left_semi").join(trash, "c_custkey", "left_anti").select("c_custkey")
-
-
 @query("SELECT l_orderkey, a, n, r, coalesce(a, n, r) AS best FROM (SELECT l_orderkey, max(l_shipdate) FILTER (l_returnflag = 'A') AS a, max(l_shipdate) FILTER (l_returnflag = 'N') AS n, max(l_shipdate) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY 1)")
 def eav_pivot(spark, d):
     """Fields as columns; the base field wins over mapped ones, in their order."""
