@@ -369,3 +369,26 @@ def test_stages_take_odd_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
         out = stage(spark, docs.withColumn("score", F.lit("clash")), str(tmp_path))
         assert out.count() <= len(rows)
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_rejects_what_it_has_not_learned(spark):
+    """Planted texts of two languages that the table doesn't have go; nearly all of its own texts stay."""
+    own = spark.read.parquet(f"{DATA.parent}/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    polish = "Wszyscy ludzie rodzą się wolni i równi w swojej godności i swoich prawach. Są obdarzeni rozumem i sumieniem i powinni postępować wobec siebie w duchu braterstwa. "
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. "
+    planted = spark.createDataFrame([(10**9 + k, text * 3, None, "planted", 3 * len(text)) for k, text in enumerate((polish, finnish))], own.schema)
+    kept = corpus_pipeline.keep_language(spark, own.unionByName(planted), f"{DATA.parent}/sf0.01").select("doc_id", "source").collect()
+    assert not [r for r in kept if r.source == "planted"] and len(kept) > 0.98 * own.count()
+
+
+def test_nearest_with_clashing_names(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0], "q", 0, -1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, query_id string, rank int, score double")
+    got = ann.search(df, F.col("vec_id") % 20 == 0)
+    assert got.columns[:4] == ["query_id", "rank", "vec_id", "score"] and got.where("query_id = 20").count() == 20
