@@ -87,7 +87,7 @@ _BLOCKS_SQL = (
 
 
 @query(
-    f"WITH b AS (SELECT page_id, string_split(regexp_replace({_BLOCKS_SQL}, '<', chr(1), 'g'), chr(1)) AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part FROM b), k AS (SELECT page_id, lower(regexp_extract(part, '^(/?[a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '\s+', ' ', 'g')) AS text FROM p)"
+    f"WITH b AS (SELECT page_id, string_split(regexp_replace({_BLOCKS_SQL}, '<', chr(1), 'g'), chr(1)) AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part FROM b), k AS (SELECT page_id, lower(regexp_extract(part, '^(/?[a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '\\s+', ' ', 'g')) AS text FROM p)"
     " SELECT page_id, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'figcaption' THEN 'caption' WHEN tag = 'blockquote' THEN 'quote' WHEN tag = 'pre' THEN 'code' ELSE 'p' END AS kind, count(*)::BIGINT AS n FROM k WHERE text <> '' GROUP BY 1, 2"
 )
 def dom_items(spark, d):
