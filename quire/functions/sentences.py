@@ -2,6 +2,7 @@
 
 A text is one string in which each boundary is a mark. Rules only set or take away marks by patterns that look at what
 stands on both sides, so every step runs in the JVM over whole texts, and the array of sentences is cut at the end.
+Rules of headings and of references hold for a paragraph, which ends at an empty line.
 """
 
 from __future__ import annotations
@@ -9,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MARK = "\x01"
+from . import bibliography
+
+MARK, LINE = "\x01", "\x02"
+#: A heading has no more characters, and words of so many letters decide whether it is one.
+HEADING, CONTENT = 200, 4
 #: Words before a dot that doesn't end a sentence.
 ABBREVIATIONS = """
 mr mrs ms dr prof st rev fr sr jr hon
@@ -45,15 +50,42 @@ def normalized(c: Column) -> Column:
     return F.trim(_replace(F.coalesce(c, F.lit("")), r"[\s \x01]+", " "))
 
 
+def _let(c: Column, then) -> Column:
+    """then(c), where c is worked out once however often it is read."""
+    return F.get(F.transform(F.array(c), then), F.lit(0))
+
+
 def marked(c: Column) -> Column:
     """A mark after terminal punctuation before white space, but for initials, abbreviations and leading numbers."""
     t = _replace(normalized(c), r"([.!?]+) ", f"$1{MARK}")
     t = _replace(t, rf"(?<![^ {MARK}])((?:[A-Z]|(?iu:{_one_of(ABBREVIATIONS)}))\.+){MARK}", "$1 ")
+    return numbered(t)
+
+
+def numbered(t: Column) -> Column:
+    """Leading numbers joined with what follows."""
     return _replace(t, rf"(^|{MARK})(\d+(?:\.\d+)*\.+){MARK}", "$1$2 ")
 
 
+def is_heading(c: Column) -> Column:
+    """Whether a text reads like a heading: short, no full stop at its end, and at least half of its long words, of which
+    there are two, begin with a capital."""
+    long = F.filter(F.split(F.trim(c), r"\s+"), lambda w: F.length(w) >= CONTENT)
+    capital = F.filter(long, lambda w: w.rlike(r"^\p{Lu}"))
+    return (F.length(F.trim(c)) <= HEADING) & ~F.trim(c).rlike(r"[.!?]$") & (F.size(long) >= 2) & (2 * F.size(capital) >= F.size(long))
+
+
+def with_headings(c: Column) -> Column:
+    """Marked text of a paragraph. The number of a subsection at the beginning of a line, before a heading that ends the
+    paragraph, goes to that heading instead of the line before it."""
+    lines = _replace(F.translate(F.coalesce(c, F.lit("")), LINE, " "), r"[ \t]*[\r\n]\s*(?=\d+(?:\.\d+)+\.\s)", f" {LINE}")
+    title = rf" {LINE}(?=\d+(?:\.\d+)+\.{MARK}[^{MARK}]+$)"
+    moved = _let(marked(lines), lambda t: F.when(t.rlike(title) & is_heading(F.element_at(F.split(t, MARK), -1)), _replace(t, title, MARK)).otherwise(t))
+    return numbered(F.translate(moved, LINE, ""))
+
+
 def cut(marked_text: Column) -> Column:
-    return F.filter(F.transform(F.split(marked_text, MARK), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked_text, MARK), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentences_regex(c: Column) -> Column:
@@ -63,7 +95,14 @@ def sentences_regex(c: Column) -> Column:
 
 def post_processed(marked_text: Column) -> Column:
     """Labels join what follows; a lone leading dot goes; numbered items split at sentence ends; a list after a colon
-    begins a sentence; decimals, closing marks and lower-case text after a spaced ellipsis join what stands before."""
+    begins a sentence; decimals join what stands before; a list of references is cut at its entries instead; closing
+    marks and lower-case text after a spaced ellipsis join what stands before."""
+    t = _let(marked_text, lambda m: F.coalesce(F.array_join(_let(F.translate(m, MARK, " "), bibliography.entries), MARK), _by_items(m)))
+    t = _replace(t, rf"{MARK}(?=\p{{P}}+(?:{MARK}|$))", " ")
+    return _replace(t, rf"((?:^|[\s{MARK}])\.\s+\.\s+\.){MARK}(?=\p{{Ll}})", "$1 ")
+
+
+def _by_items(marked_text: Column) -> Column:
     label = rf"(?:\d+(?:\.\d+)*\.?|(?iu:{_one_of(LABELS)})\.?\s*\d+(?:\.\d+)*[.:]?)"
     t = _replace(marked_text, rf"(?<![^{MARK}])({label}){MARK}(?=[^{MARK}])", "$1 ")
     t = _replace(t, rf"^\.{MARK}", "")
@@ -72,14 +111,13 @@ def post_processed(marked_text: Column) -> Column:
     parts = F.transform(F.split(t, MARK), lambda s: F.when(s.rlike(item), F.concat(F.regexp_extract(s, leader, 1), inner(s))).otherwise(s))
     t = F.array_join(parts, MARK)
     t = _replace(t, r": (?=\(\d+\) \p{Lu})", f":{MARK}")
-    t = _replace(t, rf"(\d\.){MARK}(?=\d)", "$1 ")
-    t = _replace(t, rf"{MARK}(?=\p{{P}}+(?:{MARK}|$))", " ")
-    return _replace(t, rf"((?:^|[\s{MARK}])\.\s+\.\s+\.){MARK}(?=\p{{Ll}})", "$1 ")
+    return _replace(t, rf"(\d\.){MARK}(?=\d)", "$1 ")
 
 
 def sentences(c: Column) -> Column:
-    """array<string>: split and put right."""
-    return cut(post_processed(marked(c)))
+    """array<string>: each paragraph split and put right. Null and empty texts have none."""
+    paragraphs = F.split(F.coalesce(c, F.lit("")), r"\n[^\S\n]*\n")
+    return F.flatten(F.transform(paragraphs, lambda p: cut(post_processed(with_headings(p)))))
 
 
 #: Terminators of other scripts, which end a sentence without white space after them.

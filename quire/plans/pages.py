@@ -39,8 +39,8 @@ def sentences(spark, d):
 @query()
 def sentence_post(spark, d):
     """Sentences of each text before and after putting boundaries right."""
-    m = S.marked(F.col("text"))
-    n = [F.size(S.cut(x)).cast("bigint").alias(k) for k, x in (("split", m), ("put_right", S.post_processed(m)))]
+    t = F.col("text")
+    n = [F.size(x).cast("bigint").alias(k) for k, x in (("split", S.sentences_regex(t)), ("put_right", S.sentences(t)))]
     return table(spark, d, "documents").select("doc_id", *n)
 
 

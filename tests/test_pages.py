@@ -26,6 +26,8 @@ def each(spark, f, texts):
         ("See Dr. B. Smith et al. for more... Then stop.", ["See Dr. B. Smith et al. for more...", "Then stop."]),
         ("  spaces \n and lines.\n\nEnd ", ["spaces and lines.", "End"]),
         ("1. 2. 3. Three", ["1. 2.", "3. Three"]),
+        ("0 of them came in 2010", ["0 of them came in 2010"]),
+        ("One came. 1 of them left in 1991", ["One came.", "1 of them left in 1991"]),
         ("", []),
         (None, []),
     ],
