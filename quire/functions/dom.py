@@ -7,9 +7,11 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 _ITEM = StructType([StructField("kind", StringType()), StructField("text", StringType())])
+_PLACED = StructType([*_ITEM.fields, StructField("offset", LongType()), StructField("rows", ArrayType(StringType()))])
+_SECTION = StructType([StructField("label", StringType()), StructField("chars", LongType()), StructField("breaks", ArrayType(LongType())), StructField("items", ArrayType(_PLACED))])
 
 #: Elements by their role in a document.
 HIDDEN = frozenset("style script template noscript".split())
@@ -25,26 +27,58 @@ def collapsed(text: str) -> str:
 
 
 class Reader(HTMLParser):
-    """Collects the visible text, items (kind, text) in page order, and rows of tables."""
+    """Collects the visible text, items (kind, text, offset, rows) in page order, rows of tables, the page's title and its
+    first heading. Offsets count the code points of text nodes that are not only white space."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.visible: list[str] = []
-        self.items: list[tuple[str, str]] = []
+        self.items: list[tuple[str, str, int, list[str] | None]] = []
         self.tables: list[list[list[str]]] = []
         self._hidden, self._head = 0, False
         self._text: list[str] = []
         self._kind = "p"
         self._lists = 0
         self._open: list[dict] = []  # tables
+        self.nodes: list[tuple[int, int]] = []  # offset and length of each text node
+        self._node: list[str] = []
+        self._offset = self._at = 0
+        self.title: str | None = None
+        self.heading: str | None = None
+        self._named: tuple[str, list[str]] | None = None  # the title or heading that is being read
+
+    def _end_node(self) -> None:
+        text = "".join(self._node)
+        if text.strip():
+            self.nodes.append((self._offset, len(text)))
+            self._offset += len(text)
+        self._node = []
 
     def _end_item(self, kind: str = "p") -> None:
         text = collapsed("".join(self._text))
         if text and not self._open:
-            self.items.append((self._kind, text))
-        self._text, self._kind = [], kind
+            self.items.append((self._kind, text, self._at, None))
+        self._text, self._kind, self._at = [], kind, self._offset
+
+    def _begin_name(self, tag: str) -> None:
+        if self._named is None and (tag == "title" and self.title is None or tag in HEADINGS and self.heading is None and not self._head):
+            self._named = (tag, [])
+
+    def _end_name(self, tag: str) -> None:
+        if self._named is not None and tag == self._named[0]:
+            text = collapsed("".join(self._named[1]))
+            if tag == "title":
+                self.title = text
+            else:
+                self.heading = text
+            self._named = None
+
+    def handle_comment(self, data):
+        self._end_node()
 
     def handle_starttag(self, tag, attrs):
+        self._end_node()
+        self._begin_name(tag)
         if tag in HIDDEN:
             self._hidden += 1
         elif tag == "head":
@@ -54,7 +88,7 @@ class Reader(HTMLParser):
         elif tag == "table":
             if not self._open:
                 self._end_item()
-            self._open.append({"rows": [], "cells": None, "text": None, "head": False})
+            self._open.append({"rows": [], "cells": None, "text": None, "head": False, "at": self._offset})
         elif self._open and tag in ("tr", "td", "th", "caption"):
             own = self._open[-1]
             if tag == "tr":
@@ -76,6 +110,8 @@ class Reader(HTMLParser):
             self._end_item(kind)
 
     def handle_endtag(self, tag):
+        self._end_node()
+        self._end_name(tag)
         if tag in HIDDEN:
             self._hidden = max(0, self._hidden - 1)
         elif tag == "head":
@@ -99,11 +135,13 @@ class Reader(HTMLParser):
             return
         layout = not own["head"] and any(len(c) >= LAYOUT_CHARS for r in rows for c in r)
         if layout:
-            self.items += [("p", c) for r in rows for c in r if c]
+            self.items += [("p", c, own["at"], None) for r in rows for c in r if c]
         elif rows:
             self.tables.append(rows)
             caption = collapsed("".join(own.get("caption", [])))
-            self.items.append(("table", "\n".join(([caption] if caption else []) + [" | ".join(r) for r in rows])))
+            lines = [" | ".join(r) for r in rows]
+            self.items.append(("table", "\n".join(([caption] if caption else []) + lines), own["at"], lines))
+        self._at = self._offset
 
     def _add(self, text: str) -> None:
         if self._open:
@@ -113,13 +151,21 @@ class Reader(HTMLParser):
             self._text.append(text)
 
     def handle_data(self, data):
+        if self._named is not None and not self._hidden:
+            self._named[1].append(data)
+            if self._named[0] == "title":  # a title belongs to the head, wherever it stands
+                return
         if not self._hidden and not self._head:
             self.visible.append(data)
+            self._node.append(data)
             self._add(data)
 
     def read(self, page: str | None) -> Reader:
         self.feed(page or "")
         self.close()
+        self._end_node()
+        if self._named is not None:
+            self._end_name(self._named[0])
         while self._open:
             self._close_table()
         self._end_item()
@@ -135,7 +181,37 @@ def visible_text(c: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(_ITEM))
 def items(c: pd.Series) -> pd.Series:
     """Headings, paragraphs, list items, tables and captions in page order."""
-    return c.map(lambda h: [{"kind": k, "text": t} for k, t in Reader().read(h).items])
+    return c.map(lambda h: [{"kind": k, "text": t} for k, t, *_ in Reader().read(h).items])
+
+
+def breaks(nodes: list[tuple[int, int]], interval: int) -> list[int]:
+    """Where pages of so many characters begin, from text nodes (offset, length): at the first text, and then whenever the
+    interval has passed. What a node has left behind its last break does not count."""
+    at: list[int] = []
+    left = 0
+    for start, size in nodes:
+        if size <= left:
+            left -= size
+        else:
+            at += range(start + left, start + size, interval)
+            left = interval
+    return at
+
+
+def section(c: Column, interval: int) -> Column:
+    """struct<label, chars, breaks, items> of a page in one reading: its first heading or else its title (null if it has
+    neither), the length of its visible text, where synthetic pages begin, and its items with the rows of tables."""
+
+    @F.pandas_udf(_SECTION)
+    def read(pages: pd.Series) -> pd.DataFrame:
+        out = []
+        for page in pages:
+            r = Reader().read(page)
+            items = [{"kind": k, "text": t, "offset": o, "rows": rows} for k, t, o, rows in r.items]
+            out.append((r.heading or r.title or None, len(collapsed("".join(r.visible))), breaks(r.nodes, interval), items))
+        return pd.DataFrame(out, columns=["label", "chars", "breaks", "items"])
+
+    return read(c)
 
 
 @F.pandas_udf(ArrayType(ArrayType(StringType())))

@@ -103,12 +103,6 @@ def longest_word(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.array_max(sizes), F.lit(0)).cast("bigint").alias("size"))
 
 
-@query("SELECT doc_id, ((length(text) + 1799) // 1800)::BIGINT AS pages FROM documents")
-def synthetic_pages(spark, d):
-    """Pages of 1800 characters."""
-    return table(spark, d, "documents").select("doc_id", F.floor((F.length("text") + 1799) / 1800).alias("pages"))
-
-
 #: Pages of 300 characters; in three documents of four some are as a scanner leaves them, without text.
 _OCR_SQL = (
     "d AS (SELECT doc_id AS doc, text, ((length(text) + 299) // 300)::BIGINT AS pages FROM documents WHERE length(text) > 0), p AS (SELECT doc, pages, page, CASE WHEN doc % 4 > 0 AND (page * 7 + doc) % 4 < doc % 4 THEN '' ELSE substr(text, page * 300 + 1, 300) END AS t FROM d, range(0, pages) r(page)),"

@@ -15,6 +15,7 @@ from ..functions import sentences as S
 from ..functions import text as T
 from ..operators import entities as E
 from ..operators import matching as M
+from ..operators import sections as X
 from ..sources import table
 from .catalog import query
 
@@ -71,13 +72,14 @@ def table_rows(spark, d):
     return rows.select("conv_id", "turn", F.when(F.col("pos") == 0, "head").otherwise("body").alias("part"), "line")
 
 
+def _sections(spark, d):
+    """Pages as sections, eight to a document."""
+    p = table(spark, d, "pages")
+    return p.select(F.floor(F.col("page_id") / 8).alias("doc"), F.col("page_id").alias("section"), "html")
+
+
 def _items(spark, d):
-    """page_id, pos, id, kind, text: ids count each kind from 1, in page order."""
-    rows = table(spark, d, "pages").select("page_id", F.posexplode(dom.items(dom.clean(F.col("html")))).alias("pos", "item")).select("page_id", "pos", "item.kind", "item.text")
-    prefix = F.element_at(F.create_map(*[F.lit(x) for kv in dom.KINDS.items() for x in kv]), F.col("kind"))
-    rows = rows.withColumn("prefix", prefix)
-    n = F.row_number().over(W.partitionBy("page_id", "prefix").orderBy("pos"))
-    return rows.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.concat("prefix", n.cast("string")).alias("id"), "kind", "text")
+    return X.items(X.parsed(_sections(spark, d)))
 
 
 #: Pages of the test tables without what holds no text; what is left begins or ends a block, but links and bold type.
@@ -86,33 +88,96 @@ _BLOCKS_SQL = (
 )
 
 
-@query(
-    f"WITH b AS (SELECT page_id, string_split(regexp_replace({_BLOCKS_SQL}, '<', chr(1), 'g'), chr(1)) AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part FROM b), k AS (SELECT page_id, lower(regexp_extract(part, '^(/?[a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '\\s+', ' ', 'g')) AS text FROM p)"
-    " SELECT page_id, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'figcaption' THEN 'caption' WHEN tag = 'blockquote' THEN 'quote' WHEN tag = 'pre' THEN 'code' ELSE 'p' END AS kind, count(*)::BIGINT AS n FROM k WHERE text <> '' GROUP BY 1, 2"
+def _decoded(sql: str) -> str:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{entity}', '{char}')"
+    return sql
+
+
+#: Items of the pages' text by the tag that stands before it, numbered over a document of eight pages.
+_ITEMS_SQL = (
+    f"b AS (SELECT page_id, string_split(regexp_replace({_BLOCKS_SQL}, '<', chr(1), 'g'), chr(1)) AS parts FROM pages), p AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM b),"
+    f" k AS (SELECT page_id, place, lower(regexp_extract(part, '^(/?[a-zA-Z0-9]+)', 1)) AS tag, trim(regexp_replace({_decoded("regexp_replace(part, '^[^>]*>', '')")}, '\\s+', ' ', 'g')) AS text FROM p),"
+    " i AS (SELECT *, CASE WHEN regexp_matches(tag, '^h[1-6]$') THEN 'heading' WHEN tag IN ('li', 'dt', 'dd') THEN 'list' WHEN tag = 'figcaption' THEN 'caption' WHEN tag = 'blockquote' THEN 'quote' WHEN tag = 'pre' THEN 'code' ELSE 'p' END AS kind FROM k WHERE text <> ''),"
+    " n AS (SELECT page_id // 8 AS doc, page_id AS section, place, kind, text, CASE WHEN kind IN ('quote', 'code') THEN 'p' ELSE kind END AS prefix FROM i),"
+    " m AS (SELECT *, prefix || row_number() OVER (PARTITION BY doc, prefix ORDER BY section, place) AS id FROM n)"
 )
+
+
+@query(f"WITH {_ITEMS_SQL} SELECT section AS page_id, kind, count(*)::BIGINT AS n FROM m GROUP BY 1, 2")
 def dom_items(spark, d):
     """Items of each page by kind."""
-    return _items(spark, d).groupBy("page_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _items(spark, d).groupBy(F.col("section").alias("page_id"), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH i AS (SELECT page_id, unnest(regexp_extract_all(html, '<(h[1-6])[ >]', 1)) AS tag FROM pages) SELECT page_id, 'heading' || generate_subscripts(list(tag), 1) AS id FROM i GROUP BY page_id")
+@query(f"WITH {_ITEMS_SQL} SELECT section AS page_id, id FROM m WHERE kind = 'heading'")
 def dom_kind(spark, d):
-    """Ids of headings: elements that are one, numbered by kind."""
-    return _items(spark, d).where("kind = 'heading'").select("page_id", "id")
+    """Ids of headings: elements that are one, numbered by kind over the document."""
+    return _items(spark, d).where("kind = 'heading'").select(F.col("section").alias("page_id"), "id")
 
 
 @query()
 def dom_section(spark, d):
-    """Items of each page with ids and their number of sentences."""
-    return _items(spark, d).select("*", F.size(S.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+    """Items of each page with ids, pages and their number of sentences."""
+    return _items(spark, d).withColumn("sentences", F.size("sentences").cast("bigint"))
 
 
 @query()
 def html_extract(spark, d):
-    """Page -> items -> sentences; sentences are numbered over the page."""
-    rows = _items(spark, d).where("kind <> 'table'").select("page_id", "pos", "id", F.posexplode(S.sentences(F.col("text"))).alias("k", "sentence"))
-    n = F.row_number().over(W.partitionBy("page_id").orderBy("pos", "k"))
-    return rows.select("page_id", F.col("id").alias("item"), F.concat(F.lit("s"), n.cast("string")).alias("id"), "sentence")
+    """Page -> items -> sentences, of which rows of tables are some; sentences are numbered over the document."""
+    return _items(spark, d).select("doc", "section", F.col("id").alias("item"), F.explode("sentences").alias("s")).select("doc", "section", "item", "s.id", F.col("s.text").alias("sentence"))
+
+
+_BODY = "regexp_replace(html, '(?s)^.*?</head>', '')"
+_NAME_SQL = "nullif(trim(regexp_replace({c}, '\\s+', ' ', 'g')), '')"
+
+
+@query(
+    f"SELECT page_id // 8 AS doc, page_id AS section, coalesce({_NAME_SQL.format(c=_decoded(f"regexp_replace(regexp_extract({_BODY}, '(?s)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), '<[^>]*>', '', 'g')"))},"
+    f" {_NAME_SQL.format(c=_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))}) AS label FROM pages"
+)
+def section_label(spark, d):
+    """The first heading of a section, else its title."""
+    return X.labels(X.parsed(_sections(spark, d)))
+
+
+#: Text nodes with their lengths, and what each leaves of the page that has begun.
+_NODES_SQL = (
+    f"h AS (SELECT page_id, string_split(regexp_replace(regexp_replace({_BODY}, '(?s)<!--.*?-->', '<!>', 'g'), '<', chr(1), 'g'), chr(1)) AS parts FROM pages), q AS (SELECT page_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS place FROM h),"
+    f" t AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY place) AS k, length({_decoded("regexp_replace(part, '^[^>]*>', '')")}) AS size FROM q WHERE place > 1 AND trim(regexp_replace(regexp_replace(part, '^[^>]*>', ''), '\\s+', ' ', 'g')) <> ''),"
+    " f AS (SELECT page_id, 0::BIGINT AS k, 0::BIGINT AS room, 0::BIGINT AS n FROM pages UNION ALL SELECT f.page_id, t.k, CASE WHEN t.size <= f.room THEN f.room - t.size ELSE 1800 END, CASE WHEN t.size <= f.room THEN 0 ELSE (t.size - f.room + 1799) // 1800 END FROM f JOIN t ON t.page_id = f.page_id AND t.k = f.k + 1)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_NODES_SQL}, s AS (SELECT page_id, sum(n) AS n FROM f GROUP BY 1), c AS (SELECT page_id // 8 AS doc, page_id AS section, n, sum(n) OVER (PARTITION BY page_id // 8 ORDER BY page_id) AS stop FROM s)"
+    " SELECT doc, section, (stop - n + 1)::BIGINT AS first_label, n::BIGINT AS pages FROM c WHERE n > 0"
+)
+def synthetic_pages(spark, d):
+    """Synthetic pages that begin in each section, labelled over the document."""
+    return X.markers(X.parsed(_sections(spark, d))).groupBy("doc", "section").agg(F.min("label").alias("first_label"), F.count(F.lit(1)).alias("pages"))
+
+
+@query(
+    f"WITH {_ITEMS_SQL}, g AS (SELECT doc, sum(length(text))::BIGINT AS extracted FROM n GROUP BY 1), v AS (SELECT page_id // 8 AS doc, sum(length(trim(regexp_replace({_BODY_SQL}, '\\s+', ' ', 'g'))))::BIGINT AS source FROM pages GROUP BY 1)"
+    " SELECT doc, coalesce(extracted, 0)::BIGINT AS extracted, source, round(extracted::DOUBLE / nullif(source, 0), 3) AS coverage FROM v LEFT JOIN g USING (doc)"
+)
+def text_coverage(spark, d):
+    """Characters of items against visible characters of the pages."""
+    return X.coverage(X.parsed(_sections(spark, d)))
+
+
+_CUT_SQL = r"list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+', '')), lambda x: x <> '')"
+
+
+@query(
+    f"WITH {_ITEMS_SQL}, e AS (SELECT doc, section, place, id, unnest({_CUT_SQL}) AS s, generate_subscripts({_CUT_SQL}, 1) AS k FROM m WHERE kind <> 'heading'), r AS (SELECT doc, section, id AS item, 's' || row_number() OVER (PARTITION BY doc ORDER BY section, place, k) AS id FROM e)"
+    " SELECT doc, id, 'item' AS kind, section, id AS item, NULL::VARCHAR AS sentence FROM m UNION ALL SELECT doc, id, 'sentence', section, item, id FROM r"
+)
+def citation_index(spark, d):
+    """From id to place, of items and of sentences, which the simple splitter cuts."""
+    made = X.items(X.parsed(_sections(spark, d)), S.sentences_simple)
+    return X.citation_index(made).drop("page")
 
 
 # ---- edits ---------------------------------------------------------------------------------------------------------

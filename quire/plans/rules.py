@@ -208,11 +208,6 @@ def page_number(spark, d):
 # ---- measures -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, round(length(replace(text, ' ', ''))::DOUBLE / nullif(length(text), 0), 3) AS coverage FROM documents")
-def text_coverage(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(F.try_divide(F.length(F.replace("text", F.lit(" "), F.lit(""))), F.length("text")), 3).alias("coverage"))
-
-
 @query("SELECT user_id, min(value) AS x0, max(value) AS x1, min(event_id) AS y0, max(event_id) AS y1 FROM events GROUP BY 1")
 def bbox_union(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("event_id").alias("y0"), F.max("event_id").alias("y1"))
@@ -273,22 +268,7 @@ def text_quality(spark, d):
     return rows.select("doc_id", F.concat_ws(",", *why).alias("reasons"))
 
 
-# ---- documents of sections ----------------------------------------------------------------------------------------
-
-
-@query("SELECT o_orderkey, coalesce(head, o_orderpriority) AS label FROM orders LEFT JOIN (SELECT l_orderkey, 'Part ' || arg_min(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS head FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) ON l_orderkey = o_orderkey")
-def section_label(spark, d):
-    """The first heading of a section, else its title."""
-    heads = table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("h"))
-    return table(spark, d, "orders").join(heads, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.concat(F.lit("Part "), F.col("h.l_partkey")), F.col("o_orderpriority")).alias("label"))
-
-
-@query("SELECT 's' || o_orderkey AS id, o_orderkey AS section, NULL::INT AS item FROM orders UNION ALL SELECT 's' || l_orderkey || 'i' || l_linenumber, l_orderkey, l_linenumber FROM lineitem")
-def citation_index(spark, d):
-    """From id to place, of sections and of items."""
-    sections = table(spark, d, "orders").select(F.concat(F.lit("s"), "o_orderkey").alias("id"), F.col("o_orderkey").alias("section"), F.lit(None).cast("int").alias("item"))
-    items = table(spark, d, "lineitem").select(F.concat(F.lit("s"), "l_orderkey", F.lit("i"), "l_linenumber").alias("id"), F.col("l_orderkey").alias("section"), F.col("l_linenumber").alias("item"))
-    return sections.unionByName(items)
+# ---- page labels ----------------------------------------------------------------------------------------------------
 
 
 _LABELS_SQL = "m AS (SELECT l_suppkey AS doc, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS matcher, l_linenumber AS section, l_orderkey * 10 + l_linenumber AS place, CASE l_returnflag WHEN 'A' THEN (l_partkey % 40)::VARCHAR WHEN 'N' THEN 'page ' || l_orderkey ELSE (l_linenumber * 2 + (l_orderkey > 3000)::INT)::VARCHAR END AS label FROM lineitem)"
