@@ -245,3 +245,26 @@ def sync_batches(rows: DataFrame, marks: DataFrame, size: int) -> DataFrame:
     after = rows.join(marks, "library").where("at > since").groupBy("library", "at").agg(F.count(F.lit(1)).alias("k"))
     before = F.sum("k").over(W.partitionBy("library").orderBy("at")) - F.col("k")
     return after.withColumn("batch", F.floor(before / size).cast("bigint")).groupBy("library", "batch").agg(F.sum("k").alias("n"), F.max("at").alias("up_to"))
+
+
+#: Fixed value: days after which an index is compared again in any case.
+SAFE_DAYS = 7
+
+
+def diff_reasons(now: DataFrame, stored_state: DataFrame, keys: list[str], at: Column) -> DataFrame:
+    """now: keys, items, newest, embeddings as they are; stored_state: keys, last_scan, items, newest, embeddings as the
+    last scan left them; at: the present, of the rows of now. keys and the first reason to compare an index again, null
+    if there is none: first run, no state, old scan, items counted, items modified, embeddings counted. A missing date
+    modifies nothing; states without an index are left out.
+    """
+    seen = stored_state.select(*keys, F.struct("last_scan", "items", "newest", "embeddings").alias("seen"))
+    none, n = F.col("seen").isNull(), F.coalesce(F.col("embeddings"), F.lit(0))
+    reason = (
+        F.when(none & (n == 0), "first run")
+        .when(none, "no state")
+        .when(at.cast("timestamp") > F.col("seen.last_scan").cast("timestamp") + F.make_dt_interval(F.lit(SAFE_DAYS)), "old scan")
+        .when(~F.col("items").eqNullSafe(F.col("seen.items")), "items counted")
+        .when(F.col("newest") > F.col("seen.newest"), "items modified")
+        .when(~n.eqNullSafe(F.col("seen.embeddings")), "embeddings counted")
+    )
+    return now.join(seen, keys, "left").select(*keys, reason.alias("reason"))

@@ -380,3 +380,9 @@ def sentence_boxes(rows: DataFrame, sentences: DataFrame) -> DataFrame:
     left = F.col("x0") + each * (F.greatest("start", "begins") - F.col("start"))
     right = F.col("x0") + each * (F.least("end", "stops") - F.col("start"))
     return both.select(*PAGE, "sentence", "line", left.alias("x0"), "y0", right.alias("x1"), "y1")
+
+
+def united(boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """The smallest box around all boxes of each key. Boxes without a side are left out."""
+    whole = boxes.dropna(subset=["x0", "y0", "x1", "y1"])
+    return whole.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))

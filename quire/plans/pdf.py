@@ -95,12 +95,15 @@ def paragraphs(spark, d):
     return L.paragraphs(_lines(spark, d))
 
 
-@query(
+_BOXES_SQL = (
     f"WITH {_LINES_SQL}, o AS (SELECT *, sum(length(text)) OVER (PARTITION BY doc, page ORDER BY line) AS stop FROM l), e AS (SELECT doc, page, sum(length(text)) AS n FROM l GROUP BY 1, 2),"
     " t AS (SELECT doc, page, q AS sentence, q * 100 AS begins, least(n, q * 100 + 100) AS stops FROM (SELECT *, unnest(range(0, (n::BIGINT + 99) // 100)) AS q FROM e))"
     " SELECT o.doc, o.page, t.sentence, o.line, round(x0 + (x1 - x0) / greatest(length(text), 1) * (greatest(stop - length(text), begins) - (stop - length(text))), 4)::DOUBLE AS x0, y0,"
     " round(x0 + (x1 - x0) / greatest(length(text), 1) * (least(stop, stops) - (stop - length(text))), 4)::DOUBLE AS x1, y1 FROM o JOIN t ON o.doc = t.doc AND o.page = t.page AND stop - length(text) < stops AND begins < stop"
 )
+
+
+@query(_BOXES_SQL)
 def sentence_boxes(spark, d):
     """Boxes of stretches of a hundred characters of each page, which stand for sentences."""
     end = F.sum(F.length("text")).over(W.partitionBy("doc", "page").orderBy("line"))
@@ -109,3 +112,9 @@ def sentence_boxes(spark, d):
     q = size.select("doc", "page", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / 100).cast("bigint"))).alias("sentence"))
     stretches = q.select("doc", "page", "sentence", (F.col("sentence") * 100).alias("begins"), F.least("n", F.col("sentence") * 100 + 100).alias("stops"))
     return L.sentence_boxes(rows, stretches).withColumns({"x0": F.round("x0", 4), "x1": F.round("x1", 4)})
+
+
+@query(f"SELECT doc, page, sentence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ({_BOXES_SQL}) GROUP BY 1, 2, 3")
+def bbox_union(spark, d):
+    """One box around each of those stretches, over its lines."""
+    return L.united(sentence_boxes(spark, d), ["doc", "page", "sentence"])

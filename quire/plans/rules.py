@@ -208,11 +208,6 @@ def page_number(spark, d):
 # ---- measures -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, min(value) AS x0, max(value) AS x1, min(event_id) AS y0, max(event_id) AS y1 FROM events GROUP BY 1")
-def bbox_union(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.min("value").alias("x0"), F.max("value").alias("x1"), F.min("event_id").alias("y0"), F.max("event_id").alias("y1"))
-
-
 @query("SELECT l_returnflag, median(l_quantity) AS median FROM lineitem GROUP BY 1")
 def median(spark, d):
     """Exact, from counts of distinct values (there are few), so a group's rows never meet in one task."""
@@ -290,22 +285,6 @@ def marker_score(spark, d):
 # ---- state and row edits ------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, CASE WHEN n IS NULL AND o_orderstatus = 'O' THEN 'in_progress' WHEN n IS NULL OR bad THEN 'error' ELSE 'completed' END AS status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, bool_or(l_quantity > 49) AS bad FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def tool_status(spark, d):
-    """A call is done with a result; without one it runs on while its run does."""
-    results = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.bool_or(F.col("l_quantity") > 49).alias("bad"))
-    status = F.when(F.col("bad").isNull() & (F.col("o_orderstatus") == "O"), "in_progress").when(F.col("bad").isNull() | F.col("bad"), "error").otherwise("completed")
-    return table(spark, d, "orders").join(results, "o_orderkey", "left").select("o_orderkey", status.alias("status"))
-
-
-@query("SELECT o_orderkey, CASE WHEN n IS NULL THEN 'no state' WHEN o_orderdate > seen + INTERVAL 7 DAY THEN 'old' WHEN n <> o_orderkey % 4 + 1 THEN 'count' WHEN o_orderdate > seen THEN 'newer' ELSE 'none' END AS reason FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, min(l_shipdate) AS seen FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey")
-def diff_needed(spark, d):
-    """Why an index must be compared again, first reason first."""
-    state = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.min("l_shipdate").alias("seen"))
-    reason = F.when(F.col("n").isNull(), "no state").when(F.expr("o_orderdate > seen + interval 7 days"), "old").when(F.col("n") != F.col("o_orderkey") % 4 + 1, "count").when(F.col("o_orderdate") > F.col("seen"), "newer").otherwise("none")
-    return table(spark, d, "orders").join(state, "o_orderkey", "left").select("o_orderkey", reason.alias("reason"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def cache_invalidate(spark, d):
     """Rows of payload that stay after the rows of changed sources are deleted."""

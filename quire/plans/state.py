@@ -197,6 +197,43 @@ def upsert_state(spark, d):
     return E.replaced(state(orders.where("o_orderkey % 2 = 0")), state(orders).where("o_custkey % 3 <> 0"), ["o_custkey"])
 
 
+#: Indexes as they are and as the last scan of two thirds of them left them: part of these saw half of the orders, an
+#: older date, or an embedding less.
+_INDEX_SQL = (
+    "n AS (SELECT o_custkey, count(*) AS items, max(o_orderdate) AS newest, count(*) FILTER (o_orderstatus <> 'P') AS embeddings FROM orders GROUP BY 1),"
+    " s AS (SELECT o_custkey, count(*) AS items, max(o_orderdate) AS top, count(*) FILTER (o_orderstatus <> 'P') - (o_custkey % 7 = 0)::INT AS embeddings FROM orders WHERE o_custkey % 3 <> 0 AND (o_custkey % 2 = 0 OR o_orderkey % 2 = 0) GROUP BY 1)"
+)
+
+
+@query(
+    f"WITH {_INDEX_SQL} SELECT o_custkey, CASE WHEN s.items IS NULL AND n.embeddings = 0 THEN 'first run' WHEN s.items IS NULL THEN 'no state' WHEN n.newest + INTERVAL 8 DAY > s.top + INTERVAL 7 DAY + to_days((o_custkey % 10)::INT) THEN 'old scan' WHEN n.items <> s.items THEN 'items counted'"
+    " WHEN n.newest > s.top - to_days((o_custkey % 4 = 0)::INT) THEN 'items modified' WHEN n.embeddings <> s.embeddings THEN 'embeddings counted' END AS reason FROM n LEFT JOIN s USING (o_custkey)"
+)
+def diff_needed(spark, d):
+    """Why an index must be compared again, first reason first, eight days after its last order."""
+    o, k = table(spark, d, "orders"), F.col("o_custkey")
+    state = lambda rows: rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("items"), F.max("o_orderdate").alias("newest"), F.count_if(F.col("o_orderstatus") != "P").alias("embeddings"))
+    days = lambda n: F.make_dt_interval(n.cast("int"))
+    seen = state(o.where((k % 3 != 0) & ((k % 2 == 0) | (F.col("o_orderkey") % 2 == 0)))).withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+    seen = seen.select("o_custkey", (F.col("newest") + days(k % 10)).alias("last_scan"), "items", (F.col("newest") - days(k % 4 == 0)).alias("newest"), (F.col("embeddings") - (k % 7 == 0).cast("int")).alias("embeddings"))
+    now = state(o).withColumn("newest", F.col("newest").cast("timestamp_ntz"))
+    return E.diff_reasons(now, seen, ["o_custkey"], F.col("newest") + days(F.lit(8)))
+
+
+@query(
+    "WITH c AS (SELECT conv_id AS run, turn AS call FROM conversations WHERE role = 'assistant'), r AS (SELECT conv_id AS run, turn - 1 AS call, length(coalesce(text, '')) % 4 AS f FROM conversations WHERE role = 'user'), s AS (SELECT conv_id AS run, arg_max(role, turn) = 'assistant' AS open FROM conversations GROUP BY 1)"
+    " SELECT run, call, CASE WHEN f IS NULL AND open THEN 'in_progress' WHEN f IS NULL OR f < 2 THEN 'error' ELSE 'completed' END AS status FROM c LEFT JOIN r USING (run, call) JOIN s USING (run)"
+)
+def tool_status(spark, d):
+    """Turns of an assistant as calls, the user's next turns as their results, some of which fail or ask for a retry; runs
+    that end in a call go on."""
+    c, form = table(spark, d, "conversations").withColumnRenamed("conv_id", "run"), F.length(F.coalesce("text", F.lit(""))) % 4
+    calls = c.where("role = 'assistant'").select("run", F.col("turn").alias("call"))
+    results = c.where("role = 'user'").select("run", (F.col("turn") - 1).alias("call"), F.lit(0).alias("seq"), F.when(form == 0, "retry-prompt").otherwise("tool-return").alias("kind"), F.when(form == 1, "failed").when(form == 2, "success").alias("outcome"))
+    runs = c.groupBy("run").agg(F.when(F.max_by("role", "turn") == "assistant", "in_progress").otherwise("completed").alias("status"))
+    return folds.call_status(calls, results, runs)
+
+
 @query("SELECT doc_id, length(text) AS size, lang FROM documents WHERE NOT (doc_id % 2 = 0 AND doc_id % 6 <> 0) OR doc_id IS NULL")
 def delete_unchanged(spark, d):
     """Cache entries of even ids were read to be deleted; each third of these has changed since, and stays."""

@@ -89,3 +89,18 @@ def messages(rows: DataFrame) -> DataFrame:
     every = there.groupBy("run").agg(F.max("message").alias("n")).select("run", F.explode(F.sequence(F.lit(0), F.col("n"))).alias("message"))
     filled = every.join(there, ["run", "message"], "left")
     return filled.select("run", "message", F.coalesce("kind", F.lit("response")).alias("kind"), F.coalesce("parts", F.array().cast(said.schema["parts"].dataType)).alias("parts"))
+
+
+def call_status(calls: DataFrame, results: DataFrame, runs: DataFrame) -> DataFrame:
+    """calls: run, call; results: run, call, seq, kind (tool-return or retry-prompt), outcome; runs: run, status.
+    run, call, status.
+
+    The last result of a call decides: an asked retry and a return with an outcome other than success are errors. A call
+    without one is in progress while its run is, and an error after it, as it is if the run is not known. Calls that come
+    twice count once; results of no call are left out.
+    """
+    last = results.groupBy("run", "call").agg(F.max_by(F.struct("kind", "outcome"), F.col("seq")).alias("r"))
+    bad = (F.col("r.kind") == "retry-prompt") | (F.coalesce(F.col("r.outcome"), F.lit("success")) != "success")
+    status = F.when(F.col("r").isNull() & F.col("status").eqNullSafe("in_progress"), "in_progress").when(F.col("r").isNull() | bad, "error").otherwise("completed")
+    rows = calls.select("run", "call").distinct().join(last, ["run", "call"], "left").join(runs.select("run", "status"), "run", "left")
+    return rows.select("run", "call", status.alias("status"))
