@@ -78,10 +78,10 @@ def is_heading(c: Column) -> Column:
 def with_headings(c: Column) -> Column:
     """Marked text of a paragraph. The number of a subsection at the beginning of a line, before a heading that ends the
     paragraph, goes to that heading instead of the line before it."""
-    lines = _replace(F.translate(F.coalesce(c, F.lit("")), LINE, " "), r"[ \t]*[\r\n]\s*(?=\d+(?:\.\d+)+\.\s)", f" {LINE}")
+    lines = _replace(F.replace(F.coalesce(c, F.lit("")), F.lit(LINE), F.lit(" ")), r"[ \t]*[\r\n]\s*(?=\d+(?:\.\d+)+\.\s)", f" {LINE}")
     title = rf" {LINE}(?=\d+(?:\.\d+)+\.{MARK}[^{MARK}]+$)"
-    moved = _let(marked(lines), lambda t: F.when(t.rlike(title) & is_heading(F.element_at(F.split(t, MARK), -1)), _replace(t, title, MARK)).otherwise(t))
-    return numbered(F.translate(moved, LINE, ""))
+    moved = lambda t: F.when(t.rlike(title) & is_heading(F.element_at(F.split(t, MARK), -1)), _replace(t, title, MARK)).otherwise(t)
+    return _let(marked(lines), lambda t: F.when(t.contains(LINE), numbered(F.replace(moved(t), F.lit(LINE), F.lit("")))).otherwise(t))
 
 
 def cut(marked_text: Column) -> Column:
@@ -97,7 +97,7 @@ def post_processed(marked_text: Column) -> Column:
     """Labels join what follows; a lone leading dot goes; numbered items split at sentence ends; a list after a colon
     begins a sentence; decimals join what stands before; a list of references is cut at its entries instead; closing
     marks and lower-case text after a spaced ellipsis join what stands before."""
-    t = _let(marked_text, lambda m: F.coalesce(F.array_join(_let(F.translate(m, MARK, " "), bibliography.entries), MARK), _by_items(m)))
+    t = _let(marked_text, lambda m: F.coalesce(F.array_join(_let(F.replace(m, F.lit(MARK), F.lit(" ")), bibliography.entries), MARK), _by_items(m)))
     t = _replace(t, rf"{MARK}(?=\p{{P}}+(?:{MARK}|$))", " ")
     return _replace(t, rf"((?:^|[\s{MARK}])\.\s+\.\s+\.){MARK}(?=\p{{Ll}})", "$1 ")
 
