@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import entities as E
 from quire.operators import layout as L
+from quire.plans import catalog
 from quire.streaming import folds
 
 DAY = datetime.date(2024, 5, 20)
@@ -43,3 +44,14 @@ def test_one_box_around_many(spark):
     rows = [(1, 0.0, 1.0, 2.0, 3.0), (1, -1.0, 2.0, 1.0, 9.0), (2, 5.0, 5.0, 6.0, 6.0), (3, None, 1.0, 2.0, 3.0)]
     got = L.united(spark.createDataFrame(rows, "k int, x0 double, y0 double, x1 double, y1 double"), ["k"])
     assert sorted(tuple(r) for r in got.collect()) == [(1, -1.0, 1.0, 2.0, 9.0), (2, 5.0, 5.0, 6.0, 6.0)]
+
+
+def test_times_far_ahead_are_written_as_sql_writes_them(spark, duck, tmp_path):
+    import quire.plans.rules as rules
+
+    made = spark.createDataFrame([(0,), (2_900_000,), (3_000_000,), (6_099_999,)], "event_id bigint")
+    made.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sql = catalog.oracle_sql()["ms_to_ts"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = {r["event_id"]: r["at"] for r in rules.ms_to_ts(spark, str(tmp_path)).collect()}
+    assert got == dict(duck.execute(sql).fetchall())
+    assert max(map(len, got.values())) == 20  # a year of five digits
