@@ -138,3 +138,15 @@ def test_overlaps_by_cells_as_all_pairs_give_them(spark):
         over = lambda x, y: x[2] <= y[3] and y[2] <= x[3] if closed else x[2] < y[3] and y[2] < x[3]  # noqa: B023, E731
         want = sorted((x[0], x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] != y[1] and over(x, y))
         assert sorted(tuple(r) for r in E.overlapping(df, ["k"], "i", "a", "b", 7.5, closed).collect()) == want
+
+
+def test_pages_that_know_their_document_are_chosen_without_a_join(spark, monkeypatch):
+    """Texts of pages are not shuffled to find a few of them; the decisions are those with counts from elsewhere."""
+    docs = [(d, k, n, "word " * (60 if (d + k) % 3 else 2)) for d, n in enumerate((1, 5, 30, 90)) for k in range(n)]
+    pages = spark.createDataFrame(docs, "doc bigint, page bigint, pages bigint, text string")
+    counts = pages.select("doc", "pages").distinct()
+    want = {tuple(r) for r in A.ocr_decisions(pages.drop("pages"), counts).collect()}
+    plans, stored = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, name))
+    assert {tuple(r) for r in A.ocr_decisions(pages, counts).collect()} == want and len(want) == 4
+    assert "Join" not in plans[0]
