@@ -175,3 +175,21 @@ def test_boxes_of_sentences(spark):
     said = spark.createDataFrame([(1, 0, 0, 0, 4), (1, 0, 1, 4, 12)], "doc long, page long, sentence long, begins int, stops int")
     got = sorted((r.sentence, r.line, r.x0, r.x1) for r in L.sentence_boxes(rows, said).collect())
     assert got == [(0, 0, 0.0, 40.0), (1, 0, 40.0, 100.0), (1, 1, 0.0, 20.0)]
+
+
+def _page_plan(spark, f):
+    rows = spark.createDataFrame([(1, p, k, 10.0 * (k % 2) * 30, 20.0 * k, 10.0 * (k % 2) * 30 + 100, 20.0 * k + 10) for p in range(3) for k in range(6)], "doc bigint, page bigint, line bigint, x0 double, y0 double, x1 double, y1 double")
+    made = f(rows)
+    return made, made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reading_order_takes_many_pages_in_one_batch(spark):
+    made, plan = _page_plan(spark, L.xy_cut)
+    assert "FlatMapGroups" not in plan
+    assert sorted((r.page, r.place, r.line) for r in made.collect()) == [(p, k, line) for p in range(3) for k, line in enumerate((0, 2, 4, 1, 3, 5))]
+
+
+def test_columns_take_many_pages_in_one_batch(spark):
+    made, plan = _page_plan(spark, L.columns)
+    assert "FlatMapGroups" not in plan
+    assert sorted((r.page, r.col, r.x0, r.x1, r.lines) for r in made.collect()) == [(p, c, 300.0 * c, 300.0 * c + 100, 3) for p in range(3) for c in (0, 1)]
