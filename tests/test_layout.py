@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import layout as L
@@ -193,3 +194,11 @@ def test_columns_take_many_pages_in_one_batch(spark):
     made, plan = _page_plan(spark, L.columns)
     assert "FlatMapGroups" not in plan
     assert sorted((r.page, r.col, r.x0, r.x1, r.lines) for r in made.collect()) == [(p, c, 300.0 * c, 300.0 * c + 100, 3) for p in range(3) for c in (0, 1)]
+
+
+@pytest.mark.parametrize("f", [lambda rows: L.margin_filter(rows, 612, 792), L.paragraphs])
+def test_lines_are_worked_out_once(spark, f):
+    """What comes after reads lines that are stored, however often it needs them."""
+    rows = spark.createDataFrame([(1, p, k, 72.0, 100.0 + 14 * k, 300.0, 110.0 + 14 * k, f"line {k} of the text") for p in range(2) for k in range(4)], "doc bigint, page bigint, line bigint, x0 double, y0 double, x1 double, y1 double, text string")
+    made = f(rows)
+    assert "LogicalRDD" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() in (2, 8)
