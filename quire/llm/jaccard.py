@@ -43,6 +43,8 @@ COMBINED = 8
 #: Distinct sets that a task remembers; a set met again later is counted again, which only makes its tokens look
 #: more frequent, and indexed again.
 MET = 200_000
+#: Keys of a text, those of most texts first, that tell whether a pair meets at an earlier key.
+FIRST = 12
 _FLUSH = 2_000_000
 _SHARD_BYTES = 8 << 20  # text for each shard of the token classes
 _U = np.uint64
@@ -252,6 +254,19 @@ def tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def met(work: DataFrame) -> DataFrame:
+    """Texts of a key that a round tries, as hub and hub_n, with its texts of other components.
+
+    work: key, id, n, comp, c (texts of the key), tries. A pair that shares several keys is met at the first of them, in
+    one order for all keys, as far as each text's FIRST tell it: it either is tried there or stays open there.
+    """
+    first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("few"), "key"))), 1, FIRST)["key"]
+    rows = work.select("key", "id", "n", "comp", "tries").join(work.groupBy("id").agg(first.alias("first")), "id")
+    hubs = rows.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("first").alias("hub_first"))
+    here = F.coalesce(F.get(F.array_intersect("first", "hub_first"), 0), F.col("key")) == F.col("key")
+    return rows.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & here).select("key", "id", "n", "hub", "hub_n")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links: a, b. The smallest id reachable from each id that has a link: id, comp."""
     edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
@@ -281,41 +296,49 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     classes = stored(rows.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min(held).alias("id")), "sets")
     sets = rows.where("keys is not null").select("id", "keys", "bits", "tokens")
     members = classes.where("id is not null").select("id", "n", "copies")
-    entries = sets.select("id", "keys", "bits").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies", "bits")
+    entries = sets.select("id", "keys").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies")
 
-    def alike(n: str, m: str, x: str, y: str):
-        """Sizes and parity sketches allow a link."""
-        differ = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(8))
-        sizes = (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
-        return sizes & (differ * (den + num) <= (F.col(n) + F.col(m)) * (den - num))
+    def sizes_allow(n: str, m: str):
+        return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
 
     def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    least = F.min(F.struct((-F.col("copies")).alias("few"), "id", "n", "bits")).alias("h")
-    hubs = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), least).where("c > 1")
-    hubs = stored(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.bits").alias("hub_bits")), "hubs")
-    work = stored(entries.select("key", "id", "n", "bits").join(hubs, "key"), "work")
-    pairs = work.where(F.col("id") != F.col("hub")).where(alike("n", "hub_n", "bits", "hub_bits")).select(*ordered("hub", "id")).distinct()
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col("n") + F.col("hub_n")).alias("n")]
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of distinct pairs a, b with the sum n of their sizes, those whose parity sketches allow a link."""
+        x, y = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
+        differ = sum(F.bit_count(F.get("a_bits", i).bitwiseXOR(F.get("b_bits", i))) for i in range(8))
+        return pairs.join(x, "a").join(y, "b").where(differ * (den + num) <= F.col("n") * (den - num)).select("a", "b")
+
+    def same_texts(rows: DataFrame, *of: str) -> DataFrame:
+        """One key of those whose c texts are the same, told by two 64-bit hashes x and y: they lead to the same pairs."""
+        return rows.groupBy("c", "x", "y").agg(F.min("key").alias("key"), *[F.min(c).alias(c) for c in of]).drop("x", "y")
+
+    hashes = [F.bit_xor(F.xxhash64("id", F.lit(i))).alias(c) for i, c in enumerate("xy")]
+    least = F.min(F.struct((-F.col("copies")).alias("few"), "id", "n")).alias("h")
+    hubs = same_texts(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), least, *hashes).where("c > 1"), "h")
+    hubs = stored(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
+    work = stored(entries.select("key", "id", "n").join(hubs, "key").where(F.col("id") != F.col("hub")), "work")
+    pairs = alike(work.where(sizes_allow("n", "hub_n")).select(*ordered("hub", "id")).distinct())
     tests = stored(tested(pairs, sets, num, den), "tests")
     done = [tests]
     comp = components(tests.where("linked").select("a", "b"))
-    left = work.where(F.col("id") != F.col("hub")).select("key", "id", "n", "bits")
+    left = work.select("key", "id", "n")
     most = RARE
     while True:
         # a key is open while its texts are in several components; its texts outside the largest are tried against all
         left = left.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("c")).where("big.m < c")
-        sizes = stored(sizes, "open")
-        work = left.join(sizes.select("key", (F.col("c") - F.col("big.m")).alias("rest"), F.col("big.comp").alias("big")), "key")
+        sizes = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"), *hashes)
+        sizes = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("c"), *[F.bit_xor(c).alias(c) for c in "xy"]).where("big.m < c")
+        sizes = stored(same_texts(sizes, "big"), "open")
+        work = left.join(sizes.select("key", "c", (F.col("c") - F.col("big.m")).alias("rest"), F.col("big.comp").alias("big")), "key")
         tried = F.pmod(F.xxhash64("id", F.lit(most)), F.ceil(F.col("rest") / most)) == 0
         work = stored(work.withColumn("tries", (F.col("comp") != F.col("big")) & tried), "work")
         if work.isEmpty():
             break
-        hubs = work.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"), F.col("comp").alias("hub_comp"))
-        both = work.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & alike("n", "hub_n", "bits", "hub_bits"))
-        pairs = both.select(*ordered("hub", "id")).distinct()
+        both = met(work).where(sizes_allow("n", "hub_n"))
+        # stored, since Spark would take the tested pairs out before it makes the pairs distinct
+        pairs = stored(alike(both.select(*ordered("hub", "id")).distinct()), "pairs")
         for x in done:
             pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
         tests = stored(tested(pairs, sets, num, den), "tests")
@@ -325,7 +348,7 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
             for x in done[1:]:
                 every = every.unionByName(x)
             comp = components(every.where("linked").select("a", "b"))
-        left = work.where(~F.col("tries") & (F.col("rest") > most)).select("key", "id", "n", "bits")
+        left = work.where(~F.col("tries") & (F.col("rest") > most)).select("key", "id", "n")
         most *= 8
     # a component's id is the smallest id of all rows of its classes
     named = classes.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id", "rep"))

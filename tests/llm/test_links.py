@@ -64,6 +64,30 @@ def test_groups_as_all_pairs_give_them(spark, words, num):
     assert got == groups(rows, words, num, 100)
 
 
+def test_a_pair_of_many_shared_keys_is_met_once(spark):
+    work = spark.range(300).selectExpr("id AS key").crossJoin(spark.range(20)).where("key % 20 <> id")
+    work = work.selectExpr("key", "id", "10L AS n", "id div 2 AS comp", "19L AS c", "true AS tries")
+    got = [(r.id, r.hub) for r in jaccard.met(work).collect()]
+    assert set(got) == {(i, j) for i in range(20) for j in range(20) if i // 2 != j // 2}
+    assert len(got) == len(set(got))
+
+
+def test_groups_of_long_texts_that_share_many_keys(spark):
+    """A hundred texts around five that do not link with each other, but share most of their shingles."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(5000)}" for _ in range(700)]
+    rows = []
+    for family in range(5):
+        own = [f"f{family}" if rng.random() < 0.04 else w for w in base]
+        for _ in range(20):
+            new = list(own)
+            for _ in range(rng.randrange(12)):
+                new[rng.randrange(700)] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(new)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.linked_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=5, num=80).collect()}
+    assert got == groups(rows, 5, 80, 100)
+
+
 def test_no_documents_no_groups(spark):
     assert jaccard.linked_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
