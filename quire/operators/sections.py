@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import dom
 from ..functions import sentences as S
-from ..sources import stored
+from ..sources import small_batches, stored
 
 #: Fixed value: characters of a synthetic page.
 INTERVAL = 1800
@@ -24,6 +24,7 @@ KEY = ["doc", "section"]
 def parsed(sections: DataFrame, interval: int = INTERVAL) -> DataFrame:
     """sections: doc, section (its place in the document), html. doc, section, label, chars, breaks, items, each page read
     once and stored. A null page has no items and no label."""
+    small_batches(sections.sparkSession)
     read = sections.select(*KEY, dom.section(dom.clean(F.col("html")), interval).alias("read"))
     return stored(read.select(*KEY, "read.*"), "sections")
 
