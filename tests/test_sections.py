@@ -5,9 +5,13 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.functions import dom
 from quire.operators import sections as X
+from quire.plans import catalog
+
+from .conftest import DATA
 
 PAGES = [
     ("a", 0, "<title>Book</title><body><h1>One <b>more</b></h1><p>First. Second.</p><ul><li>item</ul>"),
@@ -95,3 +99,17 @@ def test_splitter_can_be_chosen(read):
 def test_empty_table(spark):
     read = X.parsed(spark.createDataFrame([], "doc string, section int, html string"))
     assert [f(read).count() for f in (X.labels, X.markers, X.items, X.coverage)] == [0] * 4
+
+
+@pytest.mark.parametrize("name", ["dom_items", "html_extract", "synthetic_pages", "snippet_candidates", "apply_edits"])
+def test_workers_get_few_rows_at_once(spark, name):
+    """A worker's memory follows the rows of its batches, which must not grow with the table."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "10000")
+    try:
+        catalog.queries()[name](spark, str(DATA))
+        rows = spark.range(0, 3000, 1, 1).select(F.pandas_udf(lambda x: x * 0 + len(x), "long")("id").alias("n"))
+        assert rows.agg(F.max("n")).first()[0] <= 500
+    finally:
+        spark.conf.set(setting, before)
