@@ -69,6 +69,11 @@ def test_lm_without_training_rows(spark):
     assert lm.with_lm_score(df, lm.learn(df.limit(0))).count() == 1
 
 
+def test_mixture_rakes_all_rounds_within_the_tokens():
+    """Three steps, one for each margin, in each of twelve rounds."""
+    assert mixing.oracle().count("scale_by * weight <= most") == 3 * 12
+
+
 @pytest.mark.parametrize("capped", [False, True])
 def test_mixture_as_sql_gives_it(spark, duck, capped):
     df = (registry.op6_mixing_bounded if capped else registry.op6_mixing)(spark, str(DATA))
