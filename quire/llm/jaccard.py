@@ -18,9 +18,9 @@ Candidates of a key are not all pairs of its texts: each is tested against the k
 components, and only keys that still hold several components are tried again: their texts outside the key's largest
 component against those of other components, a growing number at a time. A pair that is never tested is in one
 component already or ruled out, so no component misses a link. Before a test, parity sketches of the two sets (512
-bits, each token flips one) rule out pairs that differ in more bits than linked sets can differ in tokens. Tests compare
-whole sets of 64-bit hashes. Joins on keys meet tables that are stored before, so that Spark can split a key that
-holds very many texts.
+bits, each token flips one) rule out pairs that differ in more bits than linked sets can differ in tokens; where many
+texts of a key are tried, the join on keys does so itself. Tests compare whole sets of 64-bit hashes. Joins on keys meet
+tables that are stored before, so that Spark can split a key that holds very many texts.
 
 Null and empty texts, and texts without words, have an empty set and link with nothing; so do rows of null id, whose
 component is null. Equal texts link; very long texts are taken whole; rows of equal id share what each of them links
@@ -254,17 +254,34 @@ def tested(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
-def met(work: DataFrame) -> DataFrame:
+def sizes_allow(n: str, m: str, num: int, den: int):
+    return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
+
+
+def sketches_allow(x: str, y: str, n, num: int, den: int):
+    """Whether parity sketches x and y of two sets, whose sizes add up to n, allow a link."""
+    differ = sum(F.bit_count(F.get(x, i).bitwiseXOR(F.get(y, i))) for i in range(8))
+    return differ * (den + num) <= n * (den - num)
+
+
+def met(work: DataFrame, sketches: DataFrame | None = None, num: int = 90, den: int = 100) -> DataFrame:
     """Texts of a key that a round tries, as hub and hub_n, with its texts of other components.
 
     work: key, id, n, comp, c (texts of the key), tries. A pair that shares several keys is met at the first of them, in
-    one order for all keys, as far as each text's FIRST tell it: it either is tried there or stays open there.
+    one order for all keys, as far as each text's FIRST tell it: it either is tried there or stays open there. With
+    sketches (id, bits) the join itself leaves out pairs that cannot link, so its rows are about the pairs to be tested
+    and not the square of a key's texts.
     """
     first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("few"), "key"))), 1, FIRST)["key"]
-    rows = work.select("key", "id", "n", "comp", "tries").join(work.groupBy("id").agg(first.alias("first")), "id")
-    hubs = rows.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("first").alias("hub_first"))
+    own = work.groupBy("id").agg(first.alias("first"))
+    own = own.withColumn("bits", F.lit(None).cast("array<bigint>")) if sketches is None else own.join(sketches.select("id", "bits"), "id")
+    rows = work.select("key", "id", "n", "comp", "tries").join(own, "id")
+    hubs = rows.where("tries").select("key", F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"), F.col("first").alias("hub_first"), F.col("bits").alias("hub_bits"))
     here = F.coalesce(F.get(F.array_intersect("first", "hub_first"), 0), F.col("key")) == F.col("key")
-    return rows.join(hubs, "key").where((F.col("comp") != F.col("hub_comp")) & here).select("key", "id", "n", "hub", "hub_n")
+    both = rows.join(hubs, "key").where(F.col("comp") != F.col("hub_comp"))
+    if sketches is not None:
+        both = both.where(sizes_allow("n", "hub_n", num, den) & sketches_allow("bits", "hub_bits", F.col("n") + F.col("hub_n"), num, den))
+    return both.where(here).select("key", "id", "n", "hub", "hub_n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,17 +315,13 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     members = classes.where("id is not null").select("id", "n", "copies")
     entries = sets.select("id", "keys").join(members, "id").select(F.explode("keys").alias("key"), "id", "n", "copies")
 
-    def sizes_allow(n: str, m: str):
-        return (F.col(n) * den >= F.col(m) * num) & (F.col(m) * den >= F.col(n) * num)
-
     def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col("n") + F.col("hub_n")).alias("n")]
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs a, b with the sum n of their sizes, those whose parity sketches allow a link."""
         x, y = (sets.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits")) for c in ("a", "b"))
-        differ = sum(F.bit_count(F.get("a_bits", i).bitwiseXOR(F.get("b_bits", i))) for i in range(8))
-        return pairs.join(x, "a").join(y, "b").where(differ * (den + num) <= F.col("n") * (den - num)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(sketches_allow("a_bits", "b_bits", F.col("n"), num, den)).select("a", "b")
 
     def same_texts(rows: DataFrame, *of: str) -> DataFrame:
         """One key of those whose c texts are the same, told by two 64-bit hashes x and y: they lead to the same pairs."""
@@ -319,7 +332,7 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
     hubs = same_texts(entries.groupBy("key").agg(F.count(F.lit(1)).alias("c"), least, *hashes).where("c > 1"), "h")
     hubs = stored(hubs.select("key", F.col("h.id").alias("hub"), F.col("h.n").alias("hub_n")), "hubs")
     work = stored(entries.select("key", "id", "n").join(hubs, "key").where(F.col("id") != F.col("hub")), "work")
-    pairs = alike(work.where(sizes_allow("n", "hub_n")).select(*ordered("hub", "id")).distinct())
+    pairs = alike(work.where(sizes_allow("n", "hub_n", num, den)).select(*ordered("hub", "id"), (F.col("n") + F.col("hub_n")).alias("n")).distinct())
     tests = stored(tested(pairs, sets, num, den), "tests")
     done = [tests]
     comp = components(tests.where("linked").select("a", "b"))
@@ -336,9 +349,8 @@ def linked_groups(df: DataFrame, key: str = "doc_id", text: str = "text", words:
         work = stored(work.withColumn("tries", (F.col("comp") != F.col("big")) & tried), "work")
         if work.isEmpty():
             break
-        both = met(work).where(sizes_allow("n", "hub_n"))
         # stored, since Spark would take the tested pairs out before it makes the pairs distinct
-        pairs = stored(alike(both.select(*ordered("hub", "id")).distinct()), "pairs")
+        pairs = stored(met(work, sets, num, den).select(*ordered("hub", "id")).distinct(), "pairs")
         for x in done:
             pairs = pairs.join(x.select("a", "b"), ["a", "b"], "left_anti")
         tests = stored(tested(pairs, sets, num, den), "tests")

@@ -72,6 +72,16 @@ def test_a_pair_of_many_shared_keys_is_met_once(spark):
     assert len(got) == len(set(got))
 
 
+def test_texts_of_a_key_that_cannot_link_make_no_rows(spark):
+    """Sixty texts share half of their tokens and all keys; only neighbours of a pair can link."""
+    rng = np.random.default_rng(7)
+    shared = rng.integers(1 << 63, size=100, dtype=np.uint64)
+    own = [rng.integers(1 << 63, size=100, dtype=np.uint64) for _ in range(30)]
+    sketches = spark.createDataFrame([(i, jaccard.parity(np.concatenate([shared, own[i // 2][i % 2 :]])).tolist()) for i in range(60)], "id long, bits array<long>")
+    work = spark.range(60).selectExpr("id", "200 - id % 2 AS n", "id AS comp").crossJoin(spark.range(3).selectExpr("id AS key", "60L AS c", "true AS tries"))
+    assert sorted((r.id, r.hub) for r in jaccard.met(work, sketches, 90, 100).collect()) == [(i, i ^ 1) for i in range(60)]
+
+
 def test_groups_of_long_texts_that_share_many_keys(spark):
     """A hundred texts around five that do not link with each other, but share most of their shingles."""
     rng = random.Random(3)
