@@ -6,11 +6,12 @@ by word; a text's language is the one with the highest mean posterior over its w
 
 Training lines are runs of words from texts of one language each, joined to lines that switch, so transitions are
 learned and not only "never switch". Null texts and texts without a letter are `und` with score 0. A language whose
-sampled texts hold no word is not learned. Repeated rows give repeated results; very long texts are labelled whole;
+texts hold no word is not learned. Repeated rows give repeated results; very long texts are labelled whole;
 columns of the input named as results are replaced; an empty table gives no rows.
 
 Posteriors only compare the learned languages. Whether a text is in one of them at all is told by `familiar`: the
-share of its words' longer n-grams that training has met. Bounds for both are set on sampled texts held back from training.
+share of its words' longer n-grams that training has met often enough. Bounds for both are set on the texts held back
+from training. `learn` covers all rows in the tasks; `fit` is its form for a few texts in memory.
 """
 
 from __future__ import annotations
@@ -24,15 +25,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .bpe import _with
 from .text import mix, small_batches, spans_hash, text_chunks, utf8
 
-#: Texts of each language that the model is learned from, at most: those of lowest xxhash64(doc_id).
-SAMPLE_ROWS = 600
-#: Code points of each sampled text that the model is learned from, at most: of longer texts so many stretches, evenly
-#: spaced from the beginning to the end.
+#: Code points that `_spread` leaves of a text, at most, and in how many stretches. `learn` takes whole texts.
 SAMPLE_CHARS, STRETCHES = 4_000, 8
 TABLE = 1 << 18
 #: Bytes of text whose sequences run side by side.
@@ -95,11 +92,12 @@ class Crf:
     begin: np.ndarray
     least_score: float = 0.0  # of texts that are in a learned language
     least_familiar: float = 0.0
+    known: np.ndarray | None = None  # places of familiar n-grams
 
     @cached_property
     def met(self) -> np.ndarray:
-        """Places of the table that training has touched."""
-        return self.weights.any(1)
+        """Places of the table that are familiar: without `known` those that training has touched."""
+        return self.weights.any(1) if self.known is None else self.known
 
     def emissions(self, rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
         return np.stack([np.bincount(rows, self.weights[index, j], n) for j in range(len(self.labels))], 1)
@@ -235,25 +233,149 @@ def _spread(text: Column, chars: int) -> Column:
     return F.when(F.length(text) > chars, F.array_join(parts, "\n")).otherwise(text)
 
 
-def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> Crf:
-    """df: the rows to learn from. At most sample_rows texts of each language reach the driver, of each
-    sample_chars code points from all of the text.
-
-    A language's texts are those of lowest hash of the key: first all rows below a bound that leaves about twice as
-    many as are wanted, in one pass, then the lowest of these.
+def _steps(part: pa.Array, gold: np.ndarray, rng: np.random.Generator, lines):
+    """All words of the texts once, as steps of switching lines: features of each step's distinct words (row, place),
+    which of these each word is, its label, and bounds of lines. lines(): how many the next step takes."""
+    buf, begins, ends, bounds = words_of(lowered(part))
+    if not len(begins):
+        return
+    _, one, at = np.unique(spans_hash(buf, begins, ends), return_index=True, return_inverse=True)
+    rows, index, _ = features(buf, begins[one], ends[one])
+    order = np.argsort(rows, kind="stable")
+    index, where = index[order], np.searchsorted(rows[order], np.arange(len(one) + 1))
+    label = np.repeat(gold, np.diff(bounds))
+    cuts = np.cumsum(rng.integers(4, 20, len(begins) // 4 + 1))
+    runs = np.unique(np.concatenate([cuts[cuts < len(begins)], bounds[:-1][bounds[:-1] < len(begins)]]))
+    sizes = np.diff(runs, append=len(begins))
+    order = rng.permutation(len(runs))
+    ends_of = np.unique(np.minimum(np.cumsum(rng.integers(1, 4, len(runs))), len(runs)))  # lines, in runs
+    a = 0
+    while a < len(ends_of):
+        b = min(len(ends_of), a + lines())
+        took = order[ends_of[a - 1] if a else 0 : ends_of[b - 1]]
+        size = sizes[took]
+        total = np.concatenate([[0], np.cumsum(size)])
+        flat = np.arange(total[-1]) + np.repeat(runs[took] - total[:-1], size)
+        words, own = np.unique(at[flat], return_inverse=True)
+        many = where[words + 1] - where[words]
+        begin = np.concatenate([[0], np.cumsum(many)])
+        places = index[np.arange(begin[-1]) + np.repeat(where[words] - begin[:-1], many)]
+        bound = total[np.concatenate([[0], ends_of[a:b] - (ends_of[a - 1] if a else 0)])]
+        yield np.repeat(np.arange(len(words)), many), places, own, label[flat], bound
+        a = b
+
+
+def _trained(chunks, labels: list[str], weight: np.ndarray) -> list[np.ndarray]:
+    """Weights that one task learns from all its texts, moves and first labels below them; the squares of their
+    gradients; and how often each place was met, by weight of the word's language. A task of few texts takes them
+    again; only so many are held."""
+    k, rng, done = len(labels), np.random.default_rng(5), 0
+    value, seen, met = np.zeros((TABLE + k + 1, k)), np.zeros((TABLE + k + 1, k)), np.zeros(TABLE)
+    model = Crf(labels, value[:TABLE], value[TABLE:-1], value[-1])
+    rate = np.full((len(value), 1), 0.3)
+    rate[-1] = 0.1
+    lines = lambda: FIRST_LINES if done < FIRST_STEPS else LINES
+    held, again = [], False
+
+    def passed():
+        nonlocal again
+        for part, gold in chunks:
+            if len(held) < HELD:
+                held.append((part, gold))
+            yield part, gold
+        again = True
+        while held and 0 < done < FIRST_STEPS:
+            yield from held
+
+    for part, gold in passed():
+        for rows, places, own, y, bounds in _steps(part, gold, rng, lines):
+            emit = model.emissions(rows, places, int(own.max()) + 1)[own]
+            wrong, move, begin = gradients(emit, bounds, model.moves, model.begin, y)
+            if not again:
+                met += np.bincount(places, np.bincount(own, weight[y])[rows], TABLE)
+            wrong = wrong * weight[y][:, None]
+            grad = np.zeros_like(value)
+            for j in range(k):
+                grad[:TABLE, j] = np.bincount(places, np.bincount(own, wrong[:, j])[rows], TABLE)
+            grad[TABLE:-1], grad[-1] = move, begin
+            seen += grad * grad
+            value -= rate * grad / np.sqrt(seen + 1e-6)
+            done += 1
+    return [value, seen, met]
+
+
+#: Bytes of text that one task learns from; a step's lines, and those of the first steps, which every task takes.
+TASK_BYTES, LINES, FIRST_LINES, FIRST_STEPS = 24 << 20, 2_000, 200, 80
+#: Chunks (of SPAN_BYTES) that a task of few texts may take again.
+HELD = 4
+#: An n-gram is familiar if it is met once in so many words, languages weighted alike.
+MET_WORDS = 400_000
+#: Parts of the table in which the tasks' weights are added up.
+BLOCKS = 32
+
+
+def learn(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", bounds: bool = True) -> Crf:
+    """df: the rows to learn from, all of them and whole. With bounds, least_score and least_familiar too.
+
+    Each task learns from its texts; weights are then averaged by the squares of their gradients, so that what only some
+    tasks met is not thinned out. A sixth of the texts (by hash of the key) only sets the bounds. Only weights, as many
+    as TABLE x labels, reach the driver.
     """
-    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = known.groupBy(F.col(lang).alias("_lang")).count().collect()  # as many rows as there are languages
+    spark = df.sparkSession
+    small_batches(spark)
+    known = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), (F.pmod(F.xxhash64(F.col(key)), F.lit(6)) == 0).alias("_held"))
+    worded = known.where(F.col("_text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    kept = F.sum(F.when(~F.col("_held"), F.octet_length("_text")).otherwise(0))
+    sizes = {r[0]: (r[1], r[2]) for r in worded.groupBy("_lang").agg(F.sum(F.octet_length("_text")), kept).collect()}  # as many rows as there are languages
     if not sizes:
-        return Crf(["und"], np.zeros((TABLE, 1)), np.zeros((1, 1)), np.zeros(1))
-    bound = F.create_map(*[F.lit(v) for n, c in sizes for v in (n, min(1.0, (2 * sample_rows + 100) / c))])
-    hashed = F.xxhash64(F.col(key))
-    part = known.where(F.pmod(hashed, F.lit(1 << 30)) <= F.element_at(bound, F.col(lang)) * (1 << 30))
-    part = part.select(hashed.alias("_hash"), F.col(key).alias("_key"), _spread(F.col(text), sample_chars).alias("_text"), F.col(lang).alias("_lang"))
-    order = W.partitionBy("_lang").orderBy("_hash", "_key", F.xxhash64("_text"))
-    rows = part.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= sample_rows).select("_n", "_text", "_lang").toArrow()
-    rows = rows.sort_by([("_n", "ascending"), ("_lang", "ascending")])
-    return fit(rows["_text"].to_pylist(), rows["_lang"].to_pylist())
+        labels = sorted(r[0] for r in known.select("_lang").distinct().collect()) or ["und"]
+        return Crf(labels, np.zeros((TABLE, len(labels))), np.zeros((len(labels),) * 2), np.zeros(len(labels)))
+    labels, k = sorted(sizes), len(sizes)
+    never_held = [n for n in labels if not sizes[n][1]]  # all its texts would be held back
+    worded = worded.withColumn("_held", F.col("_held") & ~F.col("_lang").isin(never_held)) if never_held else worded
+    mass = np.array([sizes[n][1] or sizes[n][0] for n in labels], float)
+    weight = np.minimum(mass.max() / mass, MOST_WEIGHT)
+    width, at = -(-(TABLE + k + 1) // BLOCKS), {n: i for i, n in enumerate(labels)}
+
+    def train(batches):
+        def chunks():
+            for batch in batches:
+                gold = np.array([at[n] for n in batch.column("_lang").to_pylist()], np.int64)
+                for first, part in text_chunks(batch.column("_text"), SPAN_BYTES):
+                    yield part, gold[first : first + len(part)]
+
+        value, seen, met = _trained(chunks(), labels, weight)
+        if seen.any():
+            met = np.concatenate([met, np.zeros(k + 1)])
+            for i in range(BLOCKS):
+                own = slice(i * width, (i + 1) * width)
+                sent = [(value[own] * seen[own]), seen[own], met[own]]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([x.astype(np.float32).tobytes()]) for x in sent]], ["block", "value", "seen", "met"])
+
+    def add(table: pa.Table) -> pa.Table:
+        value, seen, met = (sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in table[c]) for c in ("value", "seen", "met"))
+        mean = np.divide(value, seen, out=np.zeros_like(value), where=seen > 0)
+        return pa.table({"block": table["block"][:1], "value": pa.array([mean.astype(np.float32).tobytes()]), "met": pa.array([met.astype(np.float32).tobytes()])})
+
+    tasks = max(1, -(-int(mass.sum()) // TASK_BYTES))
+    sent = worded.where("NOT _held").select("_text", "_lang").coalesce(tasks).mapInArrow(train, "block int, value binary, seen binary, met binary")
+    blocks = sorted(sent.groupBy("block").applyInArrow(add, "block int, value binary, met binary").collect())
+    if not blocks:  # one language: nothing to tell apart
+        return Crf(labels, np.zeros((TABLE, k)), np.zeros((k, k)), np.zeros(k))
+    value, met = (np.concatenate([np.frombuffer(r[c], np.float32) for r in blocks]).astype(float) for c in ("value", "met"))
+    value = value.reshape(-1, k)
+    total = float((mass * weight).sum()) / BYTES_A_WORD
+    model = Crf(labels, value[:TABLE], value[TABLE:-1], value[-1], known=(met[:TABLE] > 0) & (met[:TABLE] * MET_WORDS >= total))
+    if bounds:
+        held = with_language(worded.where("_held").select("_text"), model, "_text").where("lang_pred <> 'und'")
+        low = held.agg(*[F.percentile_approx(c, 0.01, 10_000) for c in ("score", "familiar")]).first()
+        if low[0] is not None:
+            model.least_score, model.least_familiar = (share * x for share, x in zip(LENIENCY, low, strict=True))
+    return model
+
+
+#: How much more the words of a rare language may count in learning; about so many bytes of text hold a word.
+MOST_WEIGHT, BYTES_A_WORD = 20.0, 6.5
 
 
 def with_language(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
@@ -261,7 +383,7 @@ def with_language(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     kept, schema = _with(df, "lang_pred string, score double, familiar double")
-    sent = spark.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.moves, model.begin))  # bounded: TABLE x labels
+    sent = spark.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.moves, model.begin, 0.0, 0.0, model.met))  # bounded: TABLE x labels
 
     def run(batches):
         model = Crf(*sent.value)

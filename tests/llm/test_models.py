@@ -167,6 +167,19 @@ def test_language_without_words_leaves_others_learned(spark, empty):
     assert langid.fit([""], ["x"]).labels == ["x"]
 
 
+def test_language_is_learned_from_all_texts(spark):
+    """Each text has a word of its own; nearly five sixths of these, of 3,000 texts, must have left weights."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    rows = [(i, ("der hund und " if i % 2 else "the dog and ") + word(), "de" if i % 2 else "en") for i in range(3000)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    own = [t.split()[-1].encode() for _, t, _ in rows]
+    buf, ends = np.frombuffer(b"".join(own), np.uint8), np.arange(1, 3001) * 9
+    whole = langid.features(buf, ends - 9, ends)[1][-3000:]
+    assert model.weights.any(1)[whole].mean() > 0.75
+    assert model.least_score > 0 and model.least_familiar > 0
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><a href=x>Home</a> <a href=y>News</a></nav>
 <div id="cookie-notice">We use cookies.</div>
 <div class="layout"><article><h1>The&nbsp;title &amp; more</h1><p>First   paragraph of the article, long enough to count as
