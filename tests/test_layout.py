@@ -202,3 +202,13 @@ def test_lines_are_worked_out_once(spark, f):
     rows = spark.createDataFrame([(1, p, k, 72.0, 100.0 + 14 * k, 300.0, 110.0 + 14 * k, f"line {k} of the text") for p in range(2) for k in range(4)], "doc bigint, page bigint, line bigint, x0 double, y0 double, x1 double, y1 double, text string")
     made = f(rows)
     assert "LogicalRDD" not in made._jdf.queryExecution().optimizedPlan().toString() and made.count() in (2, 8)
+
+
+def test_boxes_of_sentences_need_no_join(spark):
+    """Lines are worked out once and joined with nothing."""
+    from quire.plans import pdf
+
+    from .conftest import DATA
+
+    for query in (pdf.sentence_boxes, pdf.bbox_union):
+        assert "Join" not in query(spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
