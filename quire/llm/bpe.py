@@ -3,6 +3,7 @@
 Pre-tokenisation turns texts into arrays of code-point classes and runs a small automaton over them as a
 scan of transition functions: functions of whole blocks are composed side by side, an associative scan over the
 blocks gives each block's entry state, and a second pass marks where pieces begin. No regular expression is used.
+Operator 1 then merges the distinct pieces of many texts side by side, one pair of each at a step.
 
 Both operators take any DataFrame with a text column. Null and empty texts have no tokens; repeated rows give
 repeated results; other columns are left alone. A column of the result's name in the input is replaced.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import small_batches, text_chunks
+from .text import small_batches, spans_hash, text_chunks
 
 # symbols: a code point with what must be known of the two that follow
 LETTER, NUMBER, MARK, QUOTE1, QUOTE2, SPACE_JOINS, SPACE_MID, SPACE_ALONE, END = range(9)
@@ -107,21 +108,27 @@ def piece_starts(points: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins.T.ravel()[:n])
 
 
-def split_pieces(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
-    """Of each text its pieces and where they begin, in code points; the last bound is the text's length."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    ends = np.cumsum(sizes + 1)
+def piece_bounds(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin in the code points of all texts, an end mark after each, which begins too; and where each text
+    ends, its mark included."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
     points = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
     joined = "\0".join(texts) + "\0" if texts else ""
     points[:] = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     points[ends - 1] = 0x110000
-    starts = piece_starts(points) if len(points) else np.zeros(0, np.int64)
+    return piece_starts(points) if len(points) else np.zeros(0, np.int64), ends
+
+
+def split_pieces(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+    """Of each text its pieces and where they begin, in code points; the last bound is the text's length."""
+    starts, ends = piece_bounds(texts)
+    joined = "\0".join(texts) + "\0" if texts else ""
     cut = np.searchsorted(starts, np.concatenate([[0], ends]))
     out = []
-    for i in range(len(texts)):
+    for i, text in enumerate(texts):
         own = starts[cut[i] : cut[i + 1]]  # ends with the end mark
         bounds = own.tolist()
-        out.append(([joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], own - (ends[i] - sizes[i] - 1)))
+        out.append(([joined[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], own - (ends[i] - len(text) - 1)))
     return out
 
 
@@ -233,23 +240,131 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-@lru_cache(2)
-def _encoder(path: str) -> Cache:
-    merge = vocabulary(path).merge
+#: Pieces of more bytes are merged one by one; the rank of no pair; so many pieces are hashed at once.
+LONG, NEVER, HASHED = 48, np.int32(2**31 - 1), 1 << 18
+
+
+class Merges:
+    """A vocabulary as arrays: ids of a single byte, ranks of pairs, and each token's bytes and decimal by its id."""
+
+    def __init__(self, words: Vocabulary):
+        self.words, ranks = words, words.ranks
+        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        a, b, r = np.array(pairs, np.int64).reshape(-1, 3).T
+        order = np.argsort(a << 32 | b)
+        self.keys, self.ranks = (a << 32 | b)[order], np.append(r[order].astype(np.int32), NEVER)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.byte_pairs = self.pair(np.repeat(self.bytes, 256), np.tile(self.bytes, 256))
+        said = [words.tokens.get(i, b"") for i in range(max(words.tokens) + 1)]
+        self.tokens, self.decimals = pa.array(said, pa.large_binary()), pa.array([f"{i} ".encode() for i in range(len(said))], pa.large_binary())
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids."""
+        key = a.astype(np.int64) << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], NEVER)
+
+    def merged(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """pieces: bytes of pieces of equal length, one in a row. All ids in a row, and how many each piece has. Each
+        step joins one pair of every piece: that of lowest rank, the leftmost of equal ones."""
+        n, size = pieces.shape
+        ids = self.bytes[pieces]
+        ranks = np.full((n, size), NEVER)
+        ranks[:, :-1] = self.byte_pairs[pieces[:, :-1].astype(np.intp) << 8 | pieces[:, 1:]]
+        after, before = np.tile(np.arange(1, size + 1, dtype=np.int16), (n, 1)), np.tile(np.arange(-1, size - 1, dtype=np.int16), (n, 1))
+        flat_ids, flat_ranks, flat_after, flat_before = ids.ravel(), ranks.ravel(), after.ravel(), before.ravel()
+        live = np.arange(n)
+        while len(live):
+            at = ranks[live].argmin(1)
+            best = flat_ranks[live * size + at]
+            some = best < NEVER
+            live, at, best = live[some], at[some], best[some]
+            row = live * size
+            here, gone = row + at, row + flat_after[row + at]
+            then, left = flat_after[gone].astype(np.intp), flat_before[here].astype(np.intp)
+            flat_ids[here], flat_ids[gone] = best, -1
+            flat_ranks[gone] = flat_ranks[here] = NEVER
+            flat_after[here] = then
+            some = np.flatnonzero(then < size)
+            flat_before[row[some] + then[some]] = at[some]
+            flat_ranks[here[some]] = self.pair(best[some], flat_ids[row[some] + then[some]])
+            some = np.flatnonzero(left >= 0)
+            flat_ranks[row[some] + left[some]] = self.pair(flat_ids[row[some] + left[some]], best[some])
+        kept = ids >= 0
+        return ids[kept], kept.sum(1)
+
+    def ids(self, buf: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of many pieces all ids in a row, and how many each has."""
+        sizes, n = ends - begins, len(begins)
+        counts, parts, place = np.zeros(n, np.int64), [], np.zeros(n, np.int64)
+        order, total = np.argsort(sizes, kind="stable"), 0
+        cut = np.searchsorted(sizes[order], np.arange(LONG + 2))
+        for size in range(1, LONG + 1):
+            own = order[cut[size] : cut[size + 1]]
+            if len(own):
+                made, counts[own] = self.merged(buf[begins[own][:, None] + np.arange(size)])
+                place[own] = total + np.cumsum(counts[own]) - counts[own]
+                parts.append(made)
+                total += len(made)
+        for k in order[cut[LONG + 1] :]:
+            made = np.array(self.words.merge(buf[begins[k] : ends[k]].tobytes()), np.int32)
+            counts[k], place[k] = len(made), total
+            parts.append(made)
+            total += len(made)
+        return _gathered(np.concatenate([*parts, np.zeros(0, np.int32)]), place, counts), counts
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Stretches of values, one after the other."""
+    to = np.cumsum(sizes)
+    return values[np.arange(to[-1] if len(to) else 0) + np.repeat(begins - to + sizes, sizes)]
+
 
-    def make(piece: str):
-        ids = tuple(merge(piece.encode("utf-8", "surrogatepass")))
-        return ids, " ".join(map(str, ids))
+@lru_cache(2)
+def _merges(path: str) -> Merges:
+    return Merges(vocabulary(path))
 
-    return Cache(make)
 
+def encode(texts: list[str], path: str) -> Iterator[tuple[np.ndarray, memoryview, memoryview, np.ndarray]]:
+    """Of each text: ids, the ids as decimals joined by spaces, the bytes that the ids stand for, and where pieces begin
+    (code points; the last bound is the text's length).
 
-def encode(texts: list[str], path: str) -> Iterator[tuple[list[int], str, list[int], np.ndarray]]:
-    """Of each text: ids, the ids as decimals, tokens of each piece and where pieces begin (code points)."""
-    cache = _encoder(path)
-    for pieces, bounds in split_pieces(texts):
-        found = [cache[p] for p in pieces]
-        yield list(chain.from_iterable([v[0] for v in found])), " ".join([v[1] for v in found]), [len(v[0]) for v in found], bounds
+    Equal pieces are told by hashes of 64 bits and merged once. That the ids stand for the bytes of the very pieces is
+    then held against the texts, so that pieces of equal hash cannot be taken for one another.
+    """
+    if not texts:
+        return
+    merges = _merges(path)
+    joined = ("\0".join(texts) + "\0").encode("utf-8", "surrogatepass")
+    buf, (starts, ends) = np.frombuffer(joined, np.uint8), piece_bounds(texts)
+    place = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))  # of code points, in bytes
+    own = np.ones(len(starts), bool)
+    own[np.searchsorted(starts, ends - 1)] = False  # the end marks
+    begin, end = place[starts[own]], place[np.append(starts[1:], ends[-1])[own]]
+    hashes = [spans_hash(buf, begin[k : k + HASHED], end[k : k + HASHED]) for k in range(0, len(begin), HASHED)]
+    _, one, at = np.unique(np.concatenate([*hashes, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+    ids, counts = merges.ids(buf, begin[one], end[one])
+    size = counts[at]
+    ids = _gathered(ids, (np.cumsum(counts) - counts)[at], size)
+    said, decoded = merges.decimals.take(pa.array(ids)), merges.tokens.take(pa.array(ids))
+    tokens = np.concatenate([[0], np.cumsum(size)])
+    to, back = (np.frombuffer(x.buffers()[1], np.int64)[: len(ids) + 1] for x in (said, decoded))
+    letters = np.ones(len(buf), bool)
+    letters[place[ends - 1]] = False
+    data = np.frombuffer(decoded.buffers()[2] or b"", np.uint8)[: back[-1]]
+    if not (np.array_equal(back[tokens[1:]] - back[tokens[:-1]], end - begin) and np.array_equal(data, buf[letters])):
+        ids, counts = merges.ids(buf, begin, end)  # two pieces of one hash: each by itself
+        said, decoded, tokens = merges.decimals.take(pa.array(ids)), merges.tokens.take(pa.array(ids)), np.concatenate([[0], np.cumsum(counts)])
+        to, back = (np.frombuffer(x.buffers()[1], np.int64)[: len(ids) + 1] for x in (said, decoded))
+    pieces = np.concatenate([[0], np.cumsum(own)])[np.searchsorted(starts, np.concatenate([[0], ends]))]
+    cut = tokens[pieces]
+    said, decoded = (memoryview(x.buffers()[2] or b"") for x in (said, decoded))
+    kept, first = starts[own], np.concatenate([[0], ends])
+    for i in range(len(texts)):
+        a, b = cut[i], cut[i + 1]
+        bounds = np.append(kept[pieces[i] : pieces[i + 1]], first[i + 1] - 1) - first[i]
+        yield ids[a:b], said[to[a] : max(to[a], to[b] - 1)], decoded[back[a] : back[b]], bounds
 
 
 def _strings(batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, list[str]]]:
@@ -274,14 +389,13 @@ def with_bpe(df: DataFrame, path: str, text: str = "text", ids: bool = True) ->
     kept, schema = _with(df, ("ids array<int>, piece_starts array<int>, " if ids else "") + "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
-        decode = vocabulary(path).decode
         for batch in batches:
             own: list[list] = [[], [], [], [], []]
             for _, texts in _strings(batch, text):
-                for numbers, said, _, bounds in encode(texts, path):
+                for numbers, said, decoded, bounds in encode(texts, path):
                     own[2].append(len(numbers))
-                    own[3].append(hashlib.sha256(said.encode()).hexdigest())
-                    own[4].append(hashlib.sha256(decode(numbers)).hexdigest())
+                    own[3].append(hashlib.sha256(said).hexdigest())
+                    own[4].append(hashlib.sha256(decoded).hexdigest())
                     if ids:
                         own[0].append(numbers)
                         own[1].append(bounds[:-1].astype(np.int32))

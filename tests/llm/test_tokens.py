@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import regex
@@ -71,3 +72,18 @@ def test_prefix_counts_are_those_of_each_prefix(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.with_bpe(none, PATH).count() == 0 and bpe.with_token_counts(none, P.path("byte_bpe_50k.json")).count() == 0
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_distinct_pieces_are_merged_side_by_side(tik, monkeypatch, alike):
+    """Only long pieces go one by one; pieces of equal hash are not taken for one another."""
+    texts = [t or "" for t in HARD] + ["xqzj qqxz zzqj", "zyxw qqxz", "wxyz"]
+    merge, alone = bpe.Vocabulary.merge, []
+    monkeypatch.setattr(bpe.Vocabulary, "merge", lambda self, piece: alone.append(piece) or merge(self, piece))
+    if alike:
+        monkeypatch.setattr(bpe, "spans_hash", lambda buf, begins, ends: np.zeros(len(begins), np.uint64))
+    for text, (ids, said, decoded, bounds) in zip(texts, bpe.encode(texts, PATH), strict=True):
+        assert ids.tolist() == tik.encode_ordinary(text)
+        assert bytes(said).decode() == " ".join(map(str, ids.tolist())) and bytes(decoded).decode() == text
+        assert bounds.tolist() == bpe.split_pieces([text])[0][1].tolist()
+    assert alone and min(map(len, alone)) > bpe.LONG
