@@ -100,7 +100,7 @@ class Crf:
         return self.weights.any(1) if self.known is None else self.known
 
     def emissions(self, rows: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(rows, self.weights[index, j], n) for j in range(len(self.labels))], 1)
+        return np.stack([np.bincount(rows, self.weights[:, j][index], n) for j in range(len(self.labels))], 1)
 
     def label(self, part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: sums of its words' posteriors by label, words, and the familiar share of its words."""
@@ -123,34 +123,71 @@ PATIENCE = 3
 def forward_backward(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Over many sequences at once. emit: scores of all words in a row; bounds: of each sequence.
 
-    Sequences are ordered by length, so step t works on those that have a word t. Returns, for all words and up to a
-    factor for each word: the sums of paths up to it, of paths after it, and its own exponential score.
+    Sequences are cut into blocks of at most BLOCK words, whose transition matrices are worked out side by side; a scan
+    over these gives what comes into each block from both sides. Within blocks, ordered by length, step t works on those
+    that have a word t. Returns, for all words and up to a factor for each word: the sums of paths up to it, of paths
+    after it, and its own exponential score.
     """
-    sizes = np.diff(bounds)
-    order = np.argsort(-sizes, kind="stable")
-    first, sizes = bounds[:-1][order], sizes[order]
     k = emit.shape[1]
     e = np.exp(emit - emit.max(1, keepdims=True)) if len(emit) else emit
-    m, fwd, bwd = np.exp(moves), np.empty_like(e), np.ones_like(e)
+    m, fwd, bwd, ones = np.exp(moves), np.empty_like(e), np.ones_like(e), np.ones((k, 1))
+    many = -(-np.diff(bounds) // BLOCK)  # blocks of each sequence
+    to = np.cumsum(many)
+    seq = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(seq)) - (to - many)[seq]
+    first = np.asarray(bounds)[:-1][seq] + place * BLOCK
+    sizes = np.minimum(np.asarray(bounds)[1:][seq] - first, BLOCK)
+    into, after = np.tile(np.exp(begin), (len(seq), 1)), np.ones((len(seq), k))
+    several = np.flatnonzero(many > 1)
+    if len(several):
+        several = several[np.argsort(-many[several], kind="stable")]
+        deep = -many[several]
+        own = np.flatnonzero(many[seq] > 1)
+        whole = np.empty((len(seq), k, k))
+        whole[own] = _transfers(e, first[own], sizes[own], m)
+        for j in range(1, -int(deep[0])):  # block j - 1 of each sequence that has a block j
+            at = (to - many)[several[: np.searchsorted(deep, -j, "left")]] + j
+            a = ((into[at - 1][:, None] @ whole[at - 1])[:, 0]) @ m
+            into[at] = a / a.sum(1, keepdims=True)
+            at = to[several[: len(at)]] - j
+            b = (whole[at] @ after[at][:, :, None])[:, :, 0] @ m.T
+            after[at - 1] = b / b.sum(1, keepdims=True)
+    order = np.argsort(-sizes, kind="stable")
+    first, sizes, into, after = first[order], sizes[order], into[order], after[order]
     longest = int(sizes[0]) if len(sizes) else 0
     live = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")
     before = None
     for t in range(longest):
         at = first[: live[t]] + t
-        a = e[at] * (np.exp(begin) if t == 0 else before[: live[t]] @ m)
-        a /= a.sum(1, keepdims=True)
+        a = e[at] * (into[: live[t]] if t == 0 else before[: live[t]] @ m)
+        a /= a @ ones
         fwd[at] = before = a
-    after = np.ones((0, k))
     for t in range(longest - 1, -1, -1):
         at = first[: live[t]] + t
-        b = np.ones((live[t], k))
-        b[: len(after)] = after
-        bwd[at] = b
-        after = (e[at] * b) @ m.T
-        after /= after.sum(1, keepdims=True)
+        bwd[at] = after[: live[t]]
+        b = (e[at] * after[: live[t]]) @ m.T
+        after[: live[t]] = b / (b @ ones)
     return fwd, bwd, e
 
 
+#: Words of a sequence that are walked one after the other.
+BLOCK = 96
+
+
+def _transfers(e: np.ndarray, first: np.ndarray, sizes: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Of each block, up to a factor: the sums of its paths by first and last label."""
+    order, k = np.argsort(-sizes, kind="stable"), len(m)
+    live = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max()) + 1), "right")
+    made = e[first[order]][:, :, None] * np.eye(k)
+    for t in range(1, len(live)):
+        n = live[t]
+        step = (made[:n].reshape(-1, k) @ m).reshape(n, k, k) * e[first[order[:n]] + t][:, None]
+        made[:n] = step / step.reshape(n, -1).sum(1)[:, None, None]
+    out = np.empty_like(made)
+    out[order] = made
+    return out
+
+
 def posteriors(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Of every word, the probability of each label."""
     fwd, bwd, _ = forward_backward(emit, bounds, moves, begin)
@@ -168,10 +205,9 @@ def gradients(emit: np.ndarray, bounds: np.ndarray, moves: np.ndarray, begin: np
     inner = np.ones(len(y), bool)
     inner[starts] = False
     inner = np.flatnonzero(inner)
-    pair = fwd[inner - 1][:, :, None] * np.exp(moves)[None] * (e[inner] * bwd[inner])[:, None, :]
-    pair /= pair.sum((1, 2), keepdims=True)
-    move = pair.sum(0)
-    np.subtract.at(move, (y[inner - 1], y[inner]), 1)
+    m, left, right = np.exp(moves), fwd[inner - 1], e[inner] * bwd[inner]
+    move = m * ((left / ((left @ m * right) @ np.ones((len(m), 1)))).T @ right)
+    move -= np.bincount(y[inner - 1] * len(move) + y[inner], minlength=move.size).reshape(move.shape)
     return wrong, move, wrong[starts].sum(0)
 
 
@@ -243,7 +279,7 @@ def _steps(part: pa.Array, gold: np.ndarray, rng: np.random.Generator, lines):
     rows, index, _ = features(buf, begins[one], ends[one])
     order = np.argsort(rows, kind="stable")
     index, where = index[order], np.searchsorted(rows[order], np.arange(len(one) + 1))
-    label = np.repeat(gold, np.diff(bounds))
+    label, slot = np.repeat(gold, np.diff(bounds)), np.zeros(len(one), np.int64)
     cuts = np.cumsum(rng.integers(4, 20, len(begins) // 4 + 1))
     runs = np.unique(np.concatenate([cuts[cuts < len(begins)], bounds[:-1][bounds[:-1] < len(begins)]]))
     sizes = np.diff(runs, append=len(begins))
@@ -256,7 +292,9 @@ def _steps(part: pa.Array, gold: np.ndarray, rng: np.random.Generator, lines):
         size = sizes[took]
         total = np.concatenate([[0], np.cumsum(size)])
         flat = np.arange(total[-1]) + np.repeat(runs[took] - total[:-1], size)
-        words, own = np.unique(at[flat], return_inverse=True)
+        words = np.flatnonzero(np.bincount(at[flat], minlength=len(one)))
+        slot[words] = np.arange(len(words))
+        own = slot[at[flat]]
         many = where[words + 1] - where[words]
         begin = np.concatenate([[0], np.cumsum(many)])
         places = index[np.arange(begin[-1]) + np.repeat(where[words] - begin[:-1], many)]
@@ -270,10 +308,11 @@ def _trained(chunks, labels: list[str], weight: np.ndarray) -> list[np.ndarray]:
     gradients; and how often each place was met, by weight of the word's language. A task of few texts takes them
     again; only so many are held."""
     k, rng, done = len(labels), np.random.default_rng(5), 0
-    value, seen, met = np.zeros((TABLE + k + 1, k)), np.zeros((TABLE + k + 1, k)), np.zeros(TABLE)
+    value, seen, met = np.zeros((TABLE + k + 1, k), order="F"), np.zeros((TABLE + k + 1, k), order="F"), np.zeros(TABLE)  # looked up by label
     model = Crf(labels, value[:TABLE], value[TABLE:-1], value[-1])
     rate = np.full((len(value), 1), 0.3)
     rate[-1] = 0.1
+    slot, rest = np.zeros(TABLE, np.int64), np.arange(TABLE, TABLE + k + 1)
     lines = lambda: FIRST_LINES if done < FIRST_STEPS else LINES
     held, again = [], False
 
@@ -294,12 +333,16 @@ def _trained(chunks, labels: list[str], weight: np.ndarray) -> list[np.ndarray]:
             if not again:
                 met += np.bincount(places, np.bincount(own, weight[y])[rows], TABLE)
             wrong = wrong * weight[y][:, None]
-            grad = np.zeros_like(value)
+            here = np.flatnonzero(np.bincount(places, minlength=TABLE))  # what no word of the step has does not move
+            slot[here] = np.arange(len(here))
+            grad, own_place = np.empty((len(here) + k + 1, k), order="F"), slot[places]
             for j in range(k):
-                grad[:TABLE, j] = np.bincount(places, np.bincount(own, wrong[:, j])[rows], TABLE)
-            grad[TABLE:-1], grad[-1] = move, begin
-            seen += grad * grad
-            value -= rate * grad / np.sqrt(seen + 1e-6)
+                grad[: len(here), j] = np.bincount(own_place, np.bincount(own, wrong[:, j])[rows], len(here))
+            grad[len(here) : -1], grad[-1] = move, begin
+            here = np.concatenate([here, rest])
+            squares = seen[here] + grad * grad
+            seen[here] = squares
+            value[here] -= rate[here] * grad / np.sqrt(squares + 1e-6)
             done += 1
     return [value, seen, met]
 
@@ -383,7 +426,7 @@ def with_language(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
     spark = df.sparkSession
     small_batches(spark)
     kept, schema = _with(df, "lang_pred string, score double, familiar double")
-    sent = spark.sparkContext.broadcast((model.labels, model.weights.astype(np.float32), model.moves, model.begin, 0.0, 0.0, model.met))  # bounded: TABLE x labels
+    sent = spark.sparkContext.broadcast((model.labels, np.asfortranarray(model.weights, np.float32), model.moves, model.begin, 0.0, 0.0, model.met))  # bounded: TABLE x labels
 
     def run(batches):
         model = Crf(*sent.value)

@@ -217,3 +217,26 @@ def test_pipeline_keeps_and_rejects(spark, docs):
         now = out
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     assert corpus_pipeline.run(spark, str(DATA)).count() == sizes[-1]
+
+
+@pytest.mark.parametrize("sizes", [[700], [1, 96, 97, 0, 192, 193, 350], [95, 1000, 3, 0]])
+def test_long_sequences_are_walked_in_blocks(sizes, monkeypatch):
+    """The same posteriors as word by word, in steps that do not grow with the longest sequence."""
+    rng, k = np.random.default_rng(len(sizes)), 3
+    emit, moves, begin = rng.normal(0, 4, (sum(sizes), k)), rng.normal(0, 2, (k, k)), rng.normal(0, 1, k)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    calls, exp = [], np.exp
+    got = langid.posteriors(emit, bounds, moves, begin)
+    for a, b in zip(bounds, bounds[1:]):
+        fwd, bwd = np.zeros((b - a, k)), np.ones((b - a, k))
+        for t in range(b - a):
+            fwd[t] = exp(emit[a + t]) * (exp(begin) if t == 0 else fwd[t - 1] @ exp(moves))
+            fwd[t] /= fwd[t].sum()
+        for t in range(b - a - 2, -1, -1):
+            bwd[t] = exp(moves) @ (exp(emit[a + t + 1]) * bwd[t + 1])
+            bwd[t] /= bwd[t].sum()
+        want = fwd * bwd
+        assert np.allclose(got[a:b], want / want.sum(1, keepdims=True), atol=1e-12)
+    monkeypatch.setattr(langid, "_transfers", lambda e, first, sizes, m, f=langid._transfers: calls.append(int(sizes.max())) or f(e, first, sizes, m))
+    langid.posteriors(emit, bounds, moves, begin)
+    assert calls and max(calls) <= langid.BLOCK
