@@ -63,17 +63,19 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """edges: parent, child; roots: root. All (root, node, depth), roots included, depth being the shortest.
 
     Walks level by level until a level brings no node that its root has not met before, so cycles end. Levels are
-    written to the shared folder: one is read for the next, and none is walked again.
+    written to the shared folder: one is read for the next, and none is walked again. A level is held only against what
+    those roots have met that got to it, so roots that have ended are not sent around again.
     """
     level = stored(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct(), "closure")
-    found, d = level, 0
+    found, met, d = level, level.select("root", "node"), 0
     while True:
         d += 1
         level = level.join(edges, level["node"] == edges["parent"]).select("root", F.col("child").alias("node"), F.lit(d).alias("depth")).distinct()
-        level = stored(level.join(found.select("root", "node"), ["root", "node"], "left_anti"), "closure")
+        level = stored(level.join(met, ["root", "node"], "left_anti"), "closure")
         if level.isEmpty():
             return found
         found = found.unionByName(level)
+        met = stored(met.join(level.select("root").distinct(), "root", "left_semi").unionByName(level.select("root", "node")), "met")
 
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

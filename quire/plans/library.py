@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import entities as E
-from ..sources import table
+from ..sources import stored, table
 from .catalog import query
 
 _TITLE = "split_part(text, chr(10), 1)"
@@ -697,6 +697,6 @@ def chain_walk(spark, d):
     e, k = table(spark, d, "events"), F.col("event_id") % 97
     before = F.when(k == 0, F.col("event_id") + 7).when(F.col("event_type").isin("click", "view") | (k == 7), F.col("event_id") - 7)
     links = e.select(F.col("event_id").alias("parent"), before.alias("child"))
-    there = links.where("child IS NOT NULL").join(e.select(F.col("event_id").alias("child")), "child", "left_semi")
+    there = stored(links.where("child IS NOT NULL").join(e.select(F.col("event_id").alias("child")), "child", "left_semi"), "links")  # read for every level
     last = links.select(F.col("parent").alias("root")).join(there.select(F.col("child").alias("root")), "root", "left_anti")
     return E.closure(there, last).select(F.col("root").alias("run"), F.col("node").alias("id"), "depth")

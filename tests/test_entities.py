@@ -45,3 +45,20 @@ def test_whole_shingles_of_long_short_and_foreign_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n_chars", F.length("text")).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.retained for r in catalog.queries()["shingle_retained_whole"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.5, 2: round(1 / 5002, 6), 3: 0.0, 4: 1.0}
+
+
+def test_closure_holds_levels_against_roots_that_go_on_only(spark, monkeypatch):
+    """A chain and a circle among many roots that end at once: what is met is written again for those two only."""
+    edges = spark.createDataFrame([*[(k, k + 1) for k in range(6)], (100, 101), (101, 100), *[(k, 1000) for k in range(200, 300)]], "parent long, child long")
+    roots = spark.createDataFrame([(r,) for r in (0, 100, *range(200, 300))], "root long")
+    sizes, store = [], E.stored
+
+    def counted(df, name):
+        made = store(df, name)
+        sizes.append((name, made.count()))
+        return made
+
+    monkeypatch.setattr(E, "stored", counted)
+    got = {(r.root, r.node): r.depth for r in E.closure(edges, roots).collect()}
+    assert got == {**{(0, k): k for k in range(7)}, (100, 100): 0, (100, 101): 1, **{(k, k): 0 for k in range(200, 300)}, **{(k, 1000): 1 for k in range(200, 300)}}
+    assert [n for name, n in sizes if name == "met"] == [204, 3, 4, 5, 6, 7]
