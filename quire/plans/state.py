@@ -352,9 +352,9 @@ def fold_run(spark, d):
 
 @query(_RUN_SQL)
 def fold_stream(spark, d):
-    """fold_run from a stream of the conversations' files, by keyed state of one slot each."""
+    """fold_run from a stream of the conversations' files, by keyed state of one row for each call of a slot."""
     at = streaming.own_folder(spark, "folds", d)
     files = stored_once(_run_events(spark, d), f"{at}/events")
     rows = spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/events")
-    streaming.upserted(folds.slot_stream(rows), f"{at}/table", ["run", "slot"], "seq").trigger(availableNow=True).start().awaitTermination()
-    return _told(folds.messages(Snapshots(spark, f"{at}/table").read()))
+    streaming.appended(folds.slot_stream(rows), f"{at}/table").trigger(availableNow=True).start().awaitTermination()
+    return _told(folds.messages(folds.merged(Snapshots(spark, f"{at}/table").read())))

@@ -233,3 +233,20 @@ def test_slots_of_a_stream_are_those_of_the_batch(spark):
 def test_null_runs_are_left_out(spark):
     df = spark.createDataFrame([(None, 1, "part", 0, 0, "text", None, "a"), ("r", None, "part", 0, 0, "text", None, "b"), ("r", 1, "other", 0, 0, None, None, "c"), ("r", 2, "part", 1, 0, "text", None, None)], EVENT).withColumn("slot", F.lit("clash"))
     assert folded(folds.slots(df)) == {"r": [("response", []), ("response", [("text", None, None, None, None)])]}
+
+
+def test_appended_batches_are_merged_as_slots(spark, tmp_path):
+    """Later batches write what they change, not the whole table; rows of earlier batches stay as they are."""
+    events = made_events(6)
+    random.Random(3).shuffle(events)
+    for k in range(3):
+        spark.createDataFrame(events[k * 60 : (k + 1) * 60] + events[:20], EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        rows = spark.readStream.schema(EVENT).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        streaming.appended(folds.slot_stream(rows), f"{tmp_path}/t").trigger(availableNow=True).start().awaitTermination()
+        held = Snapshots(spark, f"{tmp_path}/t")
+        got = folds.merged(held.read())
+        want = folds.slots(spark.createDataFrame(events[: (k + 1) * 60], EVENT))
+        key = lambda df: sorted((r.run, r.slot, r.seq, r.payload, r.since) for r in df.collect())
+        assert key(got) == key(want)
+    data = held.manifest()["data"]
+    assert len(data) == 3 and data[:2] == held.manifest(1)["data"]
