@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import mmap
 import shutil
+import sys
 import tempfile
 import uuid
 
@@ -44,16 +46,24 @@ class Arrays:
             if system.get_file_info(path).size == 0:
                 self._open[name] = np.zeros(0, dtype)
             elif isinstance(system, fs.LocalFileSystem):
-                self._open[name] = np.memmap(path, dtype, "r")
+                with open(path, "rb") as f:
+                    self._open[name] = _mapped(f, dtype)
             else:
                 with tempfile.TemporaryFile() as own:
                     with system.open_input_stream(path) as f:
                         shutil.copyfileobj(f, own, 4 << 20)
                     own.flush()
-                    self._open[name] = np.memmap(own, dtype, "r")
+                    self._open[name] = _mapped(own, dtype)
         return self._open[name]
 
 
+def _mapped(file, dtype) -> np.ndarray:
+    """The file as an array that stays when it is closed. From Python 3.13 on a map needs no open file: a task has one for
+    each array of each shard, and shards are as many as the input is large."""
+    bare = {"trackfd": False} if sys.version_info >= (3, 13) else {}
+    return np.frombuffer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **bare), dtype)
+
+
 def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of sorted wanted values in sorted keys, and which are there."""
     if not len(keys):

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import resource
+import sys
 import zlib
 
 import numpy as np
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import ann, fingerprint, jaccard
+from quire.llm.arrays import Arrays
 
 from ..conftest import DATA
 
@@ -154,3 +157,15 @@ def test_order_does_not_count_and_paragraphs_come_and_go(spark):
 
 def test_fold_is_crc32_of_the_id():
     assert zlib.crc32(b"17") % 5 in range(5)
+
+
+@pytest.mark.skipif(sys.version_info < (3, 13), reason="a map holds its file open")
+def test_arrays_of_more_shards_than_files_may_be_open(tmp_path):
+    arrays, most = Arrays(f"file://{tmp_path}/classes"), resource.getrlimit(resource.RLIMIT_NOFILE)
+    for s in range(300):
+        arrays.write(f"t{s}.key", np.arange(s, s + 5, dtype=np.uint64))
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, most[1]))
+    try:
+        assert all(arrays.read(f"t{s}.key", np.uint64).tolist() == list(range(s, s + 5)) for s in range(300))
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, most)
